@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_simhash_near_dedup": simhash.op1,
         "op10_exact_dedup": exact_dedup.op10,
     }
 
