@@ -29,6 +29,9 @@ from . import common
 
 STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # many small stores: don't set disk aside ahead of need, and log changes instead of whole snapshots
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 #: Let Spark test digests against a Bloom filter of the hits (of bounded size)
 #: in the scan, before it shuffles any text, at every size of the input.
