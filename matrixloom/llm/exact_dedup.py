@@ -107,12 +107,12 @@ def collisions(rows: DataFrame, state: DataFrame) -> DataFrame | None:
     None if full bytes agree everywhere."""
     spark = rows.sparkSession
     with conf(spark, BLOOM_CONF):
-        hits = state.where("n > 1").select("digest", "keep.locator")
+        hits = state.where("n > 1").select("digest", "keep.locator", "n")
         kept, kept_path = common.written(
-            rows.join(hits, ["digest", "locator"]).select("digest", F.col("text").alias("kept_text")), "dedup-kept"
+            rows.join(hits, ["digest", "locator"]).select("digest", "n", F.col("text").alias("kept_text")), "dedup-kept"
         )
         odd, _ = common.written(
-            rows.join(kept, "digest").where(F.col("text") != F.col("kept_text")).select("digest").distinct(), "dedup-odd"
+            rows.join(kept.where("n > 1"), "digest").where(F.col("text") != F.col("kept_text")).select("digest").distinct(), "dedup-odd"
         )
         common.delete(spark, kept_path)
         if odd.isEmpty():
