@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, simhash
+from . import bpe, exact_dedup, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.op1,
+        "op2_toxicity_kneser_ney": toxicity.op2,
         "op5_bpe_chunk_reuse": bpe.op5,
         "op10_exact_dedup": exact_dedup.op10,
     }
