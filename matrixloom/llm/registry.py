@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, simhash, toxicity
+from . import bpe, exact_dedup, simhash, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": simhash.op1,
         "op2_toxicity_kneser_ney": toxicity.op2,
+        "op3_url_filters": urls.op3,
         "op5_bpe_chunk_reuse": bpe.op5,
         "op10_exact_dedup": exact_dedup.op10,
     }
@@ -16,5 +17,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_url_filters": urls.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
     }
