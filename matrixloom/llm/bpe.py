@@ -44,7 +44,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 WINDOW = 32
 _PIECE = 1 << 20
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
-_BUFFER = 32 << 20
+_BUFFER = 64 << 20
 
 
 def byte_symbols() -> dict[str, int]:
@@ -159,8 +159,8 @@ class Blocks:
         import zstandard
 
         self.kind, self.size, self.held, self.bytes = kind, size, {}, {}
-        self.most = max(1 << 15, min(1 << 19, _BUFFER // parts))
-        self.press, self.out = zstandard.ZstdCompressor(level=3), []
+        self.most = max(1 << 15, min(1 << 20, _BUFFER // parts))
+        self.press, self.out = zstandard.ZstdCompressor(level=6), []
 
     def add(self, part: int, item) -> None:
         self.held.setdefault(part, []).append(item)
