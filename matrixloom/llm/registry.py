@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, simhash, toxicity, urls
+from . import bpe, exact_dedup, mixing, simhash, toxicity, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_simhash_near_dedup": simhash.op1,
         "op2_toxicity_kneser_ney": toxicity.op2,
         "op3_url_filters": urls.op3,
+        "op4_mixing_weights": mixing.op4,
         "op5_bpe_chunk_reuse": bpe.op5,
         "op10_exact_dedup": exact_dedup.op10,
     }
@@ -18,5 +19,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filters": urls.ORACLE,
+        "op4_mixing_weights": mixing.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
     }
