@@ -31,6 +31,7 @@ other columns are called.
 from __future__ import annotations
 
 import re
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -45,7 +46,8 @@ ORDER, SHARED = 5, 2
 MARGIN = 3.0
 CODES = 1024
 WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 1_000_000
+#: Words whose ratios a task remembers, rows counted at once, words rated at once.
+_CACHE, _ROWS, _RATED = 250_000, 500, 10_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -59,17 +61,48 @@ def codes(words: list[str]) -> np.ndarray:
     return np.where(x < 768, x, 768 + x * np.uint64(2654435761) % np.uint64(CODES - 768))
 
 
-def grams(x: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the 0..ORDER characters up to each place."""
-    out, power = [np.zeros(len(x), dtype=np.uint64)], 1
-    for k in range(ORDER):
-        h = out[-1].copy()
-        h[k:] += (x[: len(x) - k] + np.uint64(11)) * np.uint64(power)
-        out.append(h)
+def gram(x: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k characters up to each place."""
+    out, power = np.zeros(len(x), dtype=np.uint64), 1
+    for j in range(k):
+        out[j:] += (x[: len(x) - j] + np.uint64(11)) * np.uint64(power)
         power = power * 0x9E3779B97F4A7C15 % (1 << 64)
     return out
 
 
+class Lookup:
+    """Finds hashes among ``keys`` by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.table = np.full(1 << self.bits, -1, dtype=np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]  # of those that want one slot, one gets it
+            rest = self.table[slot] != left
+            left, slot = left[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        return ((x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each of ``x`` among the keys, and whether it is there."""
+        slot = self._slot(x)
+        at = self.table[slot]
+        if not len(self.keys):
+            return np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool)
+        known = (self.keys[at] == x) & (at >= 0)
+        open_ = np.flatnonzero((at >= 0) & ~known)
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            at[open_] = self.table[slot[open_]]
+            known[open_] = (self.keys[at[open_]] == x[open_]) & (at[open_] >= 0)
+            open_ = open_[(at[open_] >= 0) & ~known[open_]]
+        return np.maximum(at, 0), known
+
+
 def discount(counts: np.ndarray) -> float:
     """Kneser-Ney's estimate from the numbers of ones and twos."""
     one, two = int((counts == 1).sum()), int((counts == 2).sum())
@@ -82,32 +115,25 @@ class Level:
 
     def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         """parts: for each model its grams, their contexts and counts."""
-        self.grams = np.unique(np.concatenate([p[0] for p in parts]))
-        self.contexts = np.unique(np.concatenate([p[1] for p in parts]))
-        self.share, self.left = [], []
+        grams = np.unique(np.concatenate([p[0] for p in parts]))
+        contexts = np.unique(np.concatenate([p[1] for p in parts]))
+        self.grams, self.contexts, self.share, self.left = Lookup(grams), Lookup(contexts), [], []
         for gram, context, count in parts:
             cut = discount(count)
-            at = np.searchsorted(self.contexts, context)
-            total = np.bincount(at, count, minlength=len(self.contexts))
-            kinds = np.bincount(at, minlength=len(self.contexts))
-            share = np.zeros(len(self.grams))
-            share[np.searchsorted(self.grams, gram)] = (count - cut) / total[at]
+            at = np.searchsorted(contexts, context)
+            total = np.bincount(at, count, minlength=len(contexts))
+            kinds = np.bincount(at, minlength=len(contexts))
+            share = np.zeros(len(grams))
+            share[np.searchsorted(grams, gram)] = (count - cut) / total[at]
             self.share.append(share)
             self.left.append(np.where(kinds > 0, cut * kinds / np.maximum(total, 1), 1.0))
 
     def step(self, gram: np.ndarray, context: np.ndarray, lower: list[np.ndarray]) -> list[np.ndarray]:
-        g, known = found(self.grams, gram)
-        c, seen = found(self.contexts, context)
+        g, known = self.grams.find(gram)
+        c, seen = self.contexts.find(context)
         return [np.where(known, s[g], 0.0) + np.where(seen, b[c], 1.0) * p for s, b, p in zip(self.share, self.left, lower)]
 
 
-def found(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool)
-    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return at, keys[at] == x
-
-
 def hashed(words: list[str]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
@@ -119,22 +145,22 @@ class Model:
     ordinary class) and ``pairs`` (shared counts of two characters in a row)."""
 
     def __init__(self, words: list[str], toxic: np.ndarray, ordinary: np.ndarray, pairs: np.ndarray):
-        self.curve = (4.0, 1.0)
+        self.curve, self.name = (4.0, 1.0), uuid.uuid4().hex
         self.classes = bool(toxic.any() and ordinary.any())
         if not self.classes:
             return
         a, b, n = pairs.T if len(pairs) else np.zeros((3, 0), dtype=np.int64)
         first, second = a.astype(np.uint64), b.astype(np.uint64)
-        g1 = grams(second)[1]
+        g1 = gram(second, 1)
         g2 = (second + np.uint64(11)) + (first + np.uint64(11)) * np.uint64(0x9E3779B97F4A7C15)
         u1, n1 = np.unique(g1, return_counts=True)
-        self.shared = [Level([(u1, np.zeros(len(u1), dtype=np.uint64), n1.astype(float))]), Level([(g2, grams(first)[1], n.astype(float))])]
+        self.shared = [Level([(u1, np.zeros(len(u1), dtype=np.uint64), n1.astype(float))]), Level([(g2, gram(first, 1), n.astype(float))])]
         self.own = []
         spelled = [self._spelling([w for w, c in zip(words, counts) if c]) for counts in (toxic, ordinary)]
         for k in range(SHARED, ORDER):
             self.own.append(Level([s[k] for s in spelled]))
         order = np.argsort(h := hashed(words))
-        self.words = h[order]
+        self.words = Lookup(h[order])
         self.share, self.left = [], []
         for counts in (toxic, ordinary):
             some, total = counts[counts > 0], counts.sum()
@@ -147,16 +173,17 @@ class Model:
         """For each order its grams, their contexts and how many different longer
         grams end in them (of the longest: how many words have them)."""
         x = codes(words)
-        g, at = grams(x), np.flatnonzero(x > 0)
-        out = []
+        at = np.flatnonzero(x > 0)
+        out, longer = [], None
         for k in range(ORDER, 0, -1):
-            h = g[k][at]
+            h = gram(x, k)[at]
             if k == ORDER:
                 u, first, n = np.unique(h, return_index=True, return_counts=True)
             else:
                 u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-                n = np.bincount(_distinct(inverse, g[k + 1][at]), minlength=len(u))
-            out.append((u, g[k - 1][at[first] - 1], n.astype(float)))
+                n = np.bincount(_distinct(inverse, longer), minlength=len(u))
+            out.append((u, gram(x, k - 1)[at[first] - 1], n.astype(float)))
+            longer = h
         return out[::-1]
 
     def ratios(self, words: list[str]) -> np.ndarray:
@@ -164,16 +191,17 @@ class Model:
         if not self.classes or not words:
             return np.zeros(len(words))
         x = codes(words)
-        g, at = grams(x), np.flatnonzero(x > 0)
-        p = [np.full(len(at), 1e-4)]
-        for k, level in enumerate(self.shared, 1):
-            p = level.step(g[k][at], g[k - 1][at - 1], p)
-        p = [p[0], p[0]]
-        for k, level in enumerate(self.own, SHARED + 1):
-            p = level.step(g[k][at], g[k - 1][at - 1], p)
+        at = np.flatnonzero(x > 0)
+        before, p = gram(x, 0), [np.full(len(at), 1e-4)]
+        for k, level in enumerate(self.shared + self.own, 1):
+            if k == SHARED + 1:
+                p = [p[0], p[0]]
+            now = gram(x, k)
+            p = level.step(now[at], before[at - 1], p)
+            before = now
         starts = np.concatenate([[0], np.flatnonzero(x[at] == 1)[:-1] + 1])
         spelled = [np.exp(np.maximum(-60.0, np.add.reduceat(np.log(q), starts))) for q in p]
-        w, known = found(self.words, hashed(words))
+        w, known = self.words.find(hashed(words))
         t, o = (np.where(known, s[w], 0.0) + left * q for s, left, q in zip(self.share, self.left, spelled))
         return np.log(t) - np.log(o)
 
@@ -183,8 +211,8 @@ class Model:
         if len(cache) + len(new) > _CACHE:
             cache.clear()
             new = list({w for ws in lists for w in ws})
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
+        for i in range(0, len(new), _RATED):
+            part = new[i : i + _RATED]
             cache.update(zip(part, np.maximum(self.ratios(part) - MARGIN, 0.0).tolist()))
         return np.array([sum(map(cache.__getitem__, ws)) / len(ws) ** 0.5 if ws else 0.0 for ws in lists])
 
@@ -222,7 +250,7 @@ def held_out(id_col: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _cache_of(key) -> dict:
+def _cache_of(model_name: str) -> dict:
     return {}
 
 
@@ -230,7 +258,7 @@ def _counted(batches):
     """Of labelled rows for the fit the different (class, left word, word); of all
     rows the shared counts, as rows with a null class."""
     shared = np.zeros(CODES * CODES, dtype=np.int64)
-    for batch in batches:
+    for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
         tally: dict[str, int] = {}
         pairs: tuple[set, set] = (set(), set())
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -257,7 +285,7 @@ def _rows(label, left, right, n):
     return pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(n, pa.int64())], names=["label", "a", "b", "n"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of ``docs``' texts under ``labels``; held-out identifiers are not used."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     usable = (
@@ -307,12 +335,12 @@ def _evidence(spark: SparkSession, model: Model, key_type: pa.DataType):
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        cache = _cache_of(id(sent.value))
+        cache = _cache_of(sent.value.name)
         for batch in batches:
             text, key = batch.column(0), batch.column(1)
-            for i in range(0, batch.num_rows, 500):
-                found = sent.value.evidence(text[i : i + 500].to_pylist(), cache)
-                yield pa.RecordBatch.from_arrays([key[i : i + 500], pa.array(found)], names=["key", "evidence"])
+            for i in range(0, batch.num_rows, _ROWS):
+                found = sent.value.evidence(text[i : i + _ROWS].to_pylist(), cache)
+                yield pa.RecordBatch.from_arrays([key[i : i + _ROWS], pa.array(found)], names=["key", "evidence"])
 
     return run
 
@@ -333,10 +361,10 @@ def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches):
-        cache = _cache_of(id(sent.value))
+        cache = _cache_of(sent.value.name)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(i, _ROWS)
                 score = sent.value.score(sent.value.evidence(part.column(at).to_pylist(), cache))
                 yield part.filter(pa.array(score < 0.5))
 

@@ -54,7 +54,7 @@ def test_spelling_levels_are_distributions(spark):
     parts = toxicity.Model._spelling(words)
     for k, (gram, context, count) in enumerate(parts, 1):
         level = toxicity.Level([(gram, context, count)])
-        total = np.bincount(np.searchsorted(level.contexts, context), level.share[0][np.searchsorted(level.grams, gram)], len(level.contexts))
+        total = np.bincount(level.contexts.find(context)[0], level.share[0][level.grams.find(gram)[0]], len(level.contexts.keys))
         assert np.allclose(total + level.left[0], 1.0), k
     # of order 1: how many different two-character grams end in each character
     two = {("^" + w + "$")[i : i + 2] for w in words for i in range(len(w) + 1)}
@@ -82,3 +82,12 @@ def test_whole_table(spark, sf):
 @pytest.mark.parametrize("x", [[], ["é"], ["漢字", "abc"]])
 def test_codes_are_bounded(x):
     assert (toxicity.codes(x) < toxicity.CODES).all()
+
+
+def test_lookup():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
+    look = toxicity.Lookup(keys[::2])
+    at, known = look.find(keys)
+    assert known[::2].all() and not known[1::2].any() and (look.keys[at[::2]] == keys[::2]).all()
+    assert not toxicity.Lookup(keys[:0]).find(keys)[1].any()
