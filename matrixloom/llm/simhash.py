@@ -22,10 +22,16 @@ zero and link like any other; repeated rows and identifiers are rows of their
 own; an empty table gives an empty result; only the identifier and the text are
 read, whatever other columns are called.  The smallest identifier of a component
 names it (null only if all its identifiers are null).
+
+:func:`similar` is for a similarity that differs in too many bits for every
+choice of blocks to be filed: it has longer fingerprints, files each class under
+a number of seeded choices of blocks, and checks the Hamming distance again.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -38,20 +44,25 @@ from . import common
 _PIECE = 1 << 16
 
 
-def fingerprint(text: bytes, n: int = 3) -> int:
-    """SimHash of one text given in UTF-8."""
+def fingerprint(text: bytes, n: int = 3, longs: int = 1) -> list[int]:
+    """SimHash of one text given in UTF-8, as unsigned longs: the first of the
+    shingles' hashes themselves, further ones of mixtures of them."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return [0] * longs
     grams = [b" ".join(words)] if len(words) < n else map(b" ".join, zip(*(words[i:] for i in range(n))))
-    total, count, buffer = np.zeros(64, dtype=np.int64), 0, []
+    total, count, buffer = np.zeros((longs, 64), dtype=np.int64), 0, []
 
     def add() -> None:
-        nonlocal total, count
-        bits = np.unpackbits(np.array(buffer, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64)
+        nonlocal count
+        h = np.array(buffer, dtype="<u8")
+        for i in range(longs):
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total[i] += bits.sum(axis=0, dtype=np.int64)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
         count += len(buffer)
         buffer.clear()
 
@@ -61,7 +72,7 @@ def fingerprint(text: bytes, n: int = 3) -> int:
             add()
     if buffer:
         add()
-    return int(np.packbits(2 * total > count, bitorder="little").view("<u8")[0])
+    return np.packbits(2 * total > count, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
 def fingerprints(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,7 +81,7 @@ def fingerprints(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col:
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            found = np.fromiter((fingerprint(t or b"", n) for t in texts), dtype=np.uint64, count=len(texts))
+            found = np.fromiter((fingerprint(t or b"", n)[0] for t in texts), dtype=np.uint64, count=len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
@@ -133,6 +144,83 @@ def near_duplicates(docs: DataFrame, n: int = 3, k: int = 2, blocks: int = 4, ho
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
+def mask_choices(longs: int, bits: int, choices: int, seed: int = 7) -> list[list[int]]:
+    """Seeded choices of ``bits`` bits of a fingerprint, in blocks of three."""
+    rng, size = np.random.default_rng(seed), 64 * longs
+    out = []
+    for _ in range(choices):
+        starts = rng.choice(size // 3, -(-bits // 3), replace=False) * 3
+        chosen = {int(s) + i for s in starts for i in range(3)}
+        out.append([sum(1 << (b % 64) for b in chosen if b // 64 == w) for w in range(longs)])
+    return out
+
+
+def similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 4, choices: int = 96, text_col: str = "text", locator=None) -> DataFrame:
+    """``at, root`` of each row: groups of rows whose fingerprints of ``n``-word
+    shingles tell of a Jaccard similarity of ``similarity`` or more.
+
+    Shingle sets of Jaccard similarity j have a cosine of about 2j / (1 + j) and so
+    differ in the angle's share of their ``64 * longs`` bits; classes link up to
+    that distance.  Each class is filed under ``choices`` seeded choices of blocks,
+    of more bits the more classes there are.  Of each key the least class is
+    compared with all others; those that aren't within the distance go on among
+    themselves until none is left, so no key costs all its pairs.
+
+    ``locator``: columns that name a row; they come back as the struct ``at``.
+    """
+    most = int(64 * longs * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    fps = [f"f{i}" for i in range(longs)]
+    slim = docs.select(F.struct(*locator).alias("at"), F.col(text_col).cast("binary").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1)
+            for i in range(0, batch.num_rows, 500):
+                found = np.array([fingerprint(t or b"", n, longs) for t in texts[i : i + 500].to_pylist()], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 500], *(pa.array(found[:, w]) for w in range(longs))], names=["at", *fps])
+
+    rows = slim.mapInArrow(run, f"at {slim.schema['at'].dataType.simpleString()}, " + ", ".join(f"{f} long" for f in fps))
+    rows, _ = common.written(rows, "similar-rows")
+    classes = rows.groupBy(*fps).agg(F.count("*").alias("copies"))
+    classes, _ = common.written(classes.select(F.monotonically_increasing_id().alias("cls"), *fps), "similar-classes")
+    bits = max(12, math.ceil(math.log2(max(2, classes.count()))) + 3)
+    keys = [F.xxhash64(F.lit(i), *[F.col(f).bitwiseAND(F.lit(signed(m))) for f, m in zip(fps, masks)]) for i, masks in enumerate(mask_choices(longs, bits, choices))]
+    keyed = classes.select("cls", F.explode(F.array(*keys)).alias("key"))
+    left, right = (classes.select(F.col("cls").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in fps]) for c in ("a", "b"))
+    differ = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in fps[1:]), F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))))
+    edges, path = [], None
+    while True:
+        low = keyed.groupBy("key").agg(F.min("cls").alias("b"), F.count("*").alias("size")).where("size > 1")
+        met = keyed.join(low, "key").where("cls <> b").select("key", F.col("cls").alias("a"), "b")
+        met, met_path = common.written(met, "similar-met")
+        if path:
+            common.delete(docs.sparkSession, path)
+        path = met_path
+        if met.isEmpty():
+            break
+        pairs = met.select("a", "b").distinct().join(left, "a").join(right, "b")
+        near, _ = common.written(pairs.where(differ <= most).select("a", "b"), "similar-near")
+        edges.append(near)
+        keyed = met.join(near, ["a", "b"], "left_anti").select("key", F.col("a").alias("cls"))
+    links_found = reduce(DataFrame.unionByName, edges) if edges else classes.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
+    roots = common.components(links_found, "similar-cc")
+    named = classes.join(roots, F.col("cls") == F.col("node"), "left").select(*fps, F.coalesce("root", "cls").alias("root"))
+    return rows.join(common.written(named, "similar-named")[0], fps).select("at", "root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+    """The rows of ``docs`` (read from Parquet files) without near-duplicates, whole:
+    of each group of :func:`similar` the row with the least identifier stays (of
+    equal ones the first in the files)."""
+    groups, _ = common.written(similar(docs, locator=["_metadata.file_path", "_metadata.row_index", F.col(id_col).alias("id")], **kw), "similar-groups")
+    first = F.min(F.struct(F.col("at.id").isNull(), F.col("at.id"), "at.file_path", "at.row_index")).alias("first")
+    several = groups.groupBy("root").agg(F.count("*").alias("size"), first).where("size > 1")
+    gone = groups.join(several, "root").where(~(F.col("at.file_path").eqNullSafe(F.col("first.file_path")) & (F.col("at.row_index") == F.col("first.row_index"))))
+    gone = gone.select(F.struct("at.file_path", "at.row_index").alias("_gone"))
+    rows = docs.withColumn("_at", F.struct("_metadata.file_path", "_metadata.row_index"))
+    return rows.join(gone, F.col("_at") == F.col("_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns for every document."""
     return near_duplicates(common.table(spark, sf_dir, "documents")).select(
