@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, simhash, toxicity, urls
+from . import bpe, exact_dedup, licenses, mixing, simhash, toxicity, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_url_filters": urls.op3,
         "op4_mixing_weights": mixing.op4,
         "op5_bpe_chunk_reuse": bpe.op5,
+        "op7_license_diagonals": licenses.op7,
         "op10_exact_dedup": exact_dedup.op10,
     }
 
@@ -20,5 +21,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filters": urls.ORACLE,
         "op4_mixing_weights": mixing.ORACLE,
+        "op7_license_diagonals": licenses.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
     }
