@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,17 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def located(df: DataFrame, columns: list[str], tag: str) -> DataFrame:
+    """``columns`` of ``df`` and ``_at``, the file of each row and its place there,
+    which stays the same however often the rows are read.  Rows that don't come
+    straight from files are written to the shared folder first."""
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        df, _ = written(df.select(*columns), tag)
+    return df.select(*columns, F.struct("_metadata.file_path", "_metadata.row_index").alias("_at"))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)

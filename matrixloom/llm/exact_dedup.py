@@ -23,7 +23,6 @@ import contextlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from . import common
 
@@ -59,20 +58,10 @@ def sha256(text: Column) -> Column:
 
 
 def located(docs: DataFrame, digest, id_col: str, text_col: str) -> DataFrame:
-    """``id, digest, locator, text`` of each row; the locator names the row's file
-    and its place there.  Rows that don't come straight from files are written
-    to the shared folder first."""
-    try:
-        docs.select("_metadata.row_index")
-    except AnalysisException:
-        docs, _ = common.written(docs.select(id_col, text_col), "dedup-rows")
+    """``id, digest, locator, text`` of each row."""
+    rows = common.located(docs, list(dict.fromkeys([id_col, text_col])), "dedup-rows")
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(
-        F.col(id_col).alias("id"),
-        digest(text).alias("digest"),
-        F.struct("_metadata.file_path", "_metadata.row_index").alias("locator"),
-        text.alias("text"),
-    )
+    return rows.select(F.col(id_col).alias("id"), digest(text).alias("digest"), F.col("_at").alias("locator"), text.alias("text"))
 
 
 def state_of(source: DataFrame, path: str, files_per_batch: int | None = None) -> DataFrame:

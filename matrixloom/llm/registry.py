@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, mixing, simhash, toxicity, urls
+from . import bpe, exact_dedup, licenses, mixing, simhash, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_mixing_weights": mixing.op4,
         "op5_bpe_chunk_reuse": bpe.op5,
         "op7_license_diagonals": licenses.op7,
+        "op8_warc_packages": warc.op8,
         "op10_exact_dedup": exact_dedup.op10,
     }
 
@@ -22,5 +23,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filters": urls.ORACLE,
         "op4_mixing_weights": mixing.ORACLE,
         "op7_license_diagonals": licenses.ORACLE,
+        "op8_warc_packages": warc.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
     }
