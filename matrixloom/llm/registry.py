@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, mixing, simhash, toxicity, urls, warc
+from . import bm25, bpe, exact_dedup, licenses, mixing, simhash, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_bpe_chunk_reuse": bpe.op5,
         "op7_license_diagonals": licenses.op7,
         "op8_warc_packages": warc.op8,
+        "op9_bm25_block_max": bm25.op9,
         "op10_exact_dedup": exact_dedup.op10,
     }
 
@@ -24,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing_weights": mixing.ORACLE,
         "op7_license_diagonals": licenses.ORACLE,
         "op8_warc_packages": warc.ORACLE,
+        "op9_bm25_block_max": bm25.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
     }
