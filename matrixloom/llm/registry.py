@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bm25, bpe, exact_dedup, licenses, mixing, simhash, toxicity, urls, warc
+from . import bm25, bpe, exact_dedup, html, licenses, mixing, simhash, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_url_filters": urls.op3,
         "op4_mixing_weights": mixing.op4,
         "op5_bpe_chunk_reuse": bpe.op5,
+        "op6_html_crf": html.op6,
         "op7_license_diagonals": licenses.op7,
         "op8_warc_packages": warc.op8,
         "op9_bm25_block_max": bm25.op9,
