@@ -7,8 +7,9 @@ shard scores as the whole collection would.
 
 A shard holds a bounded number of documents as an inverted index whose postings
 are cut into aligned blocks of documents; each term has the largest impact in each
-of its blocks.  For a query the sum of its terms' block maxima bounds each block's
-scores.  Blocks are taken by falling bound and scored in full until the best bound
+of its blocks.  For a query the postings of its rare terms are all added up; a
+block's scores are bounded by the best of these sums in it plus the other terms'
+block maxima.  Blocks are taken by falling bound and scored in full until the best bound
 left is below the k-th score found (the pivot test of WAND, made for all blocks at
 once), so no document of the top k is missed.  Shards' answers are merged.
 
@@ -73,59 +74,64 @@ class Index:
     """Inverted index of one shard's documents."""
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, owner: np.ndarray, mean: float):
-        """ids, lengths: of documents; terms, counts, owner: of postings."""
+        """ids, lengths: of documents; terms, counts, owner: of postings, by document."""
         self.ids = ids
-        tf = counts.astype(np.float64)
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean))
-        order = np.lexsort((owner, terms))
-        self.doc, self.impact, terms = owner[order].astype(np.int32), impact[order], terms[order]
+        order = np.argsort(terms, kind="stable").astype(np.int32)
+        terms = terms[order]
+        self.doc = owner[order].astype(np.int32)
+        tf = counts[order].astype(np.float64)
+        del order
+        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * (lengths / mean)[self.doc]))
+        del tf
         block = self.doc // BLOCK
         new = np.ones(len(terms), dtype=bool)
         new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
-        self.starts = np.flatnonzero(new)  # of each term's postings in each block
-        self.ends = np.append(self.starts[1:], len(terms))
-        self.block = block[self.starts]
-        self.most = np.maximum.reduceat(self.impact, self.starts) if len(terms) else np.zeros(0)
-        self.terms, self.first = np.unique(terms[self.starts], return_index=True)
-        self.last = np.append(self.first[1:], len(self.starts))
+        self.starts = np.append(np.flatnonzero(new), len(terms)).astype(np.int32)  # of each term's postings in each block
+        self.block = block[self.starts[:-1]]
+        self.most = np.maximum.reduceat(self.impact, self.starts[:-1]) if len(terms) else np.zeros(0)
+        self.terms, first = np.unique(terms[self.starts[:-1]], return_index=True)
+        self.first = np.append(first, len(self.block)).astype(np.int32)
         self.blocks = -(-len(ids) // BLOCK)
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents (their numbers) of the k best scores, ties by identifier."""
-        none = np.zeros(0, dtype=np.int64), np.zeros(0)
+        docs, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
         if not len(self.terms) or not len(terms):
-            return none
+            return docs, scores
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         ok = self.terms[at] == terms
         at, weights = at[ok], weights[ok]
         if not len(at):
-            return none
-        cells, owner = spread(self.first[at], self.last[at])
-        bound = np.bincount(self.block[cells], self.most[cells] * weights[owner], minlength=self.blocks)
+            return docs, scores
+        size, low, high = self.blocks * BLOCK, self.starts[self.first[at]], self.starts[self.first[at + 1]]
+        rare = high - low <= len(self.ids) // 64
+        postings, of = spread(low[rare], high[rare])
+        partial = np.bincount(self.doc[postings], self.impact[postings] * weights[rare][of], minlength=size)
+        seen = np.zeros(size, dtype=bool)
+        seen[self.doc[postings]] = True
+        at, weights = at[~rare], weights[~rare]
+        cells, of = spread(self.first[at], self.first[at + 1])
+        block = self.block[cells]
+        bound = partial.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, self.most[cells] * weights[of], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        done, step, least = 0, 8, -np.inf
-        docs, scores = none
         place = np.empty(self.blocks, dtype=np.int64)
         place[order] = np.arange(self.blocks)
-        rank = place[self.block[cells]]
-        by = np.argsort(rank, kind="stable")
-        rank, cells, owner = rank[by], cells[by], owner[by]
+        done, step, least = 0, 8, -np.inf
         while done < self.blocks and bound[order[done]] > 0 and bound[order[done]] >= least - 2e-6:
-            lo, hi = np.searchsorted(rank, (done, done + step))
-            postings, cell = spread(self.starts[cells[lo:hi]], self.ends[cells[lo:hi]])
-            slot = rank[lo:hi][cell] - done
-            local = slot * BLOCK + self.doc[postings] % BLOCK
-            found = np.bincount(local, self.impact[postings] * weights[owner[lo:hi][cell]], minlength=step * BLOCK)
-            some = np.flatnonzero(np.bincount(local, minlength=step * BLOCK))
-            docs = np.concatenate([docs, order[done + some // BLOCK] * BLOCK + some % BLOCK])
-            scores = np.concatenate([scores, np.round(found[some], 6)])
+            stop = done + max(1, min(step, int(np.searchsorted(-bound[order[done : done + step]], 2e-6 - least, side="right"))))
+            mine = np.flatnonzero((place[block] >= done) & (place[block] < stop))
+            postings, cell = spread(self.starts[cells[mine]], self.starts[cells[mine] + 1])
+            local = (place[block[mine]] - done)[cell] * BLOCK + self.doc[postings] % BLOCK
+            whole = (order[done:stop, None] * BLOCK + np.arange(BLOCK)).ravel()
+            found = partial[whole] + np.bincount(local, self.impact[postings] * weights[of[mine]][cell], minlength=len(whole))
+            some = np.flatnonzero(seen[whole] | (np.bincount(local, minlength=len(whole)) > 0))
+            docs, scores = np.concatenate([docs, whole[some]]), np.concatenate([scores, np.round(found[some], 6)])
             if len(scores) > k:
                 best = np.lexsort((self.ids[docs], -scores))[:k]
                 docs, scores = docs[best], scores[best]
             if len(scores) >= k:
                 least = scores.min()
-            done += step
-            step = min(2 * step, 256)
+            done, step = stop, min(2 * step, 256)
         best = np.lexsort((self.ids[docs], -scores))[:k]
         return docs[best], scores[best]
 
@@ -147,7 +153,7 @@ def _collected(shards: int):
         at = TaskContext.get().partitionId() * 7919
 
         def out(shard):
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([DOCS], pa.int32()), pa.array([_pack(held.pop(shard))], pa.binary())], names=["shard", "kind", "block"])
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([DOCS], pa.int32()), pa.array([_pack(_joined(held.pop(shard)))], pa.binary())], names=["shard", "kind", "block"])
 
         count = 0
         for batch in batches:
@@ -170,10 +176,11 @@ def _answered(k: int, mean: float):
         for batch in batches:
             for _, kind, block in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == DOCS:
-                    docs += _unpack(block)
+                    docs.append(_unpack(block))
                     continue
                 if index is None:
-                    index, docs = _built(docs, mean), []
+                    index = _built(docs, mean)
+                    docs.clear()
                 found = []
                 for key, terms, weights in _unpack(block):
                     best, scores = index.top(terms, weights, k)
@@ -184,19 +191,18 @@ def _answered(k: int, mean: float):
     return run
 
 
-def _built(docs: list, mean: float) -> Index:
-    keys = [d[0] for d in docs]
-    sizes = [len(d[1]) for d in docs]
+def _joined(docs: list) -> tuple:
+    """Documents of one task as arrays: keys, lengths, number of terms, terms, counts."""
+    keys, terms, counts, lengths = zip(*docs)
+    return list(keys), np.array(lengths, dtype=np.int64), np.array([len(t) for t in terms], dtype=np.int32), np.concatenate(terms), np.concatenate(counts)
+
+
+def _built(parts: list, mean: float) -> Index:
+    keys = [x for p in parts for x in p[0]]
     ids = np.array([np.iinfo(np.int64).max if x is None else x for x in keys], dtype=np.int64)
-    empty = np.zeros(0, dtype=np.uint64)
-    index = Index(
-        ids,
-        np.array([d[3] for d in docs], dtype=np.float64),
-        np.concatenate([d[1] for d in docs] or [empty]),
-        np.concatenate([d[2] for d in docs] or [empty]),
-        np.repeat(np.arange(len(docs)), sizes),
-        mean,
-    )
+    lengths, sizes, terms, counts = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
+    parts.clear()
+    index = Index(ids, lengths, terms, counts, np.repeat(np.arange(len(keys), dtype=np.int32), sizes), mean)
     index.keys = keys
     return index
 
@@ -254,7 +260,7 @@ def _tallied(batches):
             held.update(h.view(np.int64).tolist())
             docs += 1
             length += n
-            if len(held) > 500_000:
+            if len(held) > 200_000:
                 yield _tally(held, docs, length)
                 held, docs, length = Counter(), 0, 0
     yield _tally(held, docs, length)
