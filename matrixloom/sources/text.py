@@ -25,29 +25,31 @@ def _words(texts: DataFrame) -> DataFrame:
 
 
 def _at(i: int):
-    return F.get("x", F.lit(i)).cast("int")
+    return F.get("x", F.lit(i)).try_cast("int")
 
 
 def read_dense(texts: DataFrame, kind: str = "int") -> tuple[Matrices, DataFrame]:
     """Texts (``mid, value``) ``m n`` and m * n numbers; zeros aren't kept.  Also ``mid,
-    status``: INPUT for a text that is too short, whose matrix is left out."""
+    status``: INPUT for a text that is too short or has what isn't a number; its
+    matrix is left out."""
     files = _words(texts).withColumns({"m": _at(0), "n": _at(1)})
-    ok = F.coalesce(F.size("x") - 2 >= F.col("m") * F.col("n"), F.lit(False))
+    numbers = F.slice("x", F.lit(3), F.greatest(F.col("m") * F.col("n"), F.lit(0)))
+    ok = F.coalesce((F.col("m") >= 0) & (F.col("n") >= 0) & (F.size("x") - 2 >= F.col("m") * F.col("n")) & ~F.exists(numbers, lambda v: v.try_cast(kind).isNull()), F.lit(False))
     good = files.where(ok)
-    cells = good.select("mid", "m", "n", F.posexplode(F.slice("x", F.lit(3), F.col("m") * F.col("n"))).alias("k", "v"))
+    cells = good.select("mid", "m", "n", F.posexplode(numbers).alias("k", "v"))
     e = cells.select("mid", F.expr("CAST(k div n AS INT)").alias("r"), (F.col("k") % F.col("n")).alias("c"), F.col("v").cast(kind).alias("v")).where("v <> 0")
     return Matrices(good.select("mid", "m", "n"), e), files.select("mid", F.when(ok, "OK").otherwise("INPUT").alias("status"))
 
 
 def read_sparse(texts: DataFrame, kind: str = "int") -> tuple[Matrices, DataFrame]:
     """Texts ``m n k`` and k times ``r c v``; zeros aren't kept.  INPUT for texts that are too
-    short, or that have an index out of range or an entry twice."""
+    short, or that have an index out of range, an entry twice or what isn't a number."""
     files = _words(texts).withColumns({"m": _at(0), "n": _at(1), "k": _at(2)})
-    long = F.coalesce(F.size("x") - 3 >= 3 * F.col("k"), F.lit(False))
+    long = F.coalesce((F.col("m") >= 0) & (F.col("n") >= 0) & (F.col("k") >= 0) & (F.size("x") - 3 >= 3 * F.col("k")), F.lit(False))
     triple = F.when(F.col("k") > 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array().cast("array<int>"))
     cells = files.where(long).select("mid", "m", "n", F.explode(F.transform(triple, lambda i: F.slice("x", 4 + 3 * i, 3))).alias("t"))
-    e = cells.select("mid", "m", "n", (F.col("t")[0].cast("int") - 1).alias("r"), (F.col("t")[1].cast("int") - 1).alias("c"), F.col("t")[2].cast(kind).alias("v"))
-    out = e.where("r < 0 OR r >= m OR c < 0 OR c >= n").select("mid")
+    e = cells.select("mid", "m", "n", (F.get("t", F.lit(0)).try_cast("int") - 1).alias("r"), (F.get("t", F.lit(1)).try_cast("int") - 1).alias("c"), F.get("t", F.lit(2)).try_cast(kind).alias("v"))
+    out = e.where("NOT coalesce(r >= 0 AND r < m AND c >= 0 AND c < n AND v IS NOT NULL, FALSE)").select("mid")
     twice = e.groupBy("mid", "r", "c").count().where("count > 1").select("mid")
     bad = out.unionByName(twice).distinct().withColumn("bad", F.lit(True))
     status = files.join(bad, "mid", "left").select("mid", "m", "n", F.when(long & F.col("bad").isNull(), "OK").otherwise("INPUT").alias("status"))
@@ -100,8 +102,8 @@ def read_edge_lists(texts: DataFrame) -> DataFrame:
     words = words.join(end, "mid", "left").where(F.col("end").isNull() | (F.col("e") < F.col("end")))
     said = F.lower(F.get("x", F.lit(2)))
     number = F.regexp_extract(said, "([0-9]+)", 1)
-    element = F.when(said.rlike("^[rt-][0-9]+$"), -number.cast("int")).when(said.rlike("^c?[0-9]+$"), number.cast("int"))
-    edges = words.select("mid", "e", F.col("x")[0].alias("u"), F.col("x")[1].alias("w"), element.alias("element"))
+    element = F.when(said.rlike("^[rt-][0-9]+$"), -number.try_cast("int")).when(said.rlike("^c?[0-9]+$"), number.try_cast("int"))
+    edges = words.select("mid", "e", F.get("x", F.lit(0)).alias("u"), F.get("x", F.lit(1)).alias("w"), element.alias("element"))
     first = edges.select("mid", F.explode(F.array(F.struct("u", (2 * F.col("e")).alias("at")), F.struct(F.col("w").alias("u"), (2 * F.col("e") + 1).alias("at")))).alias("x"))
     nodes = first.groupBy("mid", "x.u").agg(F.min("x.at").alias("at"))
     nodes = nodes.withColumn("node", F.row_number().over(Window.partitionBy("mid").orderBy("at")) - 1)
@@ -141,4 +143,4 @@ def tree_text(nodes: DataFrame) -> DataFrame:
 
 def write(texts: DataFrame, path: str) -> None:
     """One file per matrix, ``path/mid=<mid>/part-*``."""
-    texts.select("mid", "value").write.partitionBy("mid").option("lineSep", "").text(path)
+    texts.select("mid", F.regexp_replace("value", "\n$", "").alias("value")).write.partitionBy("mid").text(path)
