@@ -73,14 +73,32 @@ def decompositions(ms: Matrices, ternary: bool = True) -> DataFrame:
     return per_matrix(ms, lambda mid, a: [(mid, *x) for x in recognise.table(recognise.decompose(a, ternary))], schema)
 
 
-def tree_attributes(nodes: DataFrame, depth: int = 64) -> DataFrame:
+def tree_attributes(nodes: DataFrame) -> DataFrame:
     """Attributes of inner nodes recomputed from their children: what a sum has is the
     least that any child has.  ``mid, node, regularity`` of the inner nodes."""
-    sums = nodes.where("kind IN ('ONESUM', 'TWOSUM', 'SERIES_PARALLEL')").select("mid", "node")
+    sums = nodes.where("kind IN ('ONESUM', 'TWOSUM', 'DELTASUM', 'THREESUM', 'SERIES_PARALLEL')").select("mid", "node")
     below = nodes.where("parent IS NOT NULL").groupBy("mid", F.col("parent").alias("node")).agg(F.min("regularity").alias("regularity"))
     return sums.join(below, ["mid", "node"])
 
 
+def three_separations(ms: Matrices) -> DataFrame:
+    """``mid, kind, rows, cols, rebuilt``: a 3-separation with four elements or more on each
+    side, the sum that it makes, and whether its parts' sum is the matrix again.  Null
+    where there is none or the matrix has more than ``recognise.SEPARATED`` lines."""
+
+    def one(mid, a):
+        m, n = len(a), len(a[0]) if a else 0
+        if not m or not n or m + n > recognise.SEPARATED:
+            return [(mid, None, None, None, None)]
+        found = recognise.separation([[int(bool(v)) for v in r] for r in a], 2, 4, recognise.SEPARATED)
+        if not found:
+            return [(mid, None, None, None, None)]
+        kind, rebuilt = recognise.rebuilt(a, *found)
+        return [(mid, kind, *found, rebuilt)]
+
+    return per_matrix(ms, one, f"mid long, kind string, {SUB}, rebuilt boolean")
+
+
 def regular_test(ms: Matrices) -> DataFrame:
     return per_matrix(ms, lambda mid, a: [(mid, recognise.is_regular(a))], "mid long, is_regular boolean")
 
@@ -153,6 +171,11 @@ def series_parallel(ms: Matrices, ternary: bool = True) -> DataFrame:
     return per_matrix(ms, one, f"mid long, is_sp boolean, reductions array<struct<element: int, mate: int>>, {SUB}")
 
 
+def sp_violators(ms: Matrices, ternary: bool = True) -> DataFrame:
+    """``mid, rows, cols``: minimal submatrices that aren't series-parallel."""
+    return per_matrix(ms, lambda mid, a: [(mid, *x) for x in [recognise.sp_violator(a, ternary)] if x], f"mid long, {SUB}")
+
+
 def balanced_test(ms: Matrices) -> DataFrame:
     """``mid, is_balanced, rows, cols`` with a violator of least order."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..model import Matrices, packed, problems
-from ..operators import algebra, blocks, kary, pivots, recognition, sums, trees
+from ..operators import algebra, blocks, kary, multigraphs, pivots, recognition, sums, trees
 from ..sources import generators, text
 from ..streaming import gates
 from .families import BINARY_SQL, COUNT_SQL, EMBED_SQL, SIGN_SQL, embeddings, part_binary, part_count, part_sign, table
@@ -94,6 +94,12 @@ def seymour_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.tree_attributes(nodes)
 
 
+@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'THREESUM', TRUE), (1, 'THREESUM', TRUE), (2, CAST(NULL AS VARCHAR), CAST(NULL AS BOOLEAN))) t(mid, kind, rebuilt)")
+def named_separations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3-separations of R12, of its dual, and (there is none) of R10."""
+    return recognition.three_separations(generators.literals(spark, ["R_12", "R_12*", "R_10.2"])).select("mid", "kind", "rebuilt")
+
+
 @query()
 def tree_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.tree_text(recognition.decompositions(part_sign(spark, sf_dir)))
@@ -443,6 +449,11 @@ def series_parallel_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.series_parallel(part_binary(spark, sf_dir), ternary=False)
 
 
+@query()
+def series_parallel_violators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.sp_violators(part_sign(spark, sf_dir))
+
+
 @query()
 def graphic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.graphic_test(part_binary(spark, sf_dir))
@@ -523,6 +534,34 @@ def network_of_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(geo(spark, sf_dir))
 
 
+def order_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A multigraph per order: an edge per line between its part's and its supplier's number
+    modulo 5."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("mid"), "l_linenumber").agg((F.min("l_partkey") % 5).cast("int").alias("u"), (F.min("l_suppkey") % 5).cast("int").alias("w"))
+    return lines.select("mid", F.col("l_linenumber").alias("e"), "u", "w", F.col("l_linenumber").alias("element"))
+
+
+GRAPH_SQL = """SELECT l_orderkey AS mid, l_linenumber AS e, CAST(min(l_partkey) % 5 AS INTEGER) AS u, CAST(min(l_suppkey) % 5 AS INTEGER) AS w, l_linenumber AS element
+  FROM lineitem GROUP BY l_orderkey, l_linenumber"""
+
+
+@query(f"SELECT mid, e, CASE u WHEN 4 THEN 0 ELSE u END AS u, CASE w WHEN 4 THEN 0 ELSE w END AS w, element FROM ({GRAPH_SQL})")
+def graph_merge_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = order_graphs(spark, sf_dir)
+    return multigraphs.merge_nodes(edges, edges.select("mid").distinct().select("mid", F.lit(4).alias("old"), F.lit(0).alias("new")))
+
+
+@query(f"SELECT mid, e, u, w, element FROM ({GRAPH_SQL}) WHERE u <> 2 AND w <> 2")
+def graph_delete_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = order_graphs(spark, sf_dir)
+    return multigraphs.delete_nodes(edges, edges.select("mid").distinct().withColumn("node", F.lit(2))).select("mid", "e", "u", "w", "element")
+
+
+@query(f"SELECT mid, node, count(*) AS degree FROM (SELECT mid, u AS node FROM ({GRAPH_SQL}) UNION ALL SELECT mid, w FROM ({GRAPH_SQL})) GROUP BY mid, node")
+def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multigraphs.node_degrees(order_graphs(spark, sf_dir))
+
+
 @query(f"SELECT mid, r, c, v FROM ({SIGN_SQL})")
 def dense_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(text.read_dense(text.dense_text(part_sign(spark, sf_dir)))[0])

@@ -3,7 +3,7 @@ from itertools import combinations
 
 import pytest
 
-from matrixloom.functions import exact, graphs, recognise, structure, sums, tu
+from matrixloom.functions import exact, graphs, recognise, separations, structure, sums, tu
 from tests import fixtures as X
 
 
@@ -147,7 +147,7 @@ def test_sums():
     one, two, row = sums.two_sum_parts(X.TWO_BY_COLUMN, [0, 1, 2, 3, 4], [0, 1, 2, 3])
     assert not row and sums.two_sum(one, two, len(one[0]) - 1, 0, row) == X.TWO_BY_COLUMN
     assert sums.one_sum([[[1, 2]], [[3]], [[], []]]) == [[1, 2, 0], [0, 0, 3], [0, 0, 0], [0, 0, 0]]
-    assert sums.path_sum(X.CAMION_4, [0, 1, 2, 3], [0, 1, 2, 3], [-1], [4]) == 3
+    assert sums.path_sum(X.CAMION_4, [0, 1, 2, 3], [0, 1, 2, 3], [-1], [4]) == (3, -1, 4)
 
 
 def test_determinants():
@@ -159,3 +159,32 @@ def test_determinants():
             product *= d
         full = len(exact.upper_diagonal(a)) == n
         assert abs(exact.determinant(a)) == (abs(product) if full else 0)
+
+
+def test_sums_are_taken_apart():
+    first, second = separations.delta_parts(X.DELTA_SUM, [0, 1], [0, 1])
+    assert (first, second) == X.DELTA[0]
+    m = exact.transposed(X.DELTA_SUM)
+    first, second = separations.y_parts(m, [0, 1], [0, 1])
+    assert sums.y_sum(first, second, 2, (2, 3), 0, (0, 1)) == m
+    for _, _, whole in X.THREE:
+        assert sums.three_sum(*separations.three_parts(whole, [0, 1], [0, 1, 2, 3])) == whole
+    with pytest.raises(ValueError, match="INPUT"):
+        separations.delta_parts([[1, 0], [0, 1]], [0], [0])
+
+
+def test_trees_of_3_connected_matrices():
+    root = recognise.decompose(recognise.named("R_12"))
+    assert root.kind == "THREESUM" and {c.kind for c in root.children} == {"GRAPH", "COGRAPH"}
+    rng, kinds = random.Random(5), set()
+    for _ in range(60):
+        a = recognise.named("R_12")
+        for _ in range(rng.randrange(4)):
+            i, j = rng.choice([(i, j) for i in range(6) for j in range(6) if a[i][j]])
+            p = a[i][j]
+            a = [[-p if (r, c) == (i, j) else p * a[r][c] if r == i or c == j else a[r][c] - p * a[r][j] * a[i][c] for c in range(6)] for r in range(6)]
+        if rng.random() < 0.4:
+            a[rng.randrange(6)][rng.randrange(6)] = rng.choice([-1, 0, 1])
+        kinds |= {x[3] for x in recognise.table(recognise.decompose(a))}
+        assert recognise.is_tu(a) == tu.by_partition(a)
+    assert {"DELTASUM", "THREESUM", "IRREGULAR"} <= kinds

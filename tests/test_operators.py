@@ -2,7 +2,7 @@ import pytest
 
 from matrixloom.functions import structure
 from matrixloom.model import Matrices, from_dense, problems, to_dense
-from matrixloom.operators import algebra, blocks, kary, pivots, recognition, sums
+from matrixloom.operators import algebra, blocks, kary, multigraphs, pivots, recognition, sums
 from matrixloom.sources import text
 from pyspark.sql import functions as F
 from tests import fixtures as X
@@ -119,3 +119,25 @@ def test_edge_lists(spark):
     assert text.dot_text(found).first().value.count(" -- ") == 4
     ms = recognition.represented(found)
     assert to_dense(ms)[5] == [[1, 1], [0, 1]]
+
+
+def test_multigraphs(spark):
+    edges = at(spark, [(1, 0, 0, 1, -1), (1, 1, 1, 2, 1), (2, 0, 5, 5, 1)], "mid long, e int, u int, w int, element int")
+    more = multigraphs.add_edges(edges, at(spark, [(1, 2, 0, 2), (3, 0, 1, 1)], "mid long, u int, w int, element int"))
+    assert sorted((r.mid, r.e) for r in more.collect()) == [(1, 0), (1, 1), (1, 2), (2, 0), (3, 0)]
+    assert multigraphs.delete_edges(more, at(spark, [(1, 2), (3, 0)], "mid long, e int")).count() == 3
+    assert [r.e for r in multigraphs.delete_nodes(edges, at(spark, [(1, 0), (2, 5)], "mid long, node int")).collect()] == [1]
+    merged = multigraphs.merge_nodes(edges, at(spark, [(1, 0, 1)], "mid long, old int, new int"))
+    assert sorted((r.u, r.w) for r in merged.collect()) == [(1, 1), (1, 2), (5, 5)]
+    assert {(r.mid, r.node): r.degree for r in multigraphs.node_degrees(merged).collect()} == {(1, 1): 3, (1, 2): 1, (2, 5): 2}
+    assert multigraphs.nodes_of(edges).count() == 4 and multigraphs.problems(edges).count() == 0
+    assert multigraphs.problems(edges.unionByName(edges)).count() == 2
+
+
+def test_series_parallel_violators(spark):
+    ms = from_dense(spark, {1: X.SP_NOT, 2: X.SP_TERNARY, 3: X.FANO})
+    found = {r.mid: (r.rows, r.cols) for r in recognition.sp_violators(ms).collect()}
+    assert set(found) == {1, 3}
+    for mid, (rows, cols) in found.items():
+        a = [[(X.SP_NOT if mid == 1 else X.FANO)[i][j] for j in cols] for i in rows]
+        assert structure.sp_reductions(a) == ([], list(range(len(a))), list(range(len(a[0]))))
