@@ -449,6 +449,16 @@ def series_parallel_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.series_parallel(part_binary(spark, sf_dir), ternary=False)
 
 
+@query()
+def series_parallel_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.reductions_text(recognition.series_parallel(part_sign(spark, sf_dir)))
+
+
+@query()
+def ctu_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.complements_text(recognition.ctu_test(part_binary(spark, sf_dir)).where("NOT is_ctu"))
+
+
 @query()
 def series_parallel_violators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.sp_violators(part_sign(spark, sf_dir))

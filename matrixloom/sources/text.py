@@ -141,6 +141,24 @@ def tree_text(nodes: DataFrame) -> DataFrame:
     return x.select("mid", F.array_join(F.col("x.line"), "\n").alias("value"))
 
 
+def reductions_text(reduced: DataFrame) -> DataFrame:
+    """``mid, value`` of series-parallel ``reductions``: their number, then a line each."""
+
+    def said(x):
+        element, mate = element_word(x.element), element_word(x.mate)
+        kind = F.when(x.mate == 0, F.lit("zero")).when((x.element < 0) == (x.mate < 0), F.concat(F.lit("copy of "), mate)).otherwise(F.concat(F.lit("unit at "), mate))
+        return F.concat(element, F.lit(": "), kind)
+
+    return reduced.select("mid", F.concat_ws("\n", F.size("reductions").cast("string"), F.array_join(F.transform("reductions", said), "\n")).alias("value"))
+
+
+def complements_text(found: DataFrame) -> DataFrame:
+    """``mid, value``: the complements of ``found(mid, row, col)`` in words, counted from 1."""
+    row = F.when(F.col("row").isNotNull(), F.concat(F.lit("complement row "), (F.col("row") + 1).cast("string")))
+    col = F.when(F.col("col").isNotNull(), F.concat(F.lit("complement column "), (F.col("col") + 1).cast("string")))
+    return found.select("mid", F.concat_ws("\n", row, col).alias("value"))
+
+
 def write(texts: DataFrame, path: str) -> None:
     """One file per matrix, ``path/mid=<mid>/part-*``."""
     texts.select("mid", F.regexp_replace("value", "\n$", "").alias("value")).write.partitionBy("mid").text(path)

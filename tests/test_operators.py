@@ -134,6 +134,13 @@ def test_multigraphs(spark):
     assert multigraphs.problems(edges.unionByName(edges)).count() == 2
 
 
+def test_words(spark):
+    ms = from_dense(spark, {1: [[1, 0], [1, 0], [0, 0]]})
+    assert text.reductions_text(recognition.series_parallel(ms)).first().value == "5\nr1: unit at c1\nr2: unit at c1\nr3: zero\nc1: zero\nc2: zero"
+    said = text.complements_text(at(spark, [(1, 0, None), (2, 1, 2)], "mid long, row int, col int")).collect()
+    assert [r.value for r in said] == ["complement row 1", "complement row 2\ncomplement column 3"]
+
+
 def test_series_parallel_violators(spark):
     ms = from_dense(spark, {1: X.SP_NOT, 2: X.SP_TERNARY, 3: X.FANO})
     found = {r.mid: (r.rows, r.cols) for r in recognition.sp_violators(ms).collect()}
