@@ -76,9 +76,11 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lis
     """``id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans``
     of each row; spans: the verified ones, as label, first word, end and share."""
     listed = templates() if listed is None else listed
-    # the only characters that lower() turns into an ASCII letter are taken out of its way
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "İK", "ıĸ") if False else F.coalesce(F.col(text_col), F.lit(""))
-    low = F.lower(F.replace(F.replace(text, F.lit("İ"), F.lit("ı")), F.lit("K"), F.lit("ĸ")))
+    # two characters that lower() would turn into ASCII letters are taken out of its way
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    for capital, plain in (("\u0130", "\u0131"), ("\u212a", "\u0138")):
+        text = F.replace(text, F.lit(capital), F.lit(plain))
+    low = F.lower(text)
     words = F.filter(F.split(low, GAPS), lambda w: w != "")
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), words.alias("w")).withColumn("n", F.size("w"))
 

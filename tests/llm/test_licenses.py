@@ -16,7 +16,7 @@ def brute(text):
 
 def texts():
     rng = random.Random(4)
-    out = [None, "", "...", "MIT", "mit license", "The MIT-License; cc/by CC BY-NC", "gnu general public", "GNU General  Public\nLicense " * 3, "mıt license", "MİT license", "licenSe MIT Kelvin", "é mit licensé", "cc by " * 5000]
+    out = [None, "", "...", "MIT", "mit license", "The MIT-License; cc/by CC BY-NC", "gnu general public", "GNU General  Public\nLicense " * 3, "mıt license", "MİT license", "licenSe MIT Kelvin \u212am\u0130t license cc by", "é mit licensé", "cc by " * 5000]
     bits = [p for _, p in licenses.PHRASES] + ["gnu", "license", "cc", "by", "the", "MIT", "public"]
     return out + [" ".join(rng.choice(bits) for _ in range(rng.randrange(1, 12))) for _ in range(60)]
 

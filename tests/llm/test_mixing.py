@@ -8,7 +8,6 @@ import duckdb
 import pyarrow as pa
 
 from matrixloom.llm import common, mixing
-from pyspark.sql import functions as F
 
 
 def fill(budget, caps, weights):
