@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,7 +90,8 @@ def judged(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col
     said = F.concat("host", "path")
     tokens = places.select("host", "path", F.explode(F.array_distinct(F.split(F.lower(said), "[^a-z0-9]+"))).alias("token")).where("token <> ''")
 
-    listed = spark.createDataFrame([(i, t) for i, r in enumerate(rules) for t in r.tokens], "rule_no int, token string")
+    pairs = [(i, t) for i, r in enumerate(rules) for t in r.tokens]
+    listed = common.local_table(spark, {"rule_no": (pa.int32(), [i for i, _ in pairs]), "token": (pa.string(), [t for _, t in pairs])})
     small = sum(len(r.regex) + len(r.text) for r in rules) <= BROADCAST_BYTES
     sent = F.broadcast if small else lambda df: df
     counts = tokens.join(sent(listed.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("urls"))
@@ -99,7 +101,10 @@ def judged(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col
         .agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "token")).alias("at"))
         .select("rule_no", "at.token")
     )
-    known = spark.createDataFrame([(i, r.text, r.action, r.site, r.regex) for i, r in enumerate(rules)], "rule_no int, text string, action string, site boolean, regex string")
+    known = common.local_table(
+        spark,
+        {"rule_no": (pa.int32(), list(range(len(rules))))} | {k: (pa.string(), [getattr(r, k) for r in rules]) for k in ("text", "action", "regex")} | {"site": (pa.bool_(), [r.site for r in rules])},
+    )
     index = sent(known.join(rarest, "rule_no"))
 
     subject = F.when(F.col("site"), said).otherwise(F.lower(said))
