@@ -26,8 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/matrixloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/matrixloom/{tag}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder; results that
+    have not been consumed or saved yet read from there."""
+    delete(spark, own_dir(spark))
 
 
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:

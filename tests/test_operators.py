@@ -148,3 +148,28 @@ def test_series_parallel_violators(spark):
     for mid, (rows, cols) in found.items():
         a = [[(X.SP_NOT if mid == 1 else X.FANO)[i][j] for j in cols] for i in rows]
         assert structure.sp_reductions(a) == ([], list(range(len(a))), list(range(len(a[0]))))
+
+
+def test_components_and_cleaning(spark):
+    import random
+
+    from matrixloom import storage
+
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = {r.node: r.root for r in storage.components(at(spark, edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}
+    assert storage.components(at(spark, [], "a long, b long")).count() == 0
+    assert storage.exists(spark, storage.own_dir(spark))
+    storage.clean(spark)
+    assert not storage.exists(spark, storage.own_dir(spark))
