@@ -45,6 +45,7 @@ WINDOW = 32
 _PIECE = 1 << 20
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
 _BUFFER = 64 << 20
+_UNKNOWN = 1 << 50
 
 
 def byte_symbols() -> dict[str, int]:
@@ -310,6 +311,8 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     if parts is None:
         estimate = int(str(slim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if estimate > _UNKNOWN:  # the rows don't come straight from files, so they are measured
+            estimate = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 16, 2 * estimate // (part_mb << 20)))
     kind = slim.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type

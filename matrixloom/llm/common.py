@@ -1,104 +1,50 @@
-"""Shared storage, table reading and connected components for this subpackage."""
+"""Table reading and stable row places for this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
+import gc
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import components, delete, exists, new_path, shared_dir, written
+
+__all__ = ["components", "delete", "exists", "filed", "give_back", "local_table", "located", "new_path", "shared_dir", "table", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back(spark: SparkSession) -> None:
+    """Let the driver drop what it no longer needs (in the JVM also shuffle files and
+    broadcasts that nothing refers to) and return memory to the system, where libc can."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def local_table(spark: SparkSession, columns: dict[str, tuple[pa.DataType, list]]) -> DataFrame:
     """A small table from lists in the driver, as a local relation of known size."""
     return spark.createDataFrame(pa.table({k: pa.array(v, t) for k, (t, v) in columns.items()}))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a temporary folder
-    of this machine is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        found = "file://" + tempfile.mkdtemp(prefix="matrixloom-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/matrixloom/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it again: a cut of its lineage
-    that any executor can read after another one is lost."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def located(df: DataFrame, columns: list[str], tag: str) -> DataFrame:
-    """``columns`` of ``df`` and ``_at``, the file of each row and its place there,
-    which stays the same however often the rows are read.  Rows that don't come
-    straight from files are written to the shared folder first."""
+def filed(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` itself if its rows come straight from files, else a copy in the shared
+    folder: either way rows have a lasting place in ``_metadata``."""
     try:
         df.select("_metadata.row_index")
+        return df
     except AnalysisException:
-        df, _ = written(df.select(*columns), tag)
-    return df.select(*columns, F.struct("_metadata.file_path", "_metadata.row_index").alias("_at"))
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+        return written(df, tag)[0]
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
-    """Connected components of ``edges(a, b)`` as ``(node, root)``, root the least
-    node of its component; both columns of one orderable type.
-
-    Alternating large-star and small-star steps: each writes the edges to the
-    shared folder, so a lost executor costs one step.  Each step groups by node
-    with a partial minimum before the shuffle and joins that minimum back, so
-    that no node's list of neighbours is ever gathered in one place.  Ends when
-    a step changes nothing; the number of steps is logarithmic in the size.
-    """
-    spark = edges.sparkSession
-    current, path = written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag
-    )
-    if current.isEmpty():
-        return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    seen = None
-    while True:
-        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        nxt = small.unionByName(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
-        nxt, nxt_path = written(nxt, tag)
-        mark = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        delete(spark, path)
-        current, path = nxt, nxt_path
-        if mark == seen:
-            return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = mark
+def located(df: DataFrame, columns: list[str], tag: str) -> DataFrame:
+    """``columns`` of ``df`` and ``_at``, the file of each row and its place there,
+    which stays the same however often the rows are read (see :func:`filed`)."""
+    return filed(df, tag).select(*columns, F.struct("_metadata.file_path", "_metadata.row_index").alias("_at"))

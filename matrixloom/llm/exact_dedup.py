@@ -127,8 +127,8 @@ def judge(docs: DataFrame, digest=sha256, id_col: str = "doc_id", text_col: str
 
 
 def deduped(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of ``docs`` (read from Parquet files) that stay, whole and with all
-    their columns."""
+    """The rows of ``docs`` that stay, whole and with all their columns."""
+    docs = common.filed(docs, "dedup-docs")
     stay = judge(docs, **kw).where("kept").select(F.col("locator").alias("_stay"))
     rows = docs.withColumn("_at", F.struct("_metadata.file_path", "_metadata.row_index"))
     return rows.join(stay, F.col("_at") == F.col("_stay"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
