@@ -75,7 +75,7 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.bits = max(4, int(2 * len(keys)).bit_length())
         self.table = np.full(1 << self.bits, -1, dtype=np.int32)
         left, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
         while len(left):
@@ -125,8 +125,8 @@ class Level:
             kinds = np.bincount(at, minlength=len(contexts))
             share = np.zeros(len(grams))
             share[np.searchsorted(grams, gram)] = (count - cut) / total[at]
-            self.share.append(share)
-            self.left.append(np.where(kinds > 0, cut * kinds / np.maximum(total, 1), 1.0))
+            self.share.append(share.astype(np.float32))
+            self.left.append(np.where(kinds > 0, cut * kinds / np.maximum(total, 1), 1.0).astype(np.float32))
 
     def step(self, gram: np.ndarray, context: np.ndarray, lower: list[np.ndarray]) -> list[np.ndarray]:
         g, known = self.grams.find(gram)
@@ -134,17 +134,24 @@ class Level:
         return [np.where(known, s[g], 0.0) + np.where(seen, b[c], 1.0) * p for s, b, p in zip(self.share, self.left, lower)]
 
 
-def hashed(words: list[str]) -> np.ndarray:
+def pieces(words):
+    """A list or Arrow array of words as lists, with their places."""
+    for i in range(0, len(words), _RATED):
+        part = words[i : i + _RATED]
+        yield slice(i, i + _RATED), part if isinstance(part, list) else part.to_pylist()
+
+
+def hashed(words) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    return np.fromiter((xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
+    return np.fromiter((xxh64_intdigest(w) for _, part in pieces(words) for w in part), dtype=np.uint64, count=len(words))
 
 
 class Model:
     """Log ratios of words from ``words`` (their continuation counts in the toxic and
     ordinary class) and ``pairs`` (shared counts of two characters in a row)."""
 
-    def __init__(self, words: list[str], toxic: np.ndarray, ordinary: np.ndarray, pairs: np.ndarray):
+    def __init__(self, words, toxic: np.ndarray, ordinary: np.ndarray, pairs: np.ndarray):
         self.curve, self.name = (4.0, 1.0), uuid.uuid4().hex
         self.classes = bool(toxic.any() and ordinary.any())
         if not self.classes:
@@ -156,7 +163,7 @@ class Model:
         u1, n1 = np.unique(g1, return_counts=True)
         self.shared = [Level([(u1, np.zeros(len(u1), dtype=np.uint64), n1.astype(float))]), Level([(g2, gram(first, 1), n.astype(float))])]
         self.own = []
-        spelled = [self._spelling([w for w, c in zip(words, counts) if c]) for counts in (toxic, ordinary)]
+        spelled = [self._spelling(words, counts) for counts in (toxic, ordinary)]
         for k in range(SHARED, ORDER):
             self.own.append(Level([s[k] for s in spelled]))
         order = np.argsort(h := hashed(words))
@@ -169,21 +176,28 @@ class Model:
             self.left.append(cut * len(some) / total)
 
     @staticmethod
-    def _spelling(words: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def _spelling(words, counts: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each order its grams, their contexts and how many different longer
         grams end in them (of the longest: how many words have them)."""
-        x = codes(words)
-        at = np.flatnonzero(x > 0)
-        out, longer = [], None
+        blocks = []
+        for at, part in pieces(words):
+            if counts is not None:
+                part = [w for w, c in zip(part, counts[at]) if c]
+            if not part:
+                continue
+            x = codes(part)
+            g, at = [gram(x, k) for k in range(ORDER + 1)], np.flatnonzero(x > 0)
+            _, first, n = np.unique(g[ORDER][at], return_index=True, return_counts=True)
+            at = at[first]
+            blocks.append(np.stack([*(h[at] for h in g), *(h[at - 1] for h in g[:-1]), n.astype(np.uint64)]))
+        # of each different longest gram: its endings of 0..ORDER characters, the contexts of those of 1.., its count
+        rows = np.concatenate(blocks, axis=1) if blocks else np.zeros((2 * ORDER + 2, 0), dtype=np.uint64)
+        out = []
         for k in range(ORDER, 0, -1):
-            h = gram(x, k)[at]
-            if k == ORDER:
-                u, first, n = np.unique(h, return_index=True, return_counts=True)
-            else:
-                u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-                n = np.bincount(_distinct(inverse, longer), minlength=len(u))
-            out.append((u, gram(x, k - 1)[at[first] - 1], n.astype(float)))
-            longer = h
+            u, first, inverse = np.unique(rows[k], return_index=True, return_inverse=True)
+            n = np.bincount(inverse, rows[-1] if k == ORDER else None, minlength=len(u))
+            out.append((u, rows[ORDER + k][first], n.astype(float)))
+            rows = rows[:, first]
         return out[::-1]
 
     def ratios(self, words: list[str]) -> np.ndarray:
@@ -221,15 +235,6 @@ class Model:
         return 1.0 / (1.0 + np.exp(np.clip(-slope * (evidence - middle), -60, 60)))
 
 
-def _distinct(group: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    """The group of each different pair of group and gram."""
-    order = np.lexsort((gram, group))
-    group, gram = group[order], gram[order]
-    new = np.ones(len(group), dtype=bool)
-    new[1:] = (group[1:] != group[:-1]) | (gram[1:] != gram[:-1])
-    return group[new]
-
-
 def curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     """Slope and middle: the middle where F1 is best, halfway to the next lower row;
     the slope such that rows around it are not cut off sharply."""
@@ -315,19 +320,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, id_col: str
         .agg(F.sum(F.col("label")).cast("double").alias("toxic"), F.sum(1 - F.col("label")).cast("double").alias("ordinary"))
         .toArrow()
     )
-    model = Model(
-        found_words.column(0).to_pylist(),
-        found_words.column(1).to_numpy(),
-        found_words.column(2).to_numpy(),
-        pairs.orderBy("a", "b").toPandas().to_numpy(dtype=np.int64),
-    )
+    shared = np.stack([c.to_numpy().astype(np.int64) for c in pairs.orderBy("a", "b").toArrow().columns], axis=1)
+    model = Model(found_words.column(0), found_words.column(1).to_numpy(), found_words.column(2).to_numpy(), shared)
     del found_words
     common.delete(docs.sparkSession, counted_path)
+    common.give_back(docs.sparkSession)
     if model.classes:
         seen = slim.join(sample.where("check"), "id").select("text", "label")
-        checked = seen.mapInArrow(_evidence(docs.sparkSession, model, pa.int32()), "key int, evidence double").toPandas()
-        model.curve = curve(checked.evidence.to_numpy(), checked.key.to_numpy() == 1)
+        checked = seen.mapInArrow(_evidence(docs.sparkSession, model, pa.int32()), "key int, evidence double").toArrow()
+        model.curve = curve(checked.column(1).to_numpy(), checked.column(0).to_numpy() == 1)
     common.delete(docs.sparkSession, path)
+    common.give_back(docs.sparkSession)
     return model
 
 
