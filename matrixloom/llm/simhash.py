@@ -150,7 +150,7 @@ def mask_choices(longs: int, bits: int, choices: int, seed: int = 7) -> list[lis
     out = []
     for _ in range(choices):
         starts = rng.choice(size // 3, -(-bits // 3), replace=False) * 3
-        chosen = {int(s) + i for s in starts for i in range(3)}
+        chosen = [int(s) + i for s in starts for i in range(3)][:bits]
         out.append([sum(1 << (b % 64) for b in chosen if b // 64 == w) for w in range(longs)])
     return out
 
@@ -162,9 +162,10 @@ def similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 4
     Shingle sets of Jaccard similarity j have a cosine of about 2j / (1 + j) and so
     differ in the angle's share of their ``64 * longs`` bits; classes link up to
     that distance.  Each class is filed under ``choices`` seeded choices of blocks,
-    of more bits the more classes there are.  Of each key the least class is
-    compared with all others; those that aren't within the distance go on among
-    themselves until none is left, so no key costs all its pairs.
+    of more bits the more classes there are.  Of each key one class is compared with
+    all others; those that aren't within the distance go on among themselves, from
+    the fourth round with twice as many classes to compare with in each, until none is left.  A key
+    of many similar classes thus costs little more than their number.
 
     ``locator``: columns that name a row; they come back as the struct ``at``.
     """
@@ -184,34 +185,48 @@ def similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 4
     classes = rows.groupBy(*fps).agg(F.count("*").alias("copies"))
     classes, _ = common.written(classes.select(F.monotonically_increasing_id().alias("cls"), *fps), "similar-classes")
     bits = max(12, math.ceil(math.log2(max(2, classes.count()))) + 3)
-    keys = [F.xxhash64(F.lit(i), *[F.col(f).bitwiseAND(F.lit(signed(m))) for f, m in zip(fps, masks)]) for i, masks in enumerate(mask_choices(longs, bits, choices))]
-    keyed = classes.select("cls", F.explode(F.array(*keys)).alias("key"))
+    masks = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(signed(m)).alias(f) for f, m in zip(fps, choice)]) for i, choice in enumerate(mask_choices(longs, bits, choices))])
+    filed = classes.select("cls", *fps, F.explode(masks).alias("mask"))
+    keyed = filed.select("cls", F.xxhash64("mask.i", *[F.col(f).bitwiseAND(F.col(f"mask.{f}")) for f in fps]).alias("key"))
     left, right = (classes.select(F.col("cls").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in fps]) for c in ("a", "b"))
     differ = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in fps[1:]), F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))))
-    edges, path = [], None
+    none = classes.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
+    keyed, edges, path, turn = keyed.withColumn("root", F.col("cls")), [], None, 0
     while True:
-        low = keyed.groupBy("key").agg(F.min("cls").alias("b"), F.count("*").alias("size")).where("size > 1")
-        met = keyed.join(low, "key").where("cls <> b").select("key", F.col("cls").alias("a"), "b")
-        met, met_path = common.written(met, "similar-met")
+        # the first rounds take what is similar to one class; then they get wider, and
+        # classes that links join already aren't compared any more
+        heads = 1 << max(0, turn - 2)
+        if turn == 3:
+            joined = common.components(reduce(DataFrame.unionByName, edges), "similar-part").withColumnRenamed("root", "_root")
+            keyed = keyed.join(joined, F.col("cls") == F.col("node"), "left").select("cls", "key", F.coalesce("_root", "cls").alias("root"))
+        slot = F.pmod(F.xxhash64("cls"), F.lit(heads))
+        several = keyed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+        current, current_path = common.written(keyed.join(several, "key").select("cls", "key", "root"), "similar-keyed")
         if path:
             common.delete(docs.sparkSession, path)
-        path = met_path
-        if met.isEmpty():
+        path, turn = current_path, turn + 1
+        common.give_back(docs.sparkSession)
+        if current.isEmpty():
             break
-        pairs = met.select("a", "b").distinct().join(left, "a").join(right, "b")
-        near, _ = common.written(pairs.where(differ <= most).select("a", "b"), "similar-near")
+        head = current.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("cls", "root")).alias("h")).select(F.col("key").alias("k"), F.col("h.cls").alias("b"), F.col("h.root").alias("b_root"))
+        met = current.join(head, (F.col("key") == F.col("k")) & (F.col("root") != F.col("b_root"))).select("key", F.col("cls").alias("a"), "b")
+        apart = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        near, _ = common.written(apart.join(left, "a").join(right, "b").where(differ <= most).select("a", "b"), "similar-near")
         edges.append(near)
-        keyed = met.join(near, ["a", "b"], "left_anti").select("key", F.col("a").alias("cls"))
-    links_found = reduce(DataFrame.unionByName, edges) if edges else classes.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
+        both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        done = met.join(both, ["a", "b"], "left_semi").select("key", F.col("a").alias("cls")).unionByName(head.select(F.col("k").alias("key"), F.col("b").alias("cls"))).distinct()
+        keyed = current.join(done, ["key", "cls"], "left_anti").select("cls", "key", "root")
+    links_found = reduce(DataFrame.unionByName, edges, none)
     roots = common.components(links_found, "similar-cc")
     named = classes.join(roots, F.col("cls") == F.col("node"), "left").select(*fps, F.coalesce("root", "cls").alias("root"))
     return rows.join(common.written(named, "similar-named")[0], fps).select("at", "root")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The rows of ``docs`` (read from Parquet files) without near-duplicates, whole:
-    of each group of :func:`similar` the row with the least identifier stays (of
-    equal ones the first in the files)."""
+    """The rows of ``docs`` without near-duplicates, whole: of each group of
+    :func:`similar` the row with the least identifier stays, nulls last (of equal
+    ones the first in the files)."""
+    docs = common.filed(docs, "similar-docs")
     groups, _ = common.written(similar(docs, locator=["_metadata.file_path", "_metadata.row_index", F.col(id_col).alias("id")], **kw), "similar-groups")
     first = F.min(F.struct(F.col("at.id").isNull(), F.col("at.id"), "at.file_path", "at.row_index")).alias("first")
     several = groups.groupBy("root").agg(F.count("*").alias("size"), first).where("size > 1")
