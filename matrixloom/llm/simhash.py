@@ -31,7 +31,6 @@ a number of seeded choices of blocks, and checks the Hamming distance again.
 from __future__ import annotations
 
 import math
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -155,6 +154,47 @@ def mask_choices(longs: int, bits: int, choices: int, seed: int = 7) -> list[lis
     return out
 
 
+def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int) -> DataFrame:
+    """``node, root``: components of the classes that share a key and differ in at most
+    ``most`` bits.
+
+    In each round some heads of a key are compared with all its classes that aren't
+    linked to them yet, and then leave it; whatever is near a head stays and is
+    compared with the rest.  Heads come from the smallest components of the key and
+    grow eightfold in number by round.  A key is done when links join all its
+    classes, so one of many similar classes costs little more than their number; pairs
+    of classes that no links join are compared one by one.
+    """
+    spark = classes.sparkSession
+    left, right = (classes.select(F.col("cls").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in fps]) for c in ("a", "b"))
+    differ = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in fps[1:]), F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))))
+    roots = classes.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0)
+    path, turn = None, 0
+    while True:
+        heads = 1 if not turn else 4 * 8 ** (turn - 1)
+        rooted = keyed.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "key", F.coalesce("root", "cls").alias("root"))
+        several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+        current, current_path = common.written(rooted.join(several, "key").select("cls", "key", "root"), "similar-keyed")
+        if path:
+            common.delete(spark, path)
+        path, turn = current_path, turn + 1
+        common.give_back(spark)
+        if current.isEmpty():
+            return roots
+        sized = current
+        if turn > 1:
+            sized = current.join(current.groupBy("key", "root").agg(F.count("*").alias("size")), ["key", "root"])
+        slot = F.pmod(F.xxhash64("cls"), F.lit(heads))
+        least = F.min(F.struct(*(["size"] if turn > 1 else []), "cls", "root")).alias("h")
+        head = sized.groupBy("key", slot.alias("slot")).agg(least).select(F.col("key").alias("k"), F.col("h.cls").alias("b"), F.col("h.root").alias("b_root"))
+        met = current.join(head, (F.col("key") == F.col("k")) & (F.col("root") != F.col("b_root"))).select(F.col("cls").alias("a"), "b")
+        apart = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        near, _ = common.written(apart.join(left, "a").join(right, "b").where(differ <= most).select("a", "b"), "similar-near")
+        keyed = current.join(head.select(F.col("k").alias("key"), F.col("b").alias("cls")), ["key", "cls"], "left_anti").select("cls", "key")
+        if not near.isEmpty():
+            roots = common.components(near.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "similar-cc")
+
+
 def similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 4, choices: int = 96, text_col: str = "text", locator=None) -> DataFrame:
     """``at, root`` of each row: groups of rows whose fingerprints of ``n``-word
     shingles tell of a Jaccard similarity of ``similarity`` or more.
@@ -162,10 +202,7 @@ def similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 4
     Shingle sets of Jaccard similarity j have a cosine of about 2j / (1 + j) and so
     differ in the angle's share of their ``64 * longs`` bits; classes link up to
     that distance.  Each class is filed under ``choices`` seeded choices of blocks,
-    of more bits the more classes there are.  Of each key one class is compared with
-    all others; those that aren't within the distance go on among themselves, from
-    the fourth round with twice as many classes to compare with in each, until none is left.  A key
-    of many similar classes thus costs little more than their number.
+    of more bits the more classes there are; :func:`met_links` compares what meets.
 
     ``locator``: columns that name a row; they come back as the struct ``at``.
     """
@@ -188,36 +225,7 @@ def similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 4
     masks = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(signed(m)).alias(f) for f, m in zip(fps, choice)]) for i, choice in enumerate(mask_choices(longs, bits, choices))])
     filed = classes.select("cls", *fps, F.explode(masks).alias("mask"))
     keyed = filed.select("cls", F.xxhash64("mask.i", *[F.col(f).bitwiseAND(F.col(f"mask.{f}")) for f in fps]).alias("key"))
-    left, right = (classes.select(F.col("cls").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in fps]) for c in ("a", "b"))
-    differ = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in fps[1:]), F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))))
-    none = classes.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
-    keyed, edges, path, turn = keyed.withColumn("root", F.col("cls")), [], None, 0
-    while True:
-        # the first rounds take what is similar to one class; then they get wider, and
-        # classes that links join already aren't compared any more
-        heads = 1 << max(0, turn - 2)
-        if turn == 3:
-            joined = common.components(reduce(DataFrame.unionByName, edges), "similar-part").withColumnRenamed("root", "_root")
-            keyed = keyed.join(joined, F.col("cls") == F.col("node"), "left").select("cls", "key", F.coalesce("_root", "cls").alias("root"))
-        slot = F.pmod(F.xxhash64("cls"), F.lit(heads))
-        several = keyed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-        current, current_path = common.written(keyed.join(several, "key").select("cls", "key", "root"), "similar-keyed")
-        if path:
-            common.delete(docs.sparkSession, path)
-        path, turn = current_path, turn + 1
-        common.give_back(docs.sparkSession)
-        if current.isEmpty():
-            break
-        head = current.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("cls", "root")).alias("h")).select(F.col("key").alias("k"), F.col("h.cls").alias("b"), F.col("h.root").alias("b_root"))
-        met = current.join(head, (F.col("key") == F.col("k")) & (F.col("root") != F.col("b_root"))).select("key", F.col("cls").alias("a"), "b")
-        apart = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        near, _ = common.written(apart.join(left, "a").join(right, "b").where(differ <= most).select("a", "b"), "similar-near")
-        edges.append(near)
-        both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        done = met.join(both, ["a", "b"], "left_semi").select("key", F.col("a").alias("cls")).unionByName(head.select(F.col("k").alias("key"), F.col("b").alias("cls"))).distinct()
-        keyed = current.join(done, ["key", "cls"], "left_anti").select("cls", "key", "root")
-    links_found = reduce(DataFrame.unionByName, edges, none)
-    roots = common.components(links_found, "similar-cc")
+    roots = met_links(classes, keyed, fps, most)
     named = classes.join(roots, F.col("cls") == F.col("node"), "left").select(*fps, F.coalesce("root", "cls").alias("root"))
     return rows.join(common.written(named, "similar-named")[0], fps).select("at", "root")
 

@@ -107,3 +107,20 @@ def test_near_copies_go_and_others_stay(spark, tmp_path):
         first.setdefault(g, i)
     assert stay == set(first.values()) | {len(rows) - 3, len(rows) - 1}
     assert simhash.one_of_each(spark.read.schema(docs.schema).parquet(str(tmp_path / "d")).where("doc_id < 0")).count() == 0
+
+
+def test_stars_whose_middle_is_not_the_least_class(spark):
+    rng, fps = random.Random(3), [f"f{i}" for i in range(4)]
+    flipped = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(256), k))
+    found = []
+    for _ in range(40):
+        base = rng.getrandbits(256)
+        found += [*(flipped(base, 30) for _ in range(6)), base]
+    rows = [(c, *(x >> 64 * w & (1 << 64) - 1 for w in range(4))) for c, x in enumerate(found)]
+    frame = pd.DataFrame(np.array(rows, dtype=np.uint64).view(np.int64), columns=["cls", *fps])
+    classes = spark.createDataFrame(frame)
+    # one key for all and one for each family
+    keyed = classes.select("cls", F.explode(F.array(F.lit(-1).cast("long"), F.floor(F.col("cls") / 7))).alias("key"))
+    for some in (keyed, keyed.where("key < 0"), keyed.where("key >= 0")):
+        roots = {r.node: r.root for r in simhash.met_links(classes, some, fps, 38).collect()}
+        assert {(c, roots.get(c, c)) for c in range(len(found))} == brute_components(list(enumerate(found)), 38)
