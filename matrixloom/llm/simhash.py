@@ -154,6 +154,17 @@ def mask_choices(longs: int, bits: int, choices: int, seed: int = 7) -> list[lis
     return out
 
 
+def key_choices(share: float, longs: int, bits: int, least: int, chance: float) -> int:
+    """How many choices of ``bits`` bits (``least`` or more) let two fingerprints, each bit
+    of which differs with probability ``share``, agree on one with probability ``chance``."""
+    size = 64 * longs
+    alike = np.array([math.prod((size - d - i) / (size - i) for i in range(bits)) for d in range(size - bits + 1)])
+    weights = np.array([math.comb(size, d) * share**d * (1 - share) ** (size - d) for d in range(size - bits + 1)])
+    while float((weights * (1 - (1 - alike) ** least)).sum()) < chance:
+        least += 8
+    return least
+
+
 def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int) -> DataFrame:
     """``node, root``: components of the classes that share a key and differ in at most
     ``most`` bits.
@@ -195,18 +206,21 @@ def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int) -
             roots = common.components(near.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "similar-cc")
 
 
-def similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 4, choices: int = 96, text_col: str = "text", locator=None) -> DataFrame:
+def similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 4, choices: int = 96, chance: float = 0.95, text_col: str = "text", locator=None) -> DataFrame:
     """``at, root`` of each row: groups of rows whose fingerprints of ``n``-word
     shingles tell of a Jaccard similarity of ``similarity`` or more.
 
     Shingle sets of Jaccard similarity j have a cosine of about 2j / (1 + j) and so
     differ in the angle's share of their ``64 * longs`` bits; classes link up to
-    that distance.  Each class is filed under ``choices`` seeded choices of blocks,
-    of more bits the more classes there are; :func:`met_links` compares what meets.
+    that distance.  Each class is filed under ``choices`` or more seeded choices of
+    blocks, of more bits the more classes there are, and as many as let fingerprints
+    of just that similarity meet with probability ``chance`` at any number of
+    classes; :func:`met_links` compares what meets.
 
     ``locator``: columns that name a row; they come back as the struct ``at``.
     """
-    most = int(64 * longs * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = int(64 * longs * share)
     fps = [f"f{i}" for i in range(longs)]
     slim = docs.select(F.struct(*locator).alias("at"), F.col(text_col).cast("binary").alias("text"))
 
@@ -222,7 +236,8 @@ def similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 4
     classes = rows.groupBy(*fps).agg(F.count("*").alias("copies"))
     classes, _ = common.written(classes.select(F.monotonically_increasing_id().alias("cls"), *fps), "similar-classes")
     bits = max(12, math.ceil(math.log2(max(2, classes.count()))) + 3)
-    masks = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(signed(m)).alias(f) for f, m in zip(fps, choice)]) for i, choice in enumerate(mask_choices(longs, bits, choices))])
+    chosen = mask_choices(longs, bits, key_choices(share, longs, bits, choices, chance))
+    masks = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(signed(m)).alias(f) for f, m in zip(fps, choice)]) for i, choice in enumerate(chosen)])
     filed = classes.select("cls", *fps, F.explode(masks).alias("mask"))
     keyed = filed.select("cls", F.xxhash64("mask.i", *[F.col(f).bitwiseAND(F.col(f"mask.{f}")) for f in fps]).alias("key"))
     roots = met_links(classes, keyed, fps, most)

@@ -124,3 +124,14 @@ def test_stars_whose_middle_is_not_the_least_class(spark):
     for some in (keyed, keyed.where("key < 0"), keyed.where("key >= 0")):
         roots = {r.node: r.root for r in simhash.met_links(classes, some, fps, 38).collect()}
         assert {(c, roots.get(c, c)) for c in range(len(found))} == brute_components(list(enumerate(found)), 38)
+
+
+def test_pairs_at_the_similarity_meet_at_any_width():
+    rng, share = np.random.default_rng(4), float(np.arccos(1.6 / 1.8) / np.pi)
+    differ = rng.random((1000, 256)) < share
+    for bits in (12, 20, 26, 30):
+        choices = simhash.mask_choices(4, bits, simhash.key_choices(share, 4, bits, 96, 0.95))
+        met = np.zeros(1000, dtype=bool)
+        for choice in choices:
+            met |= ~differ[:, [b for b in range(256) if choice[b // 64] >> b % 64 & 1]].any(axis=1)
+        assert met.mean() > 0.93, bits
