@@ -24,8 +24,9 @@ read, whatever other columns are called.  The smallest identifier of a component
 names it (null only if all its identifiers are null).
 
 :func:`similar` is for a similarity that differs in too many bits for every
-choice of blocks to be filed: it has longer fingerprints, files each class under
-a number of seeded choices of blocks, and checks the Hamming distance again.
+choice of blocks to be filed: it has longer fingerprints of distinct shingles, files
+each class under a number of seeded choices of blocks, and compares the shingle
+sets of what is near.
 """
 
 from __future__ import annotations
@@ -74,6 +75,25 @@ def fingerprint(text: bytes, n: int = 3, longs: int = 1) -> list[int]:
     return np.packbits(2 * total > count, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
+def sketch(text: bytes, n: int = 5, longs: int = 4) -> tuple[int, list[int], bytes]:
+    """Of the set of a text's shingles, repeats left out: its XXH64, its SimHash and its
+    elements (their XXH64 values as sorted longs)."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    grams = [b" ".join(words)] if 0 < len(words) < n else map(b" ".join, zip(*(words[i:] for i in range(n))))
+    hashes = np.unique(np.fromiter((xxh64_intdigest(g, 42) for g in grams), dtype="<u8"))
+    total = np.zeros((longs, 64), dtype=np.int64)
+    for at in range(0, len(hashes), _PIECE):
+        h = hashes[at : at + _PIECE]
+        for i in range(longs):
+            total[i] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+    bits = np.packbits(2 * total > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+    return xxh64_intdigest(hashes.tobytes(), 42), bits, hashes.tobytes()
+
+
 def fingerprints(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, fp`` (the fingerprint's bits as a signed long) for each row."""
 
@@ -165,9 +185,9 @@ def key_choices(share: float, longs: int, bits: int, least: int, chance: float)
     return least
 
 
-def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int) -> DataFrame:
-    """``node, root``: components of the classes that share a key and differ in at most
-    ``most`` bits.
+def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int, alike=None) -> DataFrame:
+    """``node, root``: components of the classes that share a key, differ in at most
+    ``most`` bits and are among the pairs that ``alike`` (if given) keeps of such ones.
 
     In each round some heads of a key are compared with all its classes that aren't
     linked to them yet, and then leave it; whatever is near a head stays and is
@@ -180,7 +200,7 @@ def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int) -
     left, right = (classes.select(F.col("cls").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in fps]) for c in ("a", "b"))
     differ = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in fps[1:]), F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))))
     roots = classes.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0)
-    path, turn = None, 0
+    path, turn, unlike = None, 0, None
     while True:
         heads = 1 if not turn else 4 * 8 ** (turn - 1)
         rooted = keyed.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "key", F.coalesce("root", "cls").alias("root"))
@@ -201,26 +221,55 @@ def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int) -
         met = current.join(head, (F.col("key") == F.col("k")) & (F.col("root") != F.col("b_root"))).select(F.col("cls").alias("a"), "b")
         apart = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         near, _ = common.written(apart.join(left, "a").join(right, "b").where(differ <= most).select("a", "b"), "similar-near")
+        if alike and not near.isEmpty():
+            fresh = near.join(unlike, ["a", "b"], "left_anti") if unlike is not None else near
+            kept = alike(fresh)
+            left_over = near.join(kept, ["a", "b"], "left_anti")
+            unlike, _ = common.written(left_over.unionByName(unlike).distinct() if unlike is not None else left_over, "similar-unlike")
+            near = kept
         keyed = current.join(head.select(F.col("k").alias("key"), F.col("b").alias("cls")), ["key", "cls"], "left_anti").select("cls", "key")
         if not near.isEmpty():
             roots = common.components(near.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "similar-cc")
 
 
+def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` whose shingle sets (``cls, shingles``) have that Jaccard
+    similarity or more."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (one, two))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    some = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    some, path = common.written(sets.join(some, "cls", "left_semi").dropDuplicates(["cls"]), "similar-sets")
+    one, two = (some.select(F.col("cls").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
+    whole = pairs.join(one, "a").join(two, "b").select("a", "b", "a_set", "b_set")
+    found, _ = common.written(whole.mapInArrow(run, "a long, b long"), "similar-alike")
+    common.delete(pairs.sparkSession, path)
+    return found
+
+
 def similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 4, choices: int = 96, chance: float = 0.95, text_col: str = "text", locator=None) -> DataFrame:
-    """``at, root`` of each row: groups of rows whose fingerprints of ``n``-word
-    shingles tell of a Jaccard similarity of ``similarity`` or more.
+    """``at, root`` of each row: components of rows whose sets of ``n``-word shingles
+    have a Jaccard similarity of ``similarity`` or more.
 
-    Shingle sets of Jaccard similarity j have a cosine of about 2j / (1 + j) and so
-    differ in the angle's share of their ``64 * longs`` bits; classes link up to
-    that distance.  Each class is filed under ``choices`` or more seeded choices of
-    blocks, of more bits the more classes there are, and as many as let fingerprints
-    of just that similarity meet with probability ``chance`` at any number of
-    classes; :func:`met_links` compares what meets.
+    Sets of Jaccard similarity j have a cosine of about 2j / (1 + j) or more, and so
+    differ in the angle's share of their ``64 * longs`` bits on average; what differs in
+    up to four standard deviations more is a candidate, and the sets of candidates
+    are compared.  Rows of one set are one class.  Each class is filed under
+    ``choices`` or more seeded choices of blocks, of more bits the more classes there
+    are, and as many as let fingerprints of just that similarity meet with probability
+    ``chance`` at any number of classes; :func:`met_links` compares what meets.
 
     ``locator``: columns that name a row; they come back as the struct ``at``.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = int(64 * longs * share)
+    most = int(64 * longs * share + 4 * math.sqrt(64 * longs * share * (1 - share)))
     fps = [f"f{i}" for i in range(longs)]
     slim = docs.select(F.struct(*locator).alias("at"), F.col(text_col).cast("binary").alias("text"))
 
@@ -228,21 +277,25 @@ def similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 4
         for batch in batches:
             texts = batch.column(1)
             for i in range(0, batch.num_rows, 500):
-                found = np.array([fingerprint(t or b"", n, longs) for t in texts[i : i + 500].to_pylist()], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 500], *(pa.array(found[:, w]) for w in range(longs))], names=["at", *fps])
-
-    rows = slim.mapInArrow(run, f"at {slim.schema['at'].dataType.simpleString()}, " + ", ".join(f"{f} long" for f in fps))
-    rows, _ = common.written(rows, "similar-rows")
-    classes = rows.groupBy(*fps).agg(F.count("*").alias("copies"))
-    classes, _ = common.written(classes.select(F.monotonically_increasing_id().alias("cls"), *fps), "similar-classes")
+                found = [sketch(t or b"", n, longs) for t in texts[i : i + 500].to_pylist()]
+                words = np.array([(cls, *bits) for cls, bits, _ in found], dtype=np.uint64).view(np.int64)
+                sets = pa.array([x[2] for x in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 500], *(pa.array(c) for c in words.T.copy()), sets], names=["at", "cls", *fps, "shingles"])
+
+    schema = f"at {slim.schema['at'].dataType.simpleString()}, cls long, " + ", ".join(f"{f} long" for f in fps) + ", shingles binary"
+    rows, rows_path = common.written(slim.mapInArrow(run, schema), "similar-rows")
+    classes, _ = common.written(rows.select("cls", *fps).distinct(), "similar-classes")
     bits = max(12, math.ceil(math.log2(max(2, classes.count()))) + 3)
     chosen = mask_choices(longs, bits, key_choices(share, longs, bits, choices, chance))
     masks = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(signed(m)).alias(f) for f, m in zip(fps, choice)]) for i, choice in enumerate(chosen)])
     filed = classes.select("cls", *fps, F.explode(masks).alias("mask"))
     keyed = filed.select("cls", F.xxhash64("mask.i", *[F.col(f).bitwiseAND(F.col(f"mask.{f}")) for f in fps]).alias("key"))
-    roots = met_links(classes, keyed, fps, most)
-    named = classes.join(roots, F.col("cls") == F.col("node"), "left").select(*fps, F.coalesce("root", "cls").alias("root"))
-    return rows.join(common.written(named, "similar-named")[0], fps).select("at", "root")
+    sets = rows.select("cls", "shingles")
+    roots = met_links(classes, keyed, fps, most, lambda pairs: alike_pairs(pairs, sets, similarity))
+    found = rows.select("at", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("at", F.coalesce("root", "cls").alias("root"))
+    found, _ = common.written(found, "similar-found")
+    common.delete(docs.sparkSession, rows_path)
+    return found
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:

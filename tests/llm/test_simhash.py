@@ -135,3 +135,21 @@ def test_pairs_at_the_similarity_meet_at_any_width():
         for choice in choices:
             met |= ~differ[:, [b for b in range(256) if choice[b // 64] >> b % 64 & 1]].any(axis=1)
         assert met.mean() > 0.93, bits
+
+
+def test_unlike_texts_with_a_common_repeated_line_stay(spark):
+    rng = random.Random(12)
+    words = lambda k: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(k))
+    line = words(16)
+    texts = [f"{words(204)} {' '.join([line] * 20)}" for _ in range(8)]
+    copy = words(100)
+    # the last three: 96 shingles, of which 11 of 107 or 21 of 117 differ
+    texts += [copy, f"{copy} {words(11)}", f"{words(10)} {copy} {words(17)}"]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == {root.index(r) for r in set(root)}
