@@ -133,11 +133,12 @@ def complements(ms: Matrices, at: DataFrame) -> Matrices:
 
 
 def ctu_test(ms: Matrices) -> DataFrame:
-    """``mid, is_ctu, row, col``: the first complement that isn't totally unimodular."""
+    """``mid, is_ctu, row, col``: the first complement that isn't totally unimodular;
+    ``is_ctu`` is null if it can't be told."""
 
     def one(mid, a):
-        bad = recognise.ctu_violator(a)
-        return [(mid, bad is None, *(bad or (None, None)))]
+        verdict, bad = recognise.ctu(a)
+        return [(mid, verdict, *(bad or (None, None)))]
 
     return per_matrix(ms, one, "mid long, is_ctu boolean, row int, col int")
 
@@ -260,11 +261,12 @@ def represented(edges: DataFrame, signed: bool = False) -> Matrices:
 
 def equimodular_test(ms: Matrices) -> DataFrame:
     """``mid, k, strong_k, is_unimodular``: the determinant gcd (0: not equimodular), the
-    same if the transpose has it too, and whether k is 1."""
+    same if the transpose has it too, and whether k is 1; null for what can't be told."""
 
     def one(mid, a):
         k = recognise.equimodular(a)
-        return [(mid, str(k), str(recognise.strongly_equimodular(a) if k else 0), k == 1)]
+        strong = recognise.strongly_equimodular(a) if k != 0 else 0
+        return [(mid, None if k is None else str(k), None if strong is None else str(strong), None if k is None else k == 1)]
 
     return per_matrix(ms, one, "mid long, k string, strong_k string, is_unimodular boolean")
 

@@ -188,3 +188,15 @@ def test_trees_of_3_connected_matrices():
         kinds |= {x[3] for x in recognise.table(recognise.decompose(a))}
         assert recognise.is_tu(a) == tu.by_partition(a)
     assert {"DELTASUM", "THREESUM", "IRREGULAR"} <= kinds
+
+
+def test_what_cannot_be_told_is_not_taken_for_no(monkeypatch):
+    told = recognise.is_tu
+    monkeypatch.setattr(recognise, "is_tu", lambda a: told(a) if len(a) <= 2 else None)
+    unit = [[int(i == j) for j in range(4)] for i in range(4)]
+    assert recognise.equimodular(unit) is None and recognise.strongly_equimodular(unit) is None
+    assert recognise.equimodular([[1, 0], [0, 1]]) == 1
+    assert recognise.ctu(X.CTU_YES) == (None, None) and recognise.tu_violator(unit) is None
+    monkeypatch.setattr(recognise, "is_tu", lambda a: told(a) if len(a) != 3 else None)
+    bad = [[1, 1, 0, 0], [1, -1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]
+    assert recognise.tu_violator(bad) in (None, ([0, 1], [0, 1]))
