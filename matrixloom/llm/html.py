@@ -35,6 +35,8 @@ from . import common, pages
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template textarea iframe svg math canvas object audio video noframes noembed xmp".split())
+#: Of these, the elements whose content is no markup: without an end tag they last to the page's end.
+RAW = frozenset("script style textarea iframe noframes noembed xmp".split())
 #: An element's start tag ends these open ones, up to the second list.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -98,7 +100,7 @@ def blocks(page: str) -> list[Block]:
         anchors -= sum(t == "a" for t, _ in stack[to:])
         del stack[to:]
 
-    at = 0
+    at, unended = 0, set()
     while (m := TAG.search(page, at)) is not None:
         add(page[at : m.start()])
         at = m.end()
@@ -122,8 +124,15 @@ def blocks(page: str) -> list[Block]:
             continue
         attrs = m["attrs"]
         if name in SILENT:
+            if name in unended or name in ("svg", "math") and attrs.endswith("/>"):
+                continue
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if end:
+                at = end.end()
+            elif name in RAW:
+                at = len(page)
+            else:
+                unended.add(name)  # only the tag is skipped
             continue
         if name in BLOCKS:
             flush()

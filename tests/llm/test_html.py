@@ -70,3 +70,11 @@ def test_edge_rows(spark):
     out = sorted((tuple(r) for r in html.extracted(frame).collect()), key=str)
     assert out == sorted([(1, "u", ""), (1, "u", ""), (None, None, ""), (2, "u", "Some words here, and more of them.")], key=str)
     assert html.extracted(frame.limit(0)).count() == 0
+
+
+def test_silent_elements_without_an_end_do_not_cut_the_page():
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    for tag in ("<svg/>", '<svg class="x" />', "<math/>", "<audio src=a>", "<video>", "<object>", "<noscript>"):
+        assert texts(f"<p>one</p>{tag}<p>two</p>{tag}<p>three</p>") == ["one", "two", "three"], tag
+    assert texts("<p>one</p><svg/><p>two</p><svg><text>no</text></svg><p>three</p>") == ["one", "two", "three"]
+    assert texts("<p>one</p><script>no<p>no</p>") == ["one"]
