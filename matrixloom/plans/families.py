@@ -13,7 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf_dir: str, value) -> Matrices:
-    """4 x 7 matrices, one per part: supplier number modulo 4 by line number."""
+    """4 x 7 matrices, one per part: supplier number modulo 4 by line number, of the
+    lines of ``lineitem`` with ``l_quantity > 35`` only (as FIXTURES.md proposes)."""
     lines = table(spark, sf_dir, "lineitem").where("l_quantity > 35")
     e = lines.groupBy(
         F.col("l_partkey").alias("mid"), (F.col("l_suppkey") % 4).cast("int").alias("r"), (F.col("l_linenumber") - 1).alias("c")
