@@ -1,31 +1,33 @@
 """Toxicity by class-conditional Kneser-Ney models of words.
 
-For each class (toxic, ordinary) a word's probability is its absolutely
-discounted continuation count: in how many different left contexts the class has
-it.  The discounted mass goes to a spelling model, so that rare or new forms of a
-word are judged by what they share with known ones: a Kneser-Ney model of
-characters over the class's distinct words, of order ``ORDER``, whose lowest
-orders come from counts that both classes share, taken over the words of every
-document of the corpus.
-
-A text's score compares its two log-likelihoods.  Words that neither class makes
-much likelier (a log ratio under ``MARGIN``) are neutral; what the others exceed
-it by is summed and divided by the square root of the number of words, at which
-rate chance evidence grows.  A logistic curve, set on labelled rows that the
-counts did not see, maps this to 0..1.  The language, source and identifier of a
-document are not inputs.
-
-Sizes: counts over documents are made in partitions and summed by Spark.  The
-class models are fitted on at most about ``fit_rows`` labelled rows (a documented
-bound, chosen by a hash of the identifier); only their word table, whose size
-that bound sets, and the shared counts, at most ``CODES`` squared, reach the
-driver, and the model made of them is broadcast.  Whole texts are read.
+For each class (toxic, ordinary) the probability of a word after another comes from
+absolutely discounted continuation counts, at three orders that back off in turn:
+in how many different left contexts the class has the two words (what fewer than
+``CONTEXTS`` contexts have, as in copies and repeated passages, is discounted wholly), in how many
+it has the word, and a spelling model, so that rare or new forms of a word are judged
+by what they share with known ones.  The spelling model is a Kneser-Ney model of
+characters over the class's distinct words, of order ``ORDER``, whose lowest orders
+come from counts that both classes share, taken over the words of every document of
+the corpus.
+
+A toxic text is mostly ordinary words, so the toxic model gives each word the class's
+probability with weight ``WEIGHT`` and the ordinary one's with the rest.  A text's
+evidence is the difference of its two log-likelihoods, over all of its words and
+divided by their number.  A logistic curve, set on labelled rows that the counts did
+not see, maps this to 0..1.  The language, source and identifier of a document are
+not inputs.
+
+Sizes: all counts are made in partitions and summed by Spark, and the levels' shares
+and left-over masses are computed there.  The class models are fitted on at most
+about ``fit_rows`` labelled rows of each class (a documented bound, chosen by a hash of
+the identifier), which bounds the levels; these, and the shared counts of at most
+``CODES`` squared pairs, are broadcast.  Whole texts are read, in pieces.
 
 Behaviour: null and empty texts have no evidence and get the curve's value at 0;
 unlabelled tables score everything by the curve's default; conflicting labels of
-one identifier count as toxic; null labels and identifiers are no labels;
-repeated rows are scored alike; only identifier and text are read, whatever
-other columns are called.
+one identifier count as toxic; null labels and identifiers are no labels (a null
+identifier is not held out); repeated rows are scored alike; only identifier and
+text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -43,11 +45,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import common
 
 ORDER, SHARED = 5, 2
-MARGIN = 3.0
+#: Weight of the toxic class's own model within that of toxic texts.
+WEIGHT = 0.003
+#: Contexts that two words in a row must have in a class for its model to know them.
+CONTEXTS = 3
 CODES = 1024
 WORD = re.compile(r"[^\W\d_]+")
-#: Words whose ratios a task remembers, rows counted at once, words rated at once.
-_CACHE, _ROWS, _RATED = 250_000, 500, 10_000
+#: Words that a task remembers, rows counted at once, words spelled at once, words scored at once.
+_CACHE, _ROWS, _RATED, _SCORED = 250_000, 500, 10_000, 200_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -103,57 +108,43 @@ class Lookup:
         return np.maximum(at, 0), known
 
 
-def discount(counts: np.ndarray) -> float:
-    """Kneser-Ney's estimate from the numbers of ones and twos."""
-    one, two = int((counts == 1).sum()), int((counts == 2).sum())
-    return min(0.9, max(0.3, one / (one + 2 * two))) if one else 0.5
-
-
 class Level:
-    """One order of a model: discounted shares of grams, left-over mass of contexts,
-    both for a list of models."""
-
-    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """parts: for each model its grams, their contexts and counts."""
-        grams = np.unique(np.concatenate([p[0] for p in parts]))
-        contexts = np.unique(np.concatenate([p[1] for p in parts]))
-        self.grams, self.contexts, self.share, self.left = Lookup(grams), Lookup(contexts), [], []
-        for gram, context, count in parts:
-            cut = discount(count)
-            at = np.searchsorted(contexts, context)
-            total = np.bincount(at, count, minlength=len(contexts))
-            kinds = np.bincount(at, minlength=len(contexts))
-            share = np.zeros(len(grams))
-            share[np.searchsorted(grams, gram)] = (count - cut) / total[at]
-            self.share.append(share.astype(np.float32))
-            self.left.append(np.where(kinds > 0, cut * kinds / np.maximum(total, 1), 1.0).astype(np.float32))
+    """One order of a model: discounted shares of grams and left-over mass of contexts,
+    of each of some models."""
+
+    def __init__(self, grams: np.ndarray, shares: list[np.ndarray], contexts: np.ndarray, lefts: list[np.ndarray]):
+        self.grams, self.share = Lookup(grams), [s.astype(np.float32) for s in shares]
+        self.contexts, self.left = Lookup(contexts), [b.astype(np.float32) for b in lefts]
 
     def step(self, gram: np.ndarray, context: np.ndarray, lower: list[np.ndarray]) -> list[np.ndarray]:
+        if not len(self.grams.keys):
+            return lower
         g, known = self.grams.find(gram)
         c, seen = self.contexts.find(context)
         return [np.where(known, s[g], 0.0) + np.where(seen, b[c], 1.0) * p for s, b, p in zip(self.share, self.left, lower)]
 
 
-def pieces(words):
-    """A list or Arrow array of words as lists, with their places."""
-    for i in range(0, len(words), _RATED):
-        part = words[i : i + _RATED]
-        yield slice(i, i + _RATED), part if isinstance(part, list) else part.to_pylist()
+def hashed(words: list[str]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
 
+    return np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
-def hashed(words) -> np.ndarray:
-    from xxhash import xxh64_intdigest
 
-    return np.fromiter((xxh64_intdigest(w) for _, part in pieces(words) for w in part), dtype=np.uint64, count=len(words))
+def paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of two words in a row from those of each."""
+    return (left + np.uint64(11)) * np.uint64(0x9E3779B97F4A7C15) + (right ^ (left >> np.uint64(31)))
 
 
 class Model:
-    """Log ratios of words from ``words`` (their continuation counts in the toxic and
-    ordinary class) and ``pairs`` (shared counts of two characters in a row)."""
+    """Probabilities of words in toxic and ordinary texts.
+
+    levels: by name, ``(grams, shares, contexts, lefts)``: ``two`` (of words after a
+    word), ``one`` (of words; its one context is 0) and ``spell3`` to ``spell5``.
+    pairs: shared counts of two characters in a row, as rows of first, second, count.
+    """
 
-    def __init__(self, words, toxic: np.ndarray, ordinary: np.ndarray, pairs: np.ndarray):
-        self.curve, self.name = (4.0, 1.0), uuid.uuid4().hex
-        self.classes = bool(toxic.any() and ordinary.any())
+    def __init__(self, levels: dict[str, tuple], pairs: np.ndarray):
+        self.curve, self.name, self.classes = (4.0, 1.0), uuid.uuid4().hex, bool(levels)
         if not self.classes:
             return
         a, b, n = pairs.T if len(pairs) else np.zeros((3, 0), dtype=np.int64)
@@ -161,53 +152,16 @@ class Model:
         g1 = gram(second, 1)
         g2 = (second + np.uint64(11)) + (first + np.uint64(11)) * np.uint64(0x9E3779B97F4A7C15)
         u1, n1 = np.unique(g1, return_counts=True)
-        self.shared = [Level([(u1, np.zeros(len(u1), dtype=np.uint64), n1.astype(float))]), Level([(g2, gram(first, 1), n.astype(float))])]
-        self.own = []
-        spelled = [self._spelling(words, counts) for counts in (toxic, ordinary)]
-        for k in range(SHARED, ORDER):
-            self.own.append(Level([s[k] for s in spelled]))
-        order = np.argsort(h := hashed(words))
-        self.words = Lookup(h[order])
-        self.share, self.left = [], []
-        for counts in (toxic, ordinary):
-            some, total = counts[counts > 0], counts.sum()
-            cut = discount(some)
-            self.share.append(np.where(counts > 0, (counts - cut) / total, 0.0)[order])
-            self.left.append(cut * len(some) / total)
-
-    @staticmethod
-    def _spelling(words, counts: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each order its grams, their contexts and how many different longer
-        grams end in them (of the longest: how many words have them)."""
-        blocks = []
-        for at, part in pieces(words):
-            if counts is not None:
-                part = [w for w, c in zip(part, counts[at]) if c]
-            if not part:
-                continue
-            x = codes(part)
-            g, at = [gram(x, k) for k in range(ORDER + 1)], np.flatnonzero(x > 0)
-            _, first, n = np.unique(g[ORDER][at], return_index=True, return_counts=True)
-            at = at[first]
-            blocks.append(np.stack([*(h[at] for h in g), *(h[at - 1] for h in g[:-1]), n.astype(np.uint64)]))
-        # of each different longest gram: its endings of 0..ORDER characters, the contexts of those of 1.., its count
-        rows = np.concatenate(blocks, axis=1) if blocks else np.zeros((2 * ORDER + 2, 0), dtype=np.uint64)
-        out = []
-        for k in range(ORDER, 0, -1):
-            u, first, inverse = np.unique(rows[k], return_index=True, return_inverse=True)
-            n = np.bincount(inverse, rows[-1] if k == ORDER else None, minlength=len(u))
-            out.append((u, rows[ORDER + k][first], n.astype(float)))
-            rows = rows[:, first]
-        return out[::-1]
-
-    def ratios(self, words: list[str]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary)."""
-        if not self.classes or not words:
-            return np.zeros(len(words))
+        self.spelling = [_shared_level(u1, np.zeros(len(u1), dtype=np.uint64), n1), _shared_level(g2, gram(first, 1), n)]
+        self.spelling += [Level(*levels[f"spell{k}"]) for k in range(SHARED + 1, ORDER + 1)]
+        self.one, self.two = Level(*levels["one"]), Level(*levels["two"])
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The words' hashes and their probabilities in either class, whatever stands before."""
         x = codes(words)
         at = np.flatnonzero(x > 0)
         before, p = gram(x, 0), [np.full(len(at), 1e-4)]
-        for k, level in enumerate(self.shared + self.own, 1):
+        for k, level in enumerate(self.spelling, 1):
             if k == SHARED + 1:
                 p = [p[0], p[0]]
             now = gram(x, k)
@@ -215,26 +169,85 @@ class Model:
             before = now
         starts = np.concatenate([[0], np.flatnonzero(x[at] == 1)[:-1] + 1])
         spelled = [np.exp(np.maximum(-60.0, np.add.reduceat(np.log(q), starts))) for q in p]
-        w, known = self.words.find(hashed(words))
-        t, o = (np.where(known, s[w], 0.0) + left * q for s, left, q in zip(self.share, self.left, spelled))
-        return np.log(t) - np.log(o)
-
-    def evidence(self, texts: list[str | None], cache: dict[str, float]) -> np.ndarray:
-        lists = [words_of(t) for t in texts]
-        new = list({w for ws in lists for w in ws if w not in cache})
-        if len(cache) + len(new) > _CACHE:
-            cache.clear()
-            new = list({w for ws in lists for w in ws})
-        for i in range(0, len(new), _RATED):
-            part = new[i : i + _RATED]
-            cache.update(zip(part, np.maximum(self.ratios(part) - MARGIN, 0.0).tolist()))
-        return np.array([sum(map(cache.__getitem__, ws)) / len(ws) ** 0.5 if ws else 0.0 for ws in lists])
+        h = hashed(words)
+        return h, self.one.step(h, np.zeros(len(h), dtype=np.uint64), spelled)
+
+    def ratios(self, left: np.ndarray, right: np.ndarray, p: list[np.ndarray]) -> np.ndarray:
+        """log P(word | toxic text) - log P(word | ordinary text), each after its left word.
+
+        left, right: hashes of words (0: nothing before); p: the right words' probabilities."""
+        toxic, ordinary = self.two.step(paired(left, right), left, p)
+        return np.log1p(WEIGHT * (toxic / ordinary - 1.0))
+
+    def evidence(self, texts: list[str | None], memory: Memory) -> np.ndarray:
+        """Of each text the difference of its log-likelihoods by word."""
+        sums, sizes = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+        if not self.classes:
+            return sums
+        held, count = [], 0
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            sizes[i] = len(words)
+            for j in range(0, len(words), _SCORED):
+                part = words[j : j + _SCORED]
+                held.append((i, words[j - 1] if j else None, part))
+                count += len(part)
+                if count >= _SCORED:
+                    self._add(held, memory, sums)
+                    held, count = [], 0
+        self._add(held, memory, sums)
+        return sums / np.maximum(sizes, 1)
+
+    def _add(self, held: list[tuple[int, str | None, list[str]]], memory: Memory, sums: np.ndarray) -> None:
+        """Add what runs of words, with what stood before them, give to their texts' sums."""
+        if not held:
+            return
+        at = memory.places(self, [w for _, before, part in held for w in ((before,) if before else ()) + tuple(part)])
+        h = memory.hash[at]
+        left = np.zeros(len(at), dtype=np.uint64)
+        left[1:] = h[:-1]
+        sizes = np.array([len(part) + bool(before) for _, before, part in held])
+        starts = np.cumsum(sizes) - sizes
+        left[starts] = 0
+        ratio = self.ratios(left, h, [p[at] for p in memory.p])
+        ratio[starts[np.array([bool(before) for _, before, _ in held])]] = 0.0
+        np.add.at(sums, np.array([i for i, _, _ in held]), np.add.reduceat(ratio, starts))
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         slope, middle = self.curve
         return 1.0 / (1.0 + np.exp(np.clip(-slope * (evidence - middle), -60, 60)))
 
 
+class Memory:
+    """What a task remembers of up to ``_CACHE`` different words."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.hash, self.p = np.zeros(0, dtype=np.uint64), [np.zeros(0), np.zeros(0)]
+
+    def places(self, model: Model, words: list[str]) -> np.ndarray:
+        new = list({w for w in words if w not in self.place})
+        if len(self.place) + len(new) > _CACHE:
+            self.__init__()
+            new = list(set(words))
+        for i in range(0, len(new), _RATED):
+            part = new[i : i + _RATED]
+            h, p = model.words(part)
+            self.place.update(zip(part, range(len(self.place), len(self.place) + len(part))))
+            self.hash = np.concatenate([self.hash, h])
+            self.p = [np.concatenate(x) for x in zip(self.p, p)]
+        return np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+
+
+def _shared_level(grams: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> Level:
+    """A level of one model from the counts of its grams."""
+    one, two = int((counts == 1).sum()), int((counts == 2).sum())
+    cut = min(0.9, max(0.3, one / (one + 2 * two))) if one else 0.5
+    known, at = np.unique(contexts, return_inverse=True)
+    total, kinds = np.bincount(at, counts, minlength=len(known)), np.bincount(at, minlength=len(known))
+    return Level(grams, [(counts - cut) / total[at]], known, [cut * kinds / np.maximum(total, 1)])
+
+
 def curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     """Slope and middle: the middle where F1 is best, halfway to the next lower row;
     the slope such that rows around it are not cut off sharply."""
@@ -251,86 +264,168 @@ def curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 
 def held_out(id_col: Column) -> Column:
-    return F.crc32(id_col.cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
 @lru_cache(maxsize=1)
-def _cache_of(model_name: str) -> dict:
-    return {}
+def _memory_of(model_name: str) -> Memory:
+    return Memory()
 
 
 def _counted(batches):
-    """Of labelled rows for the fit the different (class, left word, word); of all
-    rows the shared counts, as rows with a null class."""
+    """Of labelled rows for the fit the different (class, word before, left word, word),
+    the first two as hashes; of all rows the shared counts of characters (class 2)."""
     shared = np.zeros(CODES * CODES, dtype=np.int64)
     for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
         tally: dict[str, int] = {}
-        pairs: tuple[set, set] = (set(), set())
+        threes: tuple[set, set] = (set(), set())
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = words_of(text)
             for w in set(words):
                 tally[w] = tally.get(w, 0) + 1
             if label is not None:
-                pairs[label].update(zip(["", *words], words))
+                threes[label].update(zip(["", "", *words], ["", *words], words))
         if tally:
             x, n = codes(list(tally)), np.fromiter(tally.values(), dtype=np.int64, count=len(tally))
             at = np.flatnonzero(x > 0)
             word = np.concatenate([[0], np.cumsum(x[at] == 1)[:-1]])
             np.add.at(shared, x[at - 1].astype(np.int64) * CODES + x[at].astype(np.int64), n[word])
         for label in (0, 1):
-            if pairs[label]:
-                left, right = zip(*pairs[label])
-                yield _rows(np.full(len(left), label), left, right, np.ones(len(left), dtype=np.int64))
+            rows = list(threes[label])
+            for i in range(0, len(rows), _SCORED):
+                first, second, word = zip(*rows[i : i + _SCORED])
+                yield _rows(np.full(len(word), label), _signed(first), _signed(second), word, np.ones(len(word), dtype=np.int64))
     some = np.flatnonzero(shared)
     if len(some):
-        yield _rows(np.full(len(some), 2), [str(i) for i in (some // CODES).tolist()], [str(i) for i in (some % CODES).tolist()], shared[some])
+        yield _rows(np.full(len(some), 2), some // CODES, some % CODES, [None] * len(some), shared[some])
 
 
-def _rows(label, left, right, n):
-    return pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(n, pa.int64())], names=["label", "a", "b", "n"])
+def _signed(words) -> np.ndarray:
+    """Hashes of words as signed longs, 0 for none."""
+    h = hashed(list(words))
+    h[np.fromiter(map(len, words), dtype=np.int64, count=len(words)) == 0] = 0
+    return h.view(np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def _rows(label, a, b, word, n):
+    return pa.RecordBatch.from_arrays(
+        [pa.array(label, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(word, pa.string()), pa.array(n, pa.int64())], names=["label", "a", "b", "word", "n"]
+    )
+
+
+_SPELLED = [*(f"g{k}" for k in range(SHARED + 1, ORDER + 1)), *(f"c{k}" for k in range(SHARED + 1, ORDER + 1))]
+
+
+def _spelled(batches):
+    """Of each class's words the grams of ``SHARED + 1`` to ``ORDER`` characters that
+    end at each place, and the context of each."""
+    for batch in batches:
+        labels, words = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        for i in range(0, len(words), _RATED):
+            x = codes(words[i : i + _RATED])
+            at = np.flatnonzero(x > 0)
+            word = np.concatenate([[0], np.cumsum(x[at] == 1)[:-1]])
+            grams = {k: gram(x, k) for k in range(SHARED, ORDER + 1)}
+            columns = [grams[k][at] for k in range(SHARED + 1, ORDER + 1)] + [grams[k - 1][at - 1] for k in range(SHARED + 1, ORDER + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(labels[i : i + _RATED][word], pa.int32()), *(pa.array(c.view(np.int64)) for c in columns)], names=["label", *_SPELLED])
+
+
+def _paired_words(batches):
+    """The hash of each word, and of it after the word ``b``."""
+    for batch in batches:
+        h = hashed(batch.column(2).to_pylist())
+        left = batch.column(1).to_numpy().view(np.uint64)
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(h.view(np.int64)), pa.array(paired(left, h).view(np.int64))], names=["label", "b", "word", "n", "h", "pair"])
+
+
+def leveled(counts: DataFrame, least: int = 1) -> tuple:
+    """A level of both classes from ``label, gram, context, n``: grams and contexts as
+    arrays, with the toxic and the ordinary class's shares and left-over masses.
+
+    Kneser-Ney's discount is estimated from the numbers of ones and twos of each class;
+    counts under ``least`` are discounted wholly, and as much is taken from the others."""
+    ones, twos = F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))
+    rate = F.least(F.lit(0.9), F.greatest(F.lit(0.3), ones / (ones + 2 * twos)))
+    cut = F.broadcast(counts.groupBy("label").agg(F.when(ones > 0, rate).otherwise(0.5).alias("cut")))
+    rows = counts.join(cut, "label").withColumn("off", F.least(F.col("n"), F.col("cut") + (least - 1)))
+    sums = rows.groupBy("label", "context").agg(F.sum("n").alias("total"), F.sum("off").alias("mass"))
+    toxic = lambda c: F.coalesce(F.sum(F.when(F.col("label") == 1, c)), F.lit(0.0))
+    ordinary = lambda c, none: F.coalesce(F.sum(F.when(F.col("label") == 0, c)), F.lit(none))
+    share = (F.col("n") - F.col("off")) / F.col("total")
+    shares = rows.where(F.col("n") >= least).join(sums, ["label", "context"]).groupBy("gram").agg(toxic(share).alias("toxic"), ordinary(share, 0.0).alias("ordinary"))
+    sums = sums.where("mass < total")  # what leaves all its mass backs off as unknown contexts do
+    left = F.col("mass") / F.col("total")
+    lefts = sums.groupBy("context").agg(F.coalesce(F.sum(F.when(F.col("label") == 1, left)), F.lit(1.0)).alias("toxic"), ordinary(left, 1.0).alias("ordinary"))
+    out = []
+    for frame, key in ((shares, "gram"), (lefts, "context")):
+        got = frame.select(F.col(key), F.col("toxic").cast("float"), F.col("ordinary").cast("float")).toArrow()
+        keys, t, o = (c.to_numpy() for c in got.columns)
+        out += [keys.view(np.uint64), [t, o]]
+    return tuple(out)
+
+
+def levels(counted: DataFrame) -> dict[str, tuple]:
+    """The levels of both classes from :func:`_counted`'s rows; none if a class has no words."""
+    spark = counted.sparkSession
+    kind = "label int, b long, word string, n long, h long, pair long"
+    # in how many different contexts a class has two words in a row, and a word
+    threes = counted.where("label < 2").select("label", "a", "b", "word").distinct()
+    twos = threes.groupBy("label", "b", "word").agg(F.count("*").alias("n")).mapInArrow(_paired_words, kind)
+    twos, twos_path = common.written(twos, "toxicity-twos")
+    ones, ones_path = common.written(twos.groupBy("label", "word", "h").agg(F.count("*").alias("n")), "toxicity-ones")
+    if {r.label for r in ones.select("label").distinct().collect()} != {0, 1}:
+        return {}
+    found = {
+        "two": leveled(twos.select("label", F.col("pair").alias("gram"), F.col("b").alias("context"), "n"), CONTEXTS),
+        "one": leveled(ones.select("label", F.col("h").alias("gram"), F.lit(0).cast("long").alias("context"), "n")),
+    }
+    spelled = ones.select("label", "word").mapInArrow(_spelled, "label int, " + ", ".join(f"{c} long" for c in _SPELLED)).withColumn("n", F.lit(1).cast("long"))
+    path = None
+    for k in range(ORDER, SHARED, -1):
+        # of the longest grams, how many words have them; of others, how many longer ones end in them
+        count = F.sum("n") if k == ORDER else F.count("*")
+        rest = [c for c in _SPELLED if int(c[1:]) < k]
+        rows = spelled.groupBy("label", f"g{k}").agg(count.alias("n"), F.min(f"c{k}").alias(f"c{k}"), *[F.min(c).alias(c) for c in rest])
+        spelled, new_path = common.written(rows, "toxicity-spelled")
+        if path:
+            common.delete(spark, path)
+        path = new_path
+        found[f"spell{k}"] = leveled(spelled.select("label", F.col(f"g{k}").alias("gram"), F.col(f"c{k}").alias("context"), "n"))
+    for p in (path, twos_path, ones_path):
+        common.delete(spark, p)
+    return found
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 5_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of ``docs``' texts under ``labels``; held-out identifiers are not used."""
+    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     usable = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-        .where(F.col("label").isin(0, 1) & ~held_out(F.col("id")))
+        .where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id")))
         .groupBy("id")
         .agg(F.max("label").alias("label"))
     )
     usable, path = common.written(usable, "toxicity-labels")
-    rate = min(1.0, fit_rows / max(1, usable.count()))
+    sizes = {r.label: r.n for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    share = lambda label: int(min(1.0, fit_rows / max(1, sizes.get(label, 0))) * (1 << 20))
     lot = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20))
-    sample = F.broadcast(
-        usable.where(lot < F.lit(int(rate * (1 << 20)))).withColumn("check", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(4)) == 0)
-    )
+    sample = usable.where(lot < F.when(F.col("label") == 1, share(1)).otherwise(share(0))).withColumn("check", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(4)) == 0)
+    sample = F.broadcast(sample)
     counted = (
         slim.join(sample, "id", "left")
         .select("text", F.when(~F.col("check"), F.col("label")).alias("label"))
-        .mapInArrow(_counted, "label int, a string, b string, n long")
+        .mapInArrow(_counted, "label int, a long, b long, word string, n long")
     )
     counted, counted_path = common.written(counted, "toxicity-counts")
-    pairs = counted.where("label = 2").groupBy(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")).agg(F.sum("n").alias("n"))
-    found_words = (
-        counted.where("label < 2")
-        .select("label", F.col("b").alias("word"), F.xxhash64("a").alias("left"))
-        .distinct()
-        .groupBy("word")
-        .agg(F.sum(F.col("label")).cast("double").alias("toxic"), F.sum(1 - F.col("label")).cast("double").alias("ordinary"))
-        .toArrow()
-    )
-    shared = np.stack([c.to_numpy().astype(np.int64) for c in pairs.orderBy("a", "b").toArrow().columns], axis=1)
-    model = Model(found_words.column(0), found_words.column(1).to_numpy(), found_words.column(2).to_numpy(), shared)
-    del found_words
-    common.delete(docs.sparkSession, counted_path)
-    common.give_back(docs.sparkSession)
+    pairs = counted.where("label = 2").groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy("a", "b").toArrow()
+    model = Model(levels(counted), np.stack([c.to_numpy().astype(np.int64) for c in pairs.columns], axis=1))
+    common.delete(spark, counted_path)
     if model.classes:
         seen = slim.join(sample.where("check"), "id").select("text", "label")
-        checked = seen.mapInArrow(_evidence(docs.sparkSession, model, pa.int32()), "key int, evidence double").toArrow()
+        checked = seen.mapInArrow(_evidence(spark, model, pa.int32()), "key int, evidence double").toArrow()
         model.curve = curve(checked.column(1).to_numpy(), checked.column(0).to_numpy() == 1)
-    common.delete(docs.sparkSession, path)
-    common.give_back(docs.sparkSession)
+    common.delete(spark, path)
     return model
 
 
@@ -338,11 +433,11 @@ def _evidence(spark: SparkSession, model: Model, key_type: pa.DataType):
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        cache = _cache_of(sent.value.name)
+        memory = _memory_of(sent.value.name)
         for batch in batches:
             text, key = batch.column(0), batch.column(1)
             for i in range(0, batch.num_rows, _ROWS):
-                found = sent.value.evidence(text[i : i + _ROWS].to_pylist(), cache)
+                found = sent.value.evidence(text[i : i + _ROWS].to_pylist(), memory)
                 yield pa.RecordBatch.from_arrays([key[i : i + _ROWS], pa.array(found)], names=["key", "evidence"])
 
     return run
@@ -364,11 +459,11 @@ def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches):
-        cache = _cache_of(sent.value.name)
+        memory = _memory_of(sent.value.name)
         for batch in batches:
             for i in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(i, _ROWS)
-                score = sent.value.score(sent.value.evidence(part.column(at).to_pylist(), cache))
+                score = sent.value.score(sent.value.evidence(part.column(at).to_pylist(), memory))
                 yield part.filter(pa.array(score < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
