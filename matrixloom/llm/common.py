@@ -3,30 +3,41 @@
 from __future__ import annotations
 
 import contextlib
-import ctypes
-import gc
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import components, delete, exists, new_path, shared_dir, written
 
-__all__ = ["components", "delete", "exists", "filed", "give_back", "local_table", "located", "new_path", "shared_dir", "table", "written"]
+__all__ = ["BLOOM_CONF", "components", "conf", "delete", "exists", "filed", "local_table", "nested", "new_path", "place", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def give_back(spark: SparkSession) -> None:
-    """Let the driver drop what it no longer needs (in the JVM also shuffle files and
-    broadcasts that nothing refers to) and return memory to the system, where libc can."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+#: Let Spark test join keys against a Bloom filter (of bounded size) of the smaller
+#: side in the scan, before it shuffles any text, at every size of the input.
+BLOOM_CONF = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t",
+}
+
+
+@contextlib.contextmanager
+def conf(spark: SparkSession, values: dict[str, str]):
+    """The session's settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def local_table(spark: SparkSession, columns: dict[str, tuple[pa.DataType, list]]) -> DataFrame:
@@ -36,15 +47,23 @@ def local_table(spark: SparkSession, columns: dict[str, tuple[pa.DataType, list]
 
 def filed(df: DataFrame, tag: str) -> DataFrame:
     """``df`` itself if its rows come straight from files, else a copy in the shared
-    folder: either way rows have a lasting place in ``_metadata``."""
+    folder: either way rows have a lasting place in the files' metadata."""
     try:
-        df.select("_metadata.row_index")
+        df.select(df.metadataColumn("_metadata")["row_index"])
         return df
     except AnalysisException:
         return written(df, tag)[0]
 
 
-def located(df: DataFrame, columns: list[str], tag: str) -> DataFrame:
-    """``columns`` of ``df`` and ``_at``, the file of each row and its place there,
-    which stays the same however often the rows are read (see :func:`filed`)."""
-    return filed(df, tag).select(*columns, F.struct("_metadata.file_path", "_metadata.row_index").alias("_at"))
+def place(df: DataFrame) -> Column:
+    """The file of each row and its place there, which stays the same however often the
+    rows of a :func:`filed` table are read; whatever the table's own columns are called."""
+    meta = df.metadataColumn("_metadata")
+    return F.struct(meta["file_path"].alias("file_path"), meta["row_index"].alias("row_index"))
+
+
+def nested(df: DataFrame, tag: str) -> DataFrame:
+    """``at, row``: the place of each row (see :func:`place`) and the row itself as one
+    struct, so that its columns' names clash with none."""
+    df = filed(df, tag)
+    return df.select(place(df).alias("at"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

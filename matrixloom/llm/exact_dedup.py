@@ -19,8 +19,6 @@ result.  Further columns are not read by :func:`judge`, whatever their names.
 
 from __future__ import annotations
 
-import contextlib
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,36 +30,15 @@ STREAM_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
-#: Let Spark test digests against a Bloom filter of the hits (of bounded size)
-#: in the scan, before it shuffles any text, at every size of the input.
-BLOOM_CONF = {
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t",
-}
-
-
-@contextlib.contextmanager
-def conf(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
 def located(docs: DataFrame, digest, id_col: str, text_col: str) -> DataFrame:
     """``id, digest, locator, text`` of each row."""
-    rows = common.located(docs, list(dict.fromkeys([id_col, text_col])), "dedup-rows")
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return rows.select(F.col(id_col).alias("id"), digest(text).alias("digest"), F.col("_at").alias("locator"), text.alias("text"))
+    rows = common.filed(docs, "dedup-rows")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
+    return rows.select(F.col(f"`{id_col}`").alias("id"), digest(text).alias("digest"), common.place(rows).alias("locator"), text.alias("text"))
 
 
 def state_of(source: DataFrame, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -81,7 +58,7 @@ def state_of(source: DataFrame, path: str, files_per_batch: int | None = None) -
     def put(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    with conf(spark, STREAM_CONF):
+    with common.conf(spark, STREAM_CONF):
         query = changes.writeStream.outputMode("update").option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(put).start()
         query.awaitTermination()
     common.delete(spark, log)
@@ -95,7 +72,7 @@ def collisions(rows: DataFrame, state: DataFrame) -> DataFrame | None:
     """The groups of rows whose digests hide different texts: ``locator, keep, n``;
     None if full bytes agree everywhere."""
     spark = rows.sparkSession
-    with conf(spark, BLOOM_CONF):
+    with common.conf(spark, common.BLOOM_CONF):
         hits = state.where("n > 1").select("digest", "keep.locator", "n")
         kept, kept_path = common.written(
             rows.join(hits, ["digest", "locator"]).select("digest", "n", F.col("text").alias("kept_text")), "dedup-kept"
@@ -129,9 +106,9 @@ def judge(docs: DataFrame, digest=sha256, id_col: str = "doc_id", text_col: str
 def deduped(docs: DataFrame, **kw) -> DataFrame:
     """The rows of ``docs`` that stay, whole and with all their columns."""
     docs = common.filed(docs, "dedup-docs")
-    stay = judge(docs, **kw).where("kept").select(F.col("locator").alias("_stay"))
-    rows = docs.withColumn("_at", F.struct("_metadata.file_path", "_metadata.row_index"))
-    return rows.join(stay, F.col("_at") == F.col("_stay"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = judge(docs, **kw).where("kept").select(F.col("locator").alias("stay"))
+    rows = common.nested(docs, "dedup-docs")
+    return rows.join(stay, F.col("at") == F.col("stay"), "left_semi").select("row.*")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,8 @@ Behaviour: null domain, language or source count as empty strings; a null
 identifier counts as an empty one in the hash; rows that repeat an identifier
 lie at one place of the order and are taken together or not at all; texts without words
 cost no tokens; leaves of weight 0 give nothing; a tree that can't give the whole
-budget gives what it can.  An empty table gives an empty result.  Other columns
-are kept by :func:`mixed`, whatever their names.
+budget gives what it can.  An empty table gives an empty result.  All columns
+are kept by :func:`mixture`, in a struct and so whatever their names.
 """
 
 from __future__ import annotations
@@ -122,11 +122,6 @@ def budgets(leaves: DataFrame, weights: Mapping[tuple, int], percent: int, max_e
     return out.select(*LEVELS, "tokens", "budget", F.expr("budget div tokens").alias("epochs"), F.expr("budget - (budget div tokens) * tokens").alias("rest"))
 
 
-def _leafed(docs: DataFrame, domain: Column, lang_col: str, source_col: str) -> DataFrame:
-    said = lambda c: F.coalesce(c, F.lit(""))
-    return docs.withColumns({"_domain": said(domain), "_lang": said(F.col(lang_col)), "_source": said(F.col(source_col))})
-
-
 def _placed(rows: DataFrame, seed: int, id_col: str, digits: int) -> DataFrame:
     """Each row's place in the order of its leaf's last epoch."""
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("epochs") + 1).cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
@@ -135,7 +130,8 @@ def _placed(rows: DataFrame, seed: int, id_col: str, digits: int) -> DataFrame:
 
 def plan(docs: DataFrame, weights: Mapping[tuple, int], percent: int, max_epochs: int, seed: int, domain: Column, id_col: str, text_col: str, lang_col: str, source_col: str) -> tuple[DataFrame, int]:
     """Each leaf's budget and cut, and the number of hash digits in a bucket."""
-    slim = _leafed(docs, domain, lang_col, source_col).select(F.col(id_col).alias("_id"), *LEVELS, tokens_of(F.col(text_col)).alias("_tokens"))
+    said = [F.coalesce(c, F.lit("")).alias(level) for c, level in zip((domain, F.col(f"`{lang_col}`"), F.col(f"`{source_col}`")), LEVELS)]
+    slim = docs.select(F.col(f"`{id_col}`").alias("_id"), *said, tokens_of(F.col(f"`{text_col}`")).alias("_tokens"))
     slim, _ = common.written(slim, "mixing-tokens")
     held, _ = common.written(slim.groupBy(*LEVELS).agg(F.sum("_tokens").alias("tokens")), "mixing-held")
     leaves, _ = common.written(budgets(held, weights, percent, max_epochs), "mixing-leaves")
@@ -152,7 +148,7 @@ def plan(docs: DataFrame, weights: Mapping[tuple, int], percent: int, max_epochs
     return common.written(leaves.join(cuts, list(LEVELS), "left"), "mixing-plan")[0], digits
 
 
-def mixed(
+def mixture(
     docs: DataFrame,
     weights: Mapping[tuple, int] = WEIGHTS,
     percent: int = 60,
@@ -164,28 +160,33 @@ def mixed(
     lang_col: str = "lang",
     source_col: str = "source",
 ) -> DataFrame:
-    """The rows of ``docs`` that the mixture takes, once for each epoch that has
-    them, with ``_domain`` and ``_epoch`` added.
+    """``row, domain, epoch``: the rows of ``docs`` (as structs, whatever their columns
+    are called) that the mixture takes, once for each epoch that has them.
 
     ``percent``: the budget, as a share of the tokens that are there.
     """
-    domain = default_domain(F.col(source_col)) if domain is None else domain
+    domain = default_domain(F.col(f"`{source_col}`")) if domain is None else domain
     leaves, digits = plan(docs, weights, percent, max_epochs, seed, domain, id_col, text_col, lang_col, source_col)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(whole, F.col(id_col).alias("_id"), domain.alias("_d"), F.col(lang_col).alias("_l"), F.col(source_col).alias("_s"))
-    rows = _leafed(rows, F.col("_d"), "_l", "_s").join(leaves.where("budget > 0").drop("tokens", "budget"), list(LEVELS))
+    said = [F.coalesce(c, F.lit("")).alias(level) for c, level in zip((domain, F.col(f"`{lang_col}`"), F.col(f"`{source_col}`")), LEVELS)]
+    rows = docs.select(whole, F.col(f"`{id_col}`").alias("_id"), *said).join(leaves.where("budget > 0").drop("tokens", "budget"), list(LEVELS))
     rows = _placed(rows, seed, "_id", digits)
     # without an edge, a leaf with a rest would be all inside; a rest is less than its tokens, so there is one
     also = F.col("_edge").isNotNull() & ((F.col("_bucket") < F.col("_edge")) | (F.col("_bucket") == F.col("_edge")) & (F.col("_place") <= F.col("_last")))
     epochs = F.col("epochs") + F.when(also, 1).otherwise(0)
     taken = rows.where(epochs > 0).select("_row", "_domain", F.explode(F.sequence(F.lit(1), epochs.cast("int"))).alias("_epoch"))
-    return taken.select("_row.*", "_domain", "_epoch")
+    return taken.select(F.col("_row").alias("row"), F.col("_domain").alias("domain"), F.col("_epoch").alias("epoch"))
+
+
+def mixed(docs: DataFrame, *args, **kw) -> DataFrame:
+    """The rows of :func:`mixture` with ``_domain`` and ``_epoch`` added to their columns."""
+    return mixture(docs, *args, **kw).select("row.*", F.col("domain").alias("_domain"), F.col("epoch").alias("_epoch"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The production mixture of ``documents``: one row per document and epoch."""
-    return mixed(common.table(spark, sf_dir, "documents")).select(
-        "doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_epoch").alias("epoch"), tokens_of(F.col("text")).alias("n_tokens")
+    return mixture(common.table(spark, sf_dir, "documents")).select(
+        "row.doc_id", "domain", "row.lang", "row.source", "epoch", tokens_of(F.col("row.text")).alias("n_tokens")
     )
 
 

@@ -24,9 +24,10 @@ read, whatever other columns are called.  The smallest identifier of a component
 names it (null only if all its identifiers are null).
 
 :func:`similar` is for a similarity that differs in too many bits for every
-choice of blocks to be filed: it has longer fingerprints of distinct shingles, files
-each class under a number of seeded choices of blocks, and compares the shingle
-sets of what is near.
+choice of blocks to be filed (a 0.8 of shingles is 38 of 256 bits: blocks that all such
+pairs are sure to share take 10,660 choices of 3 of 41): it has longer fingerprints of
+distinct shingles, files each class under a number of seeded choices of blocks that
+grows with the number of classes, and compares the shingle sets of what is near.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def fingerprint(text: bytes, n: int = 3, longs: int = 1) -> list[int]:
 
 def sketch(text: bytes, n: int = 5, longs: int = 4) -> tuple[int, list[int], bytes]:
     """Of the set of a text's shingles, repeats left out: its XXH64, its SimHash and its
-    elements (their XXH64 values as sorted longs)."""
+    elements (the low halves of their XXH64 values, sorted)."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()
@@ -91,7 +92,7 @@ def sketch(text: bytes, n: int = 5, longs: int = 4) -> tuple[int, list[int], byt
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(32)
     bits = np.packbits(2 * total > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
-    return xxh64_intdigest(hashes.tobytes(), 42), bits, hashes.tobytes()
+    return xxh64_intdigest(hashes.tobytes(), 42), bits, np.unique(hashes.astype("<u4")).tobytes()
 
 
 def fingerprints(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,9 +186,77 @@ def key_choices(share: float, longs: int, bits: int, least: int, chance: float)
     return least
 
 
-def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int, alike=None) -> DataFrame:
-    """``node, root``: components of the classes that share a key, differ in at most
-    ``most`` bits and are among the pairs that ``alike`` (if given) keeps of such ones.
+def pairs_by_key(keyed: DataFrame, fps: list[str], most: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``keyed(key, cls, f0)``: the pairs ``a, b`` of classes under a key of at most
+    ``hot`` classes that may be near by their first 64 bits, and the rows of other keys."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = keyed.join(sizes, "key")
+    few = met.where(F.col("size") <= hot).select("key", F.col("cls").alias("a"), F.col("f0").alias("x"))
+    other = few.select("key", F.col("a").alias("b"), F.col("x").alias("y"))
+    # of `most` bits of all, this many of a long's 64 leave one pair in 10,000 out
+    share = most / (64 * len(fps))
+    bound = min(64, int(64 * share + 3.8 * math.sqrt(64 * share * (1 - share))))
+    pairs = few.join(other, "key").where("a < b").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= bound).select("a", "b")
+    return pairs, met.where(F.col("size") > hot).select("cls", "key")
+
+
+def near_pairs(pairs: DataFrame, classes: DataFrame, fps: list[str], most: int) -> DataFrame:
+    """Of the pairs ``a, b`` those within ``most`` bits, once each, with that number as ``dist``."""
+    left, right = (classes.select(F.col("cls").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in fps]) for c in ("a", "b"))
+    differ = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in fps[1:]), F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))))
+    return pairs.distinct().join(left, "a").join(right, "b").withColumn("dist", differ.cast("int")).where(F.col("dist") <= most).select("a", "b", "dist")
+
+
+def joined(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``node, root``: the components of ``roots`` and further ``edges(a, b)``."""
+    if roots is not None:
+        edges = edges.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return common.components(edges, "similar-cc")
+
+
+def rooted(rows: DataFrame, roots: DataFrame | None, columns: dict[str, str]) -> DataFrame:
+    """``rows`` with the root of each column's class; ``columns``: new name by column."""
+    for c, name in columns.items():
+        if roots is None:
+            rows = rows.withColumn(name, F.col(c))
+        else:
+            rows = rows.join(roots.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+    return rows
+
+
+def settled(near: DataFrame, roots: DataFrame | None, alike) -> tuple[DataFrame | None, DataFrame | None]:
+    """``roots`` with what ``alike`` keeps of the pairs ``near(a, b, dist)`` joined, and
+    the pairs that it was asked about.
+
+    A pair that links join already is never asked about, so a group of many near copies
+    costs about as many questions as it has members: in each round each component asks
+    about its nearest open pairs to others, first one, then up to 16, 256 and so on.
+    """
+    spark, picks, asked, path = near.sparkSession, 1, None, None
+    open_ = near
+    while True:
+        mine = rooted(open_.select("a", "b", "dist"), roots, {"a": "x", "b": "y"}).where("x <> y")
+        open_, new_path = common.written(mine, "similar-open")
+        if path:
+            common.delete(spark, path)
+        path = new_path
+        if open_.isEmpty():
+            return roots, asked
+        slot = F.pmod(F.xxhash64("a", "b"), F.lit(picks))
+        each = open_.select(F.explode(F.array("x", "y")).alias("root"), "dist", "a", "b")
+        chosen = each.groupBy("root", slot.alias("slot")).agg(F.min(F.struct("dist", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        chosen, _ = common.written(chosen, "similar-chosen")
+        kept = alike(chosen)
+        if not kept.isEmpty():
+            roots = joined(roots, kept)
+        asked = chosen if asked is None else asked.unionByName(chosen)
+        open_ = open_.join(chosen, ["a", "b"], "left_anti")
+        picks *= 16
+
+
+def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int, roots: DataFrame | None = None, alike=None) -> DataFrame | None:
+    """``node, root``: components of ``roots`` and of the classes that share a key, differ in
+    at most ``most`` bits and are among the pairs that ``alike`` (if given) keeps of such ones.
 
     In each round some heads of a key are compared with all its classes that aren't
     linked to them yet, and then leave it; whatever is near a head stays and is
@@ -197,19 +266,15 @@ def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int, a
     of classes that no links join are compared one by one.
     """
     spark = classes.sparkSession
-    left, right = (classes.select(F.col("cls").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in fps]) for c in ("a", "b"))
-    differ = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in fps[1:]), F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))))
-    roots = classes.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0)
-    path, turn, unlike = None, 0, None
+    path, turn, asked = None, 0, None
     while True:
         heads = 1 if not turn else 4 * 8 ** (turn - 1)
-        rooted = keyed.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "key", F.coalesce("root", "cls").alias("root"))
-        several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-        current, current_path = common.written(rooted.join(several, "key").select("cls", "key", "root"), "similar-keyed")
+        mine = rooted(keyed, roots, {"cls": "root"}).select("cls", "key", "root")
+        several = mine.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+        current, current_path = common.written(mine.join(several, "key").select("cls", "key", "root"), "similar-keyed")
         if path:
             common.delete(spark, path)
         path, turn = current_path, turn + 1
-        common.give_back(spark)
         if current.isEmpty():
             return roots
         sized = current
@@ -219,17 +284,37 @@ def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int, a
         least = F.min(F.struct(*(["size"] if turn > 1 else []), "cls", "root")).alias("h")
         head = sized.groupBy("key", slot.alias("slot")).agg(least).select(F.col("key").alias("k"), F.col("h.cls").alias("b"), F.col("h.root").alias("b_root"))
         met = current.join(head, (F.col("key") == F.col("k")) & (F.col("root") != F.col("b_root"))).select(F.col("cls").alias("a"), "b")
-        apart = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        near, _ = common.written(apart.join(left, "a").join(right, "b").where(differ <= most).select("a", "b"), "similar-near")
-        if alike and not near.isEmpty():
-            fresh = near.join(unlike, ["a", "b"], "left_anti") if unlike is not None else near
-            kept = alike(fresh)
-            left_over = near.join(kept, ["a", "b"], "left_anti")
-            unlike, _ = common.written(left_over.unionByName(unlike).distinct() if unlike is not None else left_over, "similar-unlike")
-            near = kept
-        keyed = current.join(head.select(F.col("k").alias("key"), F.col("b").alias("cls")), ["key", "cls"], "left_anti").select("cls", "key")
+        near = near_pairs(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), classes, fps, most)
+        if asked is not None:
+            near = near.join(asked, ["a", "b"], "left_anti")
+        near, near_path = common.written(near, "similar-near")
         if not near.isEmpty():
-            roots = common.components(near.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), "similar-cc")
+            if alike:
+                roots, also = settled(near, roots, alike)
+                asked = also if asked is None or also is None else asked.unionByName(also)
+            else:
+                roots = joined(roots, near.select("a", "b"))
+        common.delete(spark, near_path)
+        keyed = current.join(head.select(F.col("k").alias("key"), F.col("b").alias("cls")), ["key", "cls"], "left_anti").select("cls", "key")
+
+
+def shingle_sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """``cls, shingles`` of the rows of ``texts(at, text)`` that ``wanted(cls, at)`` names.
+
+    The scan tests rows against a Bloom filter of the wanted ones, so that other texts
+    aren't shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                sets = [sketch(t or b"", n, 1)[2] for t in batch.column(1)[i : i + 500].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 500], pa.array(sets, pa.binary())], names=["cls", "shingles"])
+
+    place = lambda at: F.xxhash64(f"{at}.file_path", f"{at}.row_index")
+    rows = texts.select(place("at").alias("place"), "at", F.col("text").cast("binary").alias("text"))
+    named = wanted.select("cls", F.col("at").alias("of"), place("at").alias("place_of"))
+    same = (F.col("place") == F.col("place_of")) & (F.col("at.row_index") == F.col("of.row_index")) & (F.col("at.file_path") == F.col("of.file_path"))
+    return rows.join(named, same).select("cls", "text").mapInArrow(run, "cls long, shingles binary")
 
 
 def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -240,76 +325,81 @@ def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFra
         for batch in batches:
             keep = []
             for one, two in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), dtype="<u8") for v in (one, two))
+                x, y = (np.frombuffer(v.as_buffer(), dtype="<u4") for v in (one, two))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    some = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    some, path = common.written(sets.join(some, "cls", "left_semi").dropDuplicates(["cls"]), "similar-sets")
-    one, two = (some.select(F.col("cls").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
+    one, two = (sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
     whole = pairs.join(one, "a").join(two, "b").select("a", "b", "a_set", "b_set")
-    found, _ = common.written(whole.mapInArrow(run, "a long, b long"), "similar-alike")
-    common.delete(pairs.sparkSession, path)
-    return found
+    return common.written(whole.mapInArrow(run, "a long, b long"), "similar-alike")[0]
 
 
-def similar(docs: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 4, choices: int = 96, chance: float = 0.95, text_col: str = "text", locator=None) -> DataFrame:
-    """``at, root`` of each row: components of rows whose sets of ``n``-word shingles
-    have a Jaccard similarity of ``similarity`` or more.
+def similar(texts: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 4, chance: float = 0.95, hot: int = 32) -> DataFrame:
+    """``at, root`` of each row of ``texts(at, text)``: components of rows whose sets of
+    ``n``-word shingles have a Jaccard similarity of ``similarity`` or more.
 
     Sets of Jaccard similarity j have a cosine of about 2j / (1 + j) or more, and so
     differ in the angle's share of their ``64 * longs`` bits on average; what differs in
     up to four standard deviations more is a candidate, and the sets of candidates
-    are compared.  Rows of one set are one class.  Each class is filed under
-    ``choices`` or more seeded choices of blocks, of more bits the more classes there
-    are, and as many as let fingerprints of just that similarity meet with probability
-    ``chance`` at any number of classes; :func:`met_links` compares what meets.
+    are compared.  Rows of one set are one class.  Each class is filed under seeded
+    choices of blocks, of more bits the more classes there are, and under as many
+    choices as let fingerprints of just that similarity meet with probability
+    ``chance`` at any number of classes.  Under keys of up to ``hot`` classes all pairs are
+    candidates; :func:`met_links` compares the classes of larger ones.
 
-    ``locator``: columns that name a row; they come back as the struct ``at``.
+    ``at``: a struct with ``file_path`` and ``row_index`` that names a row.
     """
+    spark = texts.sparkSession
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = int(64 * longs * share + 4 * math.sqrt(64 * longs * share * (1 - share)))
     fps = [f"f{i}" for i in range(longs)]
-    slim = docs.select(F.struct(*locator).alias("at"), F.col(text_col).cast("binary").alias("text"))
+    slim = texts.select("at", F.col("text").cast("binary").alias("text"))
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1)
             for i in range(0, batch.num_rows, 500):
-                found = [sketch(t or b"", n, longs) for t in texts[i : i + 500].to_pylist()]
-                words = np.array([(cls, *bits) for cls, bits, _ in found], dtype=np.uint64).view(np.int64)
-                sets = pa.array([x[2] for x in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 500], *(pa.array(c) for c in words.T.copy()), sets], names=["at", "cls", *fps, "shingles"])
-
-    schema = f"at {slim.schema['at'].dataType.simpleString()}, cls long, " + ", ".join(f"{f} long" for f in fps) + ", shingles binary"
-    rows, rows_path = common.written(slim.mapInArrow(run, schema), "similar-rows")
-    classes, _ = common.written(rows.select("cls", *fps).distinct(), "similar-classes")
-    bits = max(12, math.ceil(math.log2(max(2, classes.count()))) + 3)
-    chosen = mask_choices(longs, bits, key_choices(share, longs, bits, choices, chance))
+                found = [sketch(t or b"", n, longs)[:2] for t in batch.column(1)[i : i + 500].to_pylist()]
+                words = np.array([(cls, *bits) for cls, bits in found], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 500], *(pa.array(c) for c in words.T.copy())], names=["at", "cls", *fps])
+
+    schema = f"at {slim.schema['at'].dataType.simpleString()}, cls long, " + ", ".join(f"{f} long" for f in fps)
+    rows, _ = common.written(slim.mapInArrow(run, schema), "similar-rows")
+    first = F.min(F.struct("at.file_path", "at.row_index")).alias("at")
+    classes, _ = common.written(rows.groupBy("cls").agg(*[F.min(f).alias(f) for f in fps], first), "similar-classes")
+    bits = max(12, math.ceil(math.log2(max(2, classes.count()))) - 1)
+    chosen = mask_choices(longs, bits, key_choices(share, longs, bits, 8, chance))
     masks = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(signed(m)).alias(f) for f, m in zip(fps, choice)]) for i, choice in enumerate(chosen)])
     filed = classes.select("cls", *fps, F.explode(masks).alias("mask"))
-    keyed = filed.select("cls", F.xxhash64("mask.i", *[F.col(f).bitwiseAND(F.col(f"mask.{f}")) for f in fps]).alias("key"))
-    sets = rows.select("cls", "shingles")
-    roots = met_links(classes, keyed, fps, most, lambda pairs: alike_pairs(pairs, sets, similarity))
-    found = rows.select("at", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("at", F.coalesce("root", "cls").alias("root"))
-    found, _ = common.written(found, "similar-found")
-    common.delete(docs.sparkSession, rows_path)
+    keyed = filed.select(F.xxhash64("mask.i", *[F.col(f).bitwiseAND(F.col(f"mask.{f}")) for f in fps]).alias("key"), "cls", "f0")
+    pairs, rest = pairs_by_key(keyed, fps, most, hot)
+    near, _ = common.written(near_pairs(pairs, classes, fps, most), "similar-near")
+    rest, _ = common.written(rest, "similar-hot")
+    named = near.select(F.explode(F.array("a", "b")).alias("cls")).union(rest.select("cls")).distinct()
+    wanted, _ = common.written(named.join(classes, "cls").select("cls", "at"), "similar-wanted")
+    with common.conf(spark, common.BLOOM_CONF):
+        sets, sets_path = common.written(shingle_sets(slim, wanted, n), "similar-sets")
+    alike = lambda some: alike_pairs(some, sets, similarity)
+    roots, _ = settled(near, None, alike)
+    roots = met_links(classes, rest, fps, most, roots, alike)
+    found, _ = common.written(rooted(rows.select("at", "cls"), roots, {"cls": "root"}).select("at", "root"), "similar-found")
+    common.delete(spark, sets_path)
     return found
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of ``docs`` without near-duplicates, whole: of each group of
     :func:`similar` the row with the least identifier stays, nulls last (of equal
-    ones the first in the files)."""
-    docs = common.filed(docs, "similar-docs")
-    groups, _ = common.written(similar(docs, locator=["_metadata.file_path", "_metadata.row_index", F.col(id_col).alias("id")], **kw), "similar-groups")
+    ones the first in the files).  Null texts count as empty and are near each other;
+    an empty table gives an empty result; columns may have any names."""
+    rows = common.nested(docs, "similar-docs")
+    ids = rows.select(F.struct("at.*", F.col(f"row.`{id_col}`").alias("id")).alias("at"), F.col(f"row.`{text_col}`").alias("text"))
+    groups = similar(ids, **kw)
     first = F.min(F.struct(F.col("at.id").isNull(), F.col("at.id"), "at.file_path", "at.row_index")).alias("first")
-    several = groups.groupBy("root").agg(F.count("*").alias("size"), first).where("size > 1")
-    gone = groups.join(several, "root").where(~(F.col("at.file_path").eqNullSafe(F.col("first.file_path")) & (F.col("at.row_index") == F.col("first.row_index"))))
-    gone = gone.select(F.struct("at.file_path", "at.row_index").alias("_gone"))
-    rows = docs.withColumn("_at", F.struct("_metadata.file_path", "_metadata.row_index"))
-    return rows.join(gone, F.col("_at") == F.col("_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    several = groups.groupBy("root").agg(F.count("*").alias("size"), first).where("size > 1").select("root", "first")
+    gone = groups.join(several, "root").where(~((F.col("at.file_path") == F.col("first.file_path")) & (F.col("at.row_index") == F.col("first.row_index"))))
+    gone, _ = common.written(gone.select(F.struct("at.file_path", "at.row_index").alias("gone")), "similar-gone")
+    return rows.join(gone, F.col("at") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -251,8 +251,8 @@ def write_packages(pages: DataFrame, folder: str | None = None, min_bytes: int =
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(jvm)
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = common.located(pages, list(dict.fromkeys([id_col, url_col, payload_col])), "warc-rows")
-    rows = rows.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.col("_at").alias("row"))
+    rows = common.filed(pages, "warc-rows")
+    rows = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"), common.place(rows).alias("row"))
     slim = rows.where(F.octet_length("payload") >= min_bytes).select("id", "row", F.sha1("payload").alias("sha1"))
     equal = slim.groupBy("sha1").agg(F.count("*").alias("n"), F.max(F.struct("id", "row")).alias("first")).where("n > 1")
     equal, _ = common.written(equal.select("sha1", "first"), "warc-equal")

@@ -55,3 +55,19 @@ def test_stages_on_odd_rows(spark, sf):
                 assert kept == sorted([(1, 0), (7, len(text)), (9, 300000)], key=str)
         else:
             assert out.count() == len(rows)
+
+
+def test_stages_keep_columns_of_any_name(spark, sf, tmp_path):
+    names = ["_at", "_gone", "_domain", "_epoch", "_metadata", "at", "row", "_row", "gone", "stay", "domain", "epoch", "key", "cls", "_id", "_place", "_bucket", "_lang", "locator", "digest"]
+    rows = [(i, f"some words of text {i % 3} that repeat", "en", "src0", 5) for i in range(12)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, lang string, source string, n_chars long"])).selectExpr("*", *[f"concat('{n}', doc_id) AS `{n}`" for n in names])
+    docs.write.parquet(str(tmp_path / "docs"))
+    for given in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, given, sf)
+            assert out.columns == docs.columns, name
+            got = out.collect()
+            assert got, name
+            for r in got:
+                assert all(r[n] == f"{n}{r.doc_id}" for n in names), name
+        assert corpus_pipeline.STAGES[4][1](spark, given, sf).count() == 12

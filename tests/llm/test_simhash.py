@@ -153,3 +153,38 @@ def test_unlike_texts_with_a_common_repeated_line_stay(spark):
                 root = [root[j] if r == root[i] else r for r in root]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == {root.index(r) for r in set(root)}
+
+
+def test_recall_from_the_similarity_up_at_two_sizes(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    for fillers in (0, 9000):
+        rows, pairs = [], []
+        while len(pairs) < 150:
+            base = [word() for _ in range(rng.randrange(150, 400))]
+            copy = list(base)
+            for _ in range(max(1, len(base) // 48)):
+                copy[rng.randrange(len(base))] = word()
+            if 0.8 <= jaccard(base, copy) < 0.86:
+                pairs.append((len(rows), len(rows) + 1))
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+        rows += [(len(rows) + i, " ".join(word() for _ in range(30))) for i in range(fillers)]
+        stay = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+        assert stay >= {i for i, _ in rows} - {b for _, b in pairs}
+        assert sum(b not in stay for _, b in pairs) >= 0.9 * len(pairs), fillers
+
+
+def test_hot_keys_ask_about_few_pairs_and_lose_no_link(spark, monkeypatch):
+    rng, asked = random.Random(8), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, other = ([word() for _ in range(300)] for _ in range(2))
+    texts = []
+    for i in range(240):
+        copy = list(base if i % 3 else other)
+        copy[rng.randrange(300)] = word()
+        texts.append(" ".join(copy))
+    real = simhash.alike_pairs
+    monkeypatch.setattr(simhash, "alike_pairs", lambda pairs, *a: asked.append(pairs.count()) or real(pairs, *a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(docs, hot=8).collect()} == {0, 1}
+    assert sum(asked) < 10 * len(texts)
