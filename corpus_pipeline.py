@@ -3,12 +3,19 @@
 Each stage takes ``(spark, docs, sf_dir)``, reads all that its predecessor kept
 (written as Parquet and read again) and returns a DataFrame; all but the last
 return the columns of ``documents``.
+
+Any column may be null, and further columns may have any names: they are handed on
+as they are.  A null text counts as empty; an empty text isn't toxic, and all empty
+texts are copies of each other.  A null identifier is a document like any other; it is
+smaller than all others for exact dedup (the largest stays) and comes last for
+near-dedup (the smallest stays); of rows that repeat an identifier and a text, one
+stays.  Null languages and sources are leaves of the mixture like others.  Empty
+tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from matrixloom.llm import bpe, common, exact_dedup, mixing, simhash, toxicity
 
@@ -31,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The production mixture over the tokens that are left; a document comes once for
     each epoch that has it."""
-    return mixing.mixed(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixing.mixture(docs).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
