@@ -1,67 +1,70 @@
-"""Exact top-k search by BM25: inverted index by shards, block-max pruning.
+"""Exact top-k search by BM25: inverted index by shards, block-max WAND.
 
 Terms are runs of anything but ASCII characters other than letters and digits,
 with A-Z lower-cased; a query is the set of its text's terms.  Global statistics
 (documents, mean length, documents of each term of a query) come first, so each
 shard scores as the whole collection would.
 
-A shard holds a bounded number of documents as an inverted index whose postings
-are cut into aligned blocks of documents; each term has the largest impact in each
-of its blocks.  For a query the postings of its rare terms are all added up; a
-block's scores are bounded by the best of these sums in it plus the other terms'
-block maxima.  Blocks are taken by falling bound and scored in full until the best bound
-left is below the k-th score found (the pivot test of WAND, made for all blocks at
-once), so no document of the top k is missed.  Shards' answers are merged.
-
-Each shard is one partition of one exchange: first its documents come, then block
-after block of queries, each answered before the next is read, so a task holds one
-shard's index and one block of queries.  Terms travel as 64-bit hashes (XXH64).
+A shard holds a bounded number of documents as an inverted index.  Documents of the
+same terms are one entry; entries are ordered by likeness (clusters of their frequent
+terms, then length), so that aligned blocks of ``BLOCK`` entries hold like ones, and
+each term has the largest impact in each of its blocks.
+
+Queries are answered in batches.  The postings of a query's rare terms are all added
+up; a block's scores are bounded by the best of these sums in it plus the frequent
+terms' block maxima, for a batch a product of matrices.  The block of the best bound
+gives each query a first threshold, the k-th score found.  Then the index is walked in
+order: the pivot of a query is the next block whose bound reaches its threshold,
+blocks before it are skipped, and thresholds rise with what pivots give.  The blocks at
+pivots are scored for the queries that stop there, again by products of matrices in
+single precision; all that comes within their rounding errors (bounded by the number
+of terms) of the k-th score is scored once more in double precision, so no document of
+the top k is missed.  Shards' answers are merged.
+
+Each shard, with a group of the queries, is one partition of one exchange: first its
+documents come, then block after block of queries, each answered before the next is
+read, so a task holds one shard's index and one block of queries.  Terms travel as
+64-bit hashes (XXH64), once for each block of documents or queries.
 
 Scores are rounded to six decimals; equal ones rank by the smaller identifier.
 
 Behaviour: null texts are empty, match nothing and, as queries, have no answers;
 only documents that share a term with the query are answers, the query's own row
-among them; repeated rows and identifiers are rows of their own; rows with a null
-identifier can be found but ask nothing; an empty table gives an empty result;
-only identifier and text are read, whatever other columns are called.
+among them; repeated rows and identifiers are rows of their own; identifiers are whole
+numbers (other types are an error); rows with a null identifier can be found but ask
+nothing; an empty table gives an empty result; only identifier and text are read,
+whatever other columns are called.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import common
 
 K1, B = 1.2, 0.75
-BLOCK = 32
+#: Entries of a block, and of a chunk of blocks that is scored at once.
+BLOCK, CHUNK = 32, 256
+#: Documents that travel as one block; terms that a task counts before it hands them on.
+_DOCS, _TERMS = 256, 400_000
 _TERM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 DOCS, QUERIES = 0, 1
 ROWS = "shard int, kind int, block binary"
 
 
-def terms_of(text: bytes | None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes of a text's terms, how often it has them, and its length in terms."""
-    from xxhash import xxh64_intdigest
-
-    found: dict[bytes, int] = {}
-    for w in _TERM.findall((text or b"").lower()):
-        found[w] = found.get(w, 0) + 1
-    h = np.fromiter(map(xxh64_intdigest, found), dtype=np.uint64, count=len(found))
-    n = np.fromiter(found.values(), dtype=np.uint32, count=len(found))
-    order = np.argsort(h)
-    return h[order], n[order], int(n.sum())
-
-
 def _pack(x) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, protocol=5))
 
 
 def _unpack(x: bytes):
@@ -70,247 +73,337 @@ def _unpack(x: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 up in the smallest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, and the range of each."""
+    sizes = ends - starts
+    owner = np.repeat(np.arange(len(starts)), sizes)
+    return np.arange(len(owner)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes), owner
+
+
 class Index:
     """Inverted index of one shard's documents."""
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, owner: np.ndarray, mean: float):
         """ids, lengths: of documents; terms, counts, owner: of postings, by document."""
-        self.ids = ids
-        order = np.argsort(terms, kind="stable").astype(np.int32)
-        terms = terms[order]
-        self.doc = owner[order].astype(np.int32)
-        tf = counts[order].astype(np.float64)
-        del order
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * (lengths / mean)[self.doc]))
-        del tf
-        block = self.doc // BLOCK
-        new = np.ones(len(terms), dtype=bool)
-        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
-        self.starts = np.append(np.flatnonzero(new), len(terms)).astype(np.int32)  # of each term's postings in each block
-        self.block = block[self.starts[:-1]]
-        self.most = np.maximum.reduceat(self.impact, self.starts[:-1]) if len(terms) else np.zeros(0)
-        self.terms, first = np.unique(terms[self.starts[:-1]], return_index=True)
-        self.first = np.append(first, len(self.block)).astype(np.int32)
-        self.blocks = -(-len(ids) // BLOCK)
+        self.terms, term = np.unique(terms, return_inverse=True)
+        tf = counts.astype(np.float64)
+        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * (lengths / mean)[owner]))
+        df = np.bincount(term, minlength=len(self.terms))
+        n = len(ids)
+        common_terms = np.flatnonzero(df > n // 48)
+        self.frequent = np.full(len(self.terms), -1, dtype=np.int32)
+        self.frequent[common_terms] = np.arange(len(common_terms))
+        mine = self.frequent[term] >= 0
+        self.order = _by_likeness(self.frequent[term[mine]], impact[mine], owner[mine], lengths, len(common_terms))
+        place = np.empty(n, dtype=np.int64)
+        place[self.order] = np.arange(n)
+        self.ids = ids[self.order]
+        owner = place[owner]
+        by_entry = np.argsort(owner, kind="stable")
+        self.entry_start = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
+        self.entry_term, self.entry_impact = term[by_entry].astype(np.int32), impact[by_entry]
+        # postings of rare terms by term; frequent ones as block maxima and dense chunks
+        rare = np.flatnonzero(~mine)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.entry, self.impact = owner[rare].astype(np.int32), impact[rare].astype(np.float32)
+        self.first = np.concatenate([[0], np.cumsum(np.where(self.frequent < 0, df, 0))])
+        self.size = -(-n // CHUNK) * CHUNK
+        self.most = np.zeros((len(common_terms), self.size // BLOCK), dtype=np.float32)
+        self.chunks = []
+        often = by_entry[mine[by_entry]]
+        cut = np.searchsorted(owner[often], np.arange(0, self.size + 1, CHUNK))
+        for c in range(self.size // CHUNK):
+            some = often[cut[c] : cut[c + 1]]
+            rows, at = np.unique(self.frequent[term[some]], return_inverse=True)
+            dense = np.zeros((len(rows), CHUNK), dtype=np.float32)
+            dense[at, owner[some] % CHUNK] = impact[some]
+            self.chunks.append((rows, dense))
+            self.most[rows, c * (CHUNK // BLOCK) : (c + 1) * (CHUNK // BLOCK)] = dense.reshape(len(rows), -1, BLOCK).max(axis=2)
+        self.weights = np.zeros(len(self.terms))
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents (their numbers) of the k best scores, ties by identifier."""
-        docs, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
+        return self.answers(np.zeros(len(terms), dtype=np.int64), terms, weights, 1, k)[0]
+
+    def answers(self, query: np.ndarray, terms: np.ndarray, weights: np.ndarray, count: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As :meth:`top` for each of ``count`` queries; query: of each term (ascending)."""
+        none = (np.zeros(0, dtype=np.int64), np.zeros(0))
         if not len(self.terms) or not len(terms):
-            return docs, scores
+            return [none] * count
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         ok = self.terms[at] == terms
-        at, weights = at[ok], weights[ok]
-        if not len(at):
-            return docs, scores
-        size, low, high = self.blocks * BLOCK, self.starts[self.first[at]], self.starts[self.first[at + 1]]
-        rare = high - low <= len(self.ids) // 64
-        postings, of = spread(low[rare], high[rare])
-        partial = np.bincount(self.doc[postings], self.impact[postings] * weights[rare][of], minlength=size)
-        seen = np.zeros(size, dtype=bool)
-        seen[self.doc[postings]] = True
-        at, weights = at[~rare], weights[~rare]
-        cells, of = spread(self.first[at], self.first[at + 1])
-        block = self.block[cells]
-        bound = partial.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, self.most[cells] * weights[of], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        place = np.empty(self.blocks, dtype=np.int64)
-        place[order] = np.arange(self.blocks)
-        done, step, least = 0, 8, -np.inf
-        while done < self.blocks and bound[order[done]] > 0 and bound[order[done]] >= least - 2e-6:
-            stop = done + max(1, min(step, int(np.searchsorted(-bound[order[done : done + step]], 2e-6 - least, side="right"))))
-            mine = np.flatnonzero((place[block] >= done) & (place[block] < stop))
-            postings, cell = spread(self.starts[cells[mine]], self.starts[cells[mine] + 1])
-            local = (place[block[mine]] - done)[cell] * BLOCK + self.doc[postings] % BLOCK
-            whole = (order[done:stop, None] * BLOCK + np.arange(BLOCK)).ravel()
-            found = partial[whole] + np.bincount(local, self.impact[postings] * weights[of[mine]][cell], minlength=len(whole))
-            some = np.flatnonzero(seen[whole] | (np.bincount(local, minlength=len(whole)) > 0))
-            docs, scores = np.concatenate([docs, whole[some]]), np.concatenate([scores, np.round(found[some], 6)])
-            if len(scores) > k:
-                best = np.lexsort((self.ids[docs], -scores))[:k]
-                docs, scores = docs[best], scores[best]
-            if len(scores) >= k:
-                least = scores.min()
-            done, step = stop, min(2 * step, 256)
-        best = np.lexsort((self.ids[docs], -scores))[:k]
-        return docs[best], scores[best]
-
-
-def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges, and the range of each."""
-    sizes = ends - starts
-    owner = np.repeat(np.arange(len(starts)), sizes)
-    return np.arange(len(owner)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes), owner
-
-
-def _collected(shards: int):
-    """Documents, packed by shard."""
+        query, at, weights = query[ok], at[ok], weights[ok]
+        place = self.frequent[at]
+        often = place >= 0
+        rare, owner = spread(self.first[at[~often]], self.first[at[~often] + 1])
+        cells = query[~often][owner] * self.size + self.entry[rare]
+        partial = np.bincount(cells, self.impact[rare] * weights[~often][owner], minlength=count * self.size).astype(np.float32).reshape(count, self.size)
+        dense = np.zeros((count, len(self.most)), dtype=np.float32)
+        dense[query[often], place[often]] = weights[often]
+        bound = dense @ self.most
+        bound += partial.reshape(count, -1, BLOCK).max(axis=2)
+        # what sums in single precision may be off by, twice, and what rounding to six decimals may add
+        slack = 4e-6 + 2.5e-7 * (np.bincount(query, minlength=count) + 8) * bound.max(axis=1)
+        found = self._candidates(dense, partial, bound, slack, k)
+        starts = np.searchsorted(query, np.arange(count + 1))
+        return [self._exact(at[a:b], weights[a:b], some, k) if len(some) else none for a, b, some in zip(starts, starts[1:], found)]
+
+    def _candidates(self, dense: np.ndarray, partial: np.ndarray, bound: np.ndarray, slack: np.ndarray, k: int) -> list[np.ndarray]:
+        """Of each query the entries whose scores reach the k-th within the slack."""
+        count = len(dense)
+        best = np.zeros((count, k), dtype=np.float32)  # the k best scores so far
+        per = CHUNK // BLOCK
+        reach = bound.reshape(count, -1, per).max(axis=2)
+        entries: list[tuple] = []
+
+        def score(c: int, some: np.ndarray) -> None:
+            rows, impacts = self.chunks[c]
+            got = dense[some][:, rows] @ impacts
+            got += partial[some, c * CHUNK : (c + 1) * CHUNK]
+            most = np.concatenate([best[some], got], axis=1)
+            best[some] = np.partition(most, most.shape[1] - k, axis=1)[:, -k:]
+            q, e = np.nonzero((got > 0) & (got >= (best[some].min(axis=1) - slack[some])[:, None]))
+            entries.append((some[q], e + c * CHUNK, got[q, e]))
+
+        start = reach.argmax(axis=1)
+        asks = reach[np.arange(count), start] > 0
+        for c in np.unique(start[asks]).tolist():
+            score(c, np.flatnonzero(asks & (start == c)))
+        for c in range(len(self.chunks)):
+            # pivots: blocks of this chunk whose bounds reach the thresholds
+            some = np.flatnonzero(asks & (start != c) & (reach[:, c] > 0) & (reach[:, c] >= best.min(axis=1) - slack))
+            if len(some):
+                score(c, some)
+        query, entry, got = (np.concatenate(x) for x in zip(*entries)) if entries else (np.zeros(0, dtype=np.int64),) * 3
+        keep = got >= best.min(axis=1)[query] - slack[query]
+        query, entry = query[keep], entry[keep]
+        by = np.argsort(query, kind="stable")
+        return np.split(entry[by], np.searchsorted(query[by], np.arange(1, count)))
+
+    def _exact(self, at: np.ndarray, weights: np.ndarray, some: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        self.weights[at] = weights
+        postings, owner = spread(self.entry_start[some], self.entry_start[some + 1])
+        score = np.round(np.bincount(owner, self.weights[self.entry_term[postings]] * self.entry_impact[postings], minlength=len(some)), 6)
+        self.weights[at] = 0.0
+        best = np.lexsort((self.ids[some], -score))[:k]
+        return self.order[some[best]], score[best]
+
+
+def _by_likeness(term: np.ndarray, impact: np.ndarray, owner: np.ndarray, lengths: np.ndarray, terms: int, clusters: int = 16) -> np.ndarray:
+    """An order of documents: clusters of like frequent terms, in these by length."""
+    n, cluster = len(lengths), np.zeros(len(lengths), dtype=np.int64)
+    if n > 4 * BLOCK and terms:
+        rows = np.zeros((n, terms), dtype=np.float32)
+        rows[owner, term] = impact
+        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+        centers = rows[np.random.default_rng(5).choice(n, min(n, clusters), replace=False)]
+        for _ in range(5):
+            cluster = (rows @ centers.T).argmax(axis=1)
+            centers = np.stack([rows[cluster == c].sum(axis=0) for c in range(len(centers))])
+            centers /= np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-9)
+    return np.lexsort((np.arange(n), lengths, cluster))
+
+
+class Shard:
+    """The index of a shard's blocks of documents, those of the same terms as one entry."""
+
+    def __init__(self, blocks: list[tuple], mean: float):
+        keys = [x for b in blocks for x in b[0]]
+        sizes, lengths = (np.concatenate([b[i].astype(np.int64) for b in blocks]) for i in (1, 2))
+        terms, counts = np.concatenate([b[3][b[4]] for b in blocks]), np.concatenate([b[5].astype(np.int32) for b in blocks])
+        blocks.clear()
+        ends = np.cumsum(sizes)
+        seen: dict[bytes, int] = {}
+        self.keys: list[list] = []
+        first = []
+        for i, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
+            entry = seen.setdefault(terms[a:b].tobytes() + counts[a:b].tobytes(), len(seen))
+            if entry == len(self.keys):
+                self.keys.append([])
+                first.append(i)
+            self.keys[entry].append(keys[i])
+        del seen
+        for same in self.keys:
+            same.sort(key=lambda x: (x is None, x or 0))
+        first = np.array(first, dtype=np.int64)
+        at, owner = spread((ends - sizes)[first], ends[first])
+        ids = np.array([np.iinfo(np.int64).max if x[0] is None else x[0] for x in self.keys], dtype=np.int64)
+        self.index = Index(ids, lengths[first], terms[at], counts[at], owner, mean)
+
+    def answers(self, block: tuple, k: int):
+        """``query, id, score`` of the k best documents of each query of a block."""
+        keys, sizes, terms, weights, at = block
+        query = np.repeat(np.arange(len(keys)), sizes)
+        for key, (best, scores) in zip(keys, self.index.answers(query, terms[at], weights[at], len(keys), k)):
+            left, rows = k, []
+            # entries of one score rank by identifier, so all of them are asked before any is cut
+            for score, some in groupby(zip(scores.tolist(), best.tolist()), key=lambda x: x[0]):
+                ids = sorted((x for _, e in some for x in self.keys[e][:k]), key=lambda x: (x is None, x or 0))[:left]
+                rows += [(key, x, score) for x in ids]
+                left -= len(ids)
+                if not left:
+                    break
+            yield from rows
+
+
+def _read(shards: int, size: int):
+    """Of texts: blocks of documents, dealt to the shards (kind 3), the documents of each
+    term (2), the number of documents (0) and of their terms (1)."""
+    names = ["kind", "shard", "block", "term", "n"]
+
+    def tally(kind, terms, n):
+        size = len(n)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind), pa.int32()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), terms, pa.array(n, pa.int64())], names=names)
+
+    def summed(held):
+        terms, n = (np.concatenate(x) for x in zip(*held))
+        terms, at = np.unique(terms, return_inverse=True)
+        return terms, np.bincount(at, n, minlength=len(terms)).astype(np.int64)
 
     def run(batches):
         from pyspark import TaskContext
+        from xxhash import xxh64_intdigest
 
-        held: dict[int, list] = {}
-        at = TaskContext.get().partitionId() * 7919
-
-        def out(shard):
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([DOCS], pa.int32()), pa.array([_pack(_joined(held.pop(shard)))], pa.binary())], names=["shard", "kind", "block"])
-
-        count = 0
+        at = xxh64_intdigest(str(TaskContext.get().partitionId()))
+        held, waiting, docs, length = [], 0, 0, 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at += 1
-                held.setdefault(at % shards, []).append((key, *terms_of(text)))
-                count += 1
-                if count % 2000 == 0:
-                    for shard in list(held):
-                        yield out(shard)
-        for shard in list(held):
-            yield out(shard)
+            for i in range(0, batch.num_rows, size):
+                keys, texts, asks = (batch.column(c)[i : i + size].to_pylist() for c in range(3))
+                vocabulary: dict[bytes, int] = {}
+                sizes, lengths, terms, counts = [], [], [], []
+                for text in texts:
+                    found = Counter(_TERM.findall((text or b"").lower()))
+                    mine = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in found), dtype=np.int64, count=len(found))
+                    n = np.fromiter(found.values(), dtype=np.int64, count=len(found))
+                    by = np.argsort(mine)
+                    sizes.append(len(found))
+                    lengths.append(int(n.sum()))
+                    terms.append(mine[by])
+                    counts.append(n[by])
+                hashes = np.fromiter(map(xxh64_intdigest, vocabulary), dtype=np.uint64, count=len(vocabulary))
+                # in the order of hashes, so that the same terms look the same in all blocks
+                rank = np.argsort(np.argsort(hashes))
+                sizes = np.array(sizes, dtype=np.int64)
+                terms, counts = rank[np.concatenate(terms)], np.concatenate(counts)
+                by = np.lexsort((terms, np.repeat(np.arange(len(sizes)), sizes)))
+                terms, counts, hashes = terms[by], counts[by], np.sort(hashes)
+                block = (keys, _small(sizes), _small(np.array(lengths)), hashes, _small(terms), _small(counts), np.array(asks, dtype=bool))
+                yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([at % shards], pa.int32()), pa.array([_pack(block)], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=names)
+                at, docs, length = at + 1, docs + len(keys), length + sum(lengths)
+                held.append((hashes, np.bincount(terms, minlength=len(hashes))))
+                waiting += len(hashes)
+                if waiting > _TERMS:
+                    terms, n = summed(held)
+                    held, waiting = [(terms, n)], len(terms)
+                    if waiting > _TERMS // 2:
+                        yield tally(2, pa.array(terms.view(np.int64)), n)
+                        held, waiting = [], 0
+        if held:
+            terms, n = summed(held)
+            yield tally(2, pa.array(terms.view(np.int64)), n)
+        for kind, n in ((0, docs), (1, length)):
+            yield tally(kind, pa.nulls(1, pa.int64()), [n])
 
     return run
 
 
-def _answered(k: int, mean: float):
-    def run(batches):
-        index, docs = None, []
-        for batch in batches:
-            for _, kind, block in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind == DOCS:
-                    docs.append(_unpack(block))
-                    continue
-                if index is None:
-                    index = _built(docs, mean)
-                    docs.clear()
-                found = []
-                for key, terms, weights in _unpack(block):
-                    best, scores = index.top(terms, weights, k)
-                    found += [(key, index.keys[d], s) for d, s in zip(best.tolist(), scores.tolist())]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))], names=["query", "id", "score"])
-
-    return run
-
-
-def _joined(docs: list) -> tuple:
-    """Documents of one task as arrays: keys, lengths, number of terms, terms, counts."""
-    keys, terms, counts, lengths = zip(*docs)
-    return list(keys), np.array(lengths, dtype=np.int64), np.array([len(t) for t in terms], dtype=np.int32), np.concatenate(terms), np.concatenate(counts)
-
-
-def _built(parts: list, mean: float) -> Index:
-    keys = [x for p in parts for x in p[0]]
-    ids = np.array([np.iinfo(np.int64).max if x is None else x for x in keys], dtype=np.int64)
-    lengths, sizes, terms, counts = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
-    parts.clear()
-    index = Index(ids, lengths, terms, counts, np.repeat(np.arange(len(keys), dtype=np.int32), sizes), mean)
-    index.keys = keys
-    return index
-
-
 def _query_terms(batches):
+    """Of blocks of documents the terms of those that ask."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 1000):
-            keys, terms = [], []
-            for key, text in zip(batch.column(0)[i : i + 1000].to_pylist(), batch.column(1)[i : i + 1000].to_pylist()):
-                h = terms_of(text)[0]
-                keys.append(np.full(len(h), key, dtype=np.int64))
-                terms.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(terms))], names=["query", "term"])
+        for packed in batch.column(0):
+            keys, sizes, _, hashes, terms, _, asks = _unpack(packed.as_py())
+            mine = asks & np.array([x is not None for x in keys], dtype=bool)
+            some = np.repeat(mine, sizes)
+            ids = np.repeat(np.array([x or 0 for x in keys], dtype=np.int64), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(hashes[terms[some]].view(np.int64))], names=["query", "term"])
 
 
 def _packed_queries(size: int):
     """Rows sorted by query, with weights, to blocks of ``size`` queries."""
 
-    def run(batches):
-        held, key, terms, weights = [], None, [], []
-
-        def close():
-            held.append((key, np.array(terms, dtype=np.int64).view(np.uint64), np.array(weights)))
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([_pack(held)], pa.binary())], names=["block"])
+    def pack(keys, sizes, terms, weights):
+        terms, first, at = np.unique(np.array(terms, dtype=np.int64).view(np.uint64), return_index=True, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array([_pack((keys, sizes, terms, np.array(weights)[first], _small(at)))], pa.binary())], names=["block"])
 
+    def run(batches):
+        keys, sizes, terms, weights = [], [], [], []
         for batch in batches:
             for q, t, w in zip(*(c.to_pylist() for c in batch.columns)):
-                if q != key:
-                    if key is not None:
-                        close()
-                        if len(held) == size:
-                            yield out()
-                            held = []
-                    key, terms, weights = q, [], []
+                if not keys or q != keys[-1]:
+                    if len(keys) == size:
+                        yield pack(keys, sizes, terms, weights)
+                        keys, sizes, terms, weights = [], [], [], []
+                    keys.append(q)
+                    sizes.append(0)
+                sizes[-1] += 1
                 terms.append(t)
                 weights.append(w)
-        if key is not None:
-            close()
-            yield out()
+        if keys:
+            yield pack(keys, sizes, terms, weights)
 
     return run
 
 
-def _tallied(batches):
-    """Documents, terms in all, and the documents of each term in these batches."""
-    from collections import Counter
-
-    held: Counter = Counter()
-    docs = length = 0
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            h, _, n = terms_of(text)
-            held.update(h.view(np.int64).tolist())
-            docs += 1
-            length += n
-            if len(held) > 200_000:
-                yield _tally(held, docs, length)
-                held, docs, length = Counter(), 0, 0
-    yield _tally(held, docs, length)
+def _answered(k: int, mean: float):
+    """The answers of the shards of a partition, one shard after another."""
 
+    def run(batches):
+        rows = ((b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i]) for b in batches for i in range(b.num_rows))
+        for _, mine in groupby(rows, key=lambda r: r[0]):
+            shard, docs = None, []
+            for _, kind, block in mine:
+                if kind == DOCS:
+                    docs.append(_unpack(block.as_py()))
+                    continue
+                if shard is None and not docs:
+                    break  # no documents were dealt to this shard
+                if shard is None:
+                    shard = Shard(docs, mean)
+                found = list(shard.answers(_unpack(block.as_py()), k))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))], names=["query", "id", "score"])
 
-def _tally(held, docs, length):
-    return pa.RecordBatch.from_arrays(
-        [pa.array([None, None, *held], pa.int64()), pa.array([docs, length, *held.values()], pa.int64()), pa.array([0, 1, *[2] * len(held)], pa.int32())], names=["term", "n", "kind"]
-    )
+    return run
 
 
-def search(docs: DataFrame, asks: Column, k: int = 10, shard_docs: int = 16_384, block: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def search(docs: DataFrame, asks: Column, k: int = 10, shard_docs: int = 16_384, block: int = 200, group_queries: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``query, rank, id, score``: for each row that ``asks`` holds for, the ``k`` best
-    of all rows."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(asks, F.lit(False)).alias("asks"))
-    tallied, _ = common.written(slim.select("text").mapInArrow(_tallied, "term long, n long, kind int"), "bm25-tally")
-    sums = {r.kind: r.n for r in tallied.where("kind < 2").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    of all rows.  A task answers up to about ``group_queries`` queries, ``block`` at a
+    time, from a shard of about ``shard_docs`` documents."""
+    spark, ident, text = docs.sparkSession, F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    if not isinstance(docs.select(ident).schema[0].dataType, IntegralType):
+        raise TypeError(f"{id_col} isn't a whole number")
+    slim = docs.select(ident.cast("long").alias("id"), text.cast("binary").alias("text"), F.coalesce(asks, F.lit(False)).alias("asks"))
+    rows, asking = slim.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
+    shards, groups = max(1, -(-rows // shard_docs)), max(1, -(-asking // group_queries))
+    read, _ = common.written(slim.mapInArrow(_read(shards, min(_DOCS, shard_docs)), "kind int, shard int, block binary, term long, n long"), "bm25-read")
+    sums = {r.kind: r.n for r in read.where("kind < 2").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     count, mean = sums.get(0) or 0, max(1, sums.get(1) or 0) / max(1, sums.get(0) or 0)
-    of_term = tallied.where("kind = 2").groupBy("term").agg(F.sum("n").alias("df"))
-    wanted = slim.where("asks AND id IS NOT NULL").select("id", "text").mapInArrow(_query_terms, "query long, term long").distinct()
+    of_term = read.where("kind = 2").groupBy("term").agg(F.sum("n").alias("df"))
+    held = read.where("kind = 3").select("shard", "block")
+    wanted = held.select("block").mapInArrow(_query_terms, "query long, term long").distinct()
     weight = F.log((count - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weighed = wanted.join(of_term, "term").select("query", "term", weight.alias("weight"))
-    blocks = weighed.repartition("query").sortWithinPartitions("query").mapInArrow(_packed_queries(block), "block binary")
-    shards = max(1, -(-count // shard_docs))
-    asked = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(QUERIES).alias("kind"), "block")
-    held = slim.select("id", "text").mapInArrow(_collected(shards), ROWS)
-    # more partitions than shards, so that few partitions get several
-    dealt = held.unionByName(asked).repartition(4 * shards, "shard").sortWithinPartitions("shard", "kind")
-    found = dealt.mapInArrow(_by_shard(k, mean), "query long, id long, score double")
+    dealt = max(1, -(-asking // block))
+    # a block of queries is a task's whole share, so that few blocks are short
+    blocks = weighed.repartition(max(1, min(dealt, int(spark.conf.get("spark.sql.shuffle.partitions")))), "query")
+    blocks, _ = common.written(blocks.sortWithinPartitions("query").mapInArrow(_packed_queries(block), "block binary"), "bm25-queries")
+    group = F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = blocks.select("block", group.alias("group")).select(each(shards).alias("shard"), "group", F.lit(QUERIES).alias("kind"), "block")
+    held = held.select("shard", each(groups).alias("group"), F.lit(DOCS).alias("kind"), "block")
+    cell = (F.col("shard") * groups + F.col("group")).alias("shard")
+    cells = held.unionByName(asked).select(cell, "kind", "block").repartitionById(shards * groups, "shard").sortWithinPartitions("shard", "kind")
+    found = cells.mapInArrow(_answered(k, mean), "query long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 
-def _by_shard(k: int, mean: float):
-    """Shards that share a partition are answered one after another."""
-
-    def run(batches):
-        def rows():
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    yield batch.column(0)[i].as_py(), batch.slice(i, 1)
-
-        from itertools import groupby
-
-        for _, mine in groupby(rows(), key=lambda r: r[0]):
-            yield from _answered(k, mean)(b for _, b in mine)
-
-    return run
-
-
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document whose id is divisible by 20, its ten best among all."""
     return search(common.table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0).withColumnsRenamed({"query": "query_id", "id": "doc_id"})
