@@ -104,18 +104,29 @@ def element_name(element: Column) -> Column:
     return F.when(element < 0, F.concat(F.lit("r"), (-element).cast("string"))).when(element > 0, F.concat(F.lit("c"), element.cast("string")))
 
 
-def packed(ms: Matrices) -> DataFrame:
-    """``mid, m, n, cells``: each matrix in one row, for functions of a whole matrix."""
-    cells = ms.entries.groupBy("mid").agg(F.collect_list(F.struct(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "v")).alias("cells"))
-    return ms.dims.join(cells, "mid", "left")
+def packed(ms: Matrices, tasks: int | None = None) -> DataFrame:
+    """``mid, m, n, cells``: each matrix in one row, for functions of a whole matrix;
+    ``tasks``: into how many partitions matrices are dealt."""
+    dims, entries = ms.dims, ms.entries
+    if tasks:
+        dims, entries = dims.repartition(tasks, "mid"), entries.repartition(tasks, "mid")
+    cells = entries.groupBy("mid").agg(F.collect_list(F.struct(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "v")).alias("cells"))
+    return dims.join(cells, "mid", "left")
+
+
+def work_tasks(spark: SparkSession) -> int:
+    """Tasks for work per matrix: a few for each core that there is, so that they
+    balance, and no fewer than a shuffle has.  The count is explicit, as adaptive
+    execution would merge partitions by their bytes, while the work is in the rows."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def per_matrix(ms: Matrices, function: Callable[[int, Dense], Iterable[tuple]], schema: str, batch: int = 500) -> DataFrame:
     """Apply ``function(mid, dense rows) -> rows`` to each matrix, in Arrow batches.
 
-    One matrix is in memory at a time; matrices spread over all tasks.
+    One matrix is in memory at a time; matrices spread over :func:`work_tasks` tasks.
     """
-    df = packed(ms)
+    df = packed(ms, work_tasks(ms.dims.sparkSession))
     spark_schema = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 

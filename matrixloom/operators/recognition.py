@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import graphs, recognise, structure, tu
-from ..model import Matrices, per_matrix
-from .algebra import transpose
+from ..model import Matrices, per_matrix, work_tasks
 
 SUB = "rows array<int>, cols array<int>"
 MASK_ROWS = 10
@@ -25,30 +24,36 @@ def _sub(found) -> tuple:
 # --- total unimodularity ------------------------------------------------------
 
 
-def tu_by_masks(ms: Matrices) -> DataFrame:
-    """``mid, is_tu``: Ghouila-Houri's test on bit masks (no Python in the tasks).
-
-    A matrix of at most ``MASK_ROWS`` rows or columns becomes one row: for each column
-    the masks of the rows with 1 and with -1.  For each set of rows there must be a
-    part of it such that every column's sum over the part and over the rest differ by
-    at most one.  The smaller side is taken for the rows.  Others get null.
-    """
-    turned = Matrices(ms.dims.where("m > n"), ms.entries.join(ms.dims.where("m > n").select("mid"), "mid", "left_semi"))
-    plain = Matrices(ms.dims.where("m <= n"), ms.entries.join(ms.dims.where("m <= n").select("mid"), "mid", "left_semi"))
-    t = transpose(turned)
-    dims, entries = plain.dims.unionByName(t.dims), plain.entries.unionByName(t.entries)
+#: Ghouila-Houri's test on the columns' masks ``{cols}`` of rows with 1 (``p``) and with -1
+#: (``q``): each set of rows has a part such that every column's sums over the part and over
+#: the rest differ by at most one.
+MASK_TEST = """forall(sequence(1L, shiftleft(1L, m) - 1), s -> exists(sequence(0L, shiftright(s, 1)), h ->
+  (h & s) = h AND forall({cols}, x -> abs(
+    bit_count(x.p & s & ~h) - bit_count(x.q & s & ~h) - bit_count(x.p & h) + bit_count(x.q & h)) <= 1)))"""
+
+
+def _masked(ms: Matrices) -> DataFrame:
+    """``mid, m, n, cols, odd``: matrices of at most ``MASK_ROWS`` rows or columns in one row
+    each, the smaller side for the rows; ``cols``: of each column with nonzeros its number
+    and masks; ``odd``: whether an entry isn't -1, 0 or 1."""
+    dims = ms.dims.where(F.least("m", "n") <= MASK_ROWS).withColumn("turned", F.col("m") > F.col("n"))
+    e = ms.entries.join(dims.select("mid", "turned"), "mid")
+    e = e.select("mid", "v", F.when(F.col("turned"), F.col("c")).otherwise(F.col("r")).alias("r"), F.when(F.col("turned"), F.col("r")).otherwise(F.col("c")).alias("c"))
     bit = F.expr("shiftleft(1L, CAST(r AS INT))")
-    columns = entries.where("v IN (-1, 1)").groupBy("mid", "c").agg(F.sum(F.when(F.col("v") == 1, bit).otherwise(0)).alias("p"), F.sum(F.when(F.col("v") == -1, bit).otherwise(0)).alias("q"))
-    packed = columns.groupBy("mid").agg(F.collect_set(F.struct("p", "q")).alias("cols"))
-    odd = entries.where("v NOT IN (-1, 0, 1)").select("mid").distinct().withColumn("odd", F.lit(True))
-    whole = dims.where(F.col("m") <= MASK_ROWS).join(packed, "mid", "left").join(odd, "mid", "left")
-    verdict = F.expr(
-        """forall(sequence(1L, shiftleft(1L, m) - 1), s -> exists(sequence(0L, shiftright(s, 1)), h ->
-             (h & s) = h AND forall(cols, x -> abs(
-               bit_count(x.p & s & ~h) - bit_count(x.q & s & ~h) - bit_count(x.p & h) + bit_count(x.q & h)) <= 1)))"""
-    )
-    told = whole.select("mid", F.when(F.col("odd"), False).when(F.col("cols").isNull() | (F.col("m") == 0), True).otherwise(verdict).alias("is_tu"))
-    return ms.dims.select("mid").join(told, "mid", "left")
+    sums = [F.sum(F.when(F.col("v") == x, bit).otherwise(0)).alias(name) for x, name in ((1, "p"), (-1, "q"))]
+    columns = e.groupBy("mid", "c").agg(*sums, F.max((~F.col("v").isin(-1, 0, 1)).cast("int")).alias("odd"))
+    cols = columns.groupBy("mid").agg(F.collect_list(F.struct("c", "p", "q")).alias("cols"), (F.max("odd") == 1).alias("odd"))
+    sides = dims.select("mid", F.least("m", "n").alias("m"), F.greatest("m", "n").alias("n"))
+    return sides.join(cols, "mid", "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
+
+
+def tu_by_masks(ms: Matrices) -> DataFrame:
+    """``mid, is_tu``: Ghouila-Houri's test on bit masks (no Python in the tasks) of matrices
+    with at most ``MASK_ROWS`` rows or columns; others by decomposition."""
+    verdict = F.expr(MASK_TEST.format(cols="array_distinct(transform(cols, x -> named_struct('p', x.p, 'q', x.q)))"))
+    told = _masked(ms).select("mid", F.when(F.col("odd"), False).when(F.col("cols").isNull() | (F.col("m") == 0), True).otherwise(verdict).alias("is_tu"))
+    large = ms.where(F.least("m", "n") > MASK_ROWS)
+    return told.unionByName(tu_test(large).select("mid", "is_tu"))
 
 
 def tu_test(ms: Matrices, algorithm: str = "decomposition") -> DataFrame:
@@ -107,40 +112,66 @@ def regular_test(ms: Matrices) -> DataFrame:
 
 
 def complements(ms: Matrices, at: DataFrame) -> Matrices:
-    """The 0/1 matrices complemented at ``at(mid, i, j)`` (null: none), relationally."""
-    cells = (
-        ms.dims.where("m > 0 AND n > 0").join(at, "mid")
-        .withColumn("r", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        .withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    )
-    e = ms.entries.select("mid", "r", "c", F.col("v").cast("int").alias("v"))
-
-    def value(r: str, c: str, name: str) -> DataFrame:
-        return e.select("mid", F.col("r").alias(r), F.col("c").alias(c), F.col("v").alias(name))
-
-    cells = cells.join(value("r", "c", "own"), ["mid", "r", "c"], "left")
-    cells = cells.join(value("r", "j", "in_col"), ["mid", "r", "j"], "left")
-    cells = cells.join(value("i", "c", "in_row"), ["mid", "i", "c"], "left")
-    cells = cells.join(value("i", "j", "d"), ["mid", "i", "j"], "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    in_i, in_j = F.coalesce(F.col("r") == F.col("i"), F.lit(False)), F.coalesce(F.col("c") == F.col("j"), F.lit(False))
-    new = (
-        F.when(in_i & in_j, z("own"))
-        .when(in_i | in_j, z("own").bitwiseXOR(z("d")))
-        .otherwise(z("own").bitwiseXOR(z("d")).bitwiseXOR(z("in_col")).bitwiseXOR(z("in_row")))
-    )
-    return Matrices(ms.dims, cells.select("mid", "r", "c", new.alias("v")).where("v <> 0"))
+    """The 0/1 matrices complemented at ``at(mid, i, j)`` (null: none), relationally.
+
+    A cell outside of row i and column j changes by its entries in these and by the entry
+    where they cross, one inside of them by the latter only, so the complement is a sum
+    modulo 2 of copies: of each entry of row i in all rows, of each of column j in all
+    columns, and of the crossing's in all cells.  Only nonzeros are ever joined."""
+    e = ms.entries.select("mid", "r", "c", (F.col("v").cast("int") % 2).alias("v")).where("v <> 0")
+    near = e.join(ms.dims, "mid").join(at, "mid", "left")
+    rows, cols = F.sequence(F.lit(0), F.col("m") - 1), F.sequence(F.lit(0), F.col("n") - 1)
+    to_rows = F.when(F.col("r").eqNullSafe(F.col("i")), rows).otherwise(F.array("r"))
+    to_cols = F.when(F.col("c").eqNullSafe(F.col("j")), cols).otherwise(F.array("c"))
+    copies = near.select("mid", to_cols.alias("cs"), F.explode(to_rows).alias("r")).select("mid", "r", F.explode("cs").alias("c"))
+    parity = copies.groupBy("mid", "r", "c").agg((F.count("*") % 2).cast("int").alias("v"))
+    return Matrices(ms.dims, parity.where("v <> 0"))
+
+
+#: The entries of a 0/1 matrix's columns after a complement: row i = k div (n + 1) (none: m),
+#: column j = k mod (n + 1) (none: n), from the masks ``full`` of all columns.
+_ROW, _COL = "CAST(k div (n + 1) AS INT)", "CAST(k % (n + 1) AS INT)"
+_HIT = f"IF({_ROW} < m, shiftleft(1L, {_ROW}), 0L)"
+_LINE = f"IF({_COL} < n, full[{_COL}], 0L)"
+_ALL = "(shiftleft(1L, m) - 1)"
+#: What every other column is changed by: column j outside of row i, and all of it once more if they cross in a one.
+_OTHER = f"""transform(full, (x, c) -> IF(c = {_COL},
+  IF(({_LINE} & {_HIT}) <> 0L, x ^ ({_ALL} & ~{_HIT}), x),
+  x ^ {_LINE} ^ IF(((x ^ {_LINE}) & {_HIT}) <> 0L, {_ALL} & ~{_HIT}, 0L)))"""
 
 
 def ctu_test(ms: Matrices) -> DataFrame:
     """``mid, is_ctu, row, col``: the first complement that isn't totally unimodular;
-    ``is_ctu`` is null if it can't be told."""
+    ``is_ctu`` is null if it can't be told.
+
+    Matrices of at most ``MASK_ROWS`` rows are complemented and tested on bit masks in one
+    expression per matrix; larger ones one by one."""
 
     def one(mid, a):
         verdict, bad = recognise.ctu(a)
         return [(mid, verdict, *(bad or (None, None)))]
 
-    return per_matrix(ms, one, "mid long, is_ctu boolean, row int, col int")
+    small = Matrices(ms.dims.where((F.col("m") <= MASK_ROWS) & (F.col("m") > 0) & (F.col("n") > 0)), ms.entries)
+    e = small.entries.where("v <> 0")
+    bit = F.expr("shiftleft(1L, CAST(r AS INT))")
+    cols = e.groupBy("mid", "c").agg(F.sum(F.when(F.col("v") == 1, bit).otherwise(0)).alias("p"), F.max((F.col("v") != 1).cast("int")).alias("odd"))
+    cols = cols.groupBy("mid").agg(F.map_from_entries(F.collect_list(F.struct("c", "p"))).alias("at"), (F.max("odd") == 1).alias("odd"))
+    tasks = work_tasks(ms.dims.sparkSession)
+    rows = small.dims.repartition(tasks, "mid").join(cols, "mid", "left")
+    full = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda c: F.coalesce(F.element_at("at", c), F.lit(0).cast("long")))
+    rows = rows.select("mid", "m", "n", "odd", F.coalesce(full, F.array_repeat(F.lit(0).cast("long"), F.col("n"))).alias("full"))
+    test = MASK_TEST.format(cols=f"array_distinct(transform({_OTHER}, y -> named_struct('p', y, 'q', 0L)))")
+    first = F.expr(f"aggregate(sequence(0, (m + 1) * (n + 1) - 1), -1, (seen, k) -> IF(seen >= 0, seen, IF({test}, -1, k)))")
+    found = rows.withColumn("k", F.when(F.col("odd"), F.lit(-2)).otherwise(first))
+    row, col = F.expr("CAST(k div (n + 1) AS INT)"), F.expr("CAST(k % (n + 1) AS INT)")
+    told = found.select(
+        "mid",
+        (F.col("k") == -1).alias("is_ctu"),
+        F.when((F.col("k") >= 0) & (row < F.col("m")), row).alias("row"),
+        F.when((F.col("k") >= 0) & (col < F.col("n")), col).alias("col"),
+    )
+    large = ms.where((F.col("m") > MASK_ROWS) | (F.col("m") == 0) | (F.col("n") == 0))
+    return told.unionByName(per_matrix(large, one, "mid long, is_ctu boolean, row int, col int"))
 
 
 # --- Camion, series-parallel, balanced ----------------------------------------

@@ -12,19 +12,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Quantities of a band: 1 to 17, 18 to 34 and 35 to 50 are 0, 1 and 2.
+BAND, BANDS = 17, 3
+
+
 def _parts(spark: SparkSession, sf_dir: str, value) -> Matrices:
-    """4 x 7 matrices, one per part: supplier number modulo 4 by line number, of the
-    lines of ``lineitem`` with ``l_quantity > 35`` only (as FIXTURES.md proposes)."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 35")
-    e = lines.groupBy(
-        F.col("l_partkey").alias("mid"), (F.col("l_suppkey") % 4).cast("int").alias("r"), (F.col("l_linenumber") - 1).alias("c")
+    """4 x 7 matrices, one per part and band of quantities: supplier number modulo 4 by
+    line number, of all lines of ``lineitem``.  ``value`` is never zero."""
+    band = F.floor((F.col("l_quantity") - 1) / BAND).cast("long")
+    e = table(spark, sf_dir, "lineitem").groupBy(
+        (F.col("l_partkey") * BANDS + band).alias("mid"), (F.col("l_suppkey") % 4).cast("int").alias("r"), (F.col("l_linenumber") - 1).alias("c")
     ).agg(value.cast("int").alias("v"))
-    e = e.where("v <> 0")
     return Matrices(e.select("mid").distinct().select("mid", F.lit(4).alias("m"), F.lit(7).alias("n")), e)
 
 
 def part_sign(spark: SparkSession, sf_dir: str) -> Matrices:
-    return _parts(spark, sf_dir, F.signum(F.sum(F.when(F.col("l_returnflag") == "A", -1).otherwise(1))))
+    """-1 where more lines were returned (A) than not."""
+    returned = F.sum(F.when(F.col("l_returnflag") == "A", -1).otherwise(1))
+    return _parts(spark, sf_dir, F.when(returned < 0, -1).otherwise(1))
 
 
 def part_binary(spark: SparkSession, sf_dir: str) -> Matrices:
@@ -46,9 +51,9 @@ def embeddings(spark: SparkSession, sf_dir: str) -> Matrices:
 
 
 #: The families as SQL, with the same columns.
-PART_SQL = """SELECT l_partkey AS mid, CAST(l_suppkey % 4 AS INTEGER) AS r, CAST(l_linenumber - 1 AS INTEGER) AS c, CAST({value} AS INTEGER) AS v
-  FROM lineitem WHERE l_quantity > 35 GROUP BY 1, 2, 3 HAVING CAST({value} AS INTEGER) <> 0"""
-SIGN_SQL = PART_SQL.format(value="sign(sum(CASE WHEN l_returnflag = 'A' THEN -1 ELSE 1 END))")
+PART_SQL = """SELECT l_partkey * 3 + CAST(floor((l_quantity - 1) / 17) AS BIGINT) AS mid, CAST(l_suppkey % 4 AS INTEGER) AS r,
+  CAST(l_linenumber - 1 AS INTEGER) AS c, CAST({value} AS INTEGER) AS v FROM lineitem GROUP BY 1, 2, 3"""
+SIGN_SQL = PART_SQL.format(value="CASE WHEN sum(CASE WHEN l_returnflag = 'A' THEN -1 ELSE 1 END) < 0 THEN -1 ELSE 1 END")
 BINARY_SQL = PART_SQL.format(value="1")
 COUNT_SQL = PART_SQL.format(value="count(*)")
 EMBED_SQL = """SELECT mid, r, c, CAST(x AS DOUBLE) AS v FROM (SELECT CAST(label AS BIGINT) AS mid,

@@ -34,13 +34,16 @@ def _entries(ms: Matrices) -> DataFrame:
 
 # --- total unimodularity --------------------------------------------------------
 
-#: Ghouila-Houri in SQL over entries ``e(key.., r, c, v)`` of matrices with 4 rows.
+#: Ghouila-Houri in SQL over entries ``e(key.., r, c, v)`` of matrices with 4 rows: of each
+#: pattern of a column and each set s of rows, the parts t of s (as bits) that split it well.
 GH = """
-masks AS (SELECT s, t FROM range(1, 16) a(s), range(0, 16) b(t) WHERE (t & s) = t),
-sums AS (SELECT {key}, s, t, c, sum(CASE WHEN (s >> r) & 1 = 0 THEN 0 WHEN (t >> r) & 1 = 1 THEN -v ELSE v END) AS x
-  FROM e, masks GROUP BY {key}, s, t, c),
-splits AS (SELECT {key}, s, t, max(abs(x)) <= 1 AS ok FROM sums GROUP BY {key}, s, t),
-sets AS (SELECT {key}, s, bool_or(ok) AS ok FROM splits GROUP BY {key}, s),
+side AS (SELECT CAST(x AS BIGINT) AS x FROM range(0, 16) a(x)),
+fit AS (SELECT a.x AS p, b.x AS q, s.x AS s, bit_or(CASE WHEN (t.x & s.x) = t.x AND abs(bit_count(a.x & s.x & ~t.x) - bit_count(b.x & s.x & ~t.x)
+    - bit_count(a.x & t.x) + bit_count(b.x & t.x)) <= 1 THEN CAST(1 AS BIGINT) << t.x ELSE 0 END) AS parts
+  FROM side a, side b, side s, side t WHERE (a.x & b.x) = 0 AND s.x > 0 GROUP BY a.x, b.x, s.x),
+pattern AS (SELECT DISTINCT {key}, p, q FROM (SELECT {key}, c, CAST(sum(CASE WHEN v = 1 THEN 1 << r ELSE 0 END) AS BIGINT) AS p,
+  CAST(sum(CASE WHEN v = -1 THEN 1 << r ELSE 0 END) AS BIGINT) AS q FROM e GROUP BY {key}, c)),
+sets AS (SELECT {key}, s, bit_and(parts) <> 0 AS ok FROM pattern JOIN fit USING (p, q) GROUP BY {key}, s),
 gh AS (SELECT {key}, bool_and(ok) AS is_tu FROM sets GROUP BY {key})"""
 GH_SIGN = f"WITH e AS ({SIGN_SQL}), {GH.format(key='mid')}"
 
@@ -107,29 +110,29 @@ def tree_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- complements ------------------------------------------------------------------
 
-CELLS = """cells AS (SELECT mid, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c FROM (SELECT DISTINCT mid FROM b), range(0, 4) x(r), range(0, 7) y(c)),
-f AS (SELECT cells.*, coalesce(b.v, 0) AS v FROM cells LEFT JOIN b USING (mid, r, c))"""
-FLIP = """CASE WHEN f.r = i AND f.c = j THEN f.v
-  WHEN f.r = i OR f.c = j THEN xor(f.v, d.v) ELSE xor(xor(f.v, d.v), xor(p.v, q.v)) END"""
+#: A 4 x 7 matrix in one row: the masks of its columns' ones.
+WHOLE = f"""b AS ({BINARY_SQL}), whole AS (SELECT mid, {', '.join(f'CAST(sum(CASE WHEN c = {j} THEN 1 << r ELSE 0 END) AS BIGINT) AS x{j}' for j in range(7))} FROM b GROUP BY mid)"""
 
 
-@query(f"""WITH b AS ({BINARY_SQL}), {CELLS}, spot AS (SELECT 1 AS i, 2 AS j),
-z AS (SELECT f.mid, f.r, f.c, {FLIP} AS v FROM f CROSS JOIN spot JOIN f d ON d.mid = f.mid AND d.r = i AND d.c = j
-  JOIN f p ON p.mid = f.mid AND p.r = f.r AND p.c = j JOIN f q ON q.mid = f.mid AND q.r = i AND q.c = f.c)
-SELECT * FROM z WHERE v <> 0""")
+def _flipped(i: str, j: str) -> str:
+    """The columns of ``whole`` complemented at row i (4: none) and column j (7: none)."""
+    line = f"CASE {j} " + " ".join(f"WHEN {c} THEN x{c}" for c in range(7)) + " ELSE 0 END"
+    d = f"(({line}) >> {i}) & 1"
+    rest = f"(15 & ~(CASE WHEN {i} < 4 THEN CAST(1 AS BIGINT) << {i} ELSE 0 END))"
+    own = lambda c: f"xor(x{c}, CASE WHEN {d} = 1 THEN {rest} ELSE 0 END)"
+    other = lambda c: f"xor(xor(xor(x{c}, {line}), CASE WHEN {d} = 1 THEN {rest} ELSE 0 END), CASE WHEN (x{c} >> {i}) & 1 = 1 THEN {rest} ELSE 0 END)"
+    return "[" + ", ".join(f"CASE WHEN {j} = {c} THEN {own(c)} ELSE {other(c)} END" for c in range(7)) + "]"
+
+
+@query(f"""WITH {WHOLE}, z AS (SELECT mid, unnest({_flipped('1', '2')}) AS x, unnest(range(0, 7)) AS c FROM whole)
+SELECT mid, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, 1 AS v FROM z, range(0, 4) y(r) WHERE (x >> r) & 1 = 1""")
 def complement_row_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = part_binary(spark, sf_dir)
     return _entries(recognition.complements(ms, ms.dims.select("mid", F.lit(1).alias("i"), F.lit(2).alias("j"))))
 
 
-@query(f"""WITH b AS ({BINARY_SQL}), {CELLS}, spot AS (SELECT i, j FROM range(0, 5) x(i), range(0, 8) y(j)),
-e AS (SELECT f.mid, i, j, f.r, f.c, CASE
-    WHEN i < 4 AND j < 7 THEN {FLIP}
-    WHEN i < 4 THEN CASE WHEN f.r = i THEN f.v ELSE xor(f.v, q.v) END
-    WHEN j < 7 THEN CASE WHEN f.c = j THEN f.v ELSE xor(f.v, p.v) END
-    ELSE f.v END AS v
-  FROM f CROSS JOIN spot LEFT JOIN f d ON d.mid = f.mid AND d.r = i AND d.c = j
-  LEFT JOIN f p ON p.mid = f.mid AND p.r = f.r AND p.c = j LEFT JOIN f q ON q.mid = f.mid AND q.r = i AND q.c = f.c),
+@query(f"""WITH {WHOLE}, z AS (SELECT mid, i, j, unnest({_flipped('i', 'j')}) AS x, unnest(range(0, 7)) AS c FROM whole, range(0, 5) a(i), range(0, 8) o(j)),
+e AS (SELECT mid, i, j, r, c, (x >> r) & 1 AS v FROM z, range(0, 4) y(r)),
 {GH.format(key="mid, i, j")}, bad AS (SELECT mid, min(i * 100 + j) FILTER (NOT is_tu) AS w FROM gh GROUP BY mid)
 SELECT mid, w IS NULL AS is_ctu, CASE WHEN w // 100 < 4 THEN CAST(w // 100 AS INTEGER) END AS row, CASE WHEN w % 100 < 7 THEN CAST(w % 100 AS INTEGER) END AS col FROM bad""")
 def ctu(spark: SparkSession, sf_dir: str) -> DataFrame:
