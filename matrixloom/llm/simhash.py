@@ -224,15 +224,14 @@ def rooted(rows: DataFrame, roots: DataFrame | None, columns: dict[str, str]) ->
     return rows
 
 
-def settled(near: DataFrame, roots: DataFrame | None, alike) -> tuple[DataFrame | None, DataFrame | None]:
-    """``roots`` with what ``alike`` keeps of the pairs ``near(a, b, dist)`` joined, and
-    the pairs that it was asked about.
+def settled(near: DataFrame, roots: DataFrame | None, alike) -> DataFrame | None:
+    """``roots`` with what ``alike`` keeps of the pairs ``near(a, b, dist)`` joined.
 
     A pair that links join already is never asked about, so a group of many near copies
-    costs about as many questions as it has members: in each round each component asks
-    about its nearest open pairs to others, first one, then up to 16, 256 and so on.
+    costs about as many questions as it has members: first each component asks about
+    its nearest open pair to another, then about up to 64, at last about all.
     """
-    spark, picks, asked, path = near.sparkSession, 1, None, None
+    spark, picks, path = near.sparkSession, 1, None
     open_ = near
     while True:
         mine = rooted(open_.select("a", "b", "dist"), roots, {"a": "x", "b": "y"}).where("x <> y")
@@ -241,17 +240,21 @@ def settled(near: DataFrame, roots: DataFrame | None, alike) -> tuple[DataFrame
             common.delete(spark, path)
         path = new_path
         if open_.isEmpty():
-            return roots, asked
-        slot = F.pmod(F.xxhash64("a", "b"), F.lit(picks))
-        each = open_.select(F.explode(F.array("x", "y")).alias("root"), "dist", "a", "b")
-        chosen = each.groupBy("root", slot.alias("slot")).agg(F.min(F.struct("dist", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        chosen, _ = common.written(chosen, "similar-chosen")
+            return roots
+        if picks > 64:
+            chosen = open_.select("a", "b")
+        else:
+            slot = F.pmod(F.xxhash64("a", "b"), F.lit(picks))
+            each = open_.select(F.explode(F.array("x", "y")).alias("root"), "dist", "a", "b")
+            chosen = each.groupBy("root", slot.alias("slot")).agg(F.min(F.struct("dist", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+            chosen, _ = common.written(chosen, "similar-chosen")
         kept = alike(chosen)
         if not kept.isEmpty():
             roots = joined(roots, kept)
-        asked = chosen if asked is None else asked.unionByName(chosen)
+        if picks > 64:
+            return roots
         open_ = open_.join(chosen, ["a", "b"], "left_anti")
-        picks *= 16
+        picks *= 64
 
 
 def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int, roots: DataFrame | None = None, alike=None) -> DataFrame | None:
@@ -261,14 +264,14 @@ def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int, r
     In each round some heads of a key are compared with all its classes that aren't
     linked to them yet, and then leave it; whatever is near a head stays and is
     compared with the rest.  Heads come from the smallest components of the key and
-    grow eightfold in number by round.  A key is done when links join all its
+    grow in number by round (1, 16, 512 and so on).  A key is done when links join all its
     classes, so one of many similar classes costs little more than their number; pairs
     of classes that no links join are compared one by one.
     """
     spark = classes.sparkSession
     path, turn, asked = None, 0, None
     while True:
-        heads = 1 if not turn else 4 * 8 ** (turn - 1)
+        heads = 1 if not turn else 16 * 32 ** (turn - 1)
         mine = rooted(keyed, roots, {"cls": "root"}).select("cls", "key", "root")
         several = mine.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
         current, current_path = common.written(mine.join(several, "key").select("cls", "key", "root"), "similar-keyed")
@@ -287,14 +290,11 @@ def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int, r
         near = near_pairs(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), classes, fps, most)
         if asked is not None:
             near = near.join(asked, ["a", "b"], "left_anti")
-        near, near_path = common.written(near, "similar-near")
+        near, _ = common.written(near, "similar-near")
         if not near.isEmpty():
-            if alike:
-                roots, also = settled(near, roots, alike)
-                asked = also if asked is None or also is None else asked.unionByName(also)
-            else:
-                roots = joined(roots, near.select("a", "b"))
-        common.delete(spark, near_path)
+            roots = settled(near, roots, alike) if alike else joined(roots, near.select("a", "b"))
+            # what was near once is linked now or has been asked about
+            asked = near.select("a", "b") if asked is None else asked.unionByName(near.select("a", "b"))
         keyed = current.join(head.select(F.col("k").alias("key"), F.col("b").alias("cls")), ["key", "cls"], "left_anti").select("cls", "key")
 
 
@@ -335,13 +335,13 @@ def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return common.written(whole.mapInArrow(run, "a long, b long"), "similar-alike")[0]
 
 
-def similar(texts: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 4, chance: float = 0.95, hot: int = 32) -> DataFrame:
+def similar(texts: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 4, chance: float = 0.95, hot: int = 64) -> DataFrame:
     """``at, root`` of each row of ``texts(at, text)``: components of rows whose sets of
     ``n``-word shingles have a Jaccard similarity of ``similarity`` or more.
 
     Sets of Jaccard similarity j have a cosine of about 2j / (1 + j) or more, and so
     differ in the angle's share of their ``64 * longs`` bits on average; what differs in
-    up to four standard deviations more is a candidate, and the sets of candidates
+    up to three standard deviations more is a candidate, and the sets of candidates
     are compared.  Rows of one set are one class.  Each class is filed under seeded
     choices of blocks, of more bits the more classes there are, and under as many
     choices as let fingerprints of just that similarity meet with probability
@@ -352,7 +352,7 @@ def similar(texts: DataFrame, n: int = 5, similarity: float = 0.8, longs: int =
     """
     spark = texts.sparkSession
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = int(64 * longs * share + 4 * math.sqrt(64 * longs * share * (1 - share)))
+    most = int(64 * longs * share + 3 * math.sqrt(64 * longs * share * (1 - share)))
     fps = [f"f{i}" for i in range(longs)]
     slim = texts.select("at", F.col("text").cast("binary").alias("text"))
 
@@ -380,7 +380,7 @@ def similar(texts: DataFrame, n: int = 5, similarity: float = 0.8, longs: int =
     with common.conf(spark, common.BLOOM_CONF):
         sets, sets_path = common.written(shingle_sets(slim, wanted, n), "similar-sets")
     alike = lambda some: alike_pairs(some, sets, similarity)
-    roots, _ = settled(near, None, alike)
+    roots = settled(near, None, alike)
     roots = met_links(classes, rest, fps, most, roots, alike)
     found, _ = common.written(rooted(rows.select("at", "cls"), roots, {"cls": "root"}).select("at", "root"), "similar-found")
     common.delete(spark, sets_path)

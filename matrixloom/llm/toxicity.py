@@ -144,7 +144,7 @@ class Model:
     """
 
     def __init__(self, levels: dict[str, tuple], pairs: np.ndarray):
-        self.curve, self.name, self.classes = (4.0, 1.0), uuid.uuid4().hex, bool(levels)
+        self.curve, self.name, self.classes, self.sent = (4.0, 1.0), uuid.uuid4().hex, bool(levels), None
         if not self.classes:
             return
         a, b, n = pairs.T if len(pairs) else np.zeros((3, 0), dtype=np.int64)
@@ -156,6 +156,15 @@ class Model:
         self.spelling += [Level(*levels[f"spell{k}"]) for k in range(SHARED + 1, ORDER + 1)]
         self.one, self.two = Level(*levels["one"]), Level(*levels["two"])
 
+    def __getstate__(self):
+        return self.__dict__ | {"sent": None}
+
+    def broadcast(self, spark: SparkSession):
+        """The model for the tasks; it is sent once."""
+        if self.sent is None:
+            self.sent = spark.sparkContext.broadcast(self)
+        return self.sent
+
     def words(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         """The words' hashes and their probabilities in either class, whatever stands before."""
         x = codes(words)
@@ -213,10 +222,6 @@ class Model:
         ratio[starts[np.array([bool(before) for _, before, _ in held])]] = 0.0
         np.add.at(sums, np.array([i for i, _, _ in held]), np.add.reduceat(ratio, starts))
 
-    def score(self, evidence: np.ndarray) -> np.ndarray:
-        slope, middle = self.curve
-        return 1.0 / (1.0 + np.exp(np.clip(-slope * (evidence - middle), -60, 60)))
-
 
 class Memory:
     """What a task remembers of up to ``_CACHE`` different words."""
@@ -430,7 +435,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 5_000, id_col: str =
 
 
 def _evidence(spark: SparkSession, model: Model, key_type: pa.DataType):
-    sent = spark.sparkContext.broadcast(model)
+    sent = model.broadcast(spark)
 
     def run(batches):
         memory = _memory_of(sent.value.name)
@@ -455,7 +460,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score under 0.5, whole, in one pass."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, (slope, middle) = model.broadcast(docs.sparkSession), model.curve
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -463,8 +468,8 @@ def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(i, _ROWS)
-                score = sent.value.score(sent.value.evidence(part.column(at).to_pylist(), memory))
-                yield part.filter(pa.array(score < 0.5))
+                evidence = sent.value.evidence(part.column(at).to_pylist(), memory)
+                yield part.filter(pa.array(1.0 / (1.0 + np.exp(np.clip(-slope * (evidence - middle), -60, 60))) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 
