@@ -7,14 +7,15 @@ places where templates have them.  Each match votes for the diagonal text place
 template place; votes are counted by text, template and diagonal.  A phrase stands
 where a diagonal has all its votes.  For notices, diagonals at most ``TOLERANCE``
 apart, as words put in or left out make them, are merged; the merged span is
-verified: the part of the template's k-grams found on it must reach ``COVERAGE``,
-and the span must not be longer than twice the template.
+verified: the different places of the template whose k-grams stand on it (however
+often) must reach the part ``COVERAGE`` of its places, and the span must not be longer
+than twice the template.
 
 Behaviour: a null text counts as empty and has no words; a text without matches
 has no places, empty label strings and score 0; repeated rows are rows of their
 own; an empty table gives an empty result; only the identifier and the text are
 read, whatever other columns are called.  The templates are a fixed list of known
-size, which is broadcast.
+size, which is broadcast; one has at most ``PLACES`` k-grams.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-K, TOLERANCE, COVERAGE = 3, 3, 0.8
+K, TOLERANCE, COVERAGE, PLACES = 3, 3, 0.8, 63
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -63,6 +64,8 @@ def _grams_of(spark: SparkSession, listed) -> DataFrame:
     for no, label, phrase, words in listed:
         k = min(K, len(words))
         count = len(words) - k + 1
+        if count > PLACES:
+            raise ValueError(f"a template of more than {PLACES} k-grams: {label}")
         rows += [(no, label, phrase, len(words), count, i, k, " ".join(words[i : i + k])) for i in range(count)]
     no, label, phrase, size, count, at, k, gram = (list(c) for c in zip(*rows))
     frame = common.local_table(
@@ -101,7 +104,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lis
     same = (F.col("gram_hash") == F.col("template_hash")) & (F.col("gram") == F.col("template_gram")) & (F.col("gram_k") == F.col("k"))
     hits = cells.join(sent, same, "left").where((F.col("cell") == 0) | F.col("template").isNotNull())
     votes = hits.groupBy("id", "row", "n", "template", "label", "phrase", "size", "grams", (F.col("place") - F.col("at")).alias("diagonal")).agg(
-        F.count("*").cast("int").alias("votes"), F.min("place").alias("low"), F.max(F.col("place") + F.col("gram_k")).alias("high")
+        F.count("*").cast("int").alias("votes"), F.bit_or(F.expr("shiftleft(1L, at)")).alias("places"), F.min("place").alias("low"), F.max(F.col("place") + F.col("gram_k")).alias("high")
     )
     by = Window.partitionBy("row", "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > TOLERANCE, F.lit(True))
@@ -110,7 +113,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lis
     fresh = fresh | whole | F.coalesce(F.lag(whole).over(by), F.lit(False))
     votes = votes.withColumn("_fresh", fresh.cast("int")).withColumn("span", F.sum("_fresh").over(by))
     spans = votes.groupBy("id", "row", "n", "template", "label", "phrase", "size", "grams", "span").agg(
-        F.least(F.sum("votes") / F.col("grams"), F.lit(1.0)).alias("share"),
+        (F.bit_count(F.bit_or("places")) / F.col("grams")).alias("share"),
         F.min("low").alias("low"),
         F.max("high").alias("high"),
         F.max("votes").alias("most"),
@@ -144,17 +147,18 @@ doc AS (SELECT row_number() OVER () AS row_no, doc_id,
   regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 word AS (SELECT row_no, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM doc),
 hit AS (SELECT row_no, template, label, phrase, size, k, tpos, pos, pos - tpos AS diagonal FROM word JOIN tw USING (word)),
-gram AS (SELECT *, lead(tpos, 1) OVER d AS next1, lead(tpos, 2) OVER d AS next2 FROM hit
-  WINDOW d AS (PARTITION BY row_no, template, diagonal ORDER BY tpos)),
+gram AS (SELECT * FROM (SELECT *, lead(tpos, 1) OVER d AS next1, lead(tpos, 2) OVER d AS next2 FROM hit
+  WINDOW d AS (PARTITION BY row_no, template, diagonal ORDER BY tpos)) WHERE next1 = tpos + 1 AND (k = 2 OR next2 = tpos + 2)),
 vote AS (SELECT row_no, template, label, phrase, size, size - k + 1 AS grams, diagonal, count(*) AS votes, min(pos) AS low, max(pos + k) AS high
-  FROM gram WHERE next1 = tpos + 1 AND (k = 2 OR next2 = tpos + 2) GROUP BY ALL),
+  FROM gram GROUP BY ALL),
 step AS (SELECT *, CASE WHEN coalesce(diagonal - lag(diagonal) OVER d > {TOLERANCE}, TRUE) OR votes = grams
   OR coalesce(lag(votes = grams) OVER d, FALSE) THEN 1 ELSE 0 END AS fresh FROM vote
   WINDOW d AS (PARTITION BY row_no, template ORDER BY diagonal)),
 mark AS (SELECT *, sum(fresh) OVER (PARTITION BY row_no, template ORDER BY diagonal) AS span FROM step),
-spans AS (SELECT row_no, template, label, phrase, size, grams, span, least(sum(votes)::DOUBLE / grams::DOUBLE, 1.0::DOUBLE) AS share,
-  min(low) AS low, max(high) AS high, max(votes) = grams AS is_whole, min(diagonal) AS diagonal FROM mark
-  GROUP BY row_no, template, label, phrase, size, grams, span),
+spans AS (SELECT m.row_no, m.template, m.label, m.phrase, m.size, m.grams, m.span, count(DISTINCT g.tpos)::DOUBLE / m.grams::DOUBLE AS share,
+  min(low) AS low, max(high) AS high, max(votes) = m.grams AS is_whole, min(m.diagonal) AS diagonal
+  FROM mark m JOIN gram g ON g.row_no = m.row_no AND g.template = m.template AND g.diagonal = m.diagonal
+  GROUP BY m.row_no, m.template, m.label, m.phrase, m.size, m.grams, m.span),
 judged AS (SELECT *, phrase AND is_whole AS base, high - low <= 2 * size AS near FROM spans),
 summed AS (SELECT row_no, count(*) FILTER (base) AS n_base, min(diagonal) FILTER (base) AS first_word, max(diagonal) FILTER (base) AS last_word,
   list_sort(list_distinct(list(label) FILTER (base))) AS b, list_sort(list_distinct(list(label) FILTER (base OR NOT phrase AND near AND share >= {COVERAGE}))) AS l,

@@ -33,6 +33,53 @@ def test_base_against_brute_force(spark):
     assert licenses.scanned(docs.limit(0)).count() == 0
 
 
+def brute_labels(text):
+    """Labels and score, from lists of places and diagonals."""
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+    labels, score = set(), 0.0
+    for _, label, phrase, template in licenses.templates():
+        k = min(3, len(template))
+        grams = len(template) - k + 1
+        diagonals = {}
+        for i in range(len(words) - k + 1):
+            for j in range(grams):
+                if words[i : i + k] == template[j : j + k]:
+                    diagonals.setdefault(i - j, []).append((i, j))
+        spans, before = [], None
+        for d in sorted(diagonals):
+            whole = len(diagonals[d]) == grams
+            if before is None or d - before[0] > 3 or whole or before[1]:
+                spans.append([])
+            spans[-1].append(d)
+            before = (d, whole)
+        for span in spans:
+            hits = [h for d in span for h in diagonals[d]]
+            near = max(i for i, _ in hits) + k - min(i for i, _ in hits) <= 2 * len(template)
+            share = len({j for _, j in hits}) / grams
+            if near:
+                score = max(score, share)
+            if len(diagonals[span[0]]) == grams and phrase or not phrase and near and share >= 0.8:
+                labels.add(label)
+    return ",".join(sorted(labels)), score
+
+
+def test_labels_and_scores_against_brute_force(spark):
+    rng = random.Random(6)
+    given = texts() + ["3 clause bsd 3 clause bsd", "3 clause bsd license 3 clause bsd license", "cc0 1 0 cc0 1 0 universal public", ""]
+    for _, _, _, words in licenses.templates():
+        for _ in range(6):
+            mixed = list(words) + rng.choice([[], words[:4], words])
+            for _ in range(rng.randrange(4)):
+                i = rng.randrange(len(mixed))
+                mixed[i : i + rng.randrange(2)] = rng.choice([[], ["foo"], [rng.choice(words)], words[:3]])
+            given.append(" ".join(mixed))
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r.id: (r.labels, r.score) for r in licenses.scanned(docs).collect()}
+    assert got == {i: brute_labels(t) for i, t in enumerate(given)}
+    assert got[given.index("3 clause bsd 3 clause bsd")] == ("", 0.5)
+
+
 def test_notices_with_changed_words_are_found(spark):
     notice = dict(licenses.NOTICES)["mit"]
     said = notice.replace("person obtaining", "person who is obtaining").replace(" ", ", ").upper()
