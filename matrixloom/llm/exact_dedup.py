@@ -4,7 +4,9 @@ The documents' digests form a stream.  A streaming aggregation keeps, for each
 digest and without expiry, the state that later batches need: how many rows had
 it, and the identifier and content locator of the row that stays.  The state
 lies on the executors' disks (RocksDB state store) with a durable log in the
-shared folder, so it may be larger than memory and survives lost executors.
+shared folder, so it may be larger than memory and survives lost executors.  A
+table is read in several batches, each of which meets the state of those before it,
+and a state that the caller names serves later tables too.
 Digests that the state has seen more than once are hits; for these the full
 bytes of every row are compared with those of the row that stays, which its
 locator finds.  Rows whose bytes differ (colliding digests) are grouped anew by
@@ -19,6 +21,8 @@ result.  Further columns are not read by :func:`judge`, whatever their names.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,66 +39,108 @@ def sha256(text: Column) -> Column:
 
 
 def located(docs: DataFrame, digest, id_col: str, text_col: str) -> DataFrame:
-    """``id, digest, locator, text`` of each row."""
-    rows = common.filed(docs, "dedup-rows")
+    """``id, digest, locator, text`` of each row of a filed table."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
-    return rows.select(F.col(f"`{id_col}`").alias("id"), digest(text).alias("digest"), common.place(rows).alias("locator"), text.alias("text"))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), digest(text).alias("digest"), common.place(docs).alias("locator"), text.alias("text"))
 
 
-def state_of(source: DataFrame, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Stream what has landed in ``path`` through the keyed state; its last version
-    as ``digest, n, keep``.
+def state_of(source: DataFrame, at: str, batches: int = 3) -> DataFrame:
+    """Stream what has landed in ``at``/landed since the last time through the state kept
+    in ``at``, in about ``batches`` batches; the state's last version as
+    ``digest, n, keep``.
 
-    Each batch writes the keys that it changed to the shared folder; of a key's
+    Each batch writes the keys that it changed to the shared folder, under its number (a
+    batch that is run again after a failure replaces what it wrote); of a key's
     versions the one with the largest count is the last.
     """
     spark = source.sparkSession
-    reader = spark.readStream.schema(source.schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    changes = reader.parquet(path).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", "locator")).alias("keep"))
-    out, log = common.new_path(spark, "dedup-state"), common.new_path(spark, "dedup-log")
+    landed = f"{at}/landed"
+    files = len(spark.read.schema(source.schema).option("recursiveFileLookup", "true").parquet(landed).inputFiles())
+    reader = spark.readStream.schema(source.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max(1, -(-files // batches)))
+    changes = reader.parquet(landed).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", "locator")).alias("keep"))
+    out = f"{at}/changes"
 
     def put(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     with common.conf(spark, STREAM_CONF):
-        query = changes.writeStream.outputMode("update").option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(put).start()
+        query = changes.writeStream.outputMode("update").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).foreachBatch(put).start()
         query.awaitTermination()
-    common.delete(spark, log)
     if not common.exists(spark, out):
         return spark.createDataFrame([], changes.schema)
     versions = spark.read.schema(changes.schema).parquet(out)
     return versions.groupBy("digest").agg(F.max(F.struct("n", "keep")).alias("v")).select("digest", "v.n", "v.keep")
 
 
-def collisions(rows: DataFrame, state: DataFrame) -> DataFrame | None:
+def salts_of(state: DataFrame) -> DataFrame:
+    """``digest, salts`` of the digests that more than a thousandth of all rows (and 1,000
+    rows) have: a thousand digests at most, into how many parts to deal their rows."""
+    total = state.agg(F.sum("n")).first()[0] or 0
+    most = max(1000, total // 1000)
+    return F.broadcast(state.where(F.col("n") > most).select("digest", F.ceil(F.col("n") / most).cast("int").alias("salts")))
+
+
+def joined(rows: DataFrame, other: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` with what ``other`` has for their digests; rows of a hot digest are dealt
+    to as many places as it has salts, and the other side's row goes to each."""
+    salts = F.coalesce(F.col("salts"), F.lit(1))
+    mine = rows.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("locator"), salts).cast("int")).drop("salts")
+    each = other.join(hot, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return mine.join(each, ["digest", "salt"]).drop("salt")
+
+
+def texts_at(rows: DataFrame, docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Texts of the rows that hits' locators name: among ``rows`` and, for rows that came
+    earlier, in the files they came from."""
+    found = rows.join(hits, ["digest", "locator"]).select("digest", "n", F.col("text").alias("kept_text"))
+    here = hits.select("locator.file_path").distinct().join(rows.select("locator.file_path").distinct(), "file_path", "left_anti")
+    earlier = [r.file_path for r in here.collect()]  # names of files, not rows
+    if earlier:
+        old = docs.sparkSession.read.schema(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).schema).parquet(*earlier)
+        text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("kept_text")
+        named = old.select(common.place(old).alias("locator"), text)
+        found = found.unionByName(named.join(hits, "locator").select("digest", "n", "kept_text"))
+    return found
+
+
+def collisions(rows: DataFrame, docs: DataFrame, state: DataFrame, hot: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
     """The groups of rows whose digests hide different texts: ``locator, keep, n``;
     None if full bytes agree everywhere."""
     spark = rows.sparkSession
     with common.conf(spark, common.BLOOM_CONF):
         hits = state.where("n > 1").select("digest", "keep.locator", "n")
-        kept, kept_path = common.written(
-            rows.join(hits, ["digest", "locator"]).select("digest", "n", F.col("text").alias("kept_text")), "dedup-kept"
-        )
-        odd, _ = common.written(
-            rows.join(kept.where("n > 1"), "digest").where(F.col("text") != F.col("kept_text")).select("digest").distinct(), "dedup-odd"
-        )
+        kept, kept_path = common.written(texts_at(rows, docs, hits, id_col, text_col), "dedup-kept")
+        slim = kept.select("digest", "kept_text")
+        odd = joined(rows, slim, hot).where(F.col("text") != F.col("kept_text")).select("digest")
+        odd, _ = common.written(odd, "dedup-odd")
         common.delete(spark, kept_path)
         if odd.isEmpty():
             return None
-        mine = rows.join(odd, "digest")
+        mine = rows.join(odd.distinct(), "digest")
         groups = mine.groupBy("digest", "text").agg(F.count("*").alias("n"), F.max(F.struct("id", "locator")).alias("keep"))
         return common.written(mine.join(groups, ["digest", "text"]).select("locator", "keep", "n"), "dedup-groups")[0]
 
 
-def judge(docs: DataFrame, digest=sha256, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int | None = None) -> DataFrame:
-    """One row per row of ``docs``: ``id, digest, locator, keep_id, n, kept``."""
+def judge(docs: DataFrame, digest=sha256, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, state: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: ``id, digest, locator, keep_id, n, kept``.
+
+    ``state``: a folder that keeps the state (see :func:`state_of`).  Rows given in a
+    later call with the same folder meet what earlier calls left there: they are judged
+    against all rows that have come so far, whose files must still be there for a
+    hit's full bytes.  Colliding digests are told apart among the rows of one call.
+    """
+    spark = docs.sparkSession
+    docs = common.filed(docs, "dedup-rows")
     rows = located(docs, digest, id_col, text_col)
-    slim, path = common.written(rows.drop("text"), "dedup-landed")
-    state, _ = common.written(state_of(slim, path, files_per_batch), "dedup-last")
-    odd = collisions(rows, state)
-    found = slim.join(state, "digest")
+    at = state or common.new_path(spark, "dedup-state")
+    arrival = f"{at}/landed/{uuid.uuid4().hex}"
+    rows.drop("text").write.parquet(arrival)
+    slim = spark.read.schema(rows.drop("text").schema).parquet(arrival)
+    last, _ = common.written(state_of(slim, at, batches), "dedup-last")
+    hot, _ = common.written(salts_of(last), "dedup-hot")
+    hot = F.broadcast(hot)
+    odd = collisions(rows, docs, last, hot, id_col, text_col)
+    found = joined(slim, last, hot)
     if odd is not None:
         odd = odd.select("locator", F.col("keep").alias("keep2"), F.col("n").alias("n2"))
         found = found.join(odd, "locator", "left").withColumns({"keep": F.coalesce("keep2", "keep"), "n": F.coalesce("n2", "n")})

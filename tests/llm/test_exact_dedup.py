@@ -15,8 +15,8 @@ def brute(rows):
 def test_rows(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string").selectExpr("*", "'q' AS digest", "1 AS n", "2 AS keep", "3 AS locator")
     for digest in (exact_dedup.sha256, lambda t: F.length(t).cast("string")):  # the second collides
-        for files in (None, 1):
-            out = exact_dedup.judge(docs.repartition(3), digest=digest, files_per_batch=files).collect()
+        for batches in (1, 3):
+            out = exact_dedup.judge(docs.repartition(3), digest=digest, batches=batches).collect()
             assert sorted(((r.id, r.keep_id, r.n) for r in out), key=str) == brute(ROWS)
             assert sum(r.kept for r in out) == len({t or "" for _, t in ROWS})
     assert exact_dedup.judge(docs.limit(0)).count() == 0
@@ -28,3 +28,22 @@ def test_kept_rows_are_whole(spark, tmp_path):
     out = exact_dedup.deduped(docs)
     assert out.columns == docs.columns
     assert sorted(r.text or "" for r in out.collect()) == sorted({t or "" for _, t in ROWS})
+
+
+def test_a_later_arrival_meets_the_kept_state(spark, tmp_path):
+    frame = lambda rows, name: (spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / name)), spark.read.parquet(str(tmp_path / name)))[1]
+    state = str(tmp_path / "state")
+    first, second = [(1, "a"), (5, "a"), (2, "b"), (3, None)], [(4, "a"), (9, "b"), (6, "c"), (7, ""), (8, "")]
+    got = [sorted(((r.id, r.keep_id, r.n, r.kept) for r in exact_dedup.judge(frame(rows, name), state=state).collect())) for rows, name in ((first, "x"), (second, "y"))]
+    assert got[0] == [(1, 5, 2, False), (2, 2, 1, True), (3, 3, 1, True), (5, 5, 2, True)]
+    assert got[1] == [(4, 5, 3, False), (6, 6, 1, True), (7, 8, 3, False), (8, 8, 3, True), (9, 9, 2, True)]
+
+
+def test_rows_of_a_hot_text_are_dealt_to_many_places(spark):
+    rows = [(i, "same" if i % 3 else f"t{i}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = exact_dedup.judge(docs)
+    got = {(r.id, r.keep_id, r.n) for r in out.collect()}
+    assert got == {(i, 5999 if t == "same" else i, 4000 if t == "same" else 1) for i, t in rows}
+    state = spark.createDataFrame([("x", 4000), ("y", 2)], "digest string, n long")
+    assert [tuple(r) for r in exact_dedup.salts_of(state).collect()] == [("x", 4)]
