@@ -89,13 +89,13 @@ def tree_attributes(nodes: DataFrame) -> DataFrame:
 def three_separations(ms: Matrices) -> DataFrame:
     """``mid, kind, rows, cols, rebuilt``: a 3-separation with four elements or more on each
     side, the sum that it makes, and whether its parts' sum is the matrix again.  Null
-    where there is none or the matrix has more than ``recognise.SEPARATED`` lines."""
+    where there is none."""
 
     def one(mid, a):
         m, n = len(a), len(a[0]) if a else 0
-        if not m or not n or m + n > recognise.SEPARATED:
+        if not m or not n:
             return [(mid, None, None, None, None)]
-        found = recognise.separation([[int(bool(v)) for v in r] for r in a], 2, 4, recognise.SEPARATED)
+        found = recognise.separation([[int(bool(v)) for v in r] for r in a], 2, 4)
         if not found:
             return [(mid, None, None, None, None)]
         kind, rebuilt = recognise.rebuilt(a, *found)

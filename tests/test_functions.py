@@ -200,3 +200,68 @@ def test_what_cannot_be_told_is_not_taken_for_no(monkeypatch):
     monkeypatch.setattr(recognise, "is_tu", lambda a: told(a) if len(a) != 3 else None)
     bad = [[1, 1, 0, 0], [1, -1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]
     assert recognise.tu_violator(bad) in (None, ([0, 1], [0, 1]))
+
+
+# --- separations and decompositions of larger matrices ---------------------------------
+
+
+def all_bipartitions(a, rank, least):
+    m, n = len(a), len(a[0])
+    s, full = [sum(1 << j for j, v in enumerate(r) if v) for r in a], (1 << n) - 1
+    for part in (p for k in range(least, (m + n) // 2 + 1) for p in combinations(range(m + n), k)):
+        rows, cols = {x for x in part if x < m}, sum(1 << (x - m) for x in part if x >= m)
+        if exact.rank_mod2([s[i] & ~cols & full for i in rows]) + exact.rank_mod2([s[i] & cols for i in range(m) if i not in rows]) <= rank:
+            return True
+    return False
+
+
+def test_separations_against_all_bipartitions():
+    rng = random.Random(11)
+    for _ in range(120):
+        m, n = rng.randrange(2, 6), rng.randrange(2, 6)
+        a = [[int(rng.random() < 0.5) for _ in range(n)] for _ in range(m)]
+        for rank, least in ((1, 2), (2, 4)):
+            assert (recognise.separation(a, rank, least) is not None) == all_bipartitions(a, rank, least), (a, rank)
+
+
+def sum_of_graph_and_cograph(rng, nodes, extra):
+    """The delta-sum of a graphic matrix along a triangle and a cographic one along a node of
+    degree three, with Camion's signs, some pivots and lines in any order."""
+    tree = {i: (rng.randrange(i + 1), i + 1) for i in range(nodes - 1)}
+    w = rng.randrange(nodes)
+    tree[nodes - 1] = (w, nodes)
+    u = rng.choice([z for z in range(nodes) if z != w])
+    others = {j: tuple(rng.sample(range(nodes + 1), 2)) for j in range(extra)} | {extra: (u, w), extra + 1: (u, nodes)}
+    one = graphs.represented(tree, others)
+    tree = {i: (rng.randrange(i + 1), i + 1) for i in range(nodes - 1)}
+    k = rng.randrange(nodes - 1)
+    split = {0: (tree[k][0], nodes), 1: (nodes, tree[k][1])} | {i + 2: e for i, e in enumerate(e for x, e in tree.items() if x != k)}
+    others = {0: (nodes, rng.randrange(nodes))} | {1 + j: tuple(rng.sample(range(nodes), 2)) for j in range(extra)}
+    two = [list(c) for c in zip(*graphs.represented(split, others))]
+    if not two[0][0]:
+        two = [[r[1], r[0], *r[2:]] for r in two]
+    a = structure.camion(sums.delta_sum(one, two, nodes - 1, (extra, extra + 1), 0, (0, 1), 2))[0]
+    for _ in range(2):
+        p, q = rng.choice([(i, j) for i, r in enumerate(a) for j, v in enumerate(r) if v])
+        x = a[p][q]
+        a = [[-x if (i, j) == (p, q) else x * v if i == p or j == q else (v - x * a[i][q] * a[p][j] + 1) % 3 - 1 for j, v in enumerate(r)] for i, r in enumerate(a)]
+    for _ in range(2):
+        rng.shuffle(a)
+        a = [list(c) for c in zip(*a)]
+    return a
+
+
+def test_sums_of_many_lines_are_decided():
+    rng, kinds = random.Random(5), set()
+    for nodes, extra in ((6, 8), (8, 12), (12, 20)):
+        for _ in range(4):
+            a = sum_of_graph_and_cograph(rng, nodes, extra)
+            kinds |= {x[3] for x in recognise.table(recognise.decompose(a))}
+            assert recognise.is_tu(a) is True and recognise.is_regular([[abs(v) for v in r] for r in a]) is True
+            i, j = next((i, j) for i, r in enumerate(a) for j, v in enumerate(r) if not v)
+            b = [list(r) for r in a]
+            b[i][j] = 1
+            if min(len(b), len(b[0])) <= 13:
+                assert recognise.is_tu(b) == tu.by_partition(b)
+    assert {"GRAPH", "COGRAPH"} <= kinds and kinds & {"DELTASUM", "THREESUM"}
+    assert [recognise.is_regular([[int(rng.random() < p) for _ in range(20)] for _ in range(18)]) for p in (0.5, 0.2)] == [False, False]
