@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import determinant, upper_diagonal
 from ..model import Matrices, per_matrix
+from ..storage import written
 
 
 def residue(value: Column, char: int) -> Column:
@@ -57,6 +58,22 @@ def pivots(ms: Matrices, steps: list[DataFrame], char: int = 0) -> Matrices:
     return ms
 
 
+def random_entries(ms: Matrices, seed: int, step: int = 0) -> DataFrame:
+    """``mid, p, q``: one nonzero of each matrix, that with the least hash of seed, step,
+    matrix and place."""
+    lot = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(step)), *[F.col(c).cast("string") for c in ("mid", "r", "c")]))
+    return ms.entries.groupBy("mid").agg(F.min(F.struct(lot.alias("lot"), "r", "c")).alias("w")).select("mid", F.col("w.r").alias("p"), F.col("w.c").alias("q"))
+
+
+def random_pivots(ms: Matrices, count: int, char: int, seed: int = 1) -> Matrices:
+    """``count`` pivots (modulo 2 or 3) one after another on random nonzeros of each matrix;
+    zero matrices stay.  Each step is written, as the next one reads it several times."""
+    for step in range(count):
+        entries, _ = written(pivot(ms, random_entries(ms, seed, step), char).entries, "random-pivots")
+        ms = Matrices(ms.dims, entries)
+    return ms
+
+
 def outside_units(ms: Matrices) -> DataFrame:
     """``mid, r, c`` of each matrix's first entry outside -1, 0, 1: what a regular pivot
     must not leave."""

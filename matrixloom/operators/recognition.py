@@ -303,9 +303,10 @@ def equimodular_test(ms: Matrices) -> DataFrame:
 
 
 def named_test(ms: Matrices) -> DataFrame:
-    """``mid, identity_order, r10``: the order of an identity matrix (else null), and which
-    representation of R10 it is (0: none)."""
-    return per_matrix(ms, lambda mid, a: [(mid, recognise.identity_order(a), recognise.r10_kind(a))], "mid long, identity_order int, r10 int")
+    """``mid, identity_order, r10, r12``: the order of an identity matrix (else null), which
+    representation of R10 it is (0: none), and whether it is R12's."""
+    one = lambda mid, a: [(mid, recognise.identity_order(a), recognise.r10_kind(a), recognise.is_r12(a))]
+    return per_matrix(ms, one, "mid long, identity_order int, r10 int, r12 boolean")
 
 
 def identity_orders(ms: Matrices) -> DataFrame:

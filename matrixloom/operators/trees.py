@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Matrices
+from ..storage import written
 
 
-def ancestors(parents: DataFrame, levels: int = 64) -> DataFrame:
+def ancestors(parents: DataFrame) -> DataFrame:
     """``mid, node, edge``: the edges (each named by its lower node) on every node's way to
-    its root, for ``parents(mid, node, parent)``; found by a recursive query."""
-    spark = parents.sparkSession
-    parents.createOrReplaceTempView("_loom_parents")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(levels, 100)))
-    return spark.sql("""
-        WITH RECURSIVE up(mid, node, edge) AS (
-          SELECT mid, node, node FROM _loom_parents WHERE parent IS NOT NULL
-          UNION ALL
-          SELECT up.mid, up.node, p.parent FROM up JOIN _loom_parents p ON up.mid = p.mid AND up.edge = p.node
-          JOIN _loom_parents q ON p.mid = q.mid AND p.parent = q.node WHERE q.parent IS NOT NULL)
-        SELECT mid, node, edge FROM up""")
+    its root, for ``parents(mid, node, parent)``.
+
+    By doubling: in each round every node's way gets the way of the node at its end put on,
+    so the number of rounds is the logarithm of the depth; each is written, so that a lost
+    executor costs one round."""
+    inner = parents.where("parent IS NOT NULL")
+    ways = inner.select("mid", "node", F.col("node").alias("edge"))
+    below = inner.select("mid", F.col("node").alias("parent"))
+    jumps = inner.join(below, ["mid", "parent"], "left_semi").select("mid", "node", F.col("parent").alias("to"))
+    jumps, _ = written(jumps, "tree-jumps")
+    ways, _ = written(ways, "tree-ways")
+    while not jumps.isEmpty():
+        on = ways.select("mid", F.col("node").alias("to"), "edge")
+        ways, _ = written(ways.unionByName(jumps.join(on, ["mid", "to"]).select("mid", "node", "edge")), "tree-ways")
+        further = jumps.select("mid", F.col("node").alias("to"), F.col("to").alias("next"))
+        jumps, _ = written(jumps.join(further, ["mid", "to"]).select("mid", "node", F.col("next").alias("to")), "tree-jumps")
+    return ways
 
 
 def forest_matrix(parents: DataFrame, pairs: DataFrame, signed: bool = True) -> Matrices:
@@ -28,8 +35,6 @@ def forest_matrix(parents: DataFrame, pairs: DataFrame, signed: bool = True) ->
     c, u, w)``: the edges on exactly one of the ways of u and w to the root, -1 on u's."""
     up = ancestors(parents)
     edges = parents.where("parent IS NOT NULL")
-    from pyspark.sql import Window
-
     numbered = edges.select("mid", F.col("node").alias("edge"), (F.row_number().over(Window.partitionBy("mid").orderBy("node")) - 1).alias("r"))
     ends = pairs.select("mid", "c", F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(-1).alias("s")), F.struct(F.col("w").alias("node"), F.lit(1).alias("s")))).alias("x"))
     cells = ends.select("mid", "c", "x.node", "x.s").join(up, ["mid", "node"]).groupBy("mid", "c", "edge").agg(F.sum("s").alias("v")).where("v <> 0")

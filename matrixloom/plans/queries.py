@@ -191,17 +191,6 @@ def equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return algebra.equal(part_sign(spark, sf_dir), part_binary(spark, sf_dir))
 
 
-@query(f"SELECT DISTINCT mid, TRUE AS equal FROM ({SIGN_SQL})")
-def transpose_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ms = part_sign(spark, sf_dir)
-    return algebra.is_transpose(ms, algebra.transpose(ms))
-
-
-@query("SELECT CAST(NULL AS BIGINT) AS mid, '' AS problem WHERE FALSE")
-def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems(part_sign(spark, sf_dir))
-
-
 @query(f"SELECT DISTINCT mid, '3,0,1' AS rows, '1,3' AS cols FROM ({SIGN_SQL})")
 def submatrix_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unslicing a slice, and slicing that again."""
@@ -211,10 +200,29 @@ def submatrix_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where("again = inner").select("mid", F.array_join("outer.rows", ",").alias("rows"), F.array_join("outer.cols", ",").alias("cols"))
 
 
-@query()
+@query(f"SELECT mid, bool_and(v = 1) AS equal FROM ({SIGN_SQL}) GROUP BY mid")
+def transpose_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against the transpose of the support."""
+    return algebra.is_transpose(part_sign(spark, sf_dir), algebra.transpose(part_binary(spark, sf_dir)))
+
+
+@query(f"""WITH e AS ({COUNT_SQL}) SELECT DISTINCT mid, 'matrix not listed' AS problem FROM e WHERE mid % 3 = 0
+UNION ALL SELECT DISTINCT mid, 'row out of range' FROM e WHERE mid % 3 <> 0 AND r >= 3 UNION ALL SELECT DISTINCT mid, 'column out of range' FROM e WHERE mid % 3 <> 0 AND c >= 6
+UNION ALL SELECT DISTINCT mid, 'stored zero' FROM e WHERE v = 1 UNION ALL SELECT DISTINCT mid, 'duplicate entry' FROM e WHERE c = 2""")
+def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a collection with all kinds of problems."""
+    ms = part_count(spark, sf_dir)
+    dims = ms.dims.where("mid % 3 <> 0").select("mid", F.lit(3).alias("m"), F.lit(6).alias("n"))
+    e = ms.entries.withColumn("v", F.col("v") - 1)
+    return problems(Matrices(dims, e.unionByName(e.where("c = 2"))))
+
+
+@query(f"SELECT mid, v, count(*) AS entries, count(DISTINCT r) AS rows, count(DISTINCT c) AS cols FROM ({SIGN_SQL}) GROUP BY mid, v")
 def random_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What no order of the lines changes: of each value how many entries, rows and columns have it."""
     ms = part_sign(spark, sf_dir)
-    return _entries(algebra.permute(ms, algebra.random_order(ms, 7)))
+    e = algebra.permute(ms, algebra.random_order(ms, 7)).entries
+    return e.groupBy("mid", "v").agg(F.count("*").alias("entries"), F.countDistinct("r").alias("rows"), F.countDistinct("c").alias("cols"))
 
 
 # --- entries -----------------------------------------------------------------------
@@ -233,9 +241,12 @@ def is_ternary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kary.is_ternary(part_count(spark, sf_dir))
 
 
-@query(WITNESS.format(bad="abs(v - round(v)) > 0.000000001", name="is_integer", e=EMBED_SQL))
+@query(WITNESS.format(bad="abs(v - round(v)) > 0.000000001", name="is_integer", e=f"SELECT * FROM (SELECT mid, r, c, CASE WHEN mid % 2 = 0 THEN round(v * 10) ELSE v END AS v FROM ({EMBED_SQL})) WHERE v <> 0"))
 def is_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kary.is_integer(embeddings(spark, sf_dir))
+    """Of the embeddings, every other matrix rounded to tenths and multiplied by ten."""
+    ms = embeddings(spark, sf_dir)
+    v = F.when(F.col("mid") % 2 == 0, F.round(F.col("v") * 10)).otherwise(F.col("v"))
+    return kary.is_integer(Matrices(ms.dims, ms.entries.withColumn("v", v).where("v <> 0")))
 
 
 @query()
@@ -262,8 +273,8 @@ def entry_gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- pivots and determinants ----------------------------------------------------------
 
 
-def _pivot_sql(family: str, value: str) -> str:
-    return f"""WITH e AS ({family}), spot AS (SELECT mid, min(r * 1000 + c) // 1000 AS p, min(r * 1000 + c) % 1000 AS q FROM e GROUP BY mid),
+def _pivot_sql(family: str, value: str, first: str = "min(r * 1000 + c)") -> str:
+    return f"""WITH e AS ({family}), spot AS (SELECT mid, {first} // 1000 AS p, {first} % 1000 AS q FROM e GROUP BY mid),
 a AS (SELECT e.mid, v AS alpha, p, q FROM e JOIN spot ON e.mid = spot.mid AND r = p AND c = q),
 terms AS (SELECT e.mid, r, c, CASE WHEN r = p AND c = q THEN -v WHEN r = p OR c = q THEN alpha * v ELSE v END AS x FROM e JOIN a USING (mid)
   UNION ALL SELECT y.mid, y.r, x.c, -alpha * y.v * x.v FROM a JOIN e x ON x.mid = a.mid AND x.r = p AND x.c <> q JOIN e y ON y.mid = a.mid AND y.c = q AND y.r <> p)
@@ -286,6 +297,26 @@ def ternary_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(pivots.pivot(ms, _first_entries(ms), 3))
 
 
+_LOT = "arg_min(r * 1000 + c, md5('5:0:' || mid || ':' || r || ':' || c))"
+
+
+@query(_pivot_sql(BINARY_SQL, "abs(sum(x)) % 2", _LOT))
+def random_pivot_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(pivots.random_pivots(part_binary(spark, sf_dir), 1, 2, seed=5))
+
+
+@query(_pivot_sql(SIGN_SQL, "(sum(x) + 1 + 30) % 3 - 1", _LOT))
+def random_pivot_ternary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(pivots.random_pivots(part_sign(spark, sf_dir), 1, 3, seed=5))
+
+
+@query(f"WITH t AS ({_pivot_sql(SIGN_SQL, 'sum(x)')}) SELECT mid, CAST(min(r * 1000 + c) // 1000 AS INTEGER) AS r, CAST(min(r * 1000 + c) % 1000 AS INTEGER) AS c FROM t WHERE abs(v) > 1 GROUP BY mid")
+def regular_pivot_violators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first entries that regular pivots would leave outside of -1, 0 and 1."""
+    ms = part_sign(spark, sf_dir)
+    return pivots.outside_units(pivots.pivot(ms, _first_entries(ms))).select("mid", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
+
+
 @query(_pivot_sql(SIGN_SQL, "sum(x)"))
 def regular_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = part_sign(spark, sf_dir)
@@ -333,18 +364,21 @@ def echelon_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- blocks and lines -------------------------------------------------------------------
 
 
-@query(f"""WITH RECURSIVE e AS ({SIGN_SQL}), node AS (SELECT mid, CAST(x AS INTEGER) AS x FROM (SELECT DISTINCT mid FROM e), range(0, 11) y(x)),
+BLOCKS = f"""WITH RECURSIVE e AS ({SIGN_SQL}), node AS (SELECT mid, CAST(x AS INTEGER) AS x FROM (SELECT DISTINCT mid FROM e), range(0, 11) y(x)),
 pair AS (SELECT mid, r AS x, 4 + c AS y FROM e UNION ALL SELECT mid, 4 + c, r FROM e),
 reach(mid, x, y) AS (SELECT mid, x, x FROM node UNION SELECT reach.mid, reach.x, pair.y FROM reach JOIN pair ON reach.mid = pair.mid AND reach.y = pair.x),
-root AS (SELECT mid, x, min(y) AS low FROM reach GROUP BY mid, x)
-SELECT mid, CASE WHEN x < 4 THEN -1 - x ELSE x - 3 END AS element, CAST(dense_rank() OVER (PARTITION BY mid ORDER BY low) - 1 AS INTEGER) AS block FROM root""")
+root AS (SELECT mid, x, min(y) AS low FROM reach GROUP BY mid, x)"""
+
+
+@query(f"""{BLOCKS} SELECT mid, CASE WHEN x < 4 THEN -1 - x ELSE x - 3 END AS element, CAST(dense_rank() OVER (PARTITION BY mid ORDER BY low) - 1 AS INTEGER) AS block FROM root""")
 def block_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.block_of_lines(part_sign(spark, sf_dir))
 
 
-@query()
+@query(f"""{BLOCKS} SELECT mid, coalesce(string_agg(x, ',' ORDER BY x) FILTER (x < 4), '') AS rows, coalesce(string_agg(x - 4, ',' ORDER BY x) FILTER (x >= 4), '') AS cols FROM root GROUP BY mid, low""")
 def block_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.decompose_blocks(part_sign(spark, sf_dir))
+    found = blocks.decompose_blocks(part_sign(spark, sf_dir))
+    return found.select("mid", *[F.array_join(F.array_sort(c), ",").alias(c) for c in ("rows", "cols")])
 
 
 @query(f"""WITH e AS ({SIGN_SQL}), d AS (SELECT DISTINCT mid FROM e)
@@ -370,16 +404,102 @@ def one_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(sums.one_sum(ms, ms.dims.select(F.expr("mid div 10").alias("sid"), F.col("mid").alias("place"), "mid")))
 
 
-@query(f"""WITH a AS ({SIGN_SQL})
+TWO_SUM = f"""WITH a AS ({SIGN_SQL})
 SELECT mid, CAST(r - (r > 1)::INT AS INTEGER) AS r, c, v FROM a WHERE r <> 1
 UNION ALL SELECT mid, r + 3, CAST(7 + c - (c > 2)::INT AS INTEGER), v FROM a WHERE c <> 2
-UNION ALL SELECT y.mid, y.r + 3, x.c, y.v * x.v FROM a x JOIN a y ON x.mid = y.mid AND x.r = 1 AND y.c = 2""")
+UNION ALL SELECT y.mid, y.r + 3, x.c, y.v * x.v FROM a x JOIN a y ON x.mid = y.mid AND x.r = 1 AND y.c = 2"""
+
+
+@query(TWO_SUM)
 def two_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each matrix with itself, along its second row and third column."""
     ms = part_sign(spark, sf_dir)
     return _entries(sums.two_sum(ms, ms, ms.dims.select("mid", F.lit(1).alias("row"), F.lit(2).alias("col"))))
 
 
+@query(f"""WITH a AS ({SIGN_SQL})
+SELECT mid, r, CAST(c - (c > 2)::INT AS INTEGER) AS c, v FROM a WHERE c <> 2
+UNION ALL SELECT mid, CAST(4 + r - (r > 1)::INT AS INTEGER), 6 + c, v FROM a WHERE r <> 1
+UNION ALL SELECT x.mid, x.r, 6 + y.c, x.v * y.v FROM a x JOIN a y ON x.mid = y.mid AND x.c = 2 AND y.r = 1""")
+def two_sum_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each matrix with itself, along its third column and second row."""
+    ms = part_sign(spark, sf_dir)
+    return _entries(sums.two_sum_by_column(ms, ms, ms.dims.select("mid", F.lit(2).alias("col"), F.lit(1).alias("row"))))
+
+
+@query(f"SELECT * FROM ({TWO_SUM}) WHERE mid IN (SELECT mid FROM ({SIGN_SQL}) WHERE r = 1) AND mid IN (SELECT mid FROM ({SIGN_SQL}) WHERE c = 2)")
+def two_sum_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2-sums taken apart and put together again."""
+    ms = part_sign(spark, sf_dir)
+    whole = sums.two_sum(ms, ms, ms.dims.select("mid", F.lit(1).alias("row"), F.lit(2).alias("col")))
+    first = ms.dims.select("mid", F.sequence(F.lit(0), F.lit(2)).alias("rows"), F.sequence(F.lit(0), F.lit(6)).alias("cols"))
+    found, _ = storage.written(sums.parts(whole, first, "TWOSUM"), "two-sum-parts")
+    one, two = sums.part_matrices(found, 0), sums.part_matrices(found, 1)
+    return _entries(sums.two_sum(one, two, one.dims.select("mid", (F.col("m") - 1).alias("row"), F.lit(0).alias("col"))))
+
+
+def _spots(ms: Matrices, *cells: tuple[int, int, int]) -> DataFrame:
+    spots = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(v).alias("v")) for r, c, v in cells])
+    return ms.dims.select("mid", F.explode(spots).alias("x")).select("mid", "x.r", "x.c", "x.v")
+
+
+def _picked(e: DataFrame, *pieces: tuple[str, int, int]) -> DataFrame:
+    """Of entries those under each condition, moved by so many rows and columns."""
+    out = [e.where(where).select("mid", (F.col("r") + r).alias("r"), (F.col("c") + c).alias("c"), "v") for where, r, c in pieces]
+    both = out[0]
+    for x in out[1:]:
+        both = both.unionByName(x)
+    return both
+
+
+def _delta_pairs(ms: Matrices) -> tuple[Matrices, Matrices, DataFrame]:
+    """[A a a; c 0 1] and [1 0 b; d d D] of each matrix [A a .; c . .] = [. . b; d . D]."""
+    first = _picked(ms.entries, ("r < 3 AND c <= 5", 0, 0), ("r < 3 AND c = 5", 0, 1), ("r = 3 AND c < 5", 0, 0)).unionByName(_spots(ms, (3, 6, 1)))
+    second = _picked(ms.entries, ("c >= 2", 0, 0), ("r > 0 AND c = 0", 0, 0), ("r > 0 AND c = 0", 0, 1)).unionByName(_spots(ms, (0, 0, 1)))
+    special = ms.dims.select("mid", *[F.lit(x).alias(n) for n, x in (("row", 3), ("x", 5), ("y", 6), ("row2", 0), ("u", 0), ("w", 1))])
+    return Matrices(ms.dims, first), Matrices(ms.dims, second), special
+
+
+DELTA = f"""WITH a AS ({SIGN_SQL}) SELECT mid, r, c, v FROM a WHERE r < 3 AND c < 5
+UNION ALL SELECT mid, r + 2, c + 3, v FROM a WHERE r > 0 AND c >= 2
+UNION ALL SELECT x.mid, x.r, y.c + 3, x.v * y.v FROM a x JOIN a y ON x.mid = y.mid AND x.r < 3 AND x.c = 5 AND y.r = 0 AND y.c >= 2
+UNION ALL SELECT x.mid, x.r + 2, y.c, x.v * y.v FROM a x JOIN a y ON x.mid = y.mid AND x.r > 0 AND x.c = 0 AND y.r = 3 AND y.c < 5"""
+
+
+@query(DELTA)
+def delta_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(sums.delta_sum(*_delta_pairs(part_sign(spark, sf_dir))))
+
+
+@query(f"SELECT DISTINCT mid FROM ({SIGN_SQL}) WHERE r < 3 AND c = 5")
+def delta_sum_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose second special column lacks its copy."""
+    first, second, special = _delta_pairs(part_sign(spark, sf_dir))
+    return sums.delta_problems(Matrices(first.dims, first.entries.where("c <> 6 OR r = 3")), second, special)
+
+
+@query(f"SELECT mid, c AS r, r AS c, v FROM ({DELTA})")
+def y_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second, special = _delta_pairs(part_sign(spark, sf_dir))
+    special = special.withColumnsRenamed({"row": "col", "row2": "col2"})
+    return _entries(sums.y_sum(algebra.transpose(first), algebra.transpose(second), special))
+
+
+@query(f"""WITH a AS ({SIGN_SQL}), d AS (SELECT DISTINCT mid FROM a),
+line AS (SELECT mid, 0 AS line, 0 AS c, 1 AS v FROM d UNION ALL SELECT mid, 1, 1, 1 FROM d UNION ALL SELECT mid, r - 2, c, v FROM a WHERE r >= 2 AND c >= 2),
+kl AS (SELECT mid, 2 AS r, 0 AS line, 1 AS v FROM d UNION ALL SELECT mid, 3, 1, 1 FROM d UNION ALL SELECT mid, r + 2, c, v FROM a WHERE r >= 2 AND c < 2)
+SELECT mid, r, c, v FROM a WHERE r < 2 UNION ALL SELECT mid, r + 2, c + 5, v FROM a WHERE c >= 2
+UNION ALL SELECT * FROM (SELECT kl.mid, kl.r, line.c, CAST((sum(kl.v * line.v) + 1 + 30) % 3 - 1 AS INTEGER) AS v FROM kl JOIN line USING (mid, line) GROUP BY kl.mid, kl.r, line.c) WHERE v <> 0""")
+def three_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of parts that are made of one matrix and share an identity block."""
+    ms = part_sign(spark, sf_dir)
+    first = _picked(ms.entries, ("r < 2 OR c >= 2", 0, 0)).unionByName(_spots(ms, (2, 0, 1), (3, 1, 1), (2, 7, 1), (3, 7, 1)))
+    second = _picked(ms.entries, ("r < 2 AND c >= 2", 1, 0), ("r >= 2", 1, 0)).unionByName(_spots(ms, (0, 0, -1), (0, 1, 1), (1, 0, 1), (2, 1, 1)))
+    sized = lambda m, n: ms.dims.select("mid", F.lit(m).alias("m"), F.lit(n).alias("n"))
+    special = ms.dims.select("mid", *[F.lit(x).alias(n) for n, x in (("i", 2), ("j", 3), ("k", 0), ("l", 1), ("extra", 7), ("top", 0), ("i2", 1), ("j2", 2), ("k2", 0), ("l2", 1))])
+    return _entries(sums.three_sum(Matrices(sized(4, 8), first), Matrices(sized(5, 7), second), special))
+
+
 def _halves(ms: Matrices) -> DataFrame:
     x = blocks.lines(ms)
     return x.withColumn("part", F.when(F.col("element").isin(-1, -2, 1, 2, 3), 0).otherwise(1))
@@ -430,96 +550,180 @@ def balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.balanced_test(part_sign(spark, sf_dir)).select("mid", "is_balanced")
 
 
-@query()
-def camion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognition.camion_test(part_sign(spark, sf_dir))
+#: The points of a 4-row matrix's matroid as masks: unit vectors and different columns.
+POINTS = """{name}_col AS (SELECT DISTINCT mid, CAST(x AS BIGINT) AS x FROM (SELECT mid, c, sum(1 << r) AS x FROM {e} GROUP BY mid, c)),
+{name}_point AS (SELECT mid, x FROM {name}_col UNION SELECT mid, CAST(1 AS BIGINT) << i FROM (SELECT DISTINCT mid FROM {e}), range(0, 4) u(i)),
+{name}_plane AS (SELECT mid, max(inside) AS inside, max(outside) AS outside, max(inside + outside) AS size FROM (SELECT mid, w, count(*) FILTER (bit_count(x & w) % 2 = 0) AS inside,
+  count(*) FILTER (bit_count(x & w) % 2 = 1) AS outside FROM {name}_point, (SELECT CAST(w AS BIGINT) AS w FROM range(1, 16) p(w)) GROUP BY mid, w) GROUP BY mid),
+{name}_star AS (SELECT mid, max(classes) AS classes FROM (SELECT a.mid, a.x, count(DISTINCT least(b.x, xor(a.x, b.x))) AS classes
+  FROM {name}_point a JOIN {name}_point b ON a.mid = b.mid AND a.x <> b.x GROUP BY a.mid, a.x) GROUP BY mid),
+{name} AS (SELECT mid, inside < 7 AND outside < 7 AND classes < 7 AS is_regular, inside < 7 AND outside < 7 AND classes < 7 AND size < 10 AS is_cographic,
+  inside < 6 AND classes < 6 AS is_sp FROM {name}_plane JOIN {name}_star USING (mid))"""
+
+
+def _tree_paths() -> str:
+    """All trees with four named edges, as ``(tree, forth, back)``: for each way between two
+    of its nodes the masks of the edges taken along and against their direction."""
+    from itertools import product
+
+    seen: dict[frozenset, list[tuple[int, int]]] = {}
+    for code in product(range(5), repeat=3):  # Pruefer's codes of the trees on five nodes
+        degree, edges = [1 + code.count(v) for v in range(5)], []
+        for v in code:
+            leaf = degree.index(1)
+            edges.append((leaf, v))
+            degree[leaf], degree[v] = 0, degree[v] - 1
+        edges.append(tuple(v for v in range(5) if degree[v] == 1))
+        for order in permutations(range(4)):
+            ways = []
+            for start in range(5):
+                reached, todo = {start: (0, 0)}, [start]
+                for x in todo:
+                    forth, back = reached[x]
+                    for bit, i in enumerate(order):
+                        a, b = edges[i]
+                        for u, w, step in ((a, b, (forth | 1 << bit, back)), (b, a, (forth, back | 1 << bit))):
+                            if u == x and w not in reached:
+                                reached[w] = step
+                                todo.append(w)
+                ways += [way for w, way in reached.items() if w != start]
+            seen.setdefault(frozenset(f | b for f, b in ways), ways)
+    return ", ".join(f"({i}, {f}, {b})" for i, ways in enumerate(seen.values()) for f, b in ways)
+
+
+#: A 4-row matrix is graphic if all of its columns are paths of one tree, and a network matrix if
+#: all are ways through one tree with directed edges.
+TREES = f"way AS (SELECT CAST(tree AS BIGINT) AS tree, CAST(f AS BIGINT) AS f, CAST(b AS BIGINT) AS b FROM (VALUES {_tree_paths()}) t(tree, f, b))"
+GRAPHIC = """{name}_need AS (SELECT mid, count(*) AS k FROM {name}_col GROUP BY mid),
+{name}_hit AS (SELECT mid, tree, count(*) AS k FROM {name}_col JOIN (SELECT DISTINCT tree, f | b AS x FROM way) USING (x) GROUP BY mid, tree),
+{name}_graph AS (SELECT n.mid, coalesce(max(h.k) = max(n.k), FALSE) AS is_graphic FROM {name}_need n LEFT JOIN {name}_hit h ON n.mid = h.mid GROUP BY n.mid)"""
+NETWORK = """way_d AS (SELECT DISTINCT tree * 16 + o.o AS tree, (f & ~o.o) | (b & o.o) AS p, (b & ~o.o) | (f & o.o) AS q FROM way, (SELECT CAST(o AS BIGINT) AS o FROM range(0, 16) x(o)) o),
+signed AS (SELECT DISTINCT mid, p, q FROM (SELECT mid, c, CAST(sum(CASE WHEN v = 1 THEN 1 << r ELSE 0 END) AS BIGINT) AS p, CAST(sum(CASE WHEN v = -1 THEN 1 << r ELSE 0 END) AS BIGINT) AS q FROM e GROUP BY mid, c)),
+signed_need AS (SELECT mid, count(*) AS k FROM signed GROUP BY mid),
+signed_hit AS (SELECT mid, tree, count(*) AS k FROM signed JOIN way_d USING (p, q) GROUP BY mid, tree),
+net AS (SELECT n.mid, coalesce(max(h.k) = max(n.k), FALSE) AS is_network FROM signed_need n LEFT JOIN signed_hit h ON n.mid = h.mid GROUP BY n.mid)"""
+BINARY_CLASS = f"WITH b AS ({BINARY_SQL}), {TREES}, {POINTS.format(name='bin', e='b')}, {GRAPHIC.format(name='bin')}"
+SIGN_CLASS = f"{GH_SIGN}, {TREES}, {POINTS.format(name='sup', e='e')}, {GRAPHIC.format(name='sup')}, {NETWORK}"
+
+
+@query(f"{SIGN_CLASS} SELECT mid, is_sp AND is_tu AS is_sp FROM sup JOIN gh USING (mid)")
+def series_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No wheel in the support (oracle: no minor of six points and rank three) and signs that fit."""
+    return recognition.series_parallel(part_sign(spark, sf_dir)).select("mid", "is_sp")
 
 
-@query(f"SELECT mid, r, c, 1 AS v FROM ({SIGN_SQL})")
-def camion_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Camion's signs change no zero."""
-    ms = algebra.support(recognition.camion_signed(part_sign(spark, sf_dir)))
-    return _entries(ms)
+@query(f"{BINARY_CLASS} SELECT mid, is_sp FROM bin")
+def series_parallel_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.series_parallel(part_binary(spark, sf_dir), ternary=False).select("mid", "is_sp")
 
 
-@query()
-def series_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognition.series_parallel(part_sign(spark, sf_dir))
+@query(f"{BINARY_CLASS} SELECT mid, is_graphic, is_cographic, is_graphic AND is_cographic AS is_planar FROM bin JOIN bin_graph USING (mid)")
+def graphic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oracle: all 25 trees of four edges; regular and without the ten points of K5 for cographs."""
+    return recognition.graphic_test(part_binary(spark, sf_dir))
 
 
-@query()
-def series_parallel_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognition.series_parallel(part_binary(spark, sf_dir), ternary=False)
+def _equal(found: Matrices, ms: Matrices) -> DataFrame:
+    some = found.dims.select("mid")
+    return algebra.equal(found, Matrices(ms.dims.join(some, "mid", "left_semi"), ms.entries.join(some, "mid", "left_semi")))
 
 
-@query()
-def series_parallel_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.reductions_text(recognition.series_parallel(part_sign(spark, sf_dir)))
+@query(f"{BINARY_CLASS} SELECT mid, TRUE AS equal FROM bin_graph WHERE is_graphic")
+def graphic_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mid, equal``: the matrices of the graphs found, against the matrices themselves."""
+    ms = part_binary(spark, sf_dir)
+    edges, _ = storage.written(recognition.realised_graphs(ms), "graphs")
+    return _equal(recognition.represented(edges), ms)
+
+
+@query(f"{SIGN_CLASS} SELECT mid, is_network, is_tu AND is_cographic AS is_conetwork, is_graphic AS support_is_graphic FROM net JOIN gh USING (mid) JOIN sup USING (mid) JOIN sup_graph USING (mid)")
+def network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oracle: all trees of four directed edges."""
+    return recognition.network_test(part_sign(spark, sf_dir))
+
+
+@query(f"{SIGN_CLASS} SELECT mid, TRUE AS equal FROM net WHERE is_network")
+def network_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = part_sign(spark, sf_dir)
+    edges, _ = storage.written(recognition.realised_networks(ms), "networks")
+    return _equal(recognition.represented(edges, signed=True), ms)
 
 
 @query()
+def network_edge_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.edge_list_text(recognition.realised_networks(part_sign(spark, sf_dir)))
+
+
+@query(f"{BINARY_CLASS} SELECT mid, is_regular FROM bin")
+def regular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oracle: no minor of Fano's plane or its dual."""
+    return recognition.regular_test(part_binary(spark, sf_dir))
+
+
+@query(f"""SELECT mid, concat_ws(chr(10), 'complement row ' || (row + 1), 'complement column ' || (col + 1)) AS value FROM ({SQL['ctu']}) WHERE NOT is_ctu""")
 def ctu_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.complements_text(recognition.ctu_test(part_binary(spark, sf_dir)).where("NOT is_ctu"))
 
 
-@query()
-def series_parallel_violators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognition.sp_violators(part_sign(spark, sf_dir))
+NAMES = ["I_3", "R_10.1", "R_10.2", "R_12", "W_4", "K_5", "K_3,3", "I_1"]
 
 
-@query()
-def graphic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognition.graphic_test(part_binary(spark, sf_dir))
+@query("""SELECT CAST(mid AS BIGINT) AS mid, identity_order, r10, r12 FROM (VALUES (0, 3, 0, FALSE), (1, NULL, 1, FALSE), (2, NULL, 2, FALSE), (3, NULL, 0, TRUE),
+(4, NULL, 0, FALSE), (5, NULL, 0, FALSE), (6, NULL, 0, FALSE), (7, 1, 0, FALSE)) t(mid, identity_order, r10, r12)""")
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.named_test(generators.literals(spark, NAMES))
 
 
-@query()
-def graphic_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognition.greedy_graphic_columns(part_binary(spark, sf_dir))
+@query("""SELECT c_custkey AS mid, CAST(CASE WHEN c_nationkey % 3 = 1 OR c_nationkey % 3 = 0 AND c_custkey % 5 > 0 THEN NULL ELSE c_custkey % 5 + 1 END AS INTEGER) AS identity_order FROM customer""")
+def identity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a matrix per customer: the identity of order 1 to 5, by nation with a sign changed or an entry more."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("mid"), (F.col("c_custkey") % 5 + 1).cast("int").alias("k"), (F.col("c_nationkey") % 3).alias("kind"))
+    diagonal = c.select("mid", "kind", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("r"))
+    e = diagonal.select("mid", "r", F.col("r").alias("c"), F.when((F.col("kind") == 1) & (F.col("r") == 0), -1).otherwise(1).alias("v"))
+    e = e.unionByName(c.where("kind = 0 AND k > 1").select("mid", F.lit(0).alias("r"), (F.col("k") - 1).alias("c"), F.lit(1).alias("v")))
+    return recognition.identity_orders(Matrices(c.select("mid", F.col("k").alias("m"), F.col("k").alias("n")), e))
 
 
 @query()
-def graphic_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``mid, equal``: the matrices of the graphs found, against the matrices themselves."""
-    ms = part_binary(spark, sf_dir)
-    edges, _ = storage.written(recognition.realised_graphs(ms), "graphs")
-    some = ms.where(F.col("mid").isNotNull())
-    found = recognition.represented(edges)
-    return algebra.equal(found, Matrices(some.dims.join(found.dims.select("mid"), "mid", "left_semi"), some.entries.join(found.dims.select("mid"), "mid", "left_semi")))
+def camion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.camion_test(part_sign(spark, sf_dir))
 
 
-@query()
-def network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognition.network_test(part_sign(spark, sf_dir))
+@query(f"SELECT mid, r, c, 1 AS v FROM ({SIGN_SQL})")
+def camion_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Camion's signs change no zero."""
+    ms = algebra.support(recognition.camion_signed(part_sign(spark, sf_dir)))
+    return _entries(ms)
 
 
 @query()
-def network_edge_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.edge_list_text(recognition.realised_networks(part_sign(spark, sf_dir)))
+def series_parallel_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.series_parallel(part_sign(spark, sf_dir))
 
 
 @query()
-def graph_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.dot_text(recognition.realised_graphs(part_binary(spark, sf_dir)))
+def series_parallel_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.reductions_text(recognition.series_parallel(part_sign(spark, sf_dir)))
 
 
 @query()
-def regular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognition.regular_test(part_binary(spark, sf_dir))
+def series_parallel_violators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.sp_violators(part_sign(spark, sf_dir))
 
 
 @query()
-def equimodular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognition.equimodular_test(part_count(spark, sf_dir))
+def graphic_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.greedy_graphic_columns(part_binary(spark, sf_dir))
 
 
 @query()
-def named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognition.named_test(part_sign(spark, sf_dir))
+def graph_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.dot_text(recognition.realised_graphs(part_binary(spark, sf_dir)))
 
 
-@query(f"""SELECT DISTINCT mid, CAST(NULL AS INTEGER) AS identity_order FROM ({SIGN_SQL})""")
-def identity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognition.identity_orders(part_sign(spark, sf_dir))
+@query()
+def equimodular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.equimodular_test(part_count(spark, sf_dir))
 
 
 # --- trees, texts, generators -----------------------------------------------------------------
@@ -534,11 +738,12 @@ def geo(spark: SparkSession, sf_dir: str) -> Matrices:
         nation.select(one, (F.col("n_nationkey") + 100).alias("node"), (F.col("n_regionkey") + 1).alias("parent"))
     )
     a, b = nation.select(F.col("n_nationkey").alias("a")), nation.select(F.col("n_nationkey").alias("b"))
-    pairs = a.join(b, F.col("a") < F.col("b")).select(one, F.expr("CAST(a * 25 + b AS INT)").alias("c"), (F.col("a") + 100).alias("u"), (F.col("b") + 100).alias("w"))
+    count = nation.agg(F.count("*").alias("k"))
+    pairs = a.join(b, F.col("a") < F.col("b")).join(count).select(one, F.expr("CAST(a * (2 * k - a - 1) / 2 + b - a - 1 AS INT)").alias("c"), (F.col("a") + 100).alias("u"), (F.col("b") + 100).alias("w"))
     return trees.forest_matrix(parents, pairs)
 
 
-@query("""WITH p AS (SELECT a.n_nationkey * 25 + b.n_nationkey AS c, a.n_nationkey AS u, b.n_nationkey AS w, a.n_regionkey AS ru, b.n_regionkey AS rw
+@query("""WITH p AS (SELECT row_number() OVER (ORDER BY a.n_nationkey, b.n_nationkey) - 1 AS c, a.n_nationkey AS u, b.n_nationkey AS w, a.n_regionkey AS ru, b.n_regionkey AS rw
   FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey), k AS (SELECT count(*) AS regions FROM region)
 SELECT CAST(0 AS BIGINT) AS mid, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, v FROM (
   SELECT regions + u AS r, c, -1 AS v FROM p, k UNION ALL SELECT regions + w, c, 1 FROM p, k
@@ -596,17 +801,35 @@ def generated_wheels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(generators.wheels(spark, list(range(3, 33)), modified=True))
 
 
-@query()
+@query("SELECT CAST(range AS BIGINT) AS mid, TRUE AS is_network, TRUE AS support_is_graphic FROM range(0, 200)")
 def generated_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random network matrices, recognised again."""
-    return recognition.network_test(generators.graphic(spark, 200, 12, 15, signed=True))
+    return recognition.network_test(generators.graphic(spark, 200, 12, 15, signed=True)).select("mid", "is_network", "support_is_graphic")
 
 
-@query()
+@query("SELECT CAST(range AS BIGINT) AS mid, TRUE AS is_sp FROM range(0, 200)")
 def generated_series_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.series_parallel(generators.random_series_parallel(spark, 200, 0, 20)).select("mid", "is_sp")
 
 
+@query("SELECT CAST(range AS BIGINT) AS mid, TRUE AS is_tu FROM range(0, 60)")
+def generated_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of graphic and cographic matrices, some 35 x 35 (neither graphic nor cographic as a
+    rule): totally unimodular."""
+    return recognition.tu_test(generators.graph_cograph_sums(spark, 60, 10, 14)).select("mid", "is_tu")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS mid, TRUE AS is_network, FALSE AS is_conetwork, TRUE AS support_is_graphic")
+def network_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix of the tree of nations, 30 x 300, recognised again."""
+    return recognition.network_test(geo(spark, sf_dir))
+
+
+@query()
+def tree_dots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.tree_dot(recognition.decompositions(part_sign(spark, sf_dir)))
+
+
 @query()
 def perturbed_tu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.tu_by_masks(generators.perturbed(part_sign(spark, sf_dir), 0.1, [-1, 0, 1]))

@@ -104,6 +104,49 @@ def graphic(spark: SparkSession, count: int, nodes: int, extra: int, signed: boo
     return represented(random_trees(spark, count, nodes, extra, seed), signed)
 
 
+def graph_cograph_sums(spark: SparkSession, count: int, nodes: int, extra: int, pivots: int = 2, seed: int = 1) -> Matrices:
+    """Delta-sums of graphic matrices along a triangle and cographic ones along a node of
+    degree three, with Camion's signs, some ternary pivots and lines in random order: totally
+    unimodular matrices of some ``2 * nodes + extra`` lines a side that, as a rule, are neither
+    graphic nor cographic."""
+    import random
+
+    from ..functions import graphs, sums
+
+    def tree(rng):
+        return {i: (rng.randrange(i + 1), i + 1) for i in range(nodes - 1)}
+
+    def made(mid, _):
+        rng = random.Random(seed * 1_000_003 + mid)
+        # a triangle: the last tree edge, and two columns whose paths differ in it
+        forest, hub = tree(rng), rng.randrange(nodes)
+        forest[nodes - 1] = (hub, nodes)
+        far = rng.choice([x for x in range(nodes) if x != hub])
+        chords = {j: tuple(rng.sample(range(nodes + 1), 2)) for j in range(extra)} | {extra: (far, hub), extra + 1: (far, nodes)}
+        first = graphs.represented(forest, chords)
+        # a node of degree three: a tree edge cut in two, and one chord at the cut
+        edges = list(tree(rng).values())
+        a, b = edges.pop(rng.randrange(len(edges)))
+        forest = dict(enumerate([(a, nodes), (nodes, b), *edges]))
+        chords = {0: (nodes, rng.randrange(nodes))} | {1 + j: tuple(rng.sample(range(nodes), 2)) for j in range(extra)}
+        second = [list(c) for c in zip(*graphs.represented(forest, chords))]
+        if not second[0][0]:
+            second = [[r[1], r[0], *r[2:]] for r in second]
+        m = structure.camion(sums.delta_sum(first, second, nodes - 1, (extra, extra + 1), 0, (0, 1), 2))[0]
+        for _ in range(pivots):
+            p, q = rng.choice([(i, j) for i, r in enumerate(m) for j, v in enumerate(r) if v])
+            x = m[p][q]
+            m = [[-x if (i, j) == (p, q) else x * v if i == p or j == q else sums.residue(v - x * m[i][q] * m[p][j], 3) for j, v in enumerate(r)] for i, r in enumerate(m)]
+        for _ in range(2):
+            rng.shuffle(m)
+            m = [list(c) for c in zip(*m)]
+        return [(mid, len(m), len(m[0]), [{"r": i, "c": j, "v": v} for i, r in enumerate(m) for j, v in enumerate(r) if v])]
+
+    empty = Matrices(_sized(spark, count, 0, 0), spark.createDataFrame([], "mid long, r int, c int, v int"))
+    found = per_matrix(empty, made, "mid long, m int, n int, cells array<struct<r: int, c: int, v: int>>")
+    return Matrices(found.select("mid", "m", "n"), found.select("mid", F.explode("cells").alias("x")).select("mid", "x.r", "x.c", "x.v"))
+
+
 def literals(spark: SparkSession, names: list[str]) -> Matrices:
     from ..functions.recognise import named
 

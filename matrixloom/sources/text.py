@@ -65,8 +65,9 @@ def sparse_text(ms: Matrices) -> DataFrame:
     return ms.dims.join(cells, "mid", "left").select("mid", F.concat(head, F.lit("\n\n"), F.array_join(said, "\n"), F.lit("\n")).alias("value"))
 
 
-def dense_text(ms: Matrices, zero: str = "0") -> DataFrame:
-    """``mid, value``: header and rows; zeros are written as ``zero``."""
+def dense_text(ms: Matrices, zero: str = "0", header: bool = False) -> DataFrame:
+    """``mid, value``: header and rows; zeros are written as ``zero``; ``header``: a line of
+    the columns' last digits (counted from 1) comes before the rows."""
     cells = ms.entries.groupBy("mid").agg(F.map_from_entries(F.collect_list(F.struct(F.struct(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")), F.col("v").cast("string")))).alias("cells"))
     zeros = F.lit(zero)
 
@@ -75,7 +76,9 @@ def dense_text(ms: Matrices, zero: str = "0") -> DataFrame:
 
     at = lambda i, j: F.coalesce(F.try_element_at("cells", F.struct(i.cast("int").alias("r"), j.cast("int").alias("c"))), zeros)
     rows = F.transform(upto("m"), lambda i: F.array_join(F.transform(upto("n"), lambda j: at(i, j)), " "))
-    return ms.dims.join(cells, "mid", "left").select("mid", F.concat(F.concat_ws(" ", "m", "n"), F.lit("\n"), F.array_join(rows, "\n"), F.lit("\n")).alias("value"))
+    digits = F.array_join(F.transform(upto("n"), lambda j: ((j + 1) % 10).cast("string")), " ")
+    top = F.concat(digits, F.lit("\n")) if header else F.lit("")
+    return ms.dims.join(cells, "mid", "left").select("mid", F.concat(F.concat_ws(" ", "m", "n"), F.lit("\n"), top, F.array_join(rows, "\n"), F.lit("\n")).alias("value"))
 
 
 def read_submatrices(texts: DataFrame) -> DataFrame:
@@ -92,6 +95,11 @@ def submatrix_text(subs: DataFrame) -> DataFrame:
     return subs.select("mid", F.concat_ws("\n", head, one("rows"), one("cols")).alias("value"))
 
 
+def minor_text(minors: DataFrame) -> DataFrame:
+    """``mid, value`` of minors: the submatrix that remains, without the pivots."""
+    return submatrix_text(minors.select("mid", "m", "n", "rows", "cols"))
+
+
 def read_edge_lists(texts: DataFrame) -> DataFrame:
     """``mid, e, u, w, u_node, w_node, element`` of texts with lines ``u v [element]``, up to the first line
     with fewer than two words.  Elements: r<i>, t<i> or -<i> a row (negative), c<j> a
@@ -141,6 +149,15 @@ def tree_text(nodes: DataFrame) -> DataFrame:
     return x.select("mid", F.array_join(F.col("x.line"), "\n").alias("value"))
 
 
+def tree_dot(nodes: DataFrame) -> DataFrame:
+    """``mid, value``: a decomposition tree in GraphViz, its nodes by kind and size."""
+    label = F.concat_ws(" ", "kind", F.concat(F.size("rows"), F.lit("x"), F.size("cols")))
+    node = F.concat(F.lit(" n"), F.col("node").cast("string"), F.lit(' [label="'), label, F.lit('"];'))
+    edge = F.when(F.col("parent").isNotNull(), F.concat(F.lit("\n n"), F.col("parent").cast("string"), F.lit(" -> n"), F.col("node").cast("string"), F.lit(";"))).otherwise("")
+    x = nodes.groupBy("mid").agg(F.array_sort(F.collect_list(F.struct("node", F.concat(node, edge).alias("line")))).alias("x"))
+    return x.select("mid", F.concat(F.lit("digraph G {\n"), F.array_join(F.col("x.line"), "\n"), F.lit("\n}\n")).alias("value"))
+
+
 def reductions_text(reduced: DataFrame) -> DataFrame:
     """``mid, value`` of series-parallel ``reductions``: their number, then a line each."""
 
