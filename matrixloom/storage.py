@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    of this machine is made and set.
+    Only in a local session (tests on one machine) that names none a temporary folder
+    of this machine is made and set; on a cluster it's an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="matrixloom-")
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
