@@ -114,7 +114,10 @@ def judged(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col
         .groupBy("host", "path")
         .agg(F.max(F.struct("site", F.length("text").alias("size"), "text", "action")).alias("best"))
     )
-    return rows.join(best, ["host", "path"], "left").select(
+    # urls without a host meet no rule: they aren't dealt by a key that all of them share
+    hopeless = rows.where("host = ''").withColumn("best", F.lit(None).cast(best.schema["best"].dataType))
+    whole = rows.where("host <> ''").join(best, ["host", "path"], "left").unionByName(hopeless)
+    return whole.select(
         "id",
         "host",
         "path",
