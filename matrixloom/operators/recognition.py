@@ -78,6 +78,44 @@ def decompositions(ms: Matrices, ternary: bool = True) -> DataFrame:
     return per_matrix(ms, lambda mid, a: [(mid, *x) for x in recognise.table(recognise.decompose(a, ternary))], schema)
 
 
+_NODE = "mid long, node int, parent int, place int, kind string, regularity int, graphicness int, cographicness int, rows array<int>, cols array<int>, matrix array<array<int>>"
+
+
+def _table(tree) -> list[tuple]:
+    """The rows of a tree with the matrices of what is still to be decomposed."""
+    todo, nodes = [tree], []
+    while todo:
+        x = todo.pop()
+        nodes.append(x.matrix)
+        todo += x.children[::-1]
+    return [(*row, m) for row, m in zip(recognise.table(tree), nodes)]
+
+
+def partial_decompositions(ms: Matrices, levels: int, ternary: bool = True) -> DataFrame:
+    """As :func:`decompositions`, down to ``levels`` levels; deeper nodes are UNKNOWN and have
+    their ``matrix``, from which :func:`completed` goes on."""
+    return per_matrix(ms, lambda mid, a: [(mid, *x) for x in _table(recognise.decompose(a, ternary, levels))], _NODE)
+
+
+def completed(nodes: DataFrame, ternary: bool = True, at: int | None = None) -> DataFrame:
+    """Trees with their UNKNOWN nodes decomposed (those in the subtree of node ``at``, if
+    given) and the attributes above recomputed; nodes are numbered anew."""
+
+    def run(pdf):
+        import pandas as pd
+
+        rows = []
+        for r in pdf.itertuples(index=False):
+            matrix = None if r.matrix is None else [list(map(int, x)) for x in r.matrix]
+            parent = None if pd.isna(r.parent) else int(r.parent)
+            rows.append((r.node, parent, r.place, r.kind, r.regularity, r.graphicness, r.cographicness, r.rows, r.cols, matrix))
+        tree = recognise.completed(recognise.from_table(rows), ternary, at)
+        out = pd.DataFrame([(pdf["mid"].iloc[0], *x) for x in _table(tree)], columns=[c.split()[0] for c in _NODE.split(", ")])
+        return out.astype({"parent": "Int32"})
+
+    return nodes.groupBy("mid").applyInPandas(run, _NODE)
+
+
 def tree_attributes(nodes: DataFrame) -> DataFrame:
     """Attributes of inner nodes recomputed from their children: what a sum has is the
     least that any child has.  ``mid, node, regularity`` of the inner nodes."""

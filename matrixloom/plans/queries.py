@@ -86,6 +86,13 @@ def seymour_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.decompositions(part_sign(spark, sf_dir)).where("node = 0").select("mid", "regularity")
 
 
+@query(f"{GH_SIGN} SELECT mid, CASE WHEN is_tu THEN 1 ELSE -1 END AS regularity FROM gh")
+def seymour_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decompositions of one level, written and completed."""
+    nodes, _ = storage.written(recognition.partial_decompositions(part_sign(spark, sf_dir), 1), "partial")
+    return recognition.completed(nodes).where("node = 0").select("mid", "regularity")
+
+
 @query()
 def seymour_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.decompositions(part_sign(spark, sf_dir))

@@ -265,3 +265,18 @@ def test_sums_of_many_lines_are_decided():
                 assert recognise.is_tu(b) == tu.by_partition(b)
     assert {"GRAPH", "COGRAPH"} <= kinds and kinds & {"DELTASUM", "THREESUM"}
     assert [recognise.is_regular([[int(rng.random() < p) for _ in range(20)] for _ in range(18)]) for p in (0.5, 0.2)] == [False, False]
+
+
+def test_partial_decompositions_are_completed():
+    rng = random.Random(9)
+    for _ in range(6):
+        a = sum_of_graph_and_cograph(rng, 8, 12)
+        whole = recognise.table(recognise.decompose(a))
+        for levels in (0, 1, 2, 3):
+            part = recognise.decompose(a, levels=levels)
+            assert recognise.table(recognise.completed(part)) == whole
+            some = recognise.completed(part, number=1)
+            assert recognise.table(recognise.completed(some)) == whole
+    assert not recognise.is_r12(recognise.named("R_10.1")) and recognise.is_r12(recognise.named("R_12"))
+    turned = [r[::-1] for r in recognise.named("R_12")[::-1]]
+    assert recognise.is_r12(turned) and not recognise.is_r12([[abs(v) for v in r] for r in turned])
