@@ -45,6 +45,8 @@ WINDOW = 32
 _PIECE = 1 << 20
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
 _BUFFER = 64 << 20
+#: Bytes of neighbouring documents that are put together in one place.
+_HOME = 1 << 18
 _UNKNOWN = 1 << 50
 
 
@@ -154,24 +156,30 @@ def _whole(data: np.ndarray, end: int) -> int:
 
 
 class Blocks:
-    """Gathers items by their destination and gives out compressed blocks."""
+    """Gathers items by their destination and gives out compressed blocks: each when it
+    is large enough, and the larger half of them when all together hold ``_BUFFER`` bytes."""
 
     def __init__(self, kind: int, parts: int, size):
         import zstandard
 
         self.kind, self.size, self.held, self.bytes = kind, size, {}, {}
-        self.most = max(1 << 15, min(1 << 20, _BUFFER // parts))
+        self.most, self.total = max(1 << 15, min(1 << 20, _BUFFER // parts)), 0
         self.press, self.out = zstandard.ZstdCompressor(level=6), []
 
     def add(self, part: int, item) -> None:
         self.held.setdefault(part, []).append(item)
-        self.bytes[part] = self.bytes.get(part, 0) + self.size(item)
+        size = self.size(item)
+        self.bytes[part] = self.bytes.get(part, 0) + size
+        self.total += size
         if self.bytes[part] >= self.most:
             self.close(part)
+        elif self.total > _BUFFER:
+            for large in sorted(self.bytes, key=self.bytes.get, reverse=True)[: max(1, len(self.bytes) // 2)]:
+                self.close(large)
 
     def close(self, part: int) -> None:
         self.out.append((part, self.kind, self.press.compress(pickle.dumps(self.held.pop(part), protocol=5))))
-        self.bytes.pop(part)
+        self.total -= self.bytes.pop(part)
 
     def close_all(self) -> None:
         for part in list(self.held):
@@ -205,11 +213,11 @@ def _cut(parts: int, bits: int, least: int, most: int):
         asked: dict[bytes, set] = {}
         chunks = Blocks(CHUNKS, parts, lambda x: len(x[1]) + 24)
         refs = Blocks(REFS, parts, lambda x: 24 + 18 * len(x[1]))
-        at = TaskContext.get().partitionId() * 7919
+        at, volume = TaskContext.get().partitionId() * 7919, 0
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                home, start, names = at % parts, 0, []
-                at += 1
+                home, start, names = (at + volume // _HOME) % parts, 0, []
+                volume += len(text or b"") + 64
                 for end in cuts(text or b"", bits, least, most):
                     chunk = text[start:end]
                     name = hashlib.blake2b(chunk, digest_size=16).digest()
@@ -313,7 +321,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         estimate = int(str(slim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         if estimate > _UNKNOWN:  # the rows don't come straight from files, so they are measured
             estimate = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 16, 2 * estimate // (part_mb << 20)))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * estimate // (part_mb << 20))
     kind = slim.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
