@@ -43,8 +43,12 @@ def part_count(spark: SparkSession, sf_dir: str) -> Matrices:
 def embeddings(spark: SparkSession, sf_dir: str) -> Matrices:
     """One matrix per label: its vectors, in the order of their numbers, as rows."""
     v = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("mid"), "vec_id", "embedding")
-    place = F.row_number().over(Window.partitionBy("mid").orderBy("vec_id")) - 1
-    rows = v.withColumn("r", place)
+    # places within ranges of numbers, after the vectors of the ranges before: no label is sorted in one task
+    v = v.withColumn("range", F.floor(F.col("vec_id") / 4096))
+    sizes = v.groupBy("mid", "range").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("mid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("mid", "range").orderBy("vec_id")) - 1
+    rows = v.withColumn("at", place).join(sizes.select("mid", "range", before.alias("before")), ["mid", "range"]).withColumn("r", (F.col("at") + F.col("before")).cast("int"))
     dims = rows.groupBy("mid").agg(F.count("*").cast("int").alias("m"), F.max(F.size("embedding")).alias("n"))
     e = rows.select("mid", "r", F.posexplode("embedding").alias("c", "v")).select("mid", "r", "c", F.col("v").cast("double").alias("v")).where("v <> 0")
     return Matrices(dims, e)
