@@ -88,43 +88,53 @@ def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Index:
     """Inverted index of one shard's documents."""
 
-    def __init__(self, ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, owner: np.ndarray, mean: float):
-        """ids, lengths: of documents; terms, counts, owner: of postings, by document."""
-        self.terms, term = np.unique(terms, return_inverse=True)
-        tf = counts.astype(np.float64)
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * (lengths / mean)[owner]))
-        df = np.bincount(term, minlength=len(self.terms))
-        n = len(ids)
-        common_terms = np.flatnonzero(df > n // 48)
-        self.frequent = np.full(len(self.terms), -1, dtype=np.int32)
-        self.frequent[common_terms] = np.arange(len(common_terms))
-        mine = self.frequent[term] >= 0
-        self.order = _by_likeness(self.frequent[term[mine]], impact[mine], owner[mine], lengths, len(common_terms))
-        place = np.empty(n, dtype=np.int64)
-        place[self.order] = np.arange(n)
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, owner: np.ndarray, mean: float, known: np.ndarray | None = None):
+        """ids, lengths: of documents; terms, counts, owner: of postings; known: the different terms in order, if ``terms`` are places among them."""
+        if known is None:
+            known, terms = np.unique(terms, return_inverse=True)
+        if (owner[1:] < owner[:-1]).any():
+            by = np.argsort(owner, kind="stable")
+            terms, counts, owner = terms[by], counts[by], owner[by]
+        n, self.terms, term = len(ids), known, terms.astype(np.int32)
+        df = np.bincount(term, minlength=len(known))
+        often = np.flatnonzero(df > n // 48)
+        self.frequent = np.full(len(known), -1, dtype=np.int32)
+        self.frequent[often] = np.arange(len(often))
+        sizes = np.bincount(owner, minlength=n)
+        starts = np.cumsum(sizes) - sizes
+        self.order = _by_likeness(term, owner, lengths, df)
         self.ids = ids[self.order]
-        owner = place[owner]
-        by_entry = np.argsort(owner, kind="stable")
-        self.entry_start = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
-        self.entry_term, self.entry_impact = term[by_entry].astype(np.int32), impact[by_entry]
+        # postings by entry
+        at = spread(starts[self.order], (starts + sizes)[self.order])[0].astype(np.int32)
+        sizes = sizes[self.order]
+        self.entry_start = np.concatenate([[0], np.cumsum(sizes)])
+        self.entry_term, self.entry_count = term[at], _small(counts[at])
+        self.norm = K1 * (1 - B + B * lengths[self.order] / mean)
+        del at, term
+        entry = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        place = self.frequent[self.entry_term]
         # postings of rare terms by term; frequent ones as block maxima and dense chunks
-        rare = np.flatnonzero(~mine)
-        rare = rare[np.argsort(term[rare], kind="stable")]
-        self.entry, self.impact = owner[rare].astype(np.int32), impact[rare].astype(np.float32)
+        rare = np.flatnonzero(place < 0).astype(np.int32)
+        rare = rare[np.argsort(self.entry_term[rare], kind="stable")]
+        self.entry, self.impact = entry[rare], self._impact(rare, entry[rare]).astype(np.float32)
+        del rare
         self.first = np.concatenate([[0], np.cumsum(np.where(self.frequent < 0, df, 0))])
         self.size = -(-n // CHUNK) * CHUNK
-        self.most = np.zeros((len(common_terms), self.size // BLOCK), dtype=np.float32)
+        self.most = np.zeros((len(often), self.size // BLOCK), dtype=np.float32)
         self.chunks = []
-        often = by_entry[mine[by_entry]]
-        cut = np.searchsorted(owner[often], np.arange(0, self.size + 1, CHUNK))
         for c in range(self.size // CHUNK):
-            some = often[cut[c] : cut[c + 1]]
-            rows, at = np.unique(self.frequent[term[some]], return_inverse=True)
+            a, b = self.entry_start[c * CHUNK], self.entry_start[min(n, (c + 1) * CHUNK)]
+            some = a + np.flatnonzero(place[a:b] >= 0)
+            rows, at = np.unique(place[some], return_inverse=True)
             dense = np.zeros((len(rows), CHUNK), dtype=np.float32)
-            dense[at, owner[some] % CHUNK] = impact[some]
+            dense[at, entry[some] % CHUNK] = self._impact(some, entry[some])
             self.chunks.append((rows, dense))
             self.most[rows, c * (CHUNK // BLOCK) : (c + 1) * (CHUNK // BLOCK)] = dense.reshape(len(rows), -1, BLOCK).max(axis=2)
-        self.weights = np.zeros(len(self.terms))
+        self.weights = np.zeros(len(known))
+
+    def _impact(self, postings: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        tf = self.entry_count[postings].astype(np.float64)
+        return tf * (K1 + 1) / (tf + self.norm[entry])
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents (their numbers) of the k best scores, ties by identifier."""
@@ -188,19 +198,24 @@ class Index:
     def _exact(self, at: np.ndarray, weights: np.ndarray, some: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         self.weights[at] = weights
         postings, owner = spread(self.entry_start[some], self.entry_start[some + 1])
-        score = np.round(np.bincount(owner, self.weights[self.entry_term[postings]] * self.entry_impact[postings], minlength=len(some)), 6)
+        score = np.round(np.bincount(owner, self.weights[self.entry_term[postings]] * self._impact(postings, some[owner]), minlength=len(some)), 6)
         self.weights[at] = 0.0
         best = np.lexsort((self.ids[some], -score))[:k]
         return self.order[some[best]], score[best]
 
 
-def _by_likeness(term: np.ndarray, impact: np.ndarray, owner: np.ndarray, lengths: np.ndarray, terms: int, clusters: int = 16) -> np.ndarray:
-    """An order of documents: clusters of like frequent terms, in these by length."""
+def _by_likeness(term: np.ndarray, owner: np.ndarray, lengths: np.ndarray, df: np.ndarray, clusters: int = 16, terms: int = 256) -> np.ndarray:
+    """An order of documents: clusters of those that have like ones of the most frequent
+    terms, in these by length.  What is found doesn't depend on it."""
     n, cluster = len(lengths), np.zeros(len(lengths), dtype=np.int64)
-    if n > 4 * BLOCK and terms:
-        rows = np.zeros((n, terms), dtype=np.float32)
-        rows[owner, term] = impact
-        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    if n > 4 * BLOCK:
+        column = np.full(len(df), -1, dtype=np.int32)
+        most = np.argsort(-df, kind="stable")[:terms]
+        column[most] = np.arange(len(most))
+        at = np.flatnonzero(column[term] >= 0)
+        rows = np.zeros((n, len(most)), dtype=np.float32)
+        rows[owner[at], column[term[at]]] = 1.0
+        rows /= np.maximum(np.sqrt(rows.sum(axis=1, keepdims=True)), 1.0)
         centers = rows[np.random.default_rng(5).choice(n, min(n, clusters), replace=False)]
         for _ in range(5):
             cluster = (rows @ centers.T).argmax(axis=1)
@@ -215,7 +230,9 @@ class Shard:
     def __init__(self, blocks: list[tuple], mean: float):
         keys = [x for b in blocks for x in b[0]]
         sizes, lengths = (np.concatenate([b[i].astype(np.int64) for b in blocks]) for i in (1, 2))
-        terms, counts = np.concatenate([b[3][b[4]] for b in blocks]), np.concatenate([b[5].astype(np.int32) for b in blocks])
+        known = np.unique(np.concatenate([b[3] for b in blocks]))
+        terms = np.concatenate([np.searchsorted(known, b[3]).astype(np.int32)[b[4]] for b in blocks])
+        counts = np.concatenate([b[5].astype(np.int32) for b in blocks])
         blocks.clear()
         ends = np.cumsum(sizes)
         seen: dict[bytes, int] = {}
@@ -231,13 +248,16 @@ class Shard:
         for same in self.keys:
             same.sort(key=lambda x: (x is None, x or 0))
         first = np.array(first, dtype=np.int64)
-        at, owner = spread((ends - sizes)[first], ends[first])
+        at, owner = (x.astype(np.int32) for x in spread((ends - sizes)[first], ends[first]))
         ids = np.array([np.iinfo(np.int64).max if x[0] is None else x[0] for x in self.keys], dtype=np.int64)
-        self.index = Index(ids, lengths[first], terms[at], counts[at], owner, mean)
-
-    def answers(self, block: tuple, k: int):
-        """``query, id, score`` of the k best documents of each query of a block."""
-        keys, sizes, terms, weights, at = block
+        self.index = Index(ids, lengths[first], terms[at], counts[at], owner, mean, known)
+
+    def answers(self, block: tuple, k: int, docs: int):
+        """``query, id, score`` of the k best documents of each query of a block;
+        docs: of all shards."""
+        keys, sizes, terms, df, at = block
+        df = df.astype(np.float64)
+        weights = np.log((docs - df + 0.5) / (df + 0.5) + 1)
         query = np.repeat(np.arange(len(keys)), sizes)
         for key, (best, scores) in zip(keys, self.index.answers(query, terms[at], weights[at], len(keys), k)):
             left, rows = k, []
@@ -324,32 +344,32 @@ def _query_terms(batches):
 
 
 def _packed_queries(size: int):
-    """Rows sorted by query, with weights, to blocks of ``size`` queries."""
+    """Rows sorted by query, with the documents of each term, to blocks of ``size`` queries."""
 
-    def pack(keys, sizes, terms, weights):
+    def pack(keys, sizes, terms, df):
         terms, first, at = np.unique(np.array(terms, dtype=np.int64).view(np.uint64), return_index=True, return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array([_pack((keys, sizes, terms, np.array(weights)[first], _small(at)))], pa.binary())], names=["block"])
+        return pa.RecordBatch.from_arrays([pa.array([_pack((keys, sizes, terms, _small(np.array(df)[first]), _small(at)))], pa.binary())], names=["block"])
 
     def run(batches):
-        keys, sizes, terms, weights = [], [], [], []
+        keys, sizes, terms, df = [], [], [], []
         for batch in batches:
-            for q, t, w in zip(*(c.to_pylist() for c in batch.columns)):
+            for q, t, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if not keys or q != keys[-1]:
                     if len(keys) == size:
-                        yield pack(keys, sizes, terms, weights)
-                        keys, sizes, terms, weights = [], [], [], []
+                        yield pack(keys, sizes, terms, df)
+                        keys, sizes, terms, df = [], [], [], []
                     keys.append(q)
                     sizes.append(0)
                 sizes[-1] += 1
                 terms.append(t)
-                weights.append(w)
+                df.append(n)
         if keys:
-            yield pack(keys, sizes, terms, weights)
+            yield pack(keys, sizes, terms, df)
 
     return run
 
 
-def _answered(k: int, mean: float):
+def _answered(k: int, mean: float, count: int):
     """The answers of the shards of a partition, one shard after another."""
 
     def run(batches):
@@ -364,7 +384,7 @@ def _answered(k: int, mean: float):
                     break  # no documents were dealt to this shard
                 if shard is None:
                     shard = Shard(docs, mean)
-                found = list(shard.answers(_unpack(block.as_py()), k))
+                found = list(shard.answers(_unpack(block.as_py()), k, count))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))], names=["query", "id", "score"])
 
@@ -381,14 +401,14 @@ def search(docs: DataFrame, asks: Column, k: int = 10, shard_docs: int = 16_384,
     slim = docs.select(ident.cast("long").alias("id"), text.cast("binary").alias("text"), F.coalesce(asks, F.lit(False)).alias("asks"))
     rows, asking = slim.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
     shards, groups = max(1, -(-rows // shard_docs)), max(1, -(-asking // group_queries))
-    read, _ = common.written(slim.mapInArrow(_read(shards, min(_DOCS, shard_docs)), "kind int, shard int, block binary, term long, n long"), "bm25-read")
+    with common.conf(spark, common.SMALL_BATCHES):
+        read, _ = common.written(slim.mapInArrow(_read(shards, min(_DOCS, shard_docs)), "kind int, shard int, block binary, term long, n long"), "bm25-read")
     sums = {r.kind: r.n for r in read.where("kind < 2").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     count, mean = sums.get(0) or 0, max(1, sums.get(1) or 0) / max(1, sums.get(0) or 0)
     of_term = read.where("kind = 2").groupBy("term").agg(F.sum("n").alias("df"))
     held = read.where("kind = 3").select("shard", "block")
     wanted = held.select("block").mapInArrow(_query_terms, "query long, term long").distinct()
-    weight = F.log((count - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighed = wanted.join(of_term, "term").select("query", "term", weight.alias("weight"))
+    weighed = wanted.join(of_term, "term").select("query", "term", "df")
     dealt = max(1, -(-asking // block))
     # a block of queries is a task's whole share, so that few blocks are short
     blocks = weighed.repartition(max(1, min(dealt, int(spark.conf.get("spark.sql.shuffle.partitions")))), "query")
@@ -399,7 +419,8 @@ def search(docs: DataFrame, asks: Column, k: int = 10, shard_docs: int = 16_384,
     held = held.select("shard", each(groups).alias("group"), F.lit(DOCS).alias("kind"), "block")
     cell = (F.col("shard") * groups + F.col("group")).alias("shard")
     cells = held.unionByName(asked).select(cell, "kind", "block").repartitionById(shards * groups, "shard").sortWithinPartitions("shard", "kind")
-    found = cells.mapInArrow(_answered(k, mean), "query long, id long, score double")
+    with common.conf(spark, common.SMALL_BATCHES):
+        found, _ = common.written(cells.mapInArrow(_answered(k, mean, count), "query long, id long, score double"), "bm25-found")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 

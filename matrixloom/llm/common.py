@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..storage import components, delete, exists, new_path, shared_dir, written
 
-__all__ = ["BLOOM_CONF", "components", "conf", "delete", "exists", "filed", "local_table", "nested", "new_path", "place", "shared_dir", "table", "written"]
+__all__ = ["BLOOM_CONF", "SMALL_BATCHES", "components", "conf", "delete", "exists", "filed", "local_table", "nested", "new_path", "place", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ BLOOM_CONF = {
 }
 
 
+#: Batches for Python of few MB, whatever a row holds.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 @contextlib.contextmanager
 def conf(spark: SparkSession, values: dict[str, str]):
     """The session's settings for a while."""
