@@ -80,13 +80,17 @@ def salts_of(state: DataFrame) -> DataFrame:
     return F.broadcast(state.where(F.col("n") > most).select("digest", F.ceil(F.col("n") / most).cast("int").alias("salts")))
 
 
-def joined(rows: DataFrame, other: DataFrame, hot: DataFrame) -> DataFrame:
-    """``rows`` with what ``other`` has for their digests; rows of a hot digest are dealt
-    to as many places as it has salts, and the other side's row goes to each."""
-    salts = F.coalesce(F.col("salts"), F.lit(1))
-    mine = rows.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("locator"), salts).cast("int")).drop("salts")
-    each = other.join(hot, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    return mine.join(each, ["digest", "salt"]).drop("salt")
+def joined(rows: DataFrame, other: DataFrame, hot: DataFrame, any_hot: bool) -> DataFrame:
+    """``rows`` with what ``other`` has for their digests.  Rows of a hot digest are dealt
+    to as many places as it has salts, and the other side's row goes to each; the rest is a
+    plain join, whose scan Spark can test against a Bloom filter of the other side."""
+    if not any_hot:
+        return rows.join(other, "digest")
+    cold = rows.join(hot, "digest", "left_anti").join(other, "digest")
+    salt = F.pmod(F.xxhash64("locator"), F.col("salts")).cast("int")
+    mine = rows.join(hot, "digest").withColumn("salt", salt).drop("salts")
+    each = other.join(hot, "digest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return cold.unionByName(mine.join(each, ["digest", "salt"]).drop("salt"))
 
 
 def texts_at(rows: DataFrame, docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -103,15 +107,15 @@ def texts_at(rows: DataFrame, docs: DataFrame, hits: DataFrame, id_col: str, tex
     return found
 
 
-def collisions(rows: DataFrame, docs: DataFrame, state: DataFrame, hot: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+def collisions(rows: DataFrame, docs: DataFrame, state: DataFrame, hot: DataFrame, any_hot: bool, id_col: str, text_col: str) -> DataFrame | None:
     """The groups of rows whose digests hide different texts: ``locator, keep, n``;
     None if full bytes agree everywhere."""
     spark = rows.sparkSession
     with common.conf(spark, common.BLOOM_CONF):
         hits = state.where("n > 1").select("digest", "keep.locator", "n")
         kept, kept_path = common.written(texts_at(rows, docs, hits, id_col, text_col), "dedup-kept")
-        slim = kept.select("digest", "kept_text")
-        odd = joined(rows, slim, hot).where(F.col("text") != F.col("kept_text")).select("digest")
+        slim = kept.where("n > 1").select("digest", "kept_text")
+        odd = joined(rows, slim, hot, any_hot).where(F.col("text") != F.col("kept_text")).select("digest")
         odd, _ = common.written(odd, "dedup-odd")
         common.delete(spark, kept_path)
         if odd.isEmpty():
@@ -138,9 +142,9 @@ def judge(docs: DataFrame, digest=sha256, id_col: str = "doc_id", text_col: str
     slim = spark.read.schema(rows.drop("text").schema).parquet(arrival)
     last, _ = common.written(state_of(slim, at, batches), "dedup-last")
     hot, _ = common.written(salts_of(last), "dedup-hot")
-    hot = F.broadcast(hot)
-    odd = collisions(rows, docs, last, hot, id_col, text_col)
-    found = joined(slim, last, hot)
+    any_hot, hot = not hot.isEmpty(), F.broadcast(hot)
+    odd = collisions(rows, docs, last, hot, any_hot, id_col, text_col)
+    found = joined(slim, last, hot, any_hot)
     if odd is not None:
         odd = odd.select("locator", F.col("keep").alias("keep2"), F.col("n").alias("n2"))
         found = found.join(odd, "locator", "left").withColumns({"keep": F.coalesce("keep2", "keep"), "n": F.coalesce("n2", "n")})
