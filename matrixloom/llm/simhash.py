@@ -186,18 +186,58 @@ def key_choices(share: float, longs: int, bits: int, least: int, chance: float)
     return least
 
 
-def pairs_by_key(keyed: DataFrame, fps: list[str], most: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """Of ``keyed(key, cls, f0)``: the pairs ``a, b`` of classes under a key of at most
-    ``hot`` classes that may be near by their first 64 bits, and the rows of other keys."""
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = keyed.join(sizes, "key")
-    few = met.where(F.col("size") <= hot).select("key", F.col("cls").alias("a"), F.col("f0").alias("x"))
-    other = few.select("key", F.col("a").alias("b"), F.col("x").alias("y"))
-    # of `most` bits of all, this many of a long's 64 leave one pair in 10,000 out
-    share = most / (64 * len(fps))
-    bound = min(64, int(64 * share + 3.8 * math.sqrt(64 * share * (1 - share))))
-    pairs = few.join(other, "key").where("a < b").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= bound).select("a", "b")
-    return pairs, met.where(F.col("size") > hot).select("cls", "key")
+def pairs_by_key(keyed: DataFrame, bound: int, hot: int) -> DataFrame:
+    """Of ``keyed(key, cls, f0)``: the pairs ``a, b`` of classes under a key of at most ``hot``
+    classes whose first 64 bits differ in at most ``bound`` (``key`` is null), and the
+    rows ``key, cls, f0`` of larger keys as they are, as ``key, a, b``.
+
+    One exchange by key, whose partitions are sorted and read as they come; of each key at
+    most ``hot`` rows are held."""
+
+    def run(batches):
+        held = [np.zeros(0, dtype=np.int64)] * 3
+        large = None  # the key that is being read and is known to be large
+        for batch in batches:
+            key, cls, f0 = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns))
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(starts, len(key)))
+            keep = int(sizes[-1]) if sizes[-1] <= hot and key[-1] != large else 0  # it may go on
+            held = [x[len(key) - keep :].copy() for x in (key, cls, f0)]
+            done = slice(0, len(starts) - bool(keep))
+            yield from _met(key, cls, f0, starts[done], sizes[done], large, bound, hot)
+            large = None if keep else key[-1] if sizes[-1] > hot or key[-1] == large else None
+        if len(held[0]):
+            yield from _met(*held, np.zeros(1, dtype=np.int64), np.array([len(held[0])]), None, bound, hot)
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
+
+
+def _met(key, cls, f0, starts, sizes, large, bound, hot):
+    whole = (sizes > hot) | (key[starts] == large) if large is not None else sizes > hot
+    for size in np.unique(sizes[~whole & (sizes > 1)]).tolist():
+        x, y = np.triu_indices(size, 1)
+        first = starts[~whole & (sizes == size)]
+        for i in range(0, len(first), 1 + (1 << 18) // len(x)):
+            at = first[i : i + 1 + (1 << 18) // len(x), None]
+            a, b = (at + x).ravel(), (at + y).ravel()
+            near = np.bitwise_count((f0[a] ^ f0[b]).view(np.uint64)) <= bound
+            a, b = cls[a[near]], cls[b[near]]
+            if len(a):
+                yield _triples(None, np.minimum(a, b), np.maximum(a, b))
+    for i, n in zip(starts[whole].tolist(), sizes[whole].tolist()):
+        yield _triples(key[i : i + n], cls[i : i + n], f0[i : i + n])
+
+
+def _triples(key: np.ndarray | None, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    keys = pa.nulls(len(a), pa.int64()) if key is None else pa.array(key)
+    return pa.RecordBatch.from_arrays([keys, pa.array(a), pa.array(b)], names=["key", "a", "b"])
+
+
+def first_bound(most: int, longs: int) -> int:
+    """In how many of the first 64 bits pairs may differ that differ in ``most`` of all: one
+    pair in 10,000 of those just there differs in more."""
+    limit = most / (64 * longs)
+    return min(64, int(64 * limit + 3.7 * math.sqrt(64 * limit * (1 - limit))))
 
 
 def near_pairs(pairs: DataFrame, classes: DataFrame, fps: list[str], most: int) -> DataFrame:
@@ -264,17 +304,20 @@ def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int, r
     In each round some heads of a key are compared with all its classes that aren't
     linked to them yet, and then leave it; whatever is near a head stays and is
     compared with the rest.  Heads come from the smallest components of the key and
-    grow in number by round (1, 16, 512 and so on).  A key is done when links join all its
+    grow fourfold in number by round.  A key is done when links join all its
     classes, so one of many similar classes costs little more than their number; pairs
     of classes that no links join are compared one by one.
     """
     spark = classes.sparkSession
+    bound = first_bound(most, len(fps))
+    if "f0" not in keyed.columns:
+        keyed = keyed.join(classes.select("cls", F.col(fps[0]).alias("f0")), "cls")
     path, turn, asked = None, 0, None
     while True:
-        heads = 1 if not turn else 16 * 32 ** (turn - 1)
-        mine = rooted(keyed, roots, {"cls": "root"}).select("cls", "key", "root")
+        heads = 4**turn
+        mine = rooted(keyed, roots, {"cls": "root"}).select("cls", "key", "f0", "root")
         several = mine.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-        current, current_path = common.written(mine.join(several, "key").select("cls", "key", "root"), "similar-keyed")
+        current, current_path = common.written(mine.join(several, "key").select("cls", "key", "f0", "root"), "similar-keyed")
         if path:
             common.delete(spark, path)
         path, turn = current_path, turn + 1
@@ -284,9 +327,10 @@ def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int, r
         if turn > 1:
             sized = current.join(current.groupBy("key", "root").agg(F.count("*").alias("size")), ["key", "root"])
         slot = F.pmod(F.xxhash64("cls"), F.lit(heads))
-        least = F.min(F.struct(*(["size"] if turn > 1 else []), "cls", "root")).alias("h")
-        head = sized.groupBy("key", slot.alias("slot")).agg(least).select(F.col("key").alias("k"), F.col("h.cls").alias("b"), F.col("h.root").alias("b_root"))
-        met = current.join(head, (F.col("key") == F.col("k")) & (F.col("root") != F.col("b_root"))).select(F.col("cls").alias("a"), "b")
+        least = F.min(F.struct(*(["size"] if turn > 1 else []), "cls", "root", "f0")).alias("h")
+        head = sized.groupBy("key", slot.alias("slot")).agg(least).select(F.col("key").alias("k"), F.col("h.cls").alias("b"), F.col("h.root").alias("b_root"), F.col("h.f0").alias("b_f0"))
+        may = F.bit_count(F.col("f0").bitwiseXOR(F.col("b_f0"))) <= bound
+        met = current.join(head, (F.col("key") == F.col("k")) & (F.col("root") != F.col("b_root")) & may).select(F.col("cls").alias("a"), "b")
         near = near_pairs(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), classes, fps, most)
         if asked is not None:
             near = near.join(asked, ["a", "b"], "left_anti")
@@ -295,7 +339,7 @@ def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int, r
             roots = settled(near, roots, alike) if alike else joined(roots, near.select("a", "b"))
             # what was near once is linked now or has been asked about
             asked = near.select("a", "b") if asked is None else asked.unionByName(near.select("a", "b"))
-        keyed = current.join(head.select(F.col("k").alias("key"), F.col("b").alias("cls")), ["key", "cls"], "left_anti").select("cls", "key")
+        keyed = current.join(head.select(F.col("k").alias("key"), F.col("b").alias("cls")), ["key", "cls"], "left_anti").select("cls", "key", "f0")
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -332,21 +376,24 @@ def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFra
 
     one, two = (sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
     whole = pairs.join(one, "a").join(two, "b").select("a", "b", "a_set", "b_set")
-    return common.written(whole.mapInArrow(run, "a long, b long"), "similar-alike")[0]
+    with common.conf(pairs.sparkSession, common.SMALL_BATCHES):
+        return common.written(whole.mapInArrow(run, "a long, b long"), "similar-alike")[0]
 
 
-def similar(texts: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 4, chance: float = 0.95, hot: int = 64) -> DataFrame:
+def similar(texts: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 8, chance: float = 0.95, hot: int = 32) -> DataFrame:
     """``at, root`` of each row of ``texts(at, text)``: components of rows whose sets of
     ``n``-word shingles have a Jaccard similarity of ``similarity`` or more.
 
     Sets of Jaccard similarity j have a cosine of about 2j / (1 + j) or more, and so
     differ in the angle's share of their ``64 * longs`` bits on average; what differs in
-    up to three standard deviations more is a candidate, and the sets of candidates
-    are compared.  Rows of one set are one class.  Each class is filed under seeded
+    up to three standard deviations more is a candidate, and the sets of
+    candidates are compared.  Rows of one set are one class.  Each class is filed under seeded
     choices of blocks, of more bits the more classes there are, and under as many
     choices as let fingerprints of just that similarity meet with probability
     ``chance`` at any number of classes.  Under keys of up to ``hot`` classes all pairs are
-    candidates; :func:`met_links` compares the classes of larger ones.
+    candidates; :func:`met_links` compares the classes of larger ones.  (Keys that very many
+    near copies share are many, as the copies share most choices, and lie in different
+    partitions of the one exchange by key, which streams.)
 
     ``at``: a struct with ``file_path`` and ``row_index`` that names a row.
     """
@@ -364,7 +411,8 @@ def similar(texts: DataFrame, n: int = 5, similarity: float = 0.8, longs: int =
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 500], *(pa.array(c) for c in words.T.copy())], names=["at", "cls", *fps])
 
     schema = f"at {slim.schema['at'].dataType.simpleString()}, cls long, " + ", ".join(f"{f} long" for f in fps)
-    rows, _ = common.written(slim.mapInArrow(run, schema), "similar-rows")
+    with common.conf(spark, common.SMALL_BATCHES):
+        rows, _ = common.written(slim.mapInArrow(run, schema), "similar-rows")
     first = F.min(F.struct("at.file_path", "at.row_index")).alias("at")
     classes, _ = common.written(rows.groupBy("cls").agg(*[F.min(f).alias(f) for f in fps], first), "similar-classes")
     bits = max(12, math.ceil(math.log2(max(2, classes.count()))) - 1)
@@ -372,12 +420,13 @@ def similar(texts: DataFrame, n: int = 5, similarity: float = 0.8, longs: int =
     masks = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(signed(m)).alias(f) for f, m in zip(fps, choice)]) for i, choice in enumerate(chosen)])
     filed = classes.select("cls", *fps, F.explode(masks).alias("mask"))
     keyed = filed.select(F.xxhash64("mask.i", *[F.col(f).bitwiseAND(F.col(f"mask.{f}")) for f in fps]).alias("key"), "cls", "f0")
-    pairs, rest = pairs_by_key(keyed, fps, most, hot)
-    near, _ = common.written(near_pairs(pairs, classes, fps, most), "similar-near")
-    rest, _ = common.written(rest, "similar-hot")
+    met, met_path = common.written(pairs_by_key(keyed, first_bound(most, longs), hot), "similar-met")
+    near, _ = common.written(near_pairs(met.where("key IS NULL").select("a", "b"), classes, fps, most), "similar-near")
+    rest, _ = common.written(met.where("key IS NOT NULL").select(F.col("a").alias("cls"), "key", F.col("b").alias("f0")), "similar-hot")
+    common.delete(spark, met_path)
     named = near.select(F.explode(F.array("a", "b")).alias("cls")).union(rest.select("cls")).distinct()
     wanted, _ = common.written(named.join(classes, "cls").select("cls", "at"), "similar-wanted")
-    with common.conf(spark, common.BLOOM_CONF):
+    with common.conf(spark, common.BLOOM_CONF | common.SMALL_BATCHES):
         sets, sets_path = common.written(shingle_sets(slim, wanted, n), "similar-sets")
     alike = lambda some: alike_pairs(some, sets, similarity)
     roots = settled(near, None, alike)
