@@ -188,3 +188,24 @@ def test_hot_keys_ask_about_few_pairs_and_lose_no_link(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in simhash.one_of_each(docs, hot=8).collect()} == {0, 1}
     assert sum(asked) < 10 * len(texts)
+
+
+def test_pairs_by_key_against_all_pairs(spark):
+    rng = np.random.default_rng(1)
+    n = 4000
+    keys = rng.integers(-300, 300, n)
+    keys[:900] = 7
+    cls, f0 = (rng.integers(-(1 << 62), 1 << 62, n) for _ in range(2))
+    near = rng.random(n) < 0.5
+    f0[near] = f0[0] ^ (1 << rng.integers(0, 62, near.sum()))
+    frame = spark.createDataFrame(pd.DataFrame({"key": keys, "cls": cls, "f0": f0}))
+    by = {}
+    for row in zip(keys.tolist(), cls.tolist(), f0.tolist()):
+        by.setdefault(row[0], []).append(row)
+    for batch, hot in (("10000", 8), ("37", 8), ("37", 1000), ("500", 40)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = simhash.pairs_by_key(frame, 20, hot).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        pairs = {(min(a, b), max(a, b)) for rows in by.values() if len(rows) <= hot for i, (_, a, x) in enumerate(rows) for _, b, y in rows[:i] if bin((x ^ y) & (1 << 64) - 1).count("1") <= 20}
+        assert {(r.a, r.b) for r in got if r.key is None} == pairs and pairs
+        assert sorted((r.key, r.a, r.b) for r in got if r.key is not None) == sorted(r for rows in by.values() if len(rows) > hot for r in rows)
