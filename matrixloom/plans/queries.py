@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import permutations
+from itertools import combinations, permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -728,8 +728,30 @@ def graph_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.dot_text(recognition.realised_graphs(part_binary(spark, sf_dir)))
 
 
-@query()
+def _minor(rows: tuple[int, ...], cols: tuple[int, ...]) -> str:
+    sign = lambda p: (-1) ** sum(p[i] > p[j] for i in range(len(p)) for j in range(i, len(p)))
+    return " + ".join(f"({sign(p)})*" + "*".join(f"a{r}{cols[x]}" for r, x in zip(rows, p)) for p in permutations(range(len(rows))))
+
+
+def _minors() -> str:
+    """All minors of 4 x 7 matrices as ``(size, rows, cols, value)``."""
+    parts = []
+    for k in range(1, 5):
+        at = [(r, c) for r in combinations(range(4), k) for c in combinations(range(7), k)]
+        names = [", ".join("'" + "".join(map(str, x[i])) + "'" for x in at) for i in (0, 1)]
+        parts.append(f"SELECT mid, {k} AS size, unnest([{names[0]}]) AS rows, unnest([{names[1]}]) AS cols, unnest([{', '.join(_minor(*x) for x in at)}]) AS value FROM w")
+    return " UNION ALL ".join(parts)
+
+
+@query(f"""WITH e AS ({COUNT_SQL}), w AS (SELECT mid, {', '.join(f'CAST(coalesce(max(v) FILTER (r = {i} AND c = {j}), 0) AS BIGINT) AS a{i}{j}' for i in range(4) for j in range(7))} FROM e GROUP BY mid),
+d AS (SELECT * FROM ({_minors()}) WHERE value <> 0), top AS (SELECT mid, max(size) AS size FROM d GROUP BY mid),
+m AS (SELECT mid, rows, cols, abs(value) AS value FROM d JOIN top USING (mid, size)),
+by_rows AS (SELECT mid, rows, min(value) AS low, max(value) AS high FROM m GROUP BY mid, rows), by_cols AS (SELECT mid, cols, min(value) AS low, max(value) AS high FROM m GROUP BY mid, cols),
+one AS (SELECT mid, CASE WHEN bool_and(low = high) THEN list_reduce(list(low), lambda x, y: gcd(x, y)) ELSE 0 END AS k FROM by_rows GROUP BY mid),
+two AS (SELECT mid, CASE WHEN bool_and(low = high) THEN list_reduce(list(low), lambda x, y: gcd(x, y)) ELSE 0 END AS k FROM by_cols GROUP BY mid)
+SELECT mid, CAST(one.k AS VARCHAR) AS k, CAST(CASE WHEN one.k = two.k THEN one.k ELSE 0 END AS VARCHAR) AS strong_k, one.k = 1 AS is_unimodular FROM one JOIN two USING (mid)""")
 def equimodular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oracle: of the largest minors that aren't all zero, those of the same rows are equal up to sign."""
     return recognition.equimodular_test(part_count(spark, sf_dir))
 
 

@@ -143,10 +143,14 @@ def dot_text(edges: DataFrame, directed: bool = False) -> DataFrame:
 
 
 def tree_text(nodes: DataFrame) -> DataFrame:
-    """``mid, value``: a line for each node of a decomposition tree, in order."""
-    line = F.concat_ws(" ", F.col("node").cast("string"), F.coalesce(F.col("parent").cast("string"), F.lit("-")), "kind", F.concat(F.size("rows"), F.lit("x"), F.size("cols")), F.concat(F.lit("regularity="), F.col("regularity").cast("string")))
-    x = nodes.groupBy("mid").agg(F.array_sort(F.collect_list(F.struct("node", line.alias("line")))).alias("x"))
-    return x.select("mid", F.array_join(F.col("x.line"), "\n").alias("value"))
+    """``mid, value``: a line for each node of a decomposition tree, in order and indented by
+    depth; nodes are numbered from 0 on and come after their parents."""
+    graphs = F.concat_ws(" ", F.concat(F.lit("graphic="), F.col("graphicness").cast("string")), F.concat(F.lit("cographic="), F.col("cographicness").cast("string")))
+    line = F.concat_ws(" ", F.col("node").cast("string"), "kind", F.concat(F.size("rows"), F.lit("x"), F.size("cols")), F.concat(F.lit("regularity="), F.col("regularity").cast("string")), graphs)
+    x = nodes.groupBy("mid").agg(F.array_sort(F.collect_list(F.struct("node", "parent", line.alias("line")))).alias("x"))
+    depth = F.aggregate("x", F.array().cast("array<int>"), lambda acc, r: F.concat(acc, F.array(F.when(r.parent.isNull(), 0).otherwise(F.get(acc, r.parent) + 1))))
+    said = F.zip_with("x", depth, lambda r, d: F.concat(F.repeat(F.lit("  "), d), r.line))
+    return x.select("mid", F.array_join(said, "\n").alias("value"))
 
 
 def tree_dot(nodes: DataFrame) -> DataFrame:
