@@ -256,14 +256,22 @@ def is_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kary.is_integer(Matrices(ms.dims, ms.entries.withColumn("v", v).where("v <> 0")))
 
 
-@query()
+@query(f"SELECT DISTINCT mid, TRUE AS is_binary FROM ({COUNT_SQL}) WHERE v = 1")
 def large_binary_submatrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kary.large_submatrix(part_count(spark, sf_dir))
+    """Of what is kept, whether it is binary; a matrix with a one keeps a nonzero."""
+    ms = part_count(spark, sf_dir)
+    found, _ = storage.written(kary.large_submatrix(ms), "large-binary-submatrix")
+    some = ms.entries.where("v = 1").select("mid").distinct()
+    return kary.is_binary(algebra.slice_submatrix(ms, found)).join(some, "mid", "left_semi").select("mid", "is_binary")
 
 
-@query()
+@query(f"SELECT DISTINCT mid, TRUE AS is_ternary FROM ({COUNT_SQL}) WHERE v = 1")
 def large_ternary_submatrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kary.large_submatrix(part_sign(spark, sf_dir), ternary=True)
+    """Of what is kept, whether it is ternary; a matrix with a one keeps a nonzero."""
+    ms = part_count(spark, sf_dir)
+    found, _ = storage.written(kary.large_submatrix(ms, ternary=True), "large-ternary-submatrix")
+    some = ms.entries.where("v = 1").select("mid").distinct()
+    return kary.is_ternary(algebra.slice_submatrix(ms, found)).join(some, "mid", "left_semi").select("mid", "is_ternary")
 
 
 @query(f"SELECT mid, count(*) AS nonzeros, bool_and(v IN (0, 1)) AS is_binary, bool_and(v IN (-1, 0, 1)) AS is_ternary FROM ({COUNT_SQL}) GROUP BY mid")
@@ -363,8 +371,31 @@ def determinants_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.determinants_2x2(part_count(spark, sf_dir))
 
 
-@query()
+def _minor(rows: tuple[int, ...], cols: tuple[int, ...]) -> str:
+    sign = lambda p: (-1) ** sum(p[i] > p[j] for i in range(len(p)) for j in range(i, len(p)))
+    return " + ".join(f"({sign(p)})*" + "*".join(f"a{r}{cols[x]}" for r, x in zip(rows, p)) for p in permutations(range(len(rows))))
+
+
+def _minors() -> str:
+    """All minors of 4 x 7 matrices as ``(size, rows, cols, value)``."""
+    parts = []
+    for k in range(1, 5):
+        at = [(r, c) for r in combinations(range(4), k) for c in combinations(range(7), k)]
+        names = [", ".join("'" + "".join(map(str, x[i])) + "'" for x in at) for i in (0, 1)]
+        parts.append(f"SELECT mid, {k} AS size, unnest([{names[0]}]) AS rows, unnest([{names[1]}]) AS cols, unnest([{', '.join(_minor(*x) for x in at)}]) AS value FROM w")
+    return " UNION ALL ".join(parts)
+
+
+#: The largest minors that aren't all zero.
+LARGEST = f"""WITH e AS ({COUNT_SQL}), w AS (SELECT mid, {', '.join(f'CAST(coalesce(max(v) FILTER (r = {i} AND c = {j}), 0) AS BIGINT) AS a{i}{j}' for i in range(4) for j in range(7))} FROM e GROUP BY mid),
+d AS (SELECT * FROM ({_minors()}) WHERE value <> 0), top AS (SELECT mid, max(size) AS size FROM d GROUP BY mid),
+m AS (SELECT mid, size, rows, cols, abs(value) AS value FROM d JOIN top USING (mid, size))"""
+
+
+@query(f"""{LARGEST}, f AS (SELECT mid, min(cols) AS cols FROM m GROUP BY mid)
+SELECT mid, CAST(any_value(size) AS INTEGER) AS rank, CAST(list_reduce(list(value), lambda x, y: gcd(x, y)) AS VARCHAR) AS product FROM m JOIN f USING (mid, cols) GROUP BY mid""")
 def echelon_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oracle: the product is the divisor of the largest minors of the first columns that have any."""
     return pivots.diagonals(part_count(spark, sf_dir))
 
 
@@ -713,9 +744,12 @@ def series_parallel_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.reductions_text(recognition.series_parallel(part_sign(spark, sf_dir)))
 
 
-@query()
+@query(f"{SIGN_CLASS} SELECT mid, FALSE AS is_sp FROM sup JOIN gh USING (mid) WHERE NOT (is_sp AND is_tu)")
 def series_parallel_violators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognition.sp_violators(part_sign(spark, sf_dir))
+    """Submatrices that aren't series-parallel, of all matrices that aren't."""
+    ms = part_sign(spark, sf_dir)
+    found, _ = storage.written(recognition.sp_violators(ms), "violators")
+    return recognition.series_parallel(algebra.slice_submatrix(ms.where(F.lit(True)), found)).join(found.select("mid"), "mid", "left_semi").select("mid", "is_sp")
 
 
 @query()
@@ -728,24 +762,7 @@ def graph_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.dot_text(recognition.realised_graphs(part_binary(spark, sf_dir)))
 
 
-def _minor(rows: tuple[int, ...], cols: tuple[int, ...]) -> str:
-    sign = lambda p: (-1) ** sum(p[i] > p[j] for i in range(len(p)) for j in range(i, len(p)))
-    return " + ".join(f"({sign(p)})*" + "*".join(f"a{r}{cols[x]}" for r, x in zip(rows, p)) for p in permutations(range(len(rows))))
-
-
-def _minors() -> str:
-    """All minors of 4 x 7 matrices as ``(size, rows, cols, value)``."""
-    parts = []
-    for k in range(1, 5):
-        at = [(r, c) for r in combinations(range(4), k) for c in combinations(range(7), k)]
-        names = [", ".join("'" + "".join(map(str, x[i])) + "'" for x in at) for i in (0, 1)]
-        parts.append(f"SELECT mid, {k} AS size, unnest([{names[0]}]) AS rows, unnest([{names[1]}]) AS cols, unnest([{', '.join(_minor(*x) for x in at)}]) AS value FROM w")
-    return " UNION ALL ".join(parts)
-
-
-@query(f"""WITH e AS ({COUNT_SQL}), w AS (SELECT mid, {', '.join(f'CAST(coalesce(max(v) FILTER (r = {i} AND c = {j}), 0) AS BIGINT) AS a{i}{j}' for i in range(4) for j in range(7))} FROM e GROUP BY mid),
-d AS (SELECT * FROM ({_minors()}) WHERE value <> 0), top AS (SELECT mid, max(size) AS size FROM d GROUP BY mid),
-m AS (SELECT mid, rows, cols, abs(value) AS value FROM d JOIN top USING (mid, size)),
+@query(f"""{LARGEST},
 by_rows AS (SELECT mid, rows, min(value) AS low, max(value) AS high FROM m GROUP BY mid, rows), by_cols AS (SELECT mid, cols, min(value) AS low, max(value) AS high FROM m GROUP BY mid, cols),
 one AS (SELECT mid, CASE WHEN bool_and(low = high) THEN list_reduce(list(low), lambda x, y: gcd(x, y)) ELSE 0 END AS k FROM by_rows GROUP BY mid),
 two AS (SELECT mid, CASE WHEN bool_and(low = high) THEN list_reduce(list(low), lambda x, y: gcd(x, y)) ELSE 0 END AS k FROM by_cols GROUP BY mid)
