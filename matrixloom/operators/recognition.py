@@ -301,6 +301,25 @@ def realised_networks(ms: Matrices) -> DataFrame:
     return per_matrix(ms, lambda mid, a: _edges(mid, graphs.network(a)), EDGES)
 
 
+def oriented_cographs(ms: Matrices) -> DataFrame:
+    """Of the matrices with cographic support ``mid, oriented, edges, rows, cols``: whether the
+    graph's edges can be directed as the signs ask; the directed edges (columns are its forest),
+    or else a violating submatrix."""
+
+    def one(mid, a):
+        if not graphs.is_cographic([[abs(v) for v in r] for r in a]):
+            return []
+        found = graphs.network(_flip(a))
+        if not found:
+            return [(mid, False, None, *_sub(structure.camion(a)[1]))]
+        tree, others = found
+        edges = [{"element": 1 + j, "tail": t, "head": h} for j, (t, h) in sorted(tree.items())]
+        edges += [{"element": -1 - i, "tail": t, "head": h} for i, (t, h) in sorted(others.items())]
+        return [(mid, True, edges, None, None)]
+
+    return per_matrix(ms, one, f"mid long, oriented boolean, edges array<struct<element: int, tail: int, head: int>>, {SUB}")
+
+
 def greedy_graphic_columns(ms: Matrices) -> DataFrame:
     return per_matrix(ms, lambda mid, a: [(mid, graphs.greedy_graphic_columns(a))], "mid long, cols array<int>")
 

@@ -680,6 +680,12 @@ def network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.network_test(part_sign(spark, sf_dir))
 
 
+@query(f"{SIGN_CLASS} SELECT mid, is_tu AS oriented, CASE WHEN is_tu THEN 11 ELSE 0 END AS edges, NOT is_tu AS violated FROM sup JOIN gh USING (mid) WHERE is_cographic")
+def cograph_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recognition.oriented_cographs(part_sign(spark, sf_dir))
+    return found.select("mid", "oriented", F.coalesce(F.size("edges"), F.lit(0)).alias("edges"), F.col("rows").isNotNull().alias("violated"))
+
+
 @query(f"{SIGN_CLASS} SELECT mid, TRUE AS equal FROM net WHERE is_network")
 def network_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = part_sign(spark, sf_dir)
