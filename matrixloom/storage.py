@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,16 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def counted(df: DataFrame, tag: str, *sums) -> tuple[DataFrame, str, tuple]:
+    """As :func:`written`, and the number of rows and further ``sums`` (aggregates over
+    ``df``), which the job that writes takes along."""
+    seen = Observation()
+    values = [F.count(F.lit(1)).alias("s0"), *[x.alias(f"s{i}") for i, x in enumerate(sums, 1)]]
+    out, path = written(df.observe(seen, *values), tag)
+    got = seen.get
+    return out, path, tuple(got[f"s{i}"] for i in range(len(values)))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
@@ -73,19 +83,18 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """
     spark = edges.sparkSession
     first = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    current, path = written(first, tag)
+    current, path, (n,) = counted(first, tag)
     seen = None
-    while not current.isEmpty():
+    while n:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         step = small.unionByName(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
-        step, step_path = written(step, tag)
-        mark = step.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        step, step_path, mark = counted(step, tag, F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
         delete(spark, path)
-        current, path = step, step_path
+        current, path, n = step, step_path, mark[0]
         if mark == seen:
             break
         seen = mark
