@@ -9,9 +9,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import components, delete, exists, new_path, shared_dir, written
+from ..storage import components, counted, delete, exists, new_path, shared_dir, written
 
-__all__ = ["BLOOM_CONF", "SMALL_BATCHES", "components", "conf", "delete", "exists", "filed", "local_table", "nested", "new_path", "place", "shared_dir", "table", "written"]
+__all__ = ["BLOOM_CONF", "SMALL_BATCHES", "components", "conf", "counted", "delete", "exists", "filed", "local_table", "nested", "new_path", "place", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

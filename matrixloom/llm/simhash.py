@@ -275,11 +275,11 @@ def settled(near: DataFrame, roots: DataFrame | None, alike) -> DataFrame | None
     open_ = near
     while True:
         mine = rooted(open_.select("a", "b", "dist"), roots, {"a": "x", "b": "y"}).where("x <> y")
-        open_, new_path = common.written(mine, "similar-open")
+        open_, new_path, (left,) = common.counted(mine, "similar-open")
         if path:
             common.delete(spark, path)
         path = new_path
-        if open_.isEmpty():
+        if not left:
             return roots
         if picks > 64:
             chosen = open_.select("a", "b")
@@ -288,8 +288,8 @@ def settled(near: DataFrame, roots: DataFrame | None, alike) -> DataFrame | None
             each = open_.select(F.explode(F.array("x", "y")).alias("root"), "dist", "a", "b")
             chosen = each.groupBy("root", slot.alias("slot")).agg(F.min(F.struct("dist", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
             chosen, _ = common.written(chosen, "similar-chosen")
-        kept = alike(chosen)
-        if not kept.isEmpty():
+        kept, some = alike(chosen)
+        if some:
             roots = joined(roots, kept)
         if picks > 64:
             return roots
@@ -304,7 +304,7 @@ def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int, r
     In each round some heads of a key are compared with all its classes that aren't
     linked to them yet, and then leave it; whatever is near a head stays and is
     compared with the rest.  Heads come from the smallest components of the key and
-    grow fourfold in number by round.  A key is done when links join all its
+    grow eightfold in number by round.  A key is done when links join all its
     classes, so one of many similar classes costs little more than their number; pairs
     of classes that no links join are compared one by one.
     """
@@ -314,14 +314,14 @@ def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int, r
         keyed = keyed.join(classes.select("cls", F.col(fps[0]).alias("f0")), "cls")
     path, turn, asked = None, 0, None
     while True:
-        heads = 4**turn
+        heads = 8**turn
         mine = rooted(keyed, roots, {"cls": "root"}).select("cls", "key", "f0", "root")
         several = mine.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-        current, current_path = common.written(mine.join(several, "key").select("cls", "key", "f0", "root"), "similar-keyed")
+        current, current_path, (left,) = common.counted(mine.join(several, "key").select("cls", "key", "f0", "root"), "similar-keyed")
         if path:
             common.delete(spark, path)
         path, turn = current_path, turn + 1
-        if current.isEmpty():
+        if not left:
             return roots
         sized = current
         if turn > 1:
@@ -334,8 +334,8 @@ def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int, r
         near = near_pairs(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), classes, fps, most)
         if asked is not None:
             near = near.join(asked, ["a", "b"], "left_anti")
-        near, _ = common.written(near, "similar-near")
-        if not near.isEmpty():
+        near, _, (some,) = common.counted(near, "similar-near")
+        if some:
             roots = settled(near, roots, alike) if alike else joined(roots, near.select("a", "b"))
             # what was near once is linked now or has been asked about
             asked = near.select("a", "b") if asked is None else asked.unionByName(near.select("a", "b"))
@@ -361,9 +361,9 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return rows.join(named, same).select("cls", "text").mapInArrow(run, "cls long, shingles binary")
 
 
-def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, int]:
     """The pairs ``a, b`` whose shingle sets (``cls, shingles``) have that Jaccard
-    similarity or more."""
+    similarity or more, and their number."""
 
     def run(batches):
         for batch in batches:
@@ -377,10 +377,11 @@ def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     one, two = (sets.select(F.col("cls").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
     whole = pairs.join(one, "a").join(two, "b").select("a", "b", "a_set", "b_set")
     with common.conf(pairs.sparkSession, common.SMALL_BATCHES):
-        return common.written(whole.mapInArrow(run, "a long, b long"), "similar-alike")[0]
+        kept, _, (some,) = common.counted(whole.mapInArrow(run, "a long, b long"), "similar-alike")
+    return kept, some
 
 
-def similar(texts: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 8, chance: float = 0.95, hot: int = 32) -> DataFrame:
+def similar(texts: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 8, chance: float = 0.95, hot: int = 64) -> DataFrame:
     """``at, root`` of each row of ``texts(at, text)``: components of rows whose sets of
     ``n``-word shingles have a Jaccard similarity of ``similarity`` or more.
 
