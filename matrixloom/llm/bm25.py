@@ -23,7 +23,9 @@ the top k is missed.  Shards' answers are merged.
 
 Each shard, with a group of the queries, is one partition of one exchange: first its
 documents come, then block after block of queries, each answered before the next is
-read, so a task holds one shard's index and one block of queries.  Terms travel as
+read, so a task holds one shard's index and one block of queries.  Shards are asked in
+rounds, and what the earlier ones found is the least that the later ones' answers must
+reach.  Terms travel as
 64-bit hashes (XXH64), once for each block of documents or queries.
 
 Scores are rounded to six decimals; equal ones rank by the smaller identifier.
@@ -54,10 +56,11 @@ from . import common
 K1, B = 1.2, 0.75
 #: Entries of a block, and of a chunk of blocks that is scored at once.
 BLOCK, CHUNK = 32, 256
-#: Documents that travel as one block; terms that a task counts before it hands them on.
+#: Documents and queries that travel as one block; terms that a task counts before it hands them on.
 _DOCS, _TERMS = 256, 400_000
 _TERM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-DOCS, QUERIES = 0, 1
+_QUERIES = 2000
+DOCS, FLOORS, QUERIES = 0, 1, 2
 ROWS = "shard int, kind int, block binary"
 
 
@@ -140,8 +143,10 @@ class Index:
         """Documents (their numbers) of the k best scores, ties by identifier."""
         return self.answers(np.zeros(len(terms), dtype=np.int64), terms, weights, 1, k)[0]
 
-    def answers(self, query: np.ndarray, terms: np.ndarray, weights: np.ndarray, count: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """As :meth:`top` for each of ``count`` queries; query: of each term (ascending)."""
+    def answers(self, query: np.ndarray, terms: np.ndarray, weights: np.ndarray, count: int, k: int, floor: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As :meth:`top` for each of ``count`` queries; query: of each term (ascending);
+        floor: a score that each query's answers must reach."""
+        floor = np.zeros(count) if floor is None else floor
         none = (np.zeros(0, dtype=np.int64), np.zeros(0))
         if not len(self.terms) or not len(terms):
             return [none] * count
@@ -159,14 +164,15 @@ class Index:
         bound += partial.reshape(count, -1, BLOCK).max(axis=2)
         # what sums in single precision may be off by, twice, and what rounding to six decimals may add
         slack = 4e-6 + 2.5e-7 * (np.bincount(query, minlength=count) + 8) * bound.max(axis=1)
-        found = self._candidates(dense, partial, bound, slack, k)
+        found = self._candidates(dense, partial, bound, slack, k, floor)
         starts = np.searchsorted(query, np.arange(count + 1))
-        return [self._exact(at[a:b], weights[a:b], some, k) if len(some) else none for a, b, some in zip(starts, starts[1:], found)]
+        return [self._exact(at[a:b], weights[a:b], some, k, low) if len(some) else none for a, b, some, low in zip(starts, starts[1:], found, floor)]
 
-    def _candidates(self, dense: np.ndarray, partial: np.ndarray, bound: np.ndarray, slack: np.ndarray, k: int) -> list[np.ndarray]:
-        """Of each query the entries whose scores reach the k-th within the slack."""
+    def _candidates(self, dense: np.ndarray, partial: np.ndarray, bound: np.ndarray, slack: np.ndarray, k: int, floor: np.ndarray) -> list[np.ndarray]:
+        """Of each query the entries whose scores reach the k-th and the floor within the slack."""
         count = len(dense)
         best = np.zeros((count, k), dtype=np.float32)  # the k best scores so far
+        least = floor.copy()  # what scores must reach
         per = CHUNK // BLOCK
         reach = bound.reshape(count, -1, per).max(axis=2)
         entries: list[tuple] = []
@@ -177,30 +183,32 @@ class Index:
             got += partial[some, c * CHUNK : (c + 1) * CHUNK]
             most = np.concatenate([best[some], got], axis=1)
             best[some] = np.partition(most, most.shape[1] - k, axis=1)[:, -k:]
-            q, e = np.nonzero((got > 0) & (got >= (best[some].min(axis=1) - slack[some])[:, None]))
+            least[some] = np.maximum(floor[some], best[some].min(axis=1))
+            q, e = np.nonzero((got > 0) & (got >= (least[some] - slack[some])[:, None]))
             entries.append((some[q], e + c * CHUNK, got[q, e]))
 
         start = reach.argmax(axis=1)
-        asks = reach[np.arange(count), start] > 0
+        asks = (reach[np.arange(count), start] > 0) & (reach[np.arange(count), start] >= floor - slack)
         for c in np.unique(start[asks]).tolist():
             score(c, np.flatnonzero(asks & (start == c)))
         for c in range(len(self.chunks)):
             # pivots: blocks of this chunk whose bounds reach the thresholds
-            some = np.flatnonzero(asks & (start != c) & (reach[:, c] > 0) & (reach[:, c] >= best.min(axis=1) - slack))
+            some = np.flatnonzero(asks & (start != c) & (reach[:, c] > 0) & (reach[:, c] >= least - slack))
             if len(some):
                 score(c, some)
         query, entry, got = (np.concatenate(x) for x in zip(*entries)) if entries else (np.zeros(0, dtype=np.int64),) * 3
-        keep = got >= best.min(axis=1)[query] - slack[query]
+        keep = got >= (least - slack)[query]
         query, entry = query[keep], entry[keep]
         by = np.argsort(query, kind="stable")
         return np.split(entry[by], np.searchsorted(query[by], np.arange(1, count)))
 
-    def _exact(self, at: np.ndarray, weights: np.ndarray, some: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _exact(self, at: np.ndarray, weights: np.ndarray, some: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         self.weights[at] = weights
         postings, owner = spread(self.entry_start[some], self.entry_start[some + 1])
         score = np.round(np.bincount(owner, self.weights[self.entry_term[postings]] * self._impact(postings, some[owner]), minlength=len(some)), 6)
         self.weights[at] = 0.0
         best = np.lexsort((self.ids[some], -score))[:k]
+        best = best[score[best] >= floor - 1e-9]
         return self.order[some[best]], score[best]
 
 
@@ -252,23 +260,29 @@ class Shard:
         ids = np.array([np.iinfo(np.int64).max if x[0] is None else x[0] for x in self.keys], dtype=np.int64)
         self.index = Index(ids, lengths[first], terms[at], counts[at], owner, mean, known)
 
-    def answers(self, block: tuple, k: int, docs: int):
-        """``query, id, score`` of the k best documents of each query of a block;
-        docs: of all shards."""
-        keys, sizes, terms, df, at = block
+    def answers(self, block: tuple, k: int, docs: int, floors: dict, size: int):
+        """``query, id, score`` of the k best documents of each query of a block, as far as
+        they reach the query's floor; docs: of all shards; size: queries answered at once."""
+        keys, sizes, terms, df, steps = block
         df = df.astype(np.float64)
         weights = np.log((docs - df + 0.5) / (df + 0.5) + 1)
-        query = np.repeat(np.arange(len(keys)), sizes)
-        for key, (best, scores) in zip(keys, self.index.answers(query, terms[at], weights[at], len(keys), k)):
-            left, rows = k, []
-            # entries of one score rank by identifier, so all of them are asked before any is cut
-            for score, some in groupby(zip(scores.tolist(), best.tolist()), key=lambda x: x[0]):
-                ids = sorted((x for _, e in some for x in self.keys[e][:k]), key=lambda x: (x is None, x or 0))[:left]
-                rows += [(key, x, score) for x in ids]
-                left -= len(ids)
-                if not left:
-                    break
-            yield from rows
+        ends = np.cumsum(sizes)
+        at = np.cumsum(steps, dtype=np.int64)  # of each query the first step counts from 0
+        at -= np.repeat(np.concatenate([[0], at[ends[:-1] - 1]]), sizes)
+        for i in range(0, len(keys), size):
+            mine = keys[i : i + size]
+            some = at[ends[i] - sizes[i] : ends[min(i + size, len(keys)) - 1]]
+            query = np.repeat(np.arange(len(mine)), sizes[i : i + size])
+            floor = np.array([floors.get(key, 0.0) for key in mine])
+            for key, (best, scores) in zip(mine, self.index.answers(query, terms[some], weights[some], len(mine), k, floor)):
+                left = k
+                # entries of one score rank by identifier, so all of them are asked before any is cut
+                for score, same in groupby(zip(scores.tolist(), best.tolist()), key=lambda x: x[0]):
+                    ids = sorted((x for _, e in same for x in self.keys[e][:k]), key=lambda x: (x is None, x or 0))[:left]
+                    yield from ((key, x, score) for x in ids)
+                    left -= len(ids)
+                    if not left:
+                        break
 
 
 def _read(shards: int, size: int):
@@ -347,8 +361,13 @@ def _packed_queries(size: int):
     """Rows sorted by query, with the documents of each term, to blocks of ``size`` queries."""
 
     def pack(keys, sizes, terms, df):
+        sizes = np.array(sizes)
         terms, first, at = np.unique(np.array(terms, dtype=np.int64).view(np.uint64), return_index=True, return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array([_pack((keys, sizes, terms, _small(np.array(df)[first]), _small(at)))], pa.binary())], names=["block"])
+        at = at[np.lexsort((at, np.repeat(np.arange(len(sizes)), sizes)))]
+        steps = np.diff(at, prepend=0)
+        starts = np.cumsum(sizes) - sizes
+        steps[starts] = at[starts]
+        return pa.RecordBatch.from_arrays([pa.array([_pack((keys, sizes, terms, _small(np.array(df)[first]), _small(steps)))], pa.binary())], names=["block"])
 
     def run(batches):
         keys, sizes, terms, df = [], [], [], []
@@ -369,32 +388,46 @@ def _packed_queries(size: int):
     return run
 
 
-def _answered(k: int, mean: float, count: int):
+def _packed_floors(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([_pack((batch.column(0).to_pylist(), batch.column(1).to_pylist()))], pa.binary())], names=["block"])
+
+
+def _answered(k: int, mean: float, count: int, size: int):
     """The answers of the shards of a partition, one shard after another."""
 
     def run(batches):
         rows = ((b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i]) for b in batches for i in range(b.num_rows))
         for _, mine in groupby(rows, key=lambda r: r[0]):
-            shard, docs = None, []
+            shard, docs, floors = None, [], {}
             for _, kind, block in mine:
                 if kind == DOCS:
                     docs.append(_unpack(block.as_py()))
                     continue
-                if shard is None and not docs:
+                if not docs and shard is None:
                     break  # no documents were dealt to this shard
+                if kind == FLOORS:
+                    floors.update(zip(*_unpack(block.as_py())))
+                    continue
                 if shard is None:
                     shard = Shard(docs, mean)
-                found = list(shard.answers(_unpack(block.as_py()), k, count))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))], names=["query", "id", "score"])
+                    docs = []
+                found = list(shard.answers(_unpack(block.as_py()), k, count, floors, size))
+                for i in range(0, len(found), 50_000):
+                    columns = zip(*found[i : i + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query", "id", "score"])
 
     return run
 
 
-def search(docs: DataFrame, asks: Column, k: int = 10, shard_docs: int = 16_384, block: int = 200, group_queries: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def search(docs: DataFrame, asks: Column, k: int = 10, shard_docs: int = 16_384, block: int = 200, group_queries: int = 20_000, first: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``query, rank, id, score``: for each row that ``asks`` holds for, the ``k`` best
     of all rows.  A task answers up to about ``group_queries`` queries, ``block`` at a
-    time, from a shard of about ``shard_docs`` documents."""
+    time, from a shard of about ``shard_docs`` documents.
+
+    Shards are asked in rounds, ``first`` in the first and three times as many as before
+    in each later one; the k-th best score of the rounds before is the floor that a query's
+    answers must reach, so later shards skip most of their blocks and answer little."""
     spark, ident, text = docs.sparkSession, F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     if not isinstance(docs.select(ident).schema[0].dataType, IntegralType):
         raise TypeError(f"{id_col} isn't a whole number")
@@ -409,20 +442,32 @@ def search(docs: DataFrame, asks: Column, k: int = 10, shard_docs: int = 16_384,
     held = read.where("kind = 3").select("shard", "block")
     wanted = held.select("block").mapInArrow(_query_terms, "query long, term long").distinct()
     weighed = wanted.join(of_term, "term").select("query", "term", "df")
-    dealt = max(1, -(-asking // block))
-    # a block of queries is a task's whole share, so that few blocks are short
-    blocks = weighed.repartition(max(1, min(dealt, int(spark.conf.get("spark.sql.shuffle.partitions")))), "query")
-    blocks, _ = common.written(blocks.sortWithinPartitions("query").mapInArrow(_packed_queries(block), "block binary"), "bm25-queries")
-    group = F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = blocks.select("block", group.alias("group")).select(each(shards).alias("shard"), "group", F.lit(QUERIES).alias("kind"), "block")
-    held = held.select("shard", each(groups).alias("group"), F.lit(DOCS).alias("kind"), "block")
-    cell = (F.col("shard") * groups + F.col("group")).alias("shard")
-    cells = held.unionByName(asked).select(cell, "kind", "block").repartitionById(shards * groups, "shard").sortWithinPartitions("shard", "kind")
-    with common.conf(spark, common.SMALL_BATCHES):
-        found, _ = common.written(cells.mapInArrow(_answered(k, mean, count), "query long, id long, score double"), "bm25-found")
+    # queries travel in few large blocks, whose terms are sent once
+    blocks = weighed.repartition(max(1, -(-asking // _QUERIES)), "query").sortWithinPartitions("query")
+    blocks, _ = common.written(blocks.mapInArrow(_packed_queries(_QUERIES), "block binary").withColumn("no", F.monotonically_increasing_id()), "bm25-queries")
+    group = F.pmod(F.xxhash64("no"), F.lit(groups)).cast("int").alias("group")
+    each = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b - 1)))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id")))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")
+    best, done, size = None, 0, first
+    while done < shards:
+        upto = min(shards, done + size)
+        sent = held.where(F.col("shard").between(done, upto - 1)).select("shard", each(0, groups).alias("group"), F.lit(DOCS).alias("kind"), "block")
+        sent = sent.unionByName(blocks.select("block", group).select(each(done, upto).alias("shard"), "group", F.lit(QUERIES).alias("kind"), "block"))
+        if best is not None:
+            floors = best.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+            packed = floors.select("query", "floor").mapInArrow(_packed_floors, "block binary")
+            sent = sent.unionByName(packed.select("block", each(done, upto).alias("shard")).select("shard", each(0, groups).alias("group"), F.lit(FLOORS).alias("kind"), "block"))
+        cell = ((F.col("shard") - done) * groups + F.col("group")).alias("shard")
+        cells = sent.select(cell, "kind", "block").repartitionById((upto - done) * groups, "shard").sortWithinPartitions("shard", "kind")
+        with common.conf(spark, common.SMALL_BATCHES):
+            found = cells.mapInArrow(_answered(k, mean, count, block), "query long, id long, score double")
+            found, _ = common.written(found, "bm25-found")
+        best = found if best is None else best.unionByName(found)
+        best, _ = common.written(best.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score"), "bm25-best")
+        done, size = upto, 3 * upto
+        if done < shards:
+            best = best.drop("rank")
+    return best
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def test_against_brute_force(spark):
     rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 40)))) for i in range(400)]
     rows += [(1000, None), (None, "the abc"), (1001, "the of é " * 400), (1002, rows[4][1]), (1003, rows[4][1]), (1005, "zzz")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS shard", "3 AS query", "4 AS rank")
-    for shard, block in ((16_384, 200), (70, 7)):
+    for shard, block in ((16_384, 200), (70, 7), (20, 7)):
         out = bm25.search(docs.repartition(3), F.col("doc_id") % 4 == 0, k=5, shard_docs=shard, block=block).collect()
         assert sorted(((r.query, r.rank, r.id, r.score) for r in out), key=str) == brute(rows, lambda q: q % 4 == 0, 5)
     assert bm25.search(docs.limit(0), F.lit(True)).count() == 0
