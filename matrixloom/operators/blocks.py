@@ -22,9 +22,25 @@ def _place(element: Column) -> Column:
     return F.struct((element > 0).alias("column"), F.abs(element).alias("at"))
 
 
+#: Lines up to which a matrix's blocks are found in one row.
+SMALL = 256
+
+
 def block_of_lines(ms: Matrices) -> DataFrame:
-    """``mid, element, block``: blocks numbered from 0 by their first line, for matrices
-    of any size: components of one graph whose nodes are lines of matrices."""
+    """``mid, element, block``: blocks numbered from 0 by their first line, for matrices of any
+    size: small ones each by a search, others as components of one graph whose nodes are
+    lines of matrices."""
+    small = F.col("m") + F.col("n") <= SMALL
+    found = decompose_blocks(ms.where(small))
+    elements = F.concat(F.transform("rows", lambda i: -1 - i), F.transform("cols", lambda j: 1 + j))
+    searched = found.select("mid", F.explode(elements).alias("element"), "block")
+    large = ms.where(~small)
+    if large.dims.isEmpty():
+        return searched
+    return searched.unionByName(_block_of_lines(large))
+
+
+def _block_of_lines(ms: Matrices) -> DataFrame:
     node = lambda element: F.struct("mid", _place(element).alias("p"))
     e = ms.entries.select(node(-1 - F.col("r")).alias("a"), node(1 + F.col("c")).alias("b"))
     roots = components(e, "blocks")

@@ -7,6 +7,7 @@ the JVM on bit masks, one row per matrix.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,13 @@ MASK_TEST = """forall(sequence(1L, shiftleft(1L, m) - 1), s -> exists(sequence(0
     bit_count(x.p & s & ~h) - bit_count(x.q & s & ~h) - bit_count(x.p & h) + bit_count(x.q & h)) <= 1)))"""
 
 
+def _fits() -> list[int]:
+    """For matrices of 0 and 1 with up to five rows: at 32 x + s, for a column of the ones x and a set s of
+    rows, the parts of s (as bits) over which and over the rest of s its sums differ by at most one."""
+    differ = lambda x, s, h: abs((x & s & ~h).bit_count() - (x & h).bit_count())
+    return [sum(1 << h for h in range(32) if h & s == h and differ(x, s, h) <= 1) for x in range(32) for s in range(32)]
+
+
 def _masked(ms: Matrices) -> DataFrame:
     """``mid, m, n, cols, odd``: matrices of at most ``MASK_ROWS`` rows or columns in one row
     each, the smaller side for the rows; ``cols``: of each column with nonzeros its number
@@ -101,19 +109,23 @@ def completed(nodes: DataFrame, ternary: bool = True, at: int | None = None) ->
     """Trees with their UNKNOWN nodes decomposed (those in the subtree of node ``at``, if
     given) and the attributes above recomputed; nodes are numbered anew."""
 
-    def run(pdf):
-        import pandas as pd
+    names = [c.split()[0] for c in _NODE.split(", ")]
+    held = nodes.groupBy("mid").agg(F.collect_list(F.struct(*names[1:])).alias("rows"))
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-        rows = []
-        for r in pdf.itertuples(index=False):
-            matrix = None if r.matrix is None else [list(map(int, x)) for x in r.matrix]
-            parent = None if pd.isna(r.parent) else int(r.parent)
-            rows.append((r.node, parent, r.place, r.kind, r.regularity, r.graphicness, r.cographicness, r.rows, r.cols, matrix))
-        tree = recognise.completed(recognise.from_table(rows), ternary, at)
-        out = pd.DataFrame([(pdf["mid"].iloc[0], *x) for x in _table(tree)], columns=[c.split()[0] for c in _NODE.split(", ")])
-        return out.astype({"parent": "Int32"})
+        schema = to_arrow_schema(kind)
+        for batch in batches:
+            out = []
+            for mid, rows in zip(*(c.to_pylist() for c in batch.columns)):
+                tree = recognise.completed(recognise.from_table([tuple(r.values()) for r in rows]), ternary, at)
+                out += [(mid, *x) for x in _table(tree)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return nodes.groupBy("mid").applyInPandas(run, _NODE)
+    kind = nodes.sparkSession.createDataFrame([], _NODE).schema
+    return held.repartition(work_tasks(nodes.sparkSession), "mid").mapInArrow(run, _NODE)
 
 
 def tree_attributes(nodes: DataFrame) -> DataFrame:
@@ -198,8 +210,13 @@ def ctu_test(ms: Matrices) -> DataFrame:
     rows = small.dims.repartition(tasks, "mid").join(cols, "mid", "left")
     full = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda c: F.coalesce(F.element_at("at", c), F.lit(0).cast("long")))
     rows = rows.select("mid", "m", "n", "odd", F.coalesce(full, F.array_repeat(F.lit(0).cast("long"), F.col("n"))).alias("full"))
-    test = MASK_TEST.format(cols=f"array_distinct(transform({_OTHER}, y -> named_struct('p', y, 'q', 0L)))")
-    first = F.expr(f"aggregate(sequence(0, (m + 1) * (n + 1) - 1), -1, (seen, k) -> IF(seen >= 0, seen, IF({test}, -1, k)))")
+    slow = MASK_TEST.format(cols=f"array_distinct(transform({_OTHER}, y -> named_struct('p', y, 'q', 0L)))")
+    # of up to five rows the parts that split a set well are looked up; one must do for all columns
+    fast = f"""forall(sequence(1L, {_ALL}), s -> aggregate(cols, -1L, (parts, x) -> parts & fits[CAST(32 * x + s AS INT)]) <> 0L)"""
+    fast = f"exists(array(array_distinct({_OTHER})), cols -> {fast})"
+    walk = "aggregate(sequence(0, (m + 1) * (n + 1) - 1), -1, (seen, k) -> IF(seen >= 0, seen, IF({test}, -1, k)))"
+    rows = rows.withColumn("fits", F.lit(_fits()).cast("array<long>"))
+    first = F.when(F.col("m") <= 5, F.expr(walk.format(test=fast))).otherwise(F.expr(walk.format(test=slow)))
     found = rows.withColumn("k", F.when(F.col("odd"), F.lit(-2)).otherwise(first))
     row, col = F.expr("CAST(k div (n + 1) AS INT)"), F.expr("CAST(k % (n + 1) AS INT)")
     told = found.select(
