@@ -33,6 +33,10 @@ STREAM_CONF = {
     # many small stores: don't set disk aside ahead of need, and log changes instead of whole snapshots
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # what all stores of an executor hold in memory together, and each before it writes a file
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
 }
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)

@@ -285,7 +285,7 @@ def settled(near: DataFrame, roots: DataFrame | None, alike) -> DataFrame | None
             chosen = open_.select("a", "b")
         else:
             slot = F.pmod(F.xxhash64("a", "b"), F.lit(picks))
-            each = open_.select(F.explode(F.array("x", "y")).alias("root"), "dist", "a", "b")
+            each = open_.select(F.col("x").alias("root"), "dist", "a", "b").unionByName(open_.select(F.col("y").alias("root"), "dist", "a", "b"))
             chosen = each.groupBy("root", slot.alias("slot")).agg(F.min(F.struct("dist", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
             chosen, _ = common.written(chosen, "similar-chosen")
         kept, some = alike(chosen)
@@ -381,7 +381,7 @@ def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> tuple[D
     return kept, some
 
 
-def similar(texts: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 8, chance: float = 0.95, hot: int = 64) -> DataFrame:
+def similar(texts: DataFrame, n: int = 5, similarity: float = 0.8, longs: int = 8, chance: float = 0.95, hot: int = 48) -> DataFrame:
     """``at, root`` of each row of ``texts(at, text)``: components of rows whose sets of
     ``n``-word shingles have a Jaccard similarity of ``similarity`` or more.
 
@@ -425,7 +425,7 @@ def similar(texts: DataFrame, n: int = 5, similarity: float = 0.8, longs: int =
     near, _ = common.written(near_pairs(met.where("key IS NULL").select("a", "b"), classes, fps, most), "similar-near")
     rest, _ = common.written(met.where("key IS NOT NULL").select(F.col("a").alias("cls"), "key", F.col("b").alias("f0")), "similar-hot")
     common.delete(spark, met_path)
-    named = near.select(F.explode(F.array("a", "b")).alias("cls")).union(rest.select("cls")).distinct()
+    named = near.select(F.col("a").alias("cls")).union(near.select("b")).union(rest.select("cls")).distinct()
     wanted, _ = common.written(named.join(classes, "cls").select("cls", "at"), "similar-wanted")
     with common.conf(spark, common.BLOOM_CONF | common.SMALL_BATCHES):
         sets, sets_path = common.written(shingle_sets(slim, wanted, n), "similar-sets")
