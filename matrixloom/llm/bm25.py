@@ -55,7 +55,7 @@ from . import common
 
 K1, B = 1.2, 0.75
 #: Entries of a block, and of a chunk of blocks that is scored at once.
-BLOCK, CHUNK = 32, 256
+BLOCK, CHUNK = 32, 128
 #: Documents and queries that travel as one block; terms that a task counts before it hands them on.
 _DOCS, _TERMS = 256, 400_000
 _TERM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -84,8 +84,8 @@ def _small(x: np.ndarray) -> np.ndarray:
 def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges, and the range of each."""
     sizes = ends - starts
-    owner = np.repeat(np.arange(len(starts)), sizes)
-    return np.arange(len(owner)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes), owner
+    owner = np.repeat(np.arange(len(starts), dtype=np.int32), sizes)
+    return np.arange(len(owner), dtype=np.int32) + np.repeat((starts - np.cumsum(sizes) + sizes).astype(np.int32), sizes), owner
 
 
 class Index:
@@ -156,8 +156,9 @@ class Index:
         place = self.frequent[at]
         often = place >= 0
         rare, owner = spread(self.first[at[~often]], self.first[at[~often] + 1])
-        cells = query[~often][owner] * self.size + self.entry[rare]
-        partial = np.bincount(cells, self.impact[rare] * weights[~often][owner], minlength=count * self.size).astype(np.float32).reshape(count, self.size)
+        cells = (query[~often] * self.size).astype(np.int32)[owner] + self.entry[rare]
+        values = self.impact[rare] * weights[~often].astype(np.float32)[owner]
+        partial = np.bincount(cells, values, minlength=count * self.size).astype(np.float32).reshape(count, self.size)
         dense = np.zeros((count, len(self.most)), dtype=np.float32)
         dense[query[often], place[often]] = weights[often]
         bound = dense @ self.most
@@ -179,8 +180,12 @@ class Index:
 
         def score(c: int, some: np.ndarray) -> None:
             rows, impacts = self.chunks[c]
-            got = dense[some][:, rows] @ impacts
+            got = dense[np.ix_(some, rows)] @ impacts
             got += partial[some, c * CHUNK : (c + 1) * CHUNK]
+            hit = got.max(axis=1) >= least[some] - slack[some]
+            if not hit.any():
+                return
+            some, got = some[hit], got[hit]
             most = np.concatenate([best[some], got], axis=1)
             best[some] = np.partition(most, most.shape[1] - k, axis=1)[:, -k:]
             least[some] = np.maximum(floor[some], best[some].min(axis=1))
