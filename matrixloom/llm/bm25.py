@@ -425,7 +425,7 @@ def _answered(k: int, mean: float, count: int, size: int):
     return run
 
 
-def search(docs: DataFrame, asks: Column, k: int = 10, shard_docs: int = 16_384, block: int = 200, group_queries: int = 20_000, first: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def search(docs: DataFrame, asks: Column, k: int = 10, shard_docs: int = 12_288, block: int = 200, group_queries: int = 20_000, first: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``query, rank, id, score``: for each row that ``asks`` holds for, the ``k`` best
     of all rows.  A task answers up to about ``group_queries`` queries, ``block`` at a
     time, from a shard of about ``shard_docs`` documents.
