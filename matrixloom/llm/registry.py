@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bm25, bpe, exact_dedup, html, licenses, mixing, simhash, toxicity, urls, warc
+from . import bm25, bpe, centroids, exact_dedup, html, licenses, mixing, quality, simhash, toxicity, urls, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_warc_packages": warc.op8,
         "op9_bm25_block_max": bm25.op9,
         "op10_exact_dedup": exact_dedup.op10,
+        "op11_compression_quality": quality.op11,
+        "op12_embedding_whitening": whitening.op12,
+        "op13_elkan_centroids": centroids.op13,
     }
 
 
@@ -28,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_warc_packages": warc.ORACLE,
         "op9_bm25_block_max": bm25.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
+        "op13_elkan_centroids": centroids.ORACLE,
     }
