@@ -10,7 +10,7 @@ squared distances.
 
 A round is one pass over the vectors, without a shuffle of them, that writes the state
 (vectors and bounds) to the shared folder, so a lost executor costs its tasks; then each
-task's sums of each cluster are added up, k rows a task.  Centroids (k, a parameter) are
+task's sums of each cluster and dimension are added up.  Centroids (k, a parameter) are
 sent to the tasks.
 
 Behaviour: only vectors of ``size`` entries, none null or non-finite, are clustered; others
@@ -43,7 +43,7 @@ def vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", s
     """``id, x``: the vectors that are clustered, as whole numbers."""
     v = F.col("v")
     fine = (F.size(v) == size) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    entry = lambda c: F.when(F.abs(c) * scale <= LARGEST, F.floor(c.cast("double") * scale).cast("int")).otherwise(F.raise_error(F.lit("an entry is too large to be clustered exactly")).cast("int"))
+    entry = lambda c: F.when(F.abs(c) * scale <= LARGEST, F.floor(c.cast("double") * scale).cast("int")).when(F.abs(c) < float("inf"), F.raise_error(F.lit("an entry is too large to be clustered exactly")).cast("int"))
     kept = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec_col}`").alias("v")).where(v.isNotNull() & F.coalesce(fine, F.lit(False)))
     return kept.select("id", F.transform("v", entry).alias("x"))
 
@@ -83,7 +83,6 @@ class Bounds:
         k = len(c)
         half = down(np.sqrt(squares(c[:, None], c[None]).astype(np.float64)) / 2)
         np.fill_diagonal(half, np.inf)
-        rows = np.arange(len(x))
         live = np.flatnonzero(self.upper >= half[self.cluster].min(axis=1))
         best = np.zeros(len(x), dtype=np.int64)
         best[live] = squares(x[live], c[self.cluster[live]])
@@ -102,7 +101,6 @@ class Bounds:
             nearer = (found < best[look]) | ((found == best[look]) & (j < self.cluster[look]))
             at = look[nearer]
             best[at], self.cluster[at], self.upper[at] = found[nearer], j, up(root[nearer])
-        assert len(rows) == len(self.cluster)
         return done
 
 
@@ -116,7 +114,7 @@ def _lists(x: np.ndarray, kind: pa.DataType) -> pa.ListArray:
 
 def assigned(state: DataFrame, centroids: np.ndarray, before: np.ndarray | None, last: bool) -> DataFrame:
     """A round over ``id, x`` and, if there are centroids from ``before``, the bounds:
-    the state with its new clusters and bounds, or, at the ``last`` one, ``id, cluster, distance``."""
+    the state with its new clusters and bounds or, at the ``last`` one, ``id, cluster, distance``."""
     kind = state.schema["id"].dataType
     columns = [("id", to_arrow_type(kind)), *([("cluster", pa.int32()), ("distance", pa.int64())] if last else [("x", pa.list_(pa.int32())), ("cluster", pa.int32()), ("upper", pa.float32()), ("lower", pa.list_(pa.float32()))])]
     schema = pa.schema(columns)
@@ -142,10 +140,10 @@ def assigned(state: DataFrame, centroids: np.ndarray, before: np.ndarray | None,
 
 def moved(state: DataFrame, centroids: np.ndarray) -> np.ndarray:
     """Each centroid that has vectors at the floor of their mean."""
-    size, out = centroids.shape[1], centroids.copy()
-    sums = state.groupBy("cluster").agg(F.count("*").alias("n"), *[F.sum(F.col("x")[i].cast("long")).alias(f"s{i}") for i in range(size)])
-    for r in sums.collect():  # at most k rows
-        out[r.cluster] = [s // r.n for s in r[2:]]
+    out = centroids.copy()
+    sums = state.select("cluster", F.posexplode("x").alias("i", "c")).groupBy("cluster", "i").agg(F.count("*").alias("n"), F.sum(F.col("c").cast("long")).alias("s"))
+    for r in sums.collect():  # at most k rows for each dimension
+        out[r.cluster, r.i] = r.s // r.n
     return out
 
 
