@@ -248,16 +248,6 @@ def camion_signed(ms: Matrices) -> Matrices:
     return Matrices(ms.dims, rows)
 
 
-def series_parallel(ms: Matrices, ternary: bool = True) -> DataFrame:
-    """``mid, is_sp, reductions, rows, cols``: the reductions and what they leave."""
-
-    def one(mid, a):
-        steps, r, c = structure.sp_reductions(a, ternary)
-        return [(mid, not r and not c, [{"element": e, "mate": x} for e, x in steps], r, c)]
-
-    return per_matrix(ms, one, f"mid long, is_sp boolean, reductions array<struct<element: int, mate: int>>, {SUB}")
-
-
 def sp_violators(ms: Matrices, ternary: bool = True) -> DataFrame:
     """``mid, rows, cols``: minimal submatrices that aren't series-parallel."""
     return per_matrix(ms, lambda mid, a: [(mid, *x) for x in [recognise.sp_violator(a, ternary)] if x], f"mid long, {SUB}")

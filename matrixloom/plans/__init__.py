@@ -1 +1,6 @@
-"""See the package docstring."""
+"""Queries composed of the operators: all that are registered, by name, and their SQL."""
+
+from . import large, queries
+
+QUERIES = queries.QUERIES | large.QUERIES
+SQL = queries.SQL | large.SQL

@@ -63,3 +63,21 @@ COUNT_SQL = PART_SQL.format(value="count(*)")
 EMBED_SQL = """SELECT mid, r, c, CAST(x AS DOUBLE) AS v FROM (SELECT CAST(label AS BIGINT) AS mid,
   CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS r,
   unnest(embedding) AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS c FROM embeddings) WHERE x <> 0"""
+
+#: Orders and columns of a matrix of :func:`order_sign`.
+ORDERS, PLACES = 256, 1024
+
+
+def order_sign(spark: SparkSession, sf_dir: str) -> Matrices:
+    """Large sparse matrices: orders, 256 in a row, by 1,024 places that suppliers and line
+    numbers are dealt to; -1 where more lines were returned (A) than not."""
+    e = table(spark, sf_dir, "lineitem").groupBy(
+        F.floor(F.col("l_orderkey") / ORDERS).cast("long").alias("mid"),
+        (F.col("l_orderkey") % ORDERS).cast("int").alias("r"),
+        ((11 * F.col("l_suppkey") + F.col("l_linenumber")) % PLACES).cast("int").alias("c"),
+    ).agg(F.when(F.sum(F.when(F.col("l_returnflag") == "A", -1).otherwise(1)) < 0, -1).otherwise(1).alias("v"))
+    return Matrices(e.select("mid").distinct().select("mid", F.lit(ORDERS).alias("m"), F.lit(PLACES).alias("n")), e)
+
+
+ORDER_SQL = """SELECT l_orderkey // 256 AS mid, CAST(l_orderkey % 256 AS INTEGER) AS r, CAST((11 * l_suppkey + l_linenumber) % 1024 AS INTEGER) AS c,
+  CASE WHEN sum(CASE WHEN l_returnflag = 'A' THEN -1 ELSE 1 END) < 0 THEN -1 ELSE 1 END AS v FROM lineitem GROUP BY 1, 2, 3"""

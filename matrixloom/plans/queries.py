@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..model import Matrices, packed, problems
-from ..operators import algebra, blocks, kary, multigraphs, pivots, recognition, sums, trees
+from ..operators import algebra, blocks, kary, multigraphs, pivots, recognition, series, sums, trees
 from ..sources import generators, text
 from ..streaming import gates
 from .families import BINARY_SQL, COUNT_SQL, EMBED_SQL, SIGN_SQL, embeddings, part_binary, part_count, part_sign, table
@@ -647,12 +647,12 @@ SIGN_CLASS = f"{GH_SIGN}, {TREES}, {POINTS.format(name='sup', e='e')}, {GRAPHIC.
 @query(f"{SIGN_CLASS} SELECT mid, is_sp AND is_tu AS is_sp FROM sup JOIN gh USING (mid)")
 def series_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No wheel in the support (oracle: no minor of six points and rank three) and signs that fit."""
-    return recognition.series_parallel(part_sign(spark, sf_dir)).select("mid", "is_sp")
+    return series.left_over(part_sign(spark, sf_dir)).select("mid", "is_sp")
 
 
 @query(f"{BINARY_CLASS} SELECT mid, is_sp FROM bin")
 def series_parallel_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognition.series_parallel(part_binary(spark, sf_dir), ternary=False).select("mid", "is_sp")
+    return series.left_over(part_binary(spark, sf_dir), ternary=False).select("mid", "is_sp")
 
 
 @query(f"{BINARY_CLASS} SELECT mid, is_graphic, is_cographic, is_graphic AND is_cographic AS is_planar FROM bin JOIN bin_graph USING (mid)")
@@ -742,12 +742,12 @@ def camion_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def series_parallel_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognition.series_parallel(part_sign(spark, sf_dir))
+    return series.series_parallel(part_sign(spark, sf_dir))
 
 
 @query()
 def series_parallel_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.reductions_text(recognition.series_parallel(part_sign(spark, sf_dir)))
+    return text.reductions_text(series.series_parallel(part_sign(spark, sf_dir)))
 
 
 @query(f"{SIGN_CLASS} SELECT mid, FALSE AS is_sp FROM sup JOIN gh USING (mid) WHERE NOT (is_sp AND is_tu)")
@@ -755,7 +755,7 @@ def series_parallel_violators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Submatrices that aren't series-parallel, of all matrices that aren't."""
     ms = part_sign(spark, sf_dir)
     found, _ = storage.written(recognition.sp_violators(ms), "violators")
-    return recognition.series_parallel(algebra.slice_submatrix(ms.where(F.lit(True)), found)).join(found.select("mid"), "mid", "left_semi").select("mid", "is_sp")
+    return series.left_over(algebra.slice_submatrix(ms.where(F.lit(True)), found)).join(found.select("mid"), "mid", "left_semi").select("mid", "is_sp")
 
 
 @query()
@@ -861,7 +861,7 @@ def generated_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(range AS BIGINT) AS mid, TRUE AS is_sp FROM range(0, 200)")
 def generated_series_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognition.series_parallel(generators.random_series_parallel(spark, 200, 0, 20)).select("mid", "is_sp")
+    return series.series_parallel(generators.random_series_parallel(spark, 200, 0, 20)).select("mid", "is_sp")
 
 
 @query("SELECT CAST(range AS BIGINT) AS mid, TRUE AS is_tu FROM range(0, 60)")

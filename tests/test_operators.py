@@ -2,7 +2,7 @@ import pytest
 
 from matrixloom.functions import structure
 from matrixloom.model import Matrices, from_dense, problems, to_dense
-from matrixloom.operators import algebra, blocks, kary, multigraphs, pivots, recognition, sums
+from matrixloom.operators import algebra, blocks, kary, multigraphs, pivots, recognition, series, sums
 from matrixloom.sources import text
 from pyspark.sql import functions as F
 from tests import fixtures as X
@@ -136,7 +136,7 @@ def test_multigraphs(spark):
 
 def test_words(spark):
     ms = from_dense(spark, {1: [[1, 0], [1, 0], [0, 0]]})
-    assert text.reductions_text(recognition.series_parallel(ms)).first().value == "5\nr1: unit at c1\nr2: unit at c1\nr3: zero\nc1: zero\nc2: zero"
+    assert text.reductions_text(series.series_parallel(ms)).first().value == "5\nr1: unit at c1\nr2: unit at c1\nr3: zero\nc1: zero\nc2: zero"
     said = text.complements_text(at(spark, [(1, 0, None), (2, 1, 2)], "mid long, row int, col int")).collect()
     assert [r.value for r in said] == ["complement row 1", "complement row 2\ncomplement column 3"]
 
