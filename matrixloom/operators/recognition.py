@@ -232,22 +232,6 @@ def ctu_test(ms: Matrices) -> DataFrame:
 # --- Camion, series-parallel, balanced ----------------------------------------
 
 
-def camion_test(ms: Matrices) -> DataFrame:
-    """``mid, is_camion, rows, cols``: whether the signs are Camion's, else a violator."""
-
-    def one(mid, a):
-        w = tu.ternary_witness(a)
-        bad = ([w[0]], [w[1]]) if w else structure.camion(a)[1]
-        return [(mid, bad is None, *_sub(bad))]
-
-    return per_matrix(ms, one, f"mid long, is_camion boolean, {SUB}")
-
-
-def camion_signed(ms: Matrices) -> Matrices:
-    rows = per_matrix(ms, lambda mid, a: [(mid, i, j, v) for i, r in enumerate(structure.camion(a)[0]) for j, v in enumerate(r) if v], "mid long, r int, c int, v int")
-    return Matrices(ms.dims, rows)
-
-
 def sp_violators(ms: Matrices, ternary: bool = True) -> DataFrame:
     """``mid, rows, cols``: minimal submatrices that aren't series-parallel."""
     return per_matrix(ms, lambda mid, a: [(mid, *x) for x in [recognise.sp_violator(a, ternary)] if x], f"mid long, {SUB}")

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..operators import algebra, paths, series
-from .families import ORDER_SQL, SIGN_SQL, order_sign, part_sign
+from ..model import Matrices
+from ..operators import algebra, camion, paths, recognition, series
+from .families import ORDER_SQL, SIGN_SQL, order_sign, part_binary, part_sign
+from .queries import BINARY_CLASS, GH_SIGN, SIGN_CLASS
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -135,3 +137,38 @@ def series_parallel_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps, _ = series.reductions(ms)
     steps, _ = storage.written(steps, "series-steps")
     return series.replayed(ms, steps).join(steps.groupBy("mid").agg(F.count("*").alias("steps")), "mid")
+
+
+# --- Camion's signs -------------------------------------------------------------------
+
+
+def _signed_tu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the supports, with Camion's signs, are totally unimodular."""
+    ms, _ = storage.written_matrices(camion.camion_signed(part_binary(spark, sf_dir)), "camion-signed")
+    return recognition.tu_by_masks(ms)
+
+
+@query(f"{BINARY_CLASS} SELECT mid, is_regular AS is_tu FROM bin")
+def camion_signed_tu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oracle: regular matrices are those that Camion's signs make totally unimodular."""
+    return _signed_tu(spark, sf_dir)
+
+
+@query(f"{GH_SIGN} SELECT mid, is_tu FROM gh")
+def tu_by_camion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix is totally unimodular if its signs are Camion's and those of its support make it so."""
+    told = camion.camion_test(part_sign(spark, sf_dir)).select("mid", "is_camion")
+    return told.join(_signed_tu(spark, sf_dir), "mid").select("mid", (F.col("is_camion") & F.col("is_tu")).alias("is_tu"))
+
+
+@query(f"{SIGN_CLASS} SELECT mid, TRUE AS is_cycle, TRUE AS is_wrong FROM sup JOIN gh USING (mid) WHERE is_regular AND NOT is_tu")
+def camion_violators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of matrices with regular support but other signs: whether the violators have two nonzeros
+    in each line, and a sum that isn't a multiple of four."""
+    ms = part_sign(spark, sf_dir)
+    found, _ = storage.written(camion.camion_test(ms).where("NOT is_camion").join(_signed_tu(spark, sf_dir).where("is_tu"), "mid", "left_semi"), "camion-violators")
+    inner, _ = storage.written(algebra.slice_submatrix(ms, found.select("mid", "rows", "cols")).entries, "camion-cells")
+    lines = paths.adjacency(Matrices(ms.dims, inner)).groupBy("mid", "a").agg(F.count("*").alias("k")).groupBy("mid").agg((F.min("k") == 2).alias("least"), (F.max("k") == 2).alias("most"), F.count("*").alias("lines"))
+    sums = inner.groupBy("mid").agg((F.pmod(F.sum("v"), F.lit(4)) != 0).alias("is_wrong"))
+    out = found.select("mid", (F.size("rows") + F.size("cols")).alias("size")).join(lines, "mid").join(sums, "mid")
+    return out.select("mid", (F.col("least") & F.col("most") & (F.col("lines") == F.col("size"))).alias("is_cycle"), "is_wrong")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..model import Matrices, packed, problems
-from ..operators import algebra, blocks, kary, multigraphs, pivots, recognition, series, sums, trees
+from ..operators import algebra, blocks
+from ..operators import camion as camion_signs
+from ..operators import kary, multigraphs, pivots, recognition, series, sums, trees
 from ..sources import generators, text
 from ..streaming import gates
 from .families import BINARY_SQL, COUNT_SQL, EMBED_SQL, SIGN_SQL, embeddings, part_binary, part_count, part_sign, table
@@ -104,10 +106,13 @@ def seymour_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.tree_attributes(nodes)
 
 
-@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'THREESUM', TRUE), (1, 'THREESUM', TRUE), (2, CAST(NULL AS VARCHAR), CAST(NULL AS BOOLEAN))) t(mid, kind, rebuilt)")
+@query("SELECT s_suppkey AS mid, CASE WHEN s_suppkey % 3 < 2 THEN 'THREESUM' END AS kind, CASE WHEN s_suppkey % 3 < 2 THEN TRUE END AS rebuilt FROM supplier")
 def named_separations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """3-separations of R12, of its dual, and (there is none) of R10."""
-    return recognition.three_separations(generators.literals(spark, ["R_12", "R_12*", "R_10.2"])).select("mid", "kind", "rebuilt")
+    """3-separations of R12, of its dual, and (there is none) of R10, one for each supplier, its
+    lines in a random order."""
+    of = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("mid"), (F.col("s_suppkey") % 3).alias("k"))
+    ms = generators.literals(spark, ["R_12", "R_12*", "R_10.2"], of)
+    return recognition.three_separations(algebra.permute(ms, algebra.random_order(ms))).select("mid", "kind", "rebuilt")
 
 
 @query()
@@ -712,10 +717,12 @@ def ctu_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = ["I_3", "R_10.1", "R_10.2", "R_12", "W_4", "K_5", "K_3,3", "I_1"]
 
 
-@query("""SELECT CAST(mid AS BIGINT) AS mid, identity_order, r10, r12 FROM (VALUES (0, 3, 0, FALSE), (1, NULL, 1, FALSE), (2, NULL, 2, FALSE), (3, NULL, 0, TRUE),
-(4, NULL, 0, FALSE), (5, NULL, 0, FALSE), (6, NULL, 0, FALSE), (7, 1, 0, FALSE)) t(mid, identity_order, r10, r12)""")
+@query("""SELECT s_suppkey AS mid, CASE s_suppkey % 8 WHEN 0 THEN 3 WHEN 7 THEN 1 END AS identity_order, CASE s_suppkey % 8 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS r10,
+  s_suppkey % 8 = 3 AS r12 FROM supplier""")
 def named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognition.named_test(generators.literals(spark, NAMES))
+    """One of eight known matrices for each supplier."""
+    of = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("mid"), (F.col("s_suppkey") % 8).alias("k"))
+    return recognition.named_test(generators.literals(spark, NAMES, of))
 
 
 @query("""SELECT c_custkey AS mid, CAST(CASE WHEN c_nationkey % 3 = 1 OR c_nationkey % 3 = 0 AND c_custkey % 5 > 0 THEN NULL ELSE c_custkey % 5 + 1 END AS INTEGER) AS identity_order FROM customer""")
@@ -730,13 +737,13 @@ def identity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def camion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognition.camion_test(part_sign(spark, sf_dir))
+    return camion_signs.camion_test(part_sign(spark, sf_dir))
 
 
 @query(f"SELECT mid, r, c, 1 AS v FROM ({SIGN_SQL})")
 def camion_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Camion's signs change no zero."""
-    ms = algebra.support(recognition.camion_signed(part_sign(spark, sf_dir)))
+    ms = algebra.support(camion_signs.camion_signed(part_sign(spark, sf_dir)))
     return _entries(ms)
 
 
@@ -847,28 +854,36 @@ def sparse_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.sparse_text(part_sign(spark, sf_dir))
 
 
-@query("""SELECT k AS mid, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, 1 AS v FROM range(0, 30) a(k), range(0, 33) b(r), range(0, 33) d(c)
-WHERE r < k + 3 AND c < k + 3 AND (c = r OR c = (r + 1) % (k + 3) OR r < 2 AND c >= 3)""")
+@query("""SELECT mid, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, 1 AS v FROM (SELECT c_custkey AS mid, 3 + c_custkey % 30 AS k FROM customer), range(0, 33) b(r), range(0, 33) d(c)
+WHERE r < k AND c < k AND (c = r OR c = (r + 1) % k OR r < 2 AND c >= 3)""")
 def generated_wheels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entries(generators.wheels(spark, list(range(3, 33)), modified=True))
+    """A wheel of order 3 to 32 for each customer."""
+    orders = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("mid"), (3 + F.col("c_custkey") % 30).alias("k"))
+    return _entries(generators.wheels(spark, orders, modified=True))
 
 
-@query("SELECT CAST(range AS BIGINT) AS mid, TRUE AS is_network, TRUE AS support_is_graphic FROM range(0, 200)")
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("mid"))
+
+
+@query("SELECT s_suppkey AS mid, TRUE AS is_network, TRUE AS support_is_graphic FROM supplier")
 def generated_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random network matrices, recognised again."""
-    return recognition.network_test(generators.graphic(spark, 200, 12, 15, signed=True)).select("mid", "is_network", "support_is_graphic")
+    """A random network matrix for each supplier, recognised again."""
+    return recognition.network_test(generators.networks(spark, _suppliers(spark, sf_dir), 12, 15)).select("mid", "is_network", "support_is_graphic")
 
 
-@query("SELECT CAST(range AS BIGINT) AS mid, TRUE AS is_sp FROM range(0, 200)")
+@query("SELECT s_suppkey AS mid, TRUE AS is_sp FROM supplier")
 def generated_series_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.series_parallel(generators.random_series_parallel(spark, 200, 0, 20)).select("mid", "is_sp")
+    """A matrix for each supplier that grows by zero lines, units and copies, reduced again."""
+    ms, _ = storage.written_matrices(generators.random_series_parallel(spark, _suppliers(spark, sf_dir), 0, 20), "grown")
+    return series.left_over(ms).select("mid", "is_sp")
 
 
-@query("SELECT CAST(range AS BIGINT) AS mid, TRUE AS is_tu FROM range(0, 60)")
+@query("SELECT s_suppkey AS mid, TRUE AS is_tu FROM supplier")
 def generated_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of graphic and cographic matrices, some 35 x 35 (neither graphic nor cographic as a
-    rule): totally unimodular."""
-    return recognition.tu_test(generators.graph_cograph_sums(spark, 60, 10, 14)).select("mid", "is_tu")
+    """For each supplier a sum of a graphic and a cographic matrix, some 20 x 20 (neither graphic
+    nor cographic as a rule): totally unimodular."""
+    return recognition.tu_test(generators.graph_cograph_sums(spark, _suppliers(spark, sf_dir), 6, 8)).select("mid", "is_tu")
 
 
 @query("SELECT CAST(0 AS BIGINT) AS mid, TRUE AS is_network, FALSE AS is_conetwork, TRUE AS support_is_graphic")
@@ -882,7 +897,14 @@ def tree_dots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.tree_dot(recognition.decompositions(part_sign(spark, sf_dir)))
 
 
-@query()
+#: A lot as SQL, of a digest's first 32 bits.
+def _number(key: str) -> str:
+    return f"(CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) / 4294967296.0)"
+
+
+@query(f"""WITH s AS ({SIGN_SQL}), cell AS (SELECT mid, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c FROM (SELECT DISTINCT mid FROM s), range(0, 4) a(r), range(0, 7) b(c)),
+lot AS (SELECT mid, r, c, {_number("'1:' || mid || ':' || r || ':' || c")} AS hit, {_number("'1:' || mid || ':' || r || ':' || c || ':v'")} AS pick FROM cell),
+e AS (SELECT mid, r, c, CASE WHEN hit < 0.1 THEN CAST(floor(pick * 3) AS INTEGER) - 1 ELSE coalesce(v, 0) END AS v FROM lot LEFT JOIN s USING (mid, r, c)), {GH.format(key='mid')} SELECT mid, is_tu FROM gh""")
 def perturbed_tu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.tu_by_masks(generators.perturbed(part_sign(spark, sf_dir), 0.1, [-1, 0, 1]))
 

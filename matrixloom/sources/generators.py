@@ -1,4 +1,6 @@
-"""Seeded generators of matrix collections, made by Spark from ranges of numbers."""
+"""Seeded generators of matrix collections: a matrix for each row of a table with a ``mid``, or
+for each of so many numbers.  Lots are md5 digests of seed, matrix and place, which SQL engines
+agree on."""
 
 from __future__ import annotations
 
@@ -9,25 +11,34 @@ from ..functions import structure
 from ..model import Matrices, from_dense, per_matrix
 
 
+Made = int | DataFrame
+
+
 def _lot(seed: int, *cols):
-    """A number in [0, 1) for each row, from its columns."""
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 40)) / float(1 << 40)
+    """A number in [0, 1) for each row: the first 32 bits of a digest of the columns."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def _ids(spark: SparkSession, made: Made) -> DataFrame:
+    return spark.range(made).select(F.col("id").alias("mid")) if isinstance(made, int) else made.select(F.col("mid").cast("long").alias("mid"))
 
 
-def _sized(spark: SparkSession, count: int, m: int, n: int) -> DataFrame:
-    return spark.range(count).select(F.col("id").alias("mid"), F.lit(m).alias("m"), F.lit(n).alias("n"))
+def _sized(spark: SparkSession, made: Made, m: int, n: int) -> DataFrame:
+    return _ids(spark, made).select("mid", F.lit(m).alias("m"), F.lit(n).alias("n"))
 
 
-def random_binary(spark: SparkSession, count: int, m: int, n: int, p: float, seed: int = 1) -> Matrices:
+def random_binary(spark: SparkSession, made: Made, m: int, n: int, p: float, seed: int = 1) -> Matrices:
     """Each entry is 1 with probability ``p``."""
-    cells = spark.range(count * m * n).select(F.expr(f"id div {m * n}").alias("mid"), F.expr(f"CAST(id div {n} % {m} AS INT)").alias("r"), F.expr(f"CAST(id % {n} AS INT)").alias("c"))
-    return Matrices(_sized(spark, count, m, n), cells.where(_lot(seed, "mid", "r", "c") < p).withColumn("v", F.lit(1)))
+    dims = _sized(spark, made, m, n)
+    cells = dims.select("mid", F.explode(F.sequence(F.lit(0), F.lit(m * n - 1))).alias("k")).select("mid", F.expr(f"CAST(k div {n} AS INT)").alias("r"), F.expr(f"CAST(k % {n} AS INT)").alias("c"))
+    return Matrices(dims, cells.where(_lot(seed, "mid", "r", "c") < p).withColumn("v", F.lit(1)))
 
 
-def wheels(spark: SparkSession, orders: list[int], modified: bool = False) -> Matrices:
-    """W_n with ones on the diagonal and right of it, around the corner; ``modified``: the
+def wheels(spark: SparkSession, orders: list[int] | DataFrame, modified: bool = False) -> Matrices:
+    """W_k, for a list of orders or a table ``mid, k``, with ones on the diagonal and right of it, around the corner; ``modified``: the
     first two rows have ones from the fourth column on, too."""
-    dims = spark.createDataFrame([(i, k) for i, k in enumerate(orders)], "mid long, k int")
+    dims = orders.select("mid", F.col("k").cast("int").alias("k")) if isinstance(orders, DataFrame) else spark.createDataFrame(list(enumerate(orders)), "mid long, k int")
     rows = dims.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     places = F.array(F.col("r"), (F.col("r") + 1) % F.col("k"))
     if modified:
@@ -36,9 +47,9 @@ def wheels(spark: SparkSession, orders: list[int], modified: bool = False) -> Ma
     return Matrices(dims.select("mid", F.col("k").alias("m"), F.col("k").alias("n")), one.withColumn("v", F.lit(1)))
 
 
-def random_trees(spark: SparkSession, count: int, nodes: int, extra: int, seed: int = 1) -> DataFrame:
+def random_trees(spark: SparkSession, made: Made, nodes: int, extra: int, seed: int = 1) -> DataFrame:
     """``mid, element, tail, head, in_forest``: random trees with random further edges."""
-    ids = spark.range(count).select(F.col("id").alias("mid"))
+    ids = _ids(spark, made)
     tree = ids.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(nodes - 1))))
     parent = F.floor(_lot(seed, "mid", "i", F.lit("t")) * F.col("i")).cast("int")
     turn = _lot(seed, "mid", "i", F.lit("d")) < 0.5
@@ -48,9 +59,9 @@ def random_trees(spark: SparkSession, count: int, nodes: int, extra: int, seed:
     return tree.unionByName(rest.select("mid", F.col("j").cast("int").alias("element"), end("u").alias("tail"), end("w").alias("head"), F.lit(False).alias("in_forest")))
 
 
-def random_series_parallel(spark: SparkSession, count: int, base: int, lines: int, ternary: bool = True, seed: int = 1) -> Matrices:
+def random_series_parallel(spark: SparkSession, made: Made, base: int, lines: int, ternary: bool = True, seed: int = 1) -> Matrices:
     """Random base matrices with ``lines`` zero, unit or copied lines put in one by one."""
-    start = random_binary(spark, count, base, base, 0.5, seed) if base else Matrices(_sized(spark, count, 0, 0), spark.createDataFrame([], "mid long, r int, c int, v int"))
+    start = random_binary(spark, made, base, base, 0.5, seed) if base else Matrices(_sized(spark, made, 0, 0), spark.createDataFrame([], "mid long, r int, c int, v int"))
 
     def grow(mid, a):
         import random
@@ -97,14 +108,29 @@ def camion_signs(ms: Matrices) -> Matrices:
     return Matrices(ms.dims, rows)
 
 
-def graphic(spark: SparkSession, count: int, nodes: int, extra: int, signed: bool = False, seed: int = 1) -> Matrices:
+def graphic(spark: SparkSession, made: Made, nodes: int, extra: int, signed: bool = False, seed: int = 1) -> Matrices:
     """Graphic (or network) matrices of random trees."""
     from ..operators.recognition import represented
 
-    return represented(random_trees(spark, count, nodes, extra, seed), signed)
+    return represented(random_trees(spark, made, nodes, extra, seed), signed)
+
+
+def networks(spark: SparkSession, made: Made, nodes: int, extra: int, seed: int = 1) -> Matrices:
+    """Network matrices of random trees, as joins of nodes' ways to the root: row i - 1 is the
+    edge of node i and its parent, and column j goes between two nodes."""
+    from ..operators.trees import forest_matrix
+
+    ids = _ids(spark, made)
+    tree = ids.withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(nodes - 1))))
+    parents = tree.select("mid", "node", F.when(F.col("node") > 0, F.floor(_lot(seed, "mid", "node", F.lit("t")) * F.col("node")).cast("int")).alias("parent"))
+    end = lambda s: F.floor(_lot(seed, "mid", "c", F.lit(s)) * nodes).cast("int").alias(s)
+    pairs = ids.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(extra - 1)))).select("mid", "c", end("u"), end("w"))
+    ms = forest_matrix(parents, pairs)
+    turned = F.when(_lot(seed, "mid", "r", F.lit("d")) < 0.5, -F.col("v")).otherwise(F.col("v"))
+    return Matrices(_sized(spark, made, nodes - 1, extra), ms.entries.withColumn("v", turned))
 
 
-def graph_cograph_sums(spark: SparkSession, count: int, nodes: int, extra: int, pivots: int = 2, seed: int = 1) -> Matrices:
+def graph_cograph_sums(spark: SparkSession, made: Made, nodes: int, extra: int, pivots: int = 2, seed: int = 1) -> Matrices:
     """Delta-sums of graphic matrices along a triangle and cographic ones along a node of
     degree three, with Camion's signs, some ternary pivots and lines in random order: totally
     unimodular matrices of some ``2 * nodes + extra`` lines a side that, as a rule, are neither
@@ -116,7 +142,7 @@ def graph_cograph_sums(spark: SparkSession, count: int, nodes: int, extra: int,
     def tree(rng):
         return {i: (rng.randrange(i + 1), i + 1) for i in range(nodes - 1)}
 
-    def made(mid, _):
+    def drawn(mid, _):
         rng = random.Random(seed * 1_000_003 + mid)
         # a triangle: the last tree edge, and two columns whose paths differ in it
         forest, hub = tree(rng), rng.randrange(nodes)
@@ -142,14 +168,20 @@ def graph_cograph_sums(spark: SparkSession, count: int, nodes: int, extra: int,
             m = [list(c) for c in zip(*m)]
         return [(mid, len(m), len(m[0]), [{"r": i, "c": j, "v": v} for i, r in enumerate(m) for j, v in enumerate(r) if v])]
 
-    empty = Matrices(_sized(spark, count, 0, 0), spark.createDataFrame([], "mid long, r int, c int, v int"))
-    found = per_matrix(empty, made, "mid long, m int, n int, cells array<struct<r: int, c: int, v: int>>")
+    empty = Matrices(_sized(spark, made, 0, 0), spark.createDataFrame([], "mid long, r int, c int, v int"))
+    found = per_matrix(empty, drawn, "mid long, m int, n int, cells array<struct<r: int, c: int, v: int>>")
     return Matrices(found.select("mid", "m", "n"), found.select("mid", F.explode("cells").alias("x")).select("mid", "x.r", "x.c", "x.v"))
 
 
-def literals(spark: SparkSession, names: list[str]) -> Matrices:
+def literals(spark: SparkSession, names: list[str], made: DataFrame | None = None) -> Matrices:
+    """Named matrices; with a table ``mid, k`` the k-th of them for each of its rows."""
     from ..functions.recognise import named
 
-    return from_dense(spark, {i: named(x) for i, x in enumerate(names)})
+    ms = from_dense(spark, {i: named(x) for i, x in enumerate(names)})
+    if made is None:
+        return ms
+    kind = lambda df: F.broadcast(df.withColumnRenamed("mid", "k"))  # noqa: E731  a few rows for each name
+    of = made.select(F.col("mid").cast("long").alias("mid"), F.col("k").cast("long").alias("k"))
+    return Matrices(of.join(kind(ms.dims), "k").select("mid", "m", "n"), of.join(kind(ms.entries), "k").select("mid", "r", "c", "v"))
 
 

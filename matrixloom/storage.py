@@ -51,6 +51,13 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def written_matrices(ms, tag: str):
+    """A collection written as two tables and read again, and their paths."""
+    dims, a = written(ms.dims, f"{tag}-dims")
+    entries, b = written(ms.entries, f"{tag}-entries")
+    return type(ms)(dims, entries), (a, b)
+
+
 def counted(df: DataFrame, tag: str, *sums) -> tuple[DataFrame, str, tuple]:
     """As :func:`written`, and the number of rows and further ``sums`` (aggregates over
     ``df``), which the job that writes takes along."""

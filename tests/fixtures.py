@@ -77,3 +77,25 @@ SP_TERNARY = D("""10 10
 SP_NOT = D("""10 10
 1 1 1 1 1 0 1 0 1 1  0 1 0 0 0 0 0 0 0 0  1 1 1 1 1 0 1 1 0 1  1 1 -1 1 1 0 1 1 0 1  1 1 1 1 -1 0 -1 1 0 1
 1 0 1 0 0 1 0 0 0 0  1 1 1 1 1 0 1 0 0 1  0 1 0 0 0 0 0 0 0 0  1 1 -1 1 1 0 1 1 0 1  1 1 1 1 1 0 1 1 0 1""")
+
+
+def same_up_to_scaling(a, b):
+    """Whether ``a`` becomes ``b`` (both ``{(r, c): v}``) when lines are multiplied by -1."""
+    if {x: abs(v) for x, v in a.items()} != {x: abs(v) for x, v in b.items()}:
+        return False
+    near = {}
+    for r, c in a:
+        near.setdefault(("r", r), []).append(("c", c))
+        near.setdefault(("c", c), []).append(("r", r))
+    at = lambda x, y: (x[1], y[1]) if x[0] == "r" else (y[1], x[1])
+    scale = {}
+    for start in near:
+        queue = [] if start in scale else [start]
+        scale.setdefault(start, 1)
+        while queue:
+            x = queue.pop()
+            for y in near[x]:
+                if y not in scale:
+                    scale[y] = scale[x] * (1 if a[at(x, y)] == b[at(x, y)] else -1)
+                    queue.append(y)
+    return all(v * scale["r", r] * scale["c", c] == b[r, c] for (r, c), v in a.items())

@@ -1,13 +1,14 @@
 """Operators that work on entries, on matrices of any size, against plain searches."""
 
 import random
-from collections import deque
 
 import pytest
 
 from matrixloom.functions import structure
 from matrixloom.model import Matrices, from_dense, to_dense
-from matrixloom.operators import paths, series
+from matrixloom.operators import camion, paths, series
+from matrixloom.sources import generators
+from pyspark.sql import functions as F
 from tests import fixtures as X
 
 
@@ -200,3 +201,80 @@ def test_collisions_cost_rounds_only(spark, monkeypatch):
     copied = wheel | {(6, j): -wheel[0, j] for j in (0, 1)}
     core = check_reductions(spark, {1: (6, 6, wheel), 2: (7, 6, copied)})
     assert len(core[1]) == len(core[2]) == 12 and max(seeds) >= 2
+
+
+def holes(cells):
+    """Chordless cycles of a small matrix, as sets of rows and columns with two nonzeros each."""
+    near, found = neighbours(cells), set()
+
+    def walk(path):
+        for y in near[path[-1]]:
+            inner = [x for x in path[:-1] if y in near[x]]
+            if y in path:
+                continue
+            if not inner:
+                walk([*path, y])
+            elif inner == [path[0]] and len(path) >= 3:
+                found.add(frozenset([*path, y]))
+
+    for start in near:
+        walk([start])
+    return found
+
+
+def hole_sum(cells, lines):
+    return sum(v for (r, c), v in cells.items() if -1 - r in lines and 1 + c in lines)
+
+
+def test_camion(spark):
+    rng = random.Random(4)
+    matrices = {}
+    for k in range(150):
+        m, n = rng.randrange(1, 7), rng.randrange(1, 7)
+        e = sparse(rng, m, n, rng.randrange(1, 22))
+        matrices[k] = (m, n, e)
+        a = structure.camion(dense(m, n, e))[0]
+        matrices[1000 + k] = (m, n, {(i, j): v for i, r in enumerate(a) for j, v in enumerate(r) if v})
+    matrices[3000] = (2, 2, {(0, 0): 1, (1, 1): 2})
+    ms = frame(spark, matrices)
+    got = {r.mid: r for r in camion.camion_test(ms).collect()}
+    signed = to_dense(camion.camion_signed(ms.where("mid < 3000")))
+    again = {r.mid: r.is_camion for r in camion.camion_test(camion.camion_signed(ms.where("mid < 3000"))).collect()}
+    assert len(again) == 300 and all(again.values()) and got[3000].rows == [1] and got[3000].cols == [1]
+    balanceable = 0
+    for k, (m, n, e) in matrices.items():
+        if k == 3000:
+            continue
+        bad = {h for h in holes(e) if hole_sum(e, h) % 4}
+        if got[k].is_camion:
+            assert got[k].rows is None
+        else:
+            assert frozenset([-1 - i for i in got[k].rows] + [1 + j for j in got[k].cols]) in bad
+        now = {(i, j): v for i, r in enumerate(signed[k]) for j, v in enumerate(r) if v}
+        assert {x: abs(v) for x, v in now.items()} == {x: abs(v) for x, v in e.items()}
+        if not [h for h in holes(now) if hole_sum(now, h) % 4]:
+            balanceable += 1
+            assert got[k].is_camion == (not bad)
+            assert not structure.camion(dense(m, n, now))[1]
+        else:
+            assert structure.camion(structure.camion(dense(m, n, e))[0])[1] is None and any(hole_sum(x, h) % 4 for x in [{(i, j): v for i, r in enumerate(structure.camion(dense(m, n, e))[0]) for j, v in enumerate(r) if v}] for h in holes(x))
+    assert 50 < balanceable < 300
+
+
+def test_camion_of_large_matrices(spark):
+    """Network matrices of 1,100 lines have Camion's signs; of the same with one sign changed a
+    chordless cycle is told, and signing gives the matrix back up to scaling."""
+    one = generators.networks(spark, 1, 500, 600).entries.select("r", "c", "v")
+    r, c = one.orderBy("r", "c").select("r", "c").collect()[3000]
+    both = [one.select(F.lit(k).cast("long").alias("mid"), "r", "c", F.when((F.col("r") == r) & (F.col("c") == c) & F.lit(k == 2), -F.col("v")).otherwise(F.col("v")).cast("int").alias("v")) for k in (1, 2)]
+    ms = Matrices(spark.createDataFrame([(1, 499, 600), (2, 499, 600)], "mid long, m int, n int"), both[0].unionByName(both[1]))
+    got = {x.mid: x for x in camion.camion_test(ms).collect()}
+    assert got[1].is_camion and not got[2].is_camion
+    cells = {(x.r, x.c): x.v for x in both[1].collect()}
+    near = neighbours(cells)
+    lines = {-1 - i for i in got[2].rows} | {1 + j for j in got[2].cols}
+    assert all(sum(y in lines for y in near[x]) == 2 for x in lines) and hole_sum(cells, lines) % 4
+    signed = camion.camion_signed(ms.where("mid = 2"))
+    assert camion.camion_test(signed).first().is_camion
+    values = lambda e: {(x.r, x.c): x.v for x in e.collect()}
+    assert X.same_up_to_scaling(values(signed.entries), values(both[0]))
