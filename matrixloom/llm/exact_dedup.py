@@ -6,7 +6,9 @@ it, and the identifier and content locator of the row that stays.  The state
 lies on the executors' disks (RocksDB state store) with a durable log in the
 shared folder, so it may be larger than memory and survives lost executors.  A
 table is read in several batches, each of which meets the state of those before it,
-and a state that the caller names serves later tables too.
+and a state that the caller names serves later tables too: an arrival lands once under its
+name, however often a call is tried, and of rows that a later one overtakes corrections
+are told.
 Digests that the state has seen more than once are hits; for these the full
 bytes of every row are compared with those of the row that stays, which its
 locator finds.  Rows whose bytes differ (colliding digests) are grouped anew by
@@ -48,6 +50,24 @@ def located(docs: DataFrame, digest, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("id"), digest(text).alias("digest"), common.place(docs).alias("locator"), text.alias("text"))
 
 
+def landed(rows: DataFrame, at: str, arrival: str | None, batches: int) -> DataFrame:
+    """``rows`` as files of the arrival in ``at``/landed, at least one for each batch; an
+    arrival of that name that has landed already stays as it is."""
+    spark, path = rows.sparkSession, f"{at}/landed/{arrival or uuid.uuid4().hex}"
+    if not common.exists(spark, f"{path}/_SUCCESS"):
+        aside, aside_path = common.written(rows, "dedup-arrival")
+        few = len(aside.inputFiles()) < batches
+        (aside.repartition(batches, "digest", "locator") if few else aside).write.mode("overwrite").parquet(path)
+        common.delete(spark, aside_path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def versions(spark: SparkSession, at: str, schema) -> DataFrame:
+    """The state's last version as ``digest, n, keep``: that with the largest count."""
+    found = spark.read.schema(schema).parquet(f"{at}/changes") if common.exists(spark, f"{at}/changes") else spark.createDataFrame([], schema)
+    return found.groupBy("digest").agg(F.max(F.struct("n", "keep")).alias("v")).select("digest", "v.n", "v.keep")
+
+
 def state_of(source: DataFrame, at: str, batches: int = 3) -> DataFrame:
     """Stream what has landed in ``at``/landed since the last time through the state kept
     in ``at``, in about ``batches`` batches; the state's last version as
@@ -58,10 +78,9 @@ def state_of(source: DataFrame, at: str, batches: int = 3) -> DataFrame:
     versions the one with the largest count is the last.
     """
     spark = source.sparkSession
-    landed = f"{at}/landed"
-    files = len(spark.read.schema(source.schema).option("recursiveFileLookup", "true").parquet(landed).inputFiles())
+    files = len(source.inputFiles())
     reader = spark.readStream.schema(source.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max(1, -(-files // batches)))
-    changes = reader.parquet(landed).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", "locator")).alias("keep"))
+    changes = reader.parquet(f"{at}/landed").groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", "locator")).alias("keep"))
     out = f"{at}/changes"
 
     def put(batch: DataFrame, epoch: int) -> None:
@@ -70,10 +89,7 @@ def state_of(source: DataFrame, at: str, batches: int = 3) -> DataFrame:
     with common.conf(spark, STREAM_CONF):
         query = changes.writeStream.outputMode("update").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).foreachBatch(put).start()
         query.awaitTermination()
-    if not common.exists(spark, out):
-        return spark.createDataFrame([], changes.schema)
-    versions = spark.read.schema(changes.schema).parquet(out)
-    return versions.groupBy("digest").agg(F.max(F.struct("n", "keep")).alias("v")).select("digest", "v.n", "v.keep")
+    return versions(spark, at, changes.schema)
 
 
 def salts_of(state: DataFrame) -> DataFrame:
@@ -111,9 +127,22 @@ def texts_at(rows: DataFrame, docs: DataFrame, hits: DataFrame, id_col: str, tex
     return found
 
 
-def collisions(rows: DataFrame, docs: DataFrame, state: DataFrame, hot: DataFrame, any_hot: bool, id_col: str, text_col: str) -> DataFrame | None:
-    """The groups of rows whose digests hide different texts: ``locator, keep, n``;
-    None if full bytes agree everywhere."""
+def earlier_rows(landed_rows: DataFrame, rows: DataFrame, docs: DataFrame, odd: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, digest, locator, text`` of the rows of earlier calls that have one of the digests
+    ``odd``, their texts from the files they came from."""
+    old = landed_rows.join(F.broadcast(odd), "digest", "left_semi").join(rows.select("locator"), "locator", "left_anti")
+    files = [r.file_path for r in old.select("locator.file_path").distinct().collect()]  # names of files, not rows
+    if not files:
+        return rows.limit(0)
+    source = docs.sparkSession.read.schema(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).schema).parquet(*files)
+    texts = source.select(common.place(source).alias("locator"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
+    return old.join(texts, "locator").select("id", "digest", "locator", "text")
+
+
+def collisions(rows: DataFrame, docs: DataFrame, state: DataFrame, hot: DataFrame, any_hot: bool, id_col: str, text_col: str, landed_rows: DataFrame | None = None) -> DataFrame | None:
+    """The groups of rows whose digests hide different texts: ``id, digest, locator,
+    keep, n, old``; None if full bytes agree everywhere.  ``landed_rows``: the rows of all
+    calls, if there may have been earlier ones; of theirs those that stood before."""
     spark = rows.sparkSession
     with common.conf(spark, common.BLOOM_CONF):
         hits = state.where("n > 1").select("digest", "keep.locator", "n")
@@ -124,39 +153,62 @@ def collisions(rows: DataFrame, docs: DataFrame, state: DataFrame, hot: DataFram
         common.delete(spark, kept_path)
         if odd.isEmpty():
             return None
-        mine = rows.join(odd.distinct(), "digest")
-        groups = mine.groupBy("digest", "text").agg(F.count("*").alias("n"), F.max(F.struct("id", "locator")).alias("keep"))
-        return common.written(mine.join(groups, ["digest", "text"]).select("locator", "keep", "n"), "dedup-groups")[0]
-
-
-def judge(docs: DataFrame, digest=sha256, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, state: str | None = None) -> DataFrame:
+        mine = rows.join(odd.distinct(), "digest").withColumn("old", F.lit(False))
+        if landed_rows is not None:
+            mine = mine.unionByName(earlier_rows(landed_rows, rows, docs, odd.distinct(), id_col, text_col).withColumn("old", F.lit(True)))
+        stood = F.max(F.when(F.col("old"), F.struct("id", "locator"))).alias("stood")
+        groups = mine.groupBy("digest", "text").agg(F.count("*").alias("n"), F.max(F.struct("id", "locator")).alias("keep"), stood)
+        told = mine.join(groups, ["digest", "text"]).where(~F.col("old") | (F.col("locator") == F.col("stood.locator")))
+        return common.written(told.select("id", "digest", "locator", "keep", "n", "old"), "dedup-groups")[0]
+
+
+def judge(
+    docs: DataFrame, digest=sha256, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, state: str | None = None, arrival: str | None = None
+) -> DataFrame:
     """One row per row of ``docs``: ``id, digest, locator, keep_id, n, kept``.
 
     ``state``: a folder that keeps the state (see :func:`state_of`).  Rows given in a
     later call with the same folder meet what earlier calls left there: they are judged
     against all rows that have come so far, whose files must still be there for a
-    hit's full bytes.  Colliding digests are told apart among the rows of one call.
+    hit's full bytes.  ``arrival`` names the rows of a call: a call that is tried again
+    under the same name counts them once.  Rows that an earlier call kept and a row of this
+    call overtakes come once more, with ``kept`` false: corrections.
     """
     spark = docs.sparkSession
     docs = common.filed(docs, "dedup-rows")
     rows = located(docs, digest, id_col, text_col)
     at = state or common.new_path(spark, "dedup-state")
-    arrival = f"{at}/landed/{uuid.uuid4().hex}"
-    rows.drop("text").write.parquet(arrival)
-    slim = spark.read.schema(rows.drop("text").schema).parquet(arrival)
-    last, _ = common.written(state_of(slim, at, batches), "dedup-last")
+    slim = landed(rows.drop("text"), at, arrival, batches)
+    everything = None
+    last = state_of(slim, at, batches)
+    if state:
+        last = last.join(slim.select("digest").distinct(), "digest", "left_semi")
+        everything = spark.read.schema(slim.schema).option("recursiveFileLookup", "true").parquet(f"{at}/landed")
+    last, _ = common.written(last, "dedup-last")
     hot, _ = common.written(salts_of(last), "dedup-hot")
     any_hot, hot = not hot.isEmpty(), F.broadcast(hot)
-    odd = collisions(rows, docs, last, hot, any_hot, id_col, text_col)
+    odd = collisions(rows, docs, last, hot, any_hot, id_col, text_col, everything)
     found = joined(slim, last, hot, any_hot)
-    if odd is not None:
-        odd = odd.select("locator", F.col("keep").alias("keep2"), F.col("n").alias("n2"))
-        found = found.join(odd, "locator", "left").withColumns({"keep": F.coalesce("keep2", "keep"), "n": F.coalesce("n2", "n")})
+    if state:
+        found = found.unionByName(overtaken(everything, slim, last))
+    if odd is not None:  # in place of what their digests say
+        apart = odd.join(slim.select(F.col("locator").alias("new")), F.col("keep.locator") == F.col("new"), "left").where(~F.col("old") | F.col("new").isNotNull())
+        found = found.join(odd.select("digest").distinct(), "digest", "left_anti").unionByName(apart.select("id", "digest", "locator", "n", "keep").select(*found.columns))
     return found.select(
         "id", "digest", "locator", F.col("keep.id").alias("keep_id"), "n", (F.col("locator") == F.col("keep.locator")).alias("kept")
     )
 
 
+def overtaken(everything: DataFrame, slim: DataFrame, last: DataFrame) -> DataFrame:
+    """Of the digests that this call's rows ``slim`` have taken over, the row of earlier calls
+    that stood before: ``id, digest, locator, n, keep``."""
+    new = slim.select("locator")
+    taken = last.join(new, F.col("keep.locator") == F.col("locator"), "left_semi")
+    before = everything.join(new, "locator", "left_anti").join(taken.select("digest"), "digest", "left_semi")
+    stood = before.groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("was"))
+    return stood.join(taken, "digest").select("was.id", "digest", "was.locator", "n", "keep")
+
+
 def deduped(docs: DataFrame, **kw) -> DataFrame:
     """The rows of ``docs`` that stay, whole and with all their columns."""
     docs = common.filed(docs, "dedup-docs")

@@ -460,7 +460,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, whole, in one pass."""
+    """The rows of ``docs`` that score under 0.5, whole, in one pass.  Rows travel as one
+    struct, so columns may have any names, dots included."""
     sent, (slope, middle) = model.broadcast(docs.sparkSession), model.curve
     at = docs.columns.index(text_col)
 
@@ -469,10 +470,11 @@ def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(i, _ROWS)
-                evidence = sent.value.evidence(part.column(at).to_pylist(), memory)
+                evidence = sent.value.evidence(part.column(0).field(at).to_pylist(), memory)
                 yield part.filter(pa.array(1.0 / (1.0 + np.exp(np.clip(-slope * (evidence - middle), -60, 60))) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(run, rows.schema).select("row.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def test_stages_on_odd_rows(spark, sf):
 
 
 def test_stages_keep_columns_of_any_name(spark, sf, tmp_path):
-    names = ["_at", "_gone", "_domain", "_epoch", "_metadata", "at", "row", "_row", "gone", "stay", "domain", "epoch", "key", "cls", "_id", "_place", "_bucket", "_lang", "locator", "digest"]
+    names = ["_at", "_gone", "_domain", "_epoch", "_metadata", "at", "row", "_row", "gone", "stay", "domain", "epoch", "key", "cls", "_id", "_place", "_bucket", "_lang", "locator", "digest", "x.y", "row.at", "doc_id.z"]
     rows = [(i, f"some words of text {i % 3} that repeat", "en", "src0", 5) for i in range(12)]
     docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, lang string, source string, n_chars long"])).selectExpr("*", *[f"concat('{n}', doc_id) AS `{n}`" for n in names])
     docs.write.parquet(str(tmp_path / "docs"))
