@@ -1,12 +1,11 @@
-"""Pivots over fields and rings, and determinants."""
+"""Pivots over fields and rings, and determinants of 2 x 2 submatrices."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exact import determinant, upper_diagonal
-from ..model import Matrices, per_matrix
+from ..model import Matrices
 from ..storage import written
 
 
@@ -80,31 +79,6 @@ def outside_units(ms: Matrices) -> DataFrame:
     return ms.entries.where(F.abs("v") > 1).groupBy("mid").agg(F.min(F.struct("r", "c")).alias("w")).select("mid", "w.r", "w.c")
 
 
-def determinants(ms: Matrices) -> DataFrame:
-    """``mid, det, status``; exact, as a decimal string where it is beyond 64 bits."""
-
-    def one(mid, a):
-        if a and len(a) != len(a[0]) or not a:
-            return [(mid, None if a else "1", "INPUT" if a else "OK")]
-        return [(mid, str(determinant(a)), "OK")]
-
-    return per_matrix(ms, one, "mid long, det string, status string")
-
-
-def diagonals(ms: Matrices) -> DataFrame:
-    """``mid, rank, product``: rank and the product of the pivots of an echelon form by
-    whole-number row operations, up to sign."""
-
-    def one(mid, a):
-        d = upper_diagonal(a)
-        product = 1
-        for x in d:
-            product *= x
-        return [(mid, len(d), str(abs(product)))]
-
-    return per_matrix(ms, one, "mid long, rank int, product string")
-
-
 def determinants_2x2(ms: Matrices) -> DataFrame:
     """``mid, r1, r2, c1, c2, det`` of the 2 x 2 submatrices that have a row of two
     nonzeros in both rows, by joining rows on their columns."""

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..model import Matrices
-from ..operators import algebra, camion, paths, recognition, series
-from .families import ORDER_SQL, SIGN_SQL, order_sign, part_binary, part_sign
-from .queries import BINARY_CLASS, GH_SIGN, SIGN_CLASS
+from ..operators import algebra, camion, elimination, paths, recognition, series
+from .families import ORDER_SQL, SIGN_SQL, order_sign, part_binary, part_count, part_sign
+from .queries import BINARY_CLASS, GH_SIGN, LARGEST, SIGN_CLASS
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -172,3 +172,19 @@ def camion_violators(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = inner.groupBy("mid").agg((F.pmod(F.sum("v"), F.lit(4)) != 0).alias("is_wrong"))
     out = found.select("mid", (F.size("rows") + F.size("cols")).alias("size")).join(lines, "mid").join(sums, "mid")
     return out.select("mid", (F.col("least") & F.col("most") & (F.col("lines") == F.col("size"))).alias("is_cycle"), "is_wrong")
+
+
+# --- elimination ------------------------------------------------------------------------
+
+
+@query(f"{LARGEST} SELECT mid, CAST(any_value(size) AS INTEGER) AS rank, TRUE AS equal, '1' AS det FROM m GROUP BY mid")
+def echelon_transformations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks, whether the transformations take the matrices to their echelon forms, and the
+    transformations' determinants."""
+    ms = part_count(spark, sf_dir)
+    found = elimination.echelon(ms)
+    ranks = found.pivots.groupBy("mid").agg(F.count("*").cast("int").alias("rank"))
+    square = Matrices(ms.dims.select("mid", "m", F.col("m").alias("n")), found.transformation())
+    at = lambda e: Matrices(ms.dims, e.select("mid", "r", "c", "v"))
+    same = algebra.equal(at(elimination.transformed(ms, found)), at(found.form()))
+    return ranks.join(same, "mid").join(elimination.determinants(square), "mid").select("mid", "rank", "equal", "det")

@@ -11,7 +11,7 @@ from .. import storage
 from ..model import Matrices, packed, problems
 from ..operators import algebra, blocks
 from ..operators import camion as camion_signs
-from ..operators import kary, multigraphs, pivots, recognition, series, sums, trees
+from ..operators import elimination, kary, multigraphs, pivots, recognition, series, sums, trees
 from ..sources import generators, text
 from ..streaming import gates
 from .families import BINARY_SQL, COUNT_SQL, EMBED_SQL, SIGN_SQL, embeddings, part_binary, part_count, part_sign, table
@@ -72,7 +72,7 @@ def tu_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sub_dets(ms: Matrices, subs: DataFrame) -> DataFrame:
-    return pivots.determinants(algebra.slice_submatrix(ms, subs))
+    return elimination.determinants(algebra.slice_submatrix(ms, subs))
 
 
 @query(f"{GH_SIGN} SELECT mid, 2 AS det FROM gh WHERE NOT is_tu")
@@ -401,7 +401,7 @@ m AS (SELECT mid, size, rows, cols, abs(value) AS value FROM d JOIN top USING (m
 SELECT mid, CAST(any_value(size) AS INTEGER) AS rank, CAST(list_reduce(list(value), lambda x, y: gcd(x, y)) AS VARCHAR) AS product FROM m JOIN f USING (mid, cols) GROUP BY mid""")
 def echelon_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Oracle: the product is the divisor of the largest minors of the first columns that have any."""
-    return pivots.diagonals(part_count(spark, sf_dir))
+    return elimination.diagonals(part_count(spark, sf_dir))
 
 
 # --- blocks and lines -------------------------------------------------------------------

@@ -1,12 +1,13 @@
 """Operators that work on entries, on matrices of any size, against plain searches."""
 
+import math
 import random
 
 import pytest
 
-from matrixloom.functions import structure
+from matrixloom.functions import exact, structure
 from matrixloom.model import Matrices, from_dense, to_dense
-from matrixloom.operators import camion, paths, series
+from matrixloom.operators import camion, elimination, paths, series
 from matrixloom.sources import generators
 from pyspark.sql import functions as F
 from tests import fixtures as X
@@ -278,3 +279,61 @@ def test_camion_of_large_matrices(spark):
     assert camion.camion_test(signed).first().is_camion
     values = lambda e: {(x.r, x.c): x.v for x in e.collect()}
     assert X.same_up_to_scaling(values(signed.entries), values(both[0]))
+
+
+def check_echelon(spark, matrices):
+    ms = frame(spark, matrices)
+    found = elimination.echelon(ms)
+    form, steps = {}, {}
+    for r in found.form().collect():
+        form.setdefault(r.mid, {})[r.r, r.c] = int(r.v)
+    for r in sorted(found.pivots.collect(), key=lambda r: (r.k, r.r)):
+        steps.setdefault(r.mid, []).append((r.r, r.c, int(r.v)))
+    product = {}
+    for r in elimination.transformed(ms, found).collect():
+        product.setdefault(r.mid, {})[r.r, r.c] = int(r.v)
+    assert product == form
+    for k in matrices:
+        u, p = form.get(k, {}), steps.get(k, [])
+        assert {r for r, _ in u} <= {r for r, _, _ in p} and len({c for _, c, _ in p}) == len(p)
+        for i, (r, c, v) in enumerate(p):
+            assert u[r, c] == v and all((later, c) not in u for later, _, _ in p[i + 1 :])
+    # the transformations have determinant 1
+    small = {k: (m, m) for k, (m, _, _) in matrices.items() if m <= 8}
+    t = found.transformation().select("mid", "r", "c", "v").where(F.col("mid").isin(list(small)))
+    dims = spark.createDataFrame([(k, m, m) for k, (m, _) in small.items()], "mid long, m int, n int")
+    assert {r.det for r in elimination.determinants(Matrices(dims, t)).collect()} == {"1"}
+    return {k: len(p) for k, p in steps.items()}
+
+
+def test_elimination(spark):
+    rng = random.Random(6)
+    matrices, want = {0: (0, 0, {}), 1: (3, 3, {}), 2: (2, 3, {(0, 1): 4})}, {}
+    for k in range(3, 90):
+        m, n = (rng.randrange(1, 7), rng.randrange(1, 7)) if k % 2 else (rng.randrange(1, 7),) * 2
+        matrices[k] = (m, n, {x: v for x, v in sparse(rng, m, n, rng.randrange(1, 40), range(-9, 10)).items() if v})
+    ranks = check_echelon(spark, matrices)
+    ms = frame(spark, matrices)
+    det = {r.mid: (r.det, r.status) for r in elimination.determinants(ms).collect()}
+    diagonal = {r.mid: (r.rank, r.product) for r in elimination.diagonals(ms).collect()}
+    for k, (m, n, e) in matrices.items():
+        a = dense(m, n, e)
+        assert det[k] == ((str(exact.determinant(a)), "OK") if m == n else (None, "INPUT")), k
+        rank = len(exact.upper_diagonal(a))
+        assert ranks.get(k, 0) == diagonal[k][0] == rank
+        # the columns' order fixes the product
+        assert diagonal[k][1] == str(abs(math.prod(exact.upper_diagonal(a))))
+
+
+def test_elimination_of_large_and_of_long_numbers(spark):
+    rng = random.Random(7)
+    # 1,000 rows and columns in blocks that are scattered, so many steps go at once
+    order_r, order_c = rng.sample(range(1000), 1000), rng.sample(range(1000), 1000)
+    cells = {(order_r[4 * b + i], order_c[4 * b + j]): rng.choice((-2, -1, 1, 3)) for b in range(250) for i in range(4) for j in range(4) if rng.random() < 0.7}
+    rank = sum(len(exact.upper_diagonal([[cells.get((order_r[4 * b + i], order_c[4 * b + j]), 0) for j in range(4)] for i in range(4)])) for b in range(250))
+    assert check_echelon(spark, {1: (1000, 1000, cells), 2: (1, 1, {(0, 0): 7})}) == {1: rank, 2: 1}
+    dims = spark.createDataFrame([(1, 2, 2), (2, 2, 2), (3, 1, 1)], "mid long, m int, n int")
+    big = [(1, 0, 0, 10**25 + 1), (1, 0, 1, 10**25), (1, 1, 0, 3 * 10**24), (1, 1, 1, 7), (2, 0, 0, 10**20), (2, 1, 1, -(10**20)), (3, 0, 0, 10**30)]
+    e = spark.createDataFrame([(k, r, c, str(v)) for k, r, c, v in big], "mid long, r int, c int, v string").withColumn("v", F.col("v").cast("decimal(38,0)"))
+    got = {r.mid: (r.det, r.status) for r in elimination.determinants(Matrices(dims, e)).collect()}
+    assert got == {1: (None, "OVERFLOW"), 2: (None, "OVERFLOW"), 3: (str(10**30), "OK")}
