@@ -7,10 +7,11 @@ ZIP64 form), reads the directory, finds where the stored members' bytes lie, rea
 the index, and then reads records by their ranges, neighbouring ones together.  It
 needs only a function that reads a range, so packages may lie in any store.
 
-Of records with equal payloads of at least ``min_bytes`` bytes, the one with the
-largest identifier is a response and the others revisit it.  Packages are written
-by tasks into the shared folder under names of their own; only those that
-successful tasks report are in the manifest, so tasks can be run again.
+Of records with equal payloads (told by SHA-256, as SHA-1, which the records carry, has
+known collisions) of at least ``min_bytes`` bytes, the one with the largest identifier is a
+response and the others revisit it.  Packages are written by tasks into the shared folder
+under names of their own; only those that successful tasks report are in the manifest, so
+tasks can be run again.
 
 Behaviour: a null payload counts as empty; null identifiers are the smallest;
 where rows repeat an identifier and a payload, one is the response and the others
@@ -253,13 +254,14 @@ def write_packages(pages: DataFrame, folder: str | None = None, min_bytes: int =
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = common.filed(pages, "warc-rows")
     rows = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"), common.place(rows).alias("row"))
-    slim = rows.where(F.octet_length("payload") >= min_bytes).select("id", "row", F.sha1("payload").alias("sha1"))
-    equal = slim.groupBy("sha1").agg(F.count("*").alias("n"), F.max(F.struct("id", "row")).alias("first")).where("n > 1")
-    equal, _ = common.written(equal.select("sha1", "first"), "warc-equal")
-    found = rows.withColumn("sha1", F.sha1("payload")).join(equal, "sha1", "left")
-    revisit = F.coalesce((F.col("row") != F.col("first.row")) & (F.octet_length("payload") >= min_bytes), F.lit(False))
-    found = found.select(
-        F.col("id").cast("string"), "url", "payload", F.col("first.id").cast("string").alias("refers"), revisit.alias("revisit")
+    # equal payloads meet as SHA-256 digests beside small rows; payloads travel by their own
+    # rows' places, of which none is common
+    slim = rows.where(F.octet_length("payload") >= min_bytes).select("row", "id", F.sha2("payload", 256).alias("key"))
+    equal = slim.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("id", "row")).alias("first")).where("n > 1")
+    equal, _ = common.written(equal.select("key", "first"), "warc-equal")
+    told = slim.join(equal, "key").select("row", F.col("first.id").alias("refers"), (F.col("row") != F.col("first.row")).alias("revisit"))
+    found = rows.join(told, "row", "left").select(
+        F.col("id").cast("string"), "url", "payload", F.col("refers").cast("string").alias("refers"), F.coalesce("revisit", F.lit(False)).alias("revisit")
     )
     return common.written(found.mapInArrow(_written(folder, date, package_mb << 20), "path string, records long"), "warc-manifest")[0]
 
