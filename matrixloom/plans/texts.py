@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
+from ..model import Matrices
 from ..operators import algebra, multigraphs, recognition
-from ..sources import generators, text
-from .families import SIGN_SQL, part_sign, table
+from ..sources import generators, splits, text
+from .families import EMBED_SQL, ORDER_SQL, SIGN_SQL, embeddings, order_sign, part_sign, table
 from .queries import GRAPH_SQL, SIGN_CLASS, _number, order_graphs
 
 QUERIES: dict = {}
@@ -70,6 +71,34 @@ def minor_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.minor_text(first.select("mid", F.lit(4).alias("m"), F.lit(7).alias("n"), others(4, "w.r").alias("rows"), others(7, "w.c").alias("cols")))
 
 
+# --- files that are read in ranges ---------------------------------------------------------
+
+
+def _files(spark: SparkSession, texts: DataFrame, tag: str) -> str:
+    path = storage.new_path(spark, tag)
+    text.write(texts, path)
+    return path
+
+
+def _mid():
+    return F.regexp_extract("file", "mid=([0-9]+)", 1)
+
+
+@query(f"SELECT mid, r, c, v FROM ({ORDER_SQL})")
+def sparse_ranges_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrices of 1,280 lines, a file for each, written and read in ranges."""
+    path = _files(spark, text.sparse_text(order_sign(spark, sf_dir)), "sparse-files")
+    return splits.read_sparse(spark, path, mid=_mid())[0].entries
+
+
+@query(f"SELECT mid, r, c, CAST(round(v * 10) AS INTEGER) AS v FROM ({EMBED_SQL}) WHERE round(v * 10) <> 0")
+def dense_ranges_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings, a file for each label, written in tenths and read in ranges."""
+    ms = embeddings(spark, sf_dir)
+    tenths = Matrices(ms.dims, ms.entries.withColumn("v", F.col("v") * 10)).cast("int")
+    return splits.read_dense(spark, _files(spark, text.dense_text(tenths), "dense-files"), mid=_mid())[0].entries
+
+
 # --- edge lists and multigraphs -----------------------------------------------------------
 
 
