@@ -875,8 +875,7 @@ def generated_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey AS mid, TRUE AS is_sp FROM supplier")
 def generated_series_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A matrix for each supplier that grows by zero lines, units and copies, reduced again."""
-    ms, _ = storage.written_matrices(generators.random_series_parallel(spark, _suppliers(spark, sf_dir), 0, 20), "grown")
-    return series.left_over(ms).select("mid", "is_sp")
+    return series.left_over(generators.random_series_parallel(spark, _suppliers(spark, sf_dir), 0, 20)).select("mid", "is_sp")
 
 
 @query("SELECT s_suppkey AS mid, TRUE AS is_tu FROM supplier")

@@ -157,3 +157,28 @@ def generated_network_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 39 x 60 network matrix of a random tree for each supplier."""
     made = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("mid"))
     return generators.networks(spark, made, 40, 60).entries.select("mid", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("v").cast("int").alias("v"))
+
+
+def _lot_of(name: str) -> str:
+    return _number(f"'1:' || mid || ':' || k || ':{name}'")
+
+
+#: The lines of growing matrices: three rows and three columns, and 30 more lines.
+GROWN = f"""WITH RECURSIVE k0 AS (SELECT s_suppkey AS mid, k FROM supplier, range(0, 36) a(k)),
+k1 AS (SELECT mid, k, CASE WHEN k < 3 THEN 'r' WHEN k < 6 OR {_lot_of('side')} < 0.5 THEN 'c' ELSE 'r' END AS side FROM k0),
+k2 AS (SELECT *, row_number() OVER (PARTITION BY mid, side ORDER BY k) - 1 AS p FROM k1),
+k3 AS (SELECT *, CASE WHEN k < 6 THEN 'base' WHEN p = 0 OR k = p THEN 'zero' ELSE ['zero', 'unit', 'copy'][1 + CAST(floor({_lot_of('kind')} * 3) AS INTEGER)] END AS kind FROM k2),
+k4 AS (SELECT *, floor({_lot_of('to')} * CASE WHEN kind = 'unit' THEN k - p ELSE p END) AS goal, CASE WHEN (side = 'r') = (kind = 'copy') THEN 'r' ELSE 'c' END AS goal_side,
+  CASE WHEN {_lot_of('sign')} < 0.5 THEN -1 ELSE 1 END AS s FROM k3),
+line AS MATERIALIZED (SELECT a.mid, a.k, a.side, a.p, a.kind, a.s, CASE WHEN a.kind IN ('unit', 'copy') THEN b.k END AS target FROM k4 a LEFT JOIN k4 b ON b.mid = a.mid AND b.side = a.goal_side AND b.p = a.goal),
+cell AS (SELECT a.mid, a.p AS r, b.p AS c, a.k AS x, b.k AS y, 1 AS s, FALSE AS done FROM line a JOIN line b USING (mid) WHERE a.side = 'r' AND b.side = 'c'
+  UNION ALL SELECT o.mid, o.r, o.c, CASE WHEN l.kind = 'copy' AND x > y THEN target ELSE x END, CASE WHEN l.kind = 'copy' AND y > x THEN target ELSE y END,
+    o.s * CASE WHEN l.kind = 'base' THEN 1 ELSE l.s END, l.kind <> 'copy' FROM cell o JOIN line l ON l.mid = o.mid AND l.k = greatest(x, y)
+  WHERE NOT done AND (l.kind = 'copy' OR l.kind = 'unit' AND target = least(x, y) OR l.kind = 'base' AND {_number("'1:' || o.mid || ':' || x || ':' || y")} < 0.5))"""
+
+
+@query(f"{GROWN} SELECT mid, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, s AS v FROM cell WHERE done")
+def generated_series_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix for each supplier that grows from a random 3 x 3 one by 30 lines."""
+    made = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("mid"))
+    return generators.random_series_parallel(spark, made, 3, 30).entries

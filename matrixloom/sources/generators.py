@@ -4,11 +4,12 @@ agree on."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import structure
 from ..model import Matrices, from_dense, per_matrix
+from ..storage import counted, written
 
 
 Made = int | DataFrame
@@ -59,33 +60,51 @@ def random_trees(spark: SparkSession, made: Made, nodes: int, extra: int, seed:
     return tree.unionByName(rest.select("mid", F.col("j").cast("int").alias("element"), end("u").alias("tail"), end("w").alias("head"), F.lit(False).alias("in_forest")))
 
 
-def random_series_parallel(spark: SparkSession, made: Made, base: int, lines: int, ternary: bool = True, seed: int = 1) -> Matrices:
-    """Random base matrices with ``lines`` zero, unit or copied lines put in one by one."""
-    start = random_binary(spark, made, base, base, 0.5, seed) if base else Matrices(_sized(spark, made, 0, 0), spark.createDataFrame([], "mid long, r int, c int, v int"))
+def series_steps(spark: SparkSession, made: Made, base: int, lines: int, ternary: bool = True, seed: int = 1) -> DataFrame:
+    """``mid, k, side, at, kind, target, s``: the lines of a growing matrix in turn.  The first
+    ``2 * base`` ones are random rows and columns; each later one is a row or a column with
+    nothing (zero), with s at the line ``target`` of the other side (unit), or s times the line
+    ``target`` of its own side as it is then (copy)."""
+    steps = _ids(spark, made).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2 * base + lines - 1))))
+    side = F.when(F.col("k") < base, "r").when((F.col("k") < 2 * base) | (_lot(seed, "mid", "k", F.lit("side")) < 0.5), "c").otherwise("r")
+    steps = steps.withColumn("side", side).withColumn("at", F.row_number().over(Window.partitionBy("mid", "side").orderBy("k")) - 1)
+    kinds = F.element_at(F.array(F.lit("zero"), F.lit("unit"), F.lit("copy")), F.floor(_lot(seed, "mid", "k", F.lit("kind")) * 3).cast("int") + 1)
+    others = F.col("k") - F.col("at")
+    steps = steps.withColumn("kind", F.when(F.col("k") < 2 * base, "base").when((F.col("at") == 0) | (others == 0), "zero").otherwise(kinds))
+    to = F.floor(_lot(seed, "mid", "k", F.lit("to")) * F.when(F.col("kind") == "unit", others).otherwise(F.col("at"))).cast("int")
+    of = F.when(F.col("kind").isin("unit", "copy"), F.when((F.col("side") == "r") == (F.col("kind") == "copy"), "r").otherwise("c"))
+    s = F.when(F.lit(ternary) & (_lot(seed, "mid", "k", F.lit("sign")) < 0.5), -1).otherwise(1)
+    steps, _ = written(steps.withColumns({"to": to, "of": of, "s": s}), "series-steps")
+    lines_ = steps.select("mid", F.col("side").alias("of"), F.col("at").alias("to"), F.col("k").alias("target"))
+    return steps.join(lines_, ["mid", "of", "to"], "left").select("mid", "k", "side", "at", "kind", "target", "s")
 
-    def grow(mid, a):
-        import random
 
-        rng = random.Random(seed * 1_000_003 + mid)
-        a = [list(r) for r in a]
-        for _ in range(lines):
-            m, n = len(a), len(a[0]) if a else 0
-            turned = rng.random() < 0.5
-            if turned:
-                a = [list(c) for c in zip(*a)] if n else []
-                m, n = n, m
-            kind = rng.choice(["zero", "unit", "copy"]) if m and n else "zero"
-            sign = rng.choice([1, -1]) if ternary else 1
-            row = [0] * n if kind == "zero" else [sign * v for v in rng.choice(a)] if kind == "copy" else [sign * (j == 0) for j in range(n)]
-            if kind == "unit":
-                rng.shuffle(row)
-            a.append(row)
-            if turned:
-                a = [list(c) for c in zip(*a)] if n else [[] for _ in range(n)]
-        return [(mid, len(a), len(a[0]) if a else 0, [{"r": i, "c": j, "v": v} for i, r in enumerate(a) for j, v in enumerate(r) if v])]
-
-    made = per_matrix(start, grow, "mid long, m int, n int, cells array<struct<r: int, c: int, v: int>>")
-    return Matrices(made.select("mid", "m", "n"), made.select("mid", F.explode("cells").alias("x")).select("mid", "x.r", "x.c", "x.v"))
+def random_series_parallel(spark: SparkSession, made: Made, base: int, lines: int, ternary: bool = True, seed: int = 1) -> Matrices:
+    """Random base matrices with ``lines`` zero, unit or copied lines put in one after another.
+
+    A cell is what its later line says: s if that is a unit at the other one, and s times another
+    cell, of the line that it copies, otherwise.  All cells follow such references at once; the
+    rounds are as many as copies of copies."""
+    steps, _ = written(series_steps(spark, made, base, lines, ternary, seed), "series-lines")
+    of = lambda side, at, k: steps.where(F.col("side") == side).select("mid", F.col("at").alias(at), F.col("k").alias(k))
+    open_ = of("r", "r", "x").join(of("c", "c", "y"), "mid").withColumn("s", F.lit(1))
+    open_, _, (n,) = counted(open_, "series-open")
+    rule = steps.select("mid", F.col("k").alias("later"), "kind", "target", F.col("s").alias("t"))
+    done = []
+    while n:
+        now = open_.withColumn("later", F.greatest("x", "y")).join(rule, ["mid", "later"]).where("kind <> 'zero'")
+        other = F.least("x", "y")
+        found = now.where(((F.col("kind") == "unit") & (F.col("target") == other)) | ((F.col("kind") == "base") & (_lot(seed, "mid", "x", "y") < 0.5)))
+        done.append(written(found.select("mid", "r", "c", (F.col("s") * F.when(F.col("kind") == "unit", F.col("t")).otherwise(1)).alias("v")), "series-found")[0])
+        row_later = F.col("x") == F.col("later")
+        x, y = F.when(row_later, F.col("target")).otherwise(F.col("x")), F.when(row_later, F.col("y")).otherwise(F.col("target"))
+        open_, _, (n,) = counted(now.where("kind = 'copy'").select("mid", "r", "c", x.alias("x"), y.alias("y"), (F.col("s") * F.col("t")).alias("s")), "series-open")
+    sizes = steps.groupBy("mid").agg(F.count_if(F.col("side") == "r").cast("int").alias("m"), F.count_if(F.col("side") == "c").cast("int").alias("n"))
+    dims = _ids(spark, made).join(sizes, "mid", "left").select("mid", F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("n", F.lit(0)).alias("n"))
+    entries = spark.createDataFrame([], "mid long, r int, c int, v int")
+    for d in done:
+        entries = entries.unionByName(d)
+    return Matrices(dims, entries)
 
 
 def perturbed(ms: Matrices, chance: float, values: list[int], seed: int = 1) -> Matrices:
