@@ -229,7 +229,7 @@ def ctu_test(ms: Matrices) -> DataFrame:
     return told.unionByName(per_matrix(large, one, "mid long, is_ctu boolean, row int, col int"))
 
 
-# --- Camion, series-parallel, balanced ----------------------------------------
+# --- series-parallel -----------------------------------------------------------
 
 
 def sp_violators(ms: Matrices, ternary: bool = True) -> DataFrame:
@@ -237,16 +237,6 @@ def sp_violators(ms: Matrices, ternary: bool = True) -> DataFrame:
     return per_matrix(ms, lambda mid, a: [(mid, *x) for x in [recognise.sp_violator(a, ternary)] if x], f"mid long, {SUB}")
 
 
-def balanced_test(ms: Matrices) -> DataFrame:
-    """``mid, is_balanced, rows, cols`` with a violator of least order."""
-
-    def one(mid, a):
-        bad = None if structure.is_balanced(a) else structure.unbalanced(a)
-        return [(mid, bad is None, *_sub(bad))]
-
-    return per_matrix(ms, one, f"mid long, is_balanced boolean, {SUB}")
-
-
 # --- graphs -------------------------------------------------------------------
 
 EDGES = "mid long, element int, tail int, head int, in_forest boolean"

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..model import Matrices
-from ..operators import algebra, camion, elimination, paths, recognition, series
+from ..operators import algebra, balance, camion, elimination, paths, recognition, series
 from .families import ORDER_SQL, SIGN_SQL, order_sign, part_binary, part_count, part_sign
-from .queries import BINARY_CLASS, GH_SIGN, LARGEST, SIGN_CLASS
+from .queries import BINARY_CLASS, GH_SIGN, LARGEST, SIGN_CLASS, UNBALANCED
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -161,19 +161,42 @@ def tu_by_camion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.join(_signed_tu(spark, sf_dir), "mid").select("mid", (F.col("is_camion") & F.col("is_tu")).alias("is_tu"))
 
 
-@query(f"{SIGN_CLASS} SELECT mid, TRUE AS is_cycle, TRUE AS is_wrong FROM sup JOIN gh USING (mid) WHERE is_regular AND NOT is_tu")
-def camion_violators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of matrices with regular support but other signs: whether the violators have two nonzeros
-    in each line, and a sum that isn't a multiple of four."""
-    ms = part_sign(spark, sf_dir)
-    found, _ = storage.written(camion.camion_test(ms).where("NOT is_camion").join(_signed_tu(spark, sf_dir).where("is_tu"), "mid", "left_semi"), "camion-violators")
-    inner, _ = storage.written(algebra.slice_submatrix(ms, found.select("mid", "rows", "cols")).entries, "camion-cells")
+def _cycles(ms: Matrices, found: DataFrame) -> DataFrame:
+    """``mid, is_cycle, is_wrong`` of the submatrices ``found(mid, rows, cols)``: whether they have two
+    nonzeros in each line, and a sum that isn't a multiple of four."""
+    inner, _ = storage.written(algebra.slice_submatrix(ms, found.select("mid", "rows", "cols")).entries, "cycle-cells")
     lines = paths.adjacency(Matrices(ms.dims, inner)).groupBy("mid", "a").agg(F.count("*").alias("k")).groupBy("mid").agg((F.min("k") == 2).alias("least"), (F.max("k") == 2).alias("most"), F.count("*").alias("lines"))
     sums = inner.groupBy("mid").agg((F.pmod(F.sum("v"), F.lit(4)) != 0).alias("is_wrong"))
     out = found.select("mid", (F.size("rows") + F.size("cols")).alias("size")).join(lines, "mid").join(sums, "mid")
     return out.select("mid", (F.col("least") & F.col("most") & (F.col("lines") == F.col("size"))).alias("is_cycle"), "is_wrong")
 
 
+@query(f"{SIGN_CLASS} SELECT mid, TRUE AS is_cycle, TRUE AS is_wrong FROM sup JOIN gh USING (mid) WHERE is_regular AND NOT is_tu")
+def camion_violators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of matrices with regular support but other signs: what the violators are."""
+    ms = part_sign(spark, sf_dir)
+    found, _ = storage.written(camion.camion_test(ms).where("NOT is_camion").join(_signed_tu(spark, sf_dir).where("is_tu"), "mid", "left_semi"), "camion-violators")
+    return _cycles(ms, found)
+
+
+# --- balancedness -----------------------------------------------------------------------
+
+
+@query(f"{UNBALANCED} SELECT mid, CAST(least AS INTEGER) AS size, TRUE AS is_cycle, TRUE AS is_wrong FROM bad")
+def balance_violators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of the holes with another sum, which are least, and what they are."""
+    ms = part_sign(spark, sf_dir)
+    found, _ = storage.written(balance.balanced_test(ms).where("NOT is_balanced"), "balance-violators")
+    return found.select("mid", F.size("rows").alias("size")).join(_cycles(ms, found), "mid")
+
+
+@query(f"""WITH e AS MATERIALIZED ({ORDER_SQL}), two AS (SELECT a.mid, a.c, a.r AS r, b.r AS s, a.v + b.v AS v FROM e a JOIN e b ON a.mid = b.mid AND a.c = b.c AND a.r < b.r)
+SELECT DISTINCT x.mid, FALSE AS is_balanced FROM two x JOIN two y ON x.mid = y.mid AND x.r = y.r AND x.s = y.s AND x.c < y.c WHERE (x.v + y.v) % 4 <> 0""")
+def balanced_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of matrices of 1,280 lines: those whose least violators have two rows."""
+    return balance.balanced_test(order_sign(spark, sf_dir)).where("size(rows) = 2").select("mid", "is_balanced")
+
+
 # --- elimination ------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..model import Matrices, packed, problems
-from ..operators import algebra, blocks
+from ..operators import algebra, balance, blocks
 from ..operators import camion as camion_signs
 from ..operators import elimination, kary, multigraphs, pivots, recognition, series, sums, trees
 from ..sources import generators, text
@@ -581,16 +581,19 @@ def separation_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- classes -------------------------------------------------------------------------------
 
 
-@query(f"""WITH e AS ({SIGN_SQL}), sub AS (SELECT s, t FROM range(1, 16) a(s), range(1, 128) b(t) WHERE bit_count(s) = bit_count(t) AND bit_count(s) > 1),
+#: Submatrices with two nonzeros in each line and a sum that isn't a multiple of four.
+UNBALANCED = f"""WITH e AS ({SIGN_SQL}), sub AS (SELECT s, t FROM range(1, 16) a(s), range(1, 128) b(t) WHERE bit_count(s) = bit_count(t) AND bit_count(s) > 1),
 inside AS (SELECT mid, s, t, r, c, v FROM e, sub WHERE (s >> r) & 1 = 1 AND (t >> c) & 1 = 1),
 lines AS (SELECT mid, s, t, r, count(*) AS k FROM inside GROUP BY ALL), cols AS (SELECT mid, s, t, c, count(*) AS k FROM inside GROUP BY ALL),
 rows_two AS (SELECT mid, s, t FROM lines GROUP BY ALL HAVING min(k) = 2 AND max(k) = 2 AND count(*) = bit_count(s)),
 cols_two AS (SELECT mid, s, t FROM cols GROUP BY ALL HAVING min(k) = 2 AND max(k) = 2 AND count(*) = bit_count(t)),
 total AS (SELECT mid, s, t, sum(v) AS x FROM inside GROUP BY ALL),
-bad AS (SELECT DISTINCT mid FROM rows_two JOIN cols_two USING (mid, s, t) JOIN total USING (mid, s, t) WHERE x % 4 <> 0)
-SELECT mid, mid NOT IN (SELECT mid FROM bad) AS is_balanced FROM (SELECT DISTINCT mid FROM e)""")
+bad AS (SELECT mid, min(bit_count(s)) AS least FROM rows_two JOIN cols_two USING (mid, s, t) JOIN total USING (mid, s, t) WHERE x % 4 <> 0 GROUP BY mid)"""
+
+
+@query(f"{UNBALANCED} SELECT mid, mid NOT IN (SELECT mid FROM bad) AS is_balanced FROM (SELECT DISTINCT mid FROM e)")
 def balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recognition.balanced_test(part_sign(spark, sf_dir)).select("mid", "is_balanced")
+    return balance.balanced_test(part_sign(spark, sf_dir)).select("mid", "is_balanced")
 
 
 #: The points of a 4-row matrix's matroid as masks: unit vectors and different columns.

@@ -7,7 +7,7 @@ import pytest
 
 from matrixloom.functions import exact, structure
 from matrixloom.model import Matrices, from_dense, to_dense
-from matrixloom.operators import camion, elimination, paths, series
+from matrixloom.operators import balance, camion, elimination, paths, series
 from matrixloom.sources import generators
 from pyspark.sql import functions as F
 from tests import fixtures as X
@@ -337,3 +337,43 @@ def test_elimination_of_large_and_of_long_numbers(spark):
     e = spark.createDataFrame([(k, r, c, str(v)) for k, r, c, v in big], "mid long, r int, c int, v string").withColumn("v", F.col("v").cast("decimal(38,0)"))
     got = {r.mid: (r.det, r.status) for r in elimination.determinants(Matrices(dims, e)).collect()}
     assert got == {1: (None, "OVERFLOW"), 2: (None, "OVERFLOW"), 3: (str(10**30), "OK")}
+
+
+def test_balancedness(spark):
+    rng = random.Random(11)
+    matrices = {0: (0, 3, {}), 1: (3, 3, {(0, 0): 1, (1, 2): 2, (1, 1): -3}), 2: (2, 2, {})}
+    for k in range(3, 90):
+        m, n = rng.randrange(1, 8), rng.randrange(1, 8)
+        matrices[k] = (m, n, sparse(rng, m, n, rng.randrange(1, m * n + 1)))
+    for k in range(90, 130):  # long holes, some with chords and lines beside them
+        size = rng.randrange(3, 7)
+        rows, cols = rng.sample(range(8), size), rng.sample(range(8), size)
+        e = {(rows[i], cols[j % size]): rng.choice((-1, 1)) for i in range(size) for j in (i, i + 1)}
+        matrices[k] = (8, 8, sparse(rng, 8, 8, rng.randrange(0, 4)) | e)
+    got, orders = {r.mid: r for r in balance.balanced_test(frame(spark, matrices)).collect()}, set()
+    assert set(got) == set(matrices)
+    for k, (m, n, e) in matrices.items():
+        a = dense(m, n, e)
+        want, r = structure.unbalanced(a) if m and n else None, got[k]
+        assert r.is_balanced == (want is None) == (r.rows is None), k
+        if want:
+            assert len(r.rows) == len(r.cols) == len(want[0]), k
+            s = [[a[i][j] for j in r.cols] for i in r.rows]
+            assert k == 1 or (all(sum(v != 0 for v in x) == 2 for x in (*s, *zip(*s))) and sum(map(sum, s)) % 4), k
+            orders.add(len(r.rows))
+    assert (got[1].rows, got[1].cols) == ([1], [1]) and orders >= {1, 2, 3, 4, 5, 6}
+
+
+def test_balancedness_of_large_matrices(spark):
+    # 250 scattered blocks that are totally unimodular, and one hole of five rows with another sum
+    rng = random.Random(12)
+    rows, cols = rng.sample(range(1100), 1100), rng.sample(range(1100), 1100)
+    good = {}
+    for b in range(250):
+        for i in range(4):  # intervals: a column of ones in rows that follow each other
+            low, high = sorted((rng.randrange(4), rng.randrange(4)))
+            good |= {(rows[4 * b + x], cols[4 * b + i]): 1 for x in range(low, high + 1)}
+    hole = {(rows[1000 + i], cols[1000 + (i + d) % 5]): 1 for i in range(5) for d in (0, 1)}
+    got = {r.mid: r for r in balance.balanced_test(frame(spark, {1: (1100, 1100, good), 2: (1100, 1100, good | hole)})).collect()}
+    assert got[1].is_balanced and not got[2].is_balanced
+    assert got[2].rows == sorted(rows[1000:1005]) and got[2].cols == sorted(cols[1000:1005])
