@@ -128,14 +128,6 @@ def completed(nodes: DataFrame, ternary: bool = True, at: int | None = None) ->
     return held.repartition(work_tasks(nodes.sparkSession), "mid").mapInArrow(run, _NODE)
 
 
-def tree_attributes(nodes: DataFrame) -> DataFrame:
-    """Attributes of inner nodes recomputed from their children: what a sum has is the
-    least that any child has.  ``mid, node, regularity`` of the inner nodes."""
-    sums = nodes.where("kind IN ('ONESUM', 'TWOSUM', 'DELTASUM', 'THREESUM', 'SERIES_PARALLEL')").select("mid", "node")
-    below = nodes.where("parent IS NOT NULL").groupBy("mid", F.col("parent").alias("node")).agg(F.min("regularity").alias("regularity"))
-    return sums.join(below, ["mid", "node"])
-
-
 def three_separations(ms: Matrices) -> DataFrame:
     """``mid, kind, rows, cols, rebuilt``: a 3-separation with four elements or more on each
     side, the sum that it makes, and whether its parts' sum is the matrix again.  Null

@@ -1,4 +1,4 @@
-"""Graphic and network matrices of rooted forests, relationally."""
+"""Graphic and network matrices of rooted forests, and attributes of decomposition trees, relationally."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Matrices
-from ..storage import written
+from ..storage import counted, written
 
 
 def ancestors(parents: DataFrame) -> DataFrame:
@@ -42,3 +42,67 @@ def forest_matrix(parents: DataFrame, pairs: DataFrame, signed: bool = True) ->
     e = cells.join(numbered, ["mid", "edge"]).select("mid", "r", "c", value.cast("int").alias("v"))
     dims = numbered.groupBy("mid").agg(F.count("*").cast("int").alias("m")).join(pairs.groupBy("mid").agg(F.count("*").cast("int").alias("n")), "mid")
     return Matrices(dims, e)
+
+
+ATTRIBUTES = ("regularity", "graphicness", "cographicness")
+#: What a node's kind says by itself: regularity, graphicness, cographicness; None: nothing.
+LEAVES = {
+    "IRREGULAR": (-1, -1, -1),
+    "UNKNOWN": (0, None, None),
+    "PLANAR": (1, 1, 1),
+    "GRAPH": (1, 1, None),
+    "COGRAPH": (1, None, 1),
+    "R10": (1, -1, -1),
+}
+#: Which attributes sums (and reductions, and pivots) have from their children: all have the least.
+#: A graphic 3-sum may have parts that aren't, depending on its kind, and likewise for cographs.
+INNER = {
+    "ONESUM": (True, True, True),
+    "TWOSUM": (True, True, True),
+    "SERIES_PARALLEL": (True, True, True),
+    "PIVOTS": (True, True, True),
+    "DELTASUM": (True, True, False),
+    "YSUM": (True, False, True),
+    "THREESUM": (True, False, False),
+}
+#: Kinds that have two children; of one that isn't there nothing is known.
+TWO = ("TWOSUM", "DELTASUM", "YSUM", "THREESUM")
+
+
+def attributes(nodes: DataFrame) -> DataFrame:
+    """``mid, node`` and the attributes of every node of decomposition trees, from the leaves up,
+    for ``nodes(mid, node, parent, place, kind)`` with what attributes are known.
+
+    1: has it, -1: hasn't, 0: unknown.  What is known stays; an unknown attribute of a sum is the
+    least that any child has, at most 0 if a child is missing.  A matrix without nonzeros
+    (reduced to nothing: SERIES_PARALLEL without children) has all three.
+
+    All trees at once: levels are found by joins from the roots on and settled by one
+    aggregation each from below; each is written, so a lost executor costs one level.
+    There are twice as many rounds as the deepest tree has levels."""
+    own = nodes.select("mid", "node", "parent", "place", "kind", *(F.coalesce(x, F.lit(0)).alias(x) for x in ATTRIBUTES))
+    by_kind = lambda table, k: F.coalesce(*(F.when(F.col("kind") == kind, F.lit(row[k])) for kind, row in table.items()))
+    told = own.select("mid", "node", "parent", "place", "kind", *(F.coalesce(by_kind(LEAVES, k), F.col(x)).cast("int").alias(x) for k, x in enumerate(ATTRIBUTES)))
+    told, _ = written(told, "tree-nodes")
+    level, _, (n,) = counted(told.where("parent IS NULL"), "tree-level")
+    levels = []
+    while n:
+        levels.append(level)
+        above = level.select("mid", F.col("node").alias("parent"))
+        level, _, (n,) = counted(told.join(above, ["mid", "parent"]).select(*told.columns), "tree-level")
+    settled = below = None
+    for level in reversed(levels):
+        if below is None:
+            got = level.withColumns({"children": F.lit(0), **{f"least_{x}": F.lit(None).cast("int") for x in ATTRIBUTES}})
+        else:
+            least = [F.min(x).alias(f"least_{x}") for x in ATTRIBUTES]
+            sums = below.groupBy("mid", F.col("parent").alias("node")).agg(F.count("*").alias("children"), (F.max("place") + 1).alias("places"), *least)
+            got = level.join(sums, ["mid", "node"], "left").withColumn("children", F.coalesce("children", F.lit(0)))
+            wanted = F.when(F.col("kind").isin(*TWO), F.greatest(F.lit(2), "places")).otherwise(F.col("places"))
+            missing = F.col("children") < wanted
+            got = got.withColumns({f"least_{x}": F.when(missing, F.least(f"least_{x}", F.lit(0))).otherwise(F.col(f"least_{x}")) for x in ATTRIBUTES})
+        nothing = (F.col("kind") == "SERIES_PARALLEL") & (F.col("children") == 0)
+        value = lambda k, x: F.when(F.col(x) != 0, F.col(x)).when(nothing, 1).when(by_kind(INNER, k), F.coalesce(f"least_{x}", F.lit(0))).otherwise(F.col(x))
+        below, _ = written(got.select("mid", "node", "parent", "place", *(value(k, x).cast("int").alias(x) for k, x in enumerate(ATTRIBUTES))), "tree-settled")
+        settled = below if settled is None else settled.unionByName(below)
+    return (settled if settled is not None else told).select("mid", "node", *ATTRIBUTES)

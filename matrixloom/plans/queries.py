@@ -100,10 +100,19 @@ def seymour_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognition.decompositions(part_sign(spark, sf_dir))
 
 
+def _attributes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Decompositions and their attributes, told anew from the leaves' kinds."""
+    nodes, _ = storage.written(recognition.decompositions(part_sign(spark, sf_dir)), "nodes")
+    kept = F.col("kind").isin("GRAPH", "COGRAPH", "DELTASUM", "THREESUM")
+    return nodes, trees.attributes(nodes.withColumns({x: F.when(kept, F.col(x)) for x in trees.ATTRIBUTES}))
+
+
 @query()
 def seymour_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, _ = storage.written(recognition.decompositions(part_sign(spark, sf_dir)), "nodes")
-    return recognition.tree_attributes(nodes)
+    """Of inner nodes."""
+    nodes, told = _attributes(spark, sf_dir)
+    inner = nodes.where("parent IS NOT NULL").select("mid", F.col("parent").alias("node")).distinct()
+    return told.join(inner, ["mid", "node"]).select("mid", "node", "regularity")
 
 
 @query("SELECT s_suppkey AS mid, CASE WHEN s_suppkey % 3 < 2 THEN 'THREESUM' END AS kind, CASE WHEN s_suppkey % 3 < 2 THEN TRUE END AS rebuilt FROM supplier")
@@ -694,6 +703,13 @@ def cograph_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("mid", "oriented", F.coalesce(F.size("edges"), F.lit(0)).alias("edges"), F.col("rows").isNotNull().alias("violated"))
 
 
+@query(f"""{SIGN_CLASS} SELECT mid, CASE WHEN is_tu THEN 1 ELSE -1 END AS regularity, CASE WHEN is_network THEN 1 ELSE -1 END AS graphicness,
+CASE WHEN is_tu AND is_cographic THEN 1 ELSE -1 END AS cographicness FROM net JOIN gh USING (mid) JOIN sup USING (mid)""")
+def seymour_root_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All attributes of whole matrices, from their decompositions' leaves up."""
+    return _attributes(spark, sf_dir)[1].where("node = 0").drop("node")
+
+
 @query(f"{SIGN_CLASS} SELECT mid, TRUE AS equal FROM net WHERE is_network")
 def network_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = part_sign(spark, sf_dir)

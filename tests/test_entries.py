@@ -7,7 +7,7 @@ import pytest
 
 from matrixloom.functions import exact, structure
 from matrixloom.model import Matrices, from_dense, to_dense
-from matrixloom.operators import balance, camion, elimination, paths, series
+from matrixloom.operators import balance, camion, elimination, paths, series, trees
 from matrixloom.sources import generators
 from pyspark.sql import functions as F
 from tests import fixtures as X
@@ -377,3 +377,39 @@ def test_balancedness_of_large_matrices(spark):
     got = {r.mid: r for r in balance.balanced_test(frame(spark, {1: (1100, 1100, good), 2: (1100, 1100, good | hole)})).collect()}
     assert got[1].is_balanced and not got[2].is_balanced
     assert got[2].rows == sorted(rows[1000:1005]) and got[2].cols == sorted(cols[1000:1005])
+
+
+def settled(tree, node):
+    """A node's attributes by recursion; ``tree``: ``{node: (parent, place, kind, known)}``."""
+    _, _, kind, known = tree[node]
+    below = [(tree[k][1], settled(tree, k)) for k in tree if tree[k][0] == node]
+    least = [min((x[i] for _, x in below), default=0) for i in range(3)]
+    places = max((p + 1 for p, _ in below), default=0)
+    if below and len(below) < (max(2, places) if kind in ("TWOSUM", "DELTASUM", "YSUM", "THREESUM") else places):
+        least = [min(x, 0) for x in least]
+    fixed = {"IRREGULAR": (-1, -1, -1), "PLANAR": (1, 1, 1), "GRAPH": (1, 1, None), "COGRAPH": (1, None, 1), "R10": (1, -1, -1), "UNKNOWN": (0, None, None)}
+    takes = {"DELTASUM": "110", "YSUM": "101", "THREESUM": "100"}.get(kind, "111")
+    if kind in fixed:
+        return [k if f is None else f for f, k in zip(fixed[kind], known)]
+    if kind == "SERIES_PARALLEL" and not below:
+        return [k or 1 for k in known]
+    return [k or (x if t == "1" else 0) for k, x, t in zip(known, least, takes)]
+
+
+def test_attributes_of_trees(spark):
+    rng, kinds = random.Random(13), ["ONESUM", "TWOSUM", "SERIES_PARALLEL", "PIVOTS", "DELTASUM", "YSUM", "THREESUM"]
+    rows, want = [], {}
+    for mid in range(40):
+        tree, size = {}, rng.randrange(1, 25)
+        parents = [None] + [k - 1 if mid == 0 else rng.randrange(k) for k in range(1, size)]
+        for k, p in enumerate(parents):
+            leaf = k not in parents
+            place = sum(q == p for q in parents[:k]) + (rng.random() < 0.1)
+            kind = rng.choice(["PLANAR", "PLANAR", "GRAPH", "COGRAPH", "R10", "IRREGULAR", "UNKNOWN", "SERIES_PARALLEL"] if leaf else kinds)
+            tree[k] = (p, place, kind, [rng.choice((0, 0, 0, 0, 1, -1)) for _ in range(3)])
+        rows += [(mid, k, p, place, kind, *(x or None for x in known)) for k, (p, place, kind, known) in tree.items()]
+        want |= {(mid, k): settled(tree, k) for k in tree}
+    schema = "mid long, node int, parent int, place int, kind string, regularity int, graphicness int, cographicness int"
+    got = {(r.mid, r.node): [r.regularity, r.graphicness, r.cographicness] for r in trees.attributes(spark.createDataFrame(rows, schema)).collect()}
+    assert got == want and {x for v in got.values() for x in v} == {-1, 0, 1}
+    assert trees.attributes(spark.createDataFrame([], schema)).collect() == []
