@@ -73,3 +73,19 @@ def test_whole_table_against_sql(spark, sf):
     sql = bm25.ORACLE.replace("FROM documents", f"FROM read_parquet('{sf}/documents.parquet')")
     want = duckdb.sql(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall()
     assert sorted(want) == sorted(tuple(r) for r in bm25.op9(spark, sf).select(cols).collect())
+
+
+def test_pairs_of_shards_and_queries_are_not_shuffled(spark):
+    """Else what is written grows with shards times queries."""
+    shards = spark.range(6).selectExpr("cast(id AS int) AS shard", "array(cast('d' AS binary)) AS docs")
+    groups = spark.range(4).selectExpr("cast(id AS int) AS group", "array(cast('q' AS binary)) AS queries", "array(id) AS asked", "array(0.5D) AS floors")
+    cells = bm25._cells(shards, groups)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and cells.count() == 24
+
+
+def test_groups_of_queries(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.randrange(1, 9)))) for i in range(120)]
+    out = bm25.search(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True), k=3, shard_docs=16, block=5, group_queries=25, first=2)
+    assert sorted(((r.query, r.rank, r.id, r.score) for r in out.collect()), key=str) == brute(rows, lambda q: True, 3)
