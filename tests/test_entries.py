@@ -2,9 +2,11 @@
 
 import math
 import random
+import re
 
 import pytest
 
+from matrixloom import storage
 from matrixloom.functions import exact, structure
 from matrixloom.model import Matrices, from_dense, to_dense
 from matrixloom.operators import balance, camion, elimination, paths, series, trees
@@ -413,3 +415,17 @@ def test_attributes_of_trees(spark):
     got = {(r.mid, r.node): [r.regularity, r.graphicness, r.cographicness] for r in trees.attributes(spark.createDataFrame(rows, schema)).collect()}
     assert got == want and {x for v in got.values() for x in v} == {-1, 0, 1}
     assert trees.attributes(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_rounds_join_by_matrix_without_broadcasts(spark):
+    """A broadcast holds far more in the driver than the file's size tells; one deal by matrix does for all joins."""
+    cells, _ = storage.written(spark.range(400).selectExpr("id % 10 AS mid", "cast(id % 7 AS int) AS r", "cast(id % 11 AS int) AS c", "1 AS v"), "test-cells")
+
+    @storage.by_shuffles
+    def plan():
+        return series._round(storage.dealing(cells)(cells), True, 0)._jdf.queryExecution().executedPlan().toString()
+
+    said = plan()
+    assert "Broadcast" not in said and said.count("Exchange hashpartitioning(") == said.count("Exchange hashpartitioning(mid#") > 0
+    assert re.findall(r"hashpartitioning\(mid#\d+L, (?!\d)", said) == []
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
