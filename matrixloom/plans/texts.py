@@ -96,7 +96,9 @@ def dense_ranges_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embeddings, a file for each label, written in tenths and read in ranges."""
     ms = embeddings(spark, sf_dir)
     tenths = Matrices(ms.dims, ms.entries.withColumn("v", F.col("v") * 10)).cast("int")
-    return splits.read_dense(spark, _files(spark, text.dense_text(tenths), "dense-files"), mid=_mid())[0].entries
+    path = storage.new_path(spark, "dense-files")
+    text.write_lines(text.dense_lines(tenths), path)
+    return splits.read_dense(spark, path, mid=_mid())[0].entries
 
 
 # --- edge lists and multigraphs -----------------------------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import Matrices
+from ..storage import written
 
 _LINES = "file string, block long, start long, value string"
 
@@ -38,14 +39,16 @@ def _started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, start, words``: each line with words, and how many words of its file come before."""
+    """``file, start, words``: each line with words, and how many words of its file come before;
+    written to the shared folder, as all that is asked of them would read the files again."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     counted = lines.withColumn("k", F.size(_words()))
     ranges = counted.groupBy("file", "block").agg(F.sum("k").alias("k"))
     before = F.sum("k").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = ranges.select("file", "block", F.coalesce(before, F.lit(0)).alias("before"))
     started = counted.select("file", "block", "value", "k").mapInArrow(_started, _LINES)
-    return started.join(offsets, ["file", "block"]).select("file", (F.col("start") + F.col("before")).alias("start"), _words().alias("words")).where(F.size("words") > 0)
+    numbered = started.join(offsets, ["file", "block"]).select("file", (F.col("start") + F.col("before")).alias("start"), _words().alias("words")).where(F.size("words") > 0)
+    return written(numbered, "numbered-lines")[0]
 
 
 def _named(heads: DataFrame, mid: Column | None) -> DataFrame:

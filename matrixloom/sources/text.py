@@ -68,17 +68,30 @@ def sparse_text(ms: Matrices) -> DataFrame:
 def dense_text(ms: Matrices, zero: str = "0", header: bool = False) -> DataFrame:
     """``mid, value``: header and rows; zeros are written as ``zero``; ``header``: a line of
     the columns' last digits (counted from 1) comes before the rows."""
-    cells = ms.entries.groupBy("mid").agg(F.map_from_entries(F.collect_list(F.struct(F.struct(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")), F.col("v").cast("string")))).alias("cells"))
-    zeros = F.lit(zero)
+    digits = F.array_join(F.transform(_upto("n"), lambda j: ((j + 1) % 10).cast("string")), " ")
+    lines = dense_lines(ms, zero, F.concat(F.lit("\n"), digits) if header else None)
+    whole = lines.groupBy("mid").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("x"))
+    # without rows the header's line is followed by an empty one
+    end = F.when(F.size("x") == 1, "\n\n").otherwise("\n")
+    return whole.select("mid", F.concat(F.array_join("x.value", "\n"), end).alias("value"))
 
-    def upto(size: str):
-        return F.when(F.col(size) > 0, F.sequence(F.lit(0), F.col(size) - 1)).otherwise(F.array().cast("array<int>"))
 
-    at = lambda i, j: F.coalesce(F.try_element_at("cells", F.struct(i.cast("int").alias("r"), j.cast("int").alias("c"))), zeros)
-    rows = F.transform(upto("m"), lambda i: F.array_join(F.transform(upto("n"), lambda j: at(i, j)), " "))
-    digits = F.array_join(F.transform(upto("n"), lambda j: ((j + 1) % 10).cast("string")), " ")
-    top = F.concat(digits, F.lit("\n")) if header else F.lit("")
-    return ms.dims.join(cells, "mid", "left").select("mid", F.concat(F.concat_ws(" ", "m", "n"), F.lit("\n"), top, F.array_join(rows, "\n"), F.lit("\n")).alias("value"))
+def _upto(size: str):
+    return F.when(F.col(size) > 0, F.sequence(F.lit(0), F.col(size) - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def dense_lines(ms: Matrices, zero: str = "0", head=None) -> DataFrame:
+    """``mid, at, value``: the lines of dense texts, sizes and ``head`` at -1, then a line for each
+    row.  A row's text is made from its nonzeros and the gaps between them."""
+    entry = F.struct(F.col("c").cast("int").alias("c"), F.col("v").cast("string").alias("v"))
+    cells = ms.entries.groupBy("mid", F.col("r").cast("int").alias("at")).agg(F.array_sort(F.collect_list(entry)).alias("cells"))
+    rows = ms.dims.select("mid", "n", F.explode(_upto("m")).alias("at")).join(cells, ["mid", "at"], "left")
+    gap = lambda x, i: x["c"] - F.coalesce(F.get("cells", i - 1)["c"], F.lit(-1)) - 1
+    said = F.transform("cells", lambda x, i: F.concat(F.repeat(F.lit(f"{zero} "), gap(x, i)), x["v"]))
+    rest = F.repeat(F.lit(f" {zero}"), F.col("n") - 1 - F.element_at("cells", -1)["c"])
+    zeros = F.array_join(F.array_repeat(F.lit(zero), F.col("n")), " ")
+    value = F.coalesce(F.concat(F.array_join(said, " "), rest), zeros)
+    return ms.dims.select("mid", F.lit(-1).alias("at"), F.concat(F.concat_ws(" ", "m", "n"), F.lit("") if head is None else head).alias("value")).unionByName(rows.select("mid", "at", value.alias("value")))
 
 
 def read_submatrices(texts: DataFrame) -> DataFrame:
@@ -183,3 +196,8 @@ def complements_text(found: DataFrame) -> DataFrame:
 def write(texts: DataFrame, path: str) -> None:
     """One file per matrix, ``path/mid=<mid>/part-*``."""
     texts.select("mid", F.regexp_replace("value", "\n$", "").alias("value")).write.partitionBy("mid").text(path)
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """As :func:`write`, line after line, of ``lines(mid, at, value)``: no matrix is in one row."""
+    lines.repartition("mid").sortWithinPartitions("mid", "at").select("mid", "value").write.partitionBy("mid").text(path)

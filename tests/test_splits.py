@@ -4,8 +4,9 @@ import random
 
 import pytest
 
-from matrixloom.model import to_dense
+from matrixloom.model import from_dense, to_dense
 from matrixloom.sources import splits, text
+from pyspark.sql import functions as F
 
 
 @pytest.fixture
@@ -50,3 +51,16 @@ def test_ranges_of_files(spark, tmp_path, small_ranges):
         assert told(said) == told(status) and {s for _, s in told(said)} == {"OK", "INPUT"}
         assert to_dense(got) == to_dense(want) and len(to_dense(got)) >= 12
     assert spark.read.text(str(sparse)).rdd.getNumPartitions() > 20
+
+
+def test_dense_files_line_by_line(spark, tmp_path):
+    """Rows are lines of their own until they are in the file, in order, and all of a matrix in one file."""
+    dense = {0: [[0, 0, 3], [0, 0, 0], [-1, 2, 0]], 7: [[i * j % 5 for j in range(40)] for i in range(300)], 8: "2 0"}
+    ms = from_dense(spark, dense)
+    lines = text.dense_lines(ms)
+    assert lines.where("mid = 0").orderBy("at").toPandas()["value"].tolist() == ["3 3", "0 0 3", "0 0 0", "-1 2 0"]
+    text.write_lines(lines.repartition(5), str(tmp_path / "t"))
+    assert len(list((tmp_path / "t").glob("mid=7/part-*"))) == 1
+    got, status = splits.read_dense(spark, str(tmp_path / "t"), mid=F.regexp_extract("file", "mid=([0-9]+)", 1))
+    assert {r.status for r in status.collect()} == {"OK"} and to_dense(got) == {0: dense[0], 7: dense[7], 8: [[], []]}
+    assert [r.value for r in text.dense_text(ms.where("mid <> 7"), "", header=True).orderBy("mid").collect()] == ["3 3\n123\n  3\n  \n-1 2 \n".replace("123", "1 2 3"), "2 0\n\n\n\n"]
