@@ -7,12 +7,16 @@ the JVM on bit masks, one row per matrix.
 
 from __future__ import annotations
 
+from itertools import groupby, islice
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import graphs, recognise, structure, tu
-from ..model import Matrices, per_matrix, work_tasks
+from ..model import Matrices, batch_of, per_matrix, work_tasks
+from ..storage import written
 
 SUB = "rows array<int>, cols array<int>"
 MASK_ROWS = 10
@@ -301,19 +305,24 @@ def represented(edges: DataFrame, signed: bool = False) -> Matrices:
     """Matrices of graphs ``edges(mid, element, tail, head, in_forest)``: forest edges are
     the rows, in the order of their numbers, others the columns."""
     schema = "mid long, m int, n int, cells array<struct<r: int, c: int, v: int>>"
+    arrow = to_arrow_schema(edges.sparkSession.createDataFrame([], schema).schema)
 
-    def run(pdf):
-        import pandas as pd
-
-        tree = {-1 - e: (t, h) for e, t, h, f in zip(pdf["element"], pdf["tail"], pdf["head"], pdf["in_forest"]) if f}
-        rest = {e - 1: (t, h) for e, t, h, f in zip(pdf["element"], pdf["tail"], pdf["head"], pdf["in_forest"]) if not f}
+    def one(mid, some):
+        tree = {-1 - e: (t, h) for _, e, t, h, f in some if f}
+        rest = {e - 1: (t, h) for _, e, t, h, f in some if not f}
         a = graphs.represented(tree, rest, signed)
-        if a is None:
-            return pd.DataFrame({"mid": [], "m": [], "n": [], "cells": []})
-        cells = [{"r": i, "c": j, "v": v} for i, r in enumerate(a) for j, v in enumerate(r) if v]
-        return pd.DataFrame({"mid": [pdf["mid"].iloc[0]], "m": [len(tree)], "n": [len(rest)], "cells": [cells]})
+        if a is not None:
+            yield mid, len(tree), len(rest), [{"r": i, "c": j, "v": v} for i, r in enumerate(a) for j, v in enumerate(r) if v]
 
-    found = edges.groupBy("mid").applyInPandas(run, schema)
+    def run(batches):
+        lines = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns)))
+        found = (x for mid, some in groupby(lines, key=lambda x: x[0]) for x in one(mid, list(some)))
+        while rows := list(islice(found, 500)):
+            yield batch_of(rows, arrow)
+
+    # all edges of a matrix in a row, matrix after matrix, so that many go to Python at once
+    dealt = edges.select("mid", "element", "tail", "head", "in_forest").repartition(work_tasks(edges.sparkSession), "mid").sortWithinPartitions("mid")
+    found, _ = written(dealt.mapInArrow(run, schema), "represented")
     return Matrices(found.select("mid", "m", "n"), found.select("mid", F.explode("cells").alias("x")).select("mid", "x.r", "x.c", "x.v"))
 
 

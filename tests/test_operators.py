@@ -174,3 +174,13 @@ def test_components_and_cleaning(spark):
     assert storage.exists(spark, storage.own_dir(spark))
     storage.clean(spark)
     assert not storage.exists(spark, storage.own_dir(spark))
+
+
+def test_matrices_of_graphs_without_a_group_for_each(spark):
+    """Python gets many matrices' edges at once, and once only."""
+    rows = [[1, 0, 1], [0, 1, 1]]
+    edges = recognition.realised_graphs(from_dense(spark, {i: rows for i in range(50)}))
+    found = recognition.represented(edges)
+    plan = found.entries._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "InArrow" not in plan
+    assert to_dense(found) == {i: rows for i in range(50)}
