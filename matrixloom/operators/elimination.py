@@ -12,14 +12,20 @@ Pivots are an aggregate, operations a join of a column's entries with a row's an
 place with a partial one before the shuffle; each round is written to the shared folder.
 Matrices that are done cost nothing more.  Numbers have up to 38 digits; a matrix with longer
 ones gets the status OVERFLOW.
+
+A task takes each matrix of up to ``model.WHOLE`` nonzeros through the same rounds by itself, after one
+shuffle; larger ones go by joins.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Matrices
+from ..functions import entries as one_matrix
+from ..model import Matrices, whole
 from ..storage import counted, delete, written
 
 NUMBER = "decimal(38,0)"
@@ -110,6 +116,33 @@ def _start(ms: Matrices) -> DataFrame:
 
 def echelon(ms: Matrices, keep: bool = True) -> Echelon:
     """Echelon forms with least pivots; ``keep``: whether with the transformations."""
+
+    def one(m, n, cells):
+        own: dict[int, dict] = {}
+        lots = {}
+        for r, c, x in cells:
+            own.setdefault(r, {})[c], lots[r] = int(x["v"]), x["lot"]
+        units = {r: {r: 1} for r in range(m)} if keep else {}
+        try:
+            pivots = one_matrix.echelon(own, units, lots)
+        except one_matrix.Overflow:
+            return True, None, None
+        rows = [(r, c, Decimal(v), mine) for part, mine in ((own, True), (units, False)) for r, row in part.items() for c, v in row.items()]
+        return False, rows, [(k, r, c, Decimal(v)) for k, r, c, v in pivots]
+
+    kind = f"over boolean, rows array<struct<r: int, c: int, v: {NUMBER}, own: boolean>>, pivots array<struct<k: int, r: int, c: int, v: {NUMBER}>>"
+    value = F.struct(F.col("v").cast(NUMBER).alias("v"), F.xxhash64("mid", F.col("r").cast("int")).alias("lot"))
+    small, large = whole(ms, one, kind, "echelon-whole", value)
+    rows = small.select("mid", F.explode("rows").alias("x")).select("mid", "x.r", "x.c", "x.v", "x.own").select("mid", "r", "c", "own", "v")
+    pivots = small.select("mid", F.explode("pivots").alias("x")).select("mid", "x.k", "x.r", "x.c", "x.v")
+    found = Echelon(rows, pivots, small.where("over").select("mid"))
+    if large is None:
+        return found
+    more = _echelon(large, keep)
+    return Echelon(rows.unionByName(more.rows), pivots.unionByName(more.pivots), found.overflown.unionByName(more.overflown))
+
+
+def _echelon(ms: Matrices, keep: bool) -> Echelon:
     spark = ms.dims.sparkSession
     state = _start(ms)
     if keep:
@@ -156,6 +189,24 @@ def _products(found: Echelon) -> DataFrame:
 def determinants(ms: Matrices) -> DataFrame:
     """``mid, det, status``: exact, as a decimal string; INPUT if a matrix isn't square, OVERFLOW
     if numbers are too long."""
+
+    def one(m, n, cells):
+        if m != n:
+            return None, "INPUT"
+        try:
+            pivots = one_matrix.column_echelon([(r, c, int(v)) for r, c, v in cells])
+        except one_matrix.Overflow:
+            return None, "OVERFLOW"
+        product, sign = one_matrix.product(pivots)
+        if len(pivots) < m:
+            return "0", "OK"
+        return (None, "OVERFLOW") if product is None else (str(product * sign), "OK")
+
+    small, large = whole(ms, one, "det string, status string", "elimination-determinants", F.col("v").cast(NUMBER))
+    return small if large is None else small.unionByName(_determinants(large))
+
+
+def _determinants(ms: Matrices) -> DataFrame:
     square = ms.where("m = n")
     found = column_echelon(square)
     told = ms.dims.join(_products(found), "mid", "left").join(found.overflown.withColumn("over", F.lit(True)), "mid", "left")
@@ -168,6 +219,20 @@ def determinants(ms: Matrices) -> DataFrame:
 def diagonals(ms: Matrices) -> DataFrame:
     """``mid, rank, product``: rank and the product of the pivots of :func:`column_echelon`, up to
     sign; nulls if numbers are too long."""
+
+    def one(m, n, cells):
+        try:
+            pivots = one_matrix.column_echelon([(r, c, int(v)) for r, c, v in cells])
+        except one_matrix.Overflow:
+            return None, None
+        product, _ = one_matrix.product(pivots)
+        return len(pivots), None if product is None else str(abs(product))
+
+    small, large = whole(ms, one, "rank int, product string", "elimination-diagonals", F.col("v").cast(NUMBER))
+    return small if large is None else small.unionByName(_diagonals(large))
+
+
+def _diagonals(ms: Matrices) -> DataFrame:
     found = column_echelon(ms)
     told = ms.dims.select("mid").join(_products(found), "mid", "left").join(found.overflown.withColumn("over", F.lit(True)), "mid", "left")
     rank, product = F.coalesce("rank", F.lit(0)), F.when(F.col("rank").isNull(), F.lit(1).cast(NUMBER)).otherwise(F.abs("product"))
