@@ -174,7 +174,7 @@ def _cycles(ms: Matrices, found: DataFrame) -> DataFrame:
 @query(f"{SIGN_CLASS} SELECT mid, TRUE AS is_cycle, TRUE AS is_wrong FROM sup JOIN gh USING (mid) WHERE is_regular AND NOT is_tu")
 def camion_violators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of matrices with regular support but other signs: what the violators are."""
-    ms = part_sign(spark, sf_dir)
+    ms, _ = storage.written_matrices(part_sign(spark, sf_dir), "camion-matrices")
     found, _ = storage.written(camion.camion_test(ms).where("NOT is_camion").join(_signed_tu(spark, sf_dir).where("is_tu"), "mid", "left_semi"), "camion-violators")
     return _cycles(ms, found)
 
@@ -185,7 +185,7 @@ def camion_violators(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{UNBALANCED} SELECT mid, CAST(least AS INTEGER) AS size, TRUE AS is_cycle, TRUE AS is_wrong FROM bad")
 def balance_violators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders of the holes with another sum, which are least, and what they are."""
-    ms = part_sign(spark, sf_dir)
+    ms, _ = storage.written_matrices(part_sign(spark, sf_dir), "balance-matrices")
     found, _ = storage.written(balance.balanced_test(ms).where("NOT is_balanced"), "balance-violators")
     return found.select("mid", F.size("rows").alias("size")).join(_cycles(ms, found), "mid")
 
@@ -204,7 +204,7 @@ def balanced_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 def echelon_transformations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks, whether the transformations take the matrices to their echelon forms, and the
     transformations' determinants."""
-    ms = part_count(spark, sf_dir)
+    ms, _ = storage.written_matrices(part_count(spark, sf_dir), "echelon-matrices")
     found = elimination.echelon(ms)
     ranks = found.pivots.groupBy("mid").agg(F.count("*").cast("int").alias("rank"))
     square = Matrices(ms.dims.select("mid", "m", F.col("m").alias("n")), found.transformation())

@@ -59,3 +59,43 @@ def test_reductions_are_those_of_rounds(spark, monkeypatch, ternary):
     assert rows(series.series_parallel(ms, ternary)) == want
     monkeypatch.setattr(model, "WHOLE", 9)  # some of them go by rounds
     assert rows(series.series_parallel(ms, ternary)) == want
+
+
+def ring(k, v):
+    return {(i, j): v if (i, j) == (0, 0) else 1 for i in range(k) for j in (i, (i + 1) % k)}
+
+
+def test_camion_takes_no_rounds_and_tells_what_they_tell(spark, monkeypatch):
+    tags = written(monkeypatch, camion)
+    ms = frame(spark, {**some(2, (-1, 1, 1, 2), 5), 50: (5, 5, ring(5, 1)), 51: (6, 6, ring(6, 1))})
+    got = rows(camion.camion_test(ms))
+    assert len(tags) <= 4
+    assert got == rows(camion._camion_test(ms))
+
+
+def test_camion_signs_are_those_of_rounds(spark):
+    ms = frame(spark, {**some(3, sizes=5), 50: (5, 5, ring(5, 1))})
+    assert rows(camion.camion_signed(ms).entries) == rows(camion._camion_signed(ms).entries)
+
+
+def test_balancedness_takes_no_rounds_and_tells_what_they_tell(spark, monkeypatch):
+    tags = written(monkeypatch, balance)
+    ms = frame(spark, {**some(4, (-1, 1), 6), 50: (5, 5, ring(5, 1)), 51: (6, 6, ring(6, 1)), 52: (6, 6, ring(6, -1))})
+    got = rows(balance.balanced_test(ms))
+    assert len(tags) <= 4 and got == rows(balance._balanced_test(ms))
+    monkeypatch.setattr(balance, "CORE", 11)  # the rings of six go by rounds
+    assert rows(balance.balanced_test(ms)) == got
+
+
+def test_elimination_takes_no_rounds_and_tells_what_they_tell(spark, monkeypatch):
+    tags = written(monkeypatch, elimination)
+    ms = frame(spark, some(5, (-3, -1, 1, 2, 10**9), 5))
+    square = Matrices(ms.dims.selectExpr("mid", "m", "m AS n"), ms.entries.join(ms.dims.select("mid", "m"), "mid").where("c < m").select("mid", "r", "c", "v"))
+    got = rows(elimination.diagonals(ms)), rows(elimination.determinants(square))
+    assert len(tags) <= 8
+    assert got == (rows(elimination._diagonals(ms)), rows(elimination._determinants(square)))
+    tags.clear()
+    found = elimination.echelon(ms)
+    assert len(tags) <= 4
+    want = elimination._echelon(ms, True)
+    assert rows(found.pivots) == rows(want.pivots) and rows(found.rows) == rows(want.rows)
