@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Matrices
-from ..storage import written
+from ..model import Matrices, dealer
+from ..storage import counted, written
 
 
 def residue(value: Column, char: int) -> Column:
@@ -25,23 +25,28 @@ def pivot(ms: Matrices, at: DataFrame, char: int = 0) -> Matrices:
     With a = M[p, q]: M'[p, q] = -a, the rest of row p and of column q is
     multiplied by a, and elsewhere M'[r, c] = M[r, c] - a M[r, q] M[p, c].  One
     equi-join by matrix makes the products, one aggregation adds them up.
-    A pivot on a zero gives no matrix, see :func:`zero_pivots`.
+    A pivot on a zero gives no matrix, see :func:`zero_pivots`.  Entries are dealt by matrix, to
+    more tasks the more there are.
     """
-    e = ms.entries.select("mid", "r", "c", F.col("v").cast("long").alias("v"))
+    e, _, (size,) = counted(ms.entries.select("mid", "r", "c", F.col("v").cast("long").alias("v")), "pivot-entries")
+    at, _ = written(at.select("mid", "p", "q"), "pivot-places")
+    deal = dealer(e.sparkSession, size)
+    e, at = deal(e), deal(at).hint("merge")
     here = e.join(at, "mid")
     p, q = F.col("p"), F.col("q")
     alpha = here.where((F.col("r") == p) & (F.col("c") == q)).select("mid", "p", "q", F.col("v").alias("a"))
     row = here.where((F.col("r") == p) & (F.col("c") != q)).select("mid", "c", F.col("v").alias("vr"))
     col = here.where((F.col("c") == q) & (F.col("r") != p)).select("mid", "r", F.col("v").alias("vc"))
     stay = e.join(at, "mid", "left").where(p.isNull() | (F.col("r") != p) & (F.col("c") != q)).select("mid", "r", "c", "v")
+    row, alpha = row.hint("merge"), alpha.hint("merge")
     crossed = col.join(row, "mid").join(alpha, "mid").select("mid", "r", "c", (-F.col("a") * F.col("vc") * F.col("vr")).alias("v"))
     lines = (
         row.join(alpha, "mid").select("mid", F.col("p").alias("r"), "c", (F.col("a") * F.col("vr")).alias("v"))
         .unionByName(col.join(alpha, "mid").select("mid", "r", F.col("q").alias("c"), (F.col("a") * F.col("vc")).alias("v")))
         .unionByName(alpha.select("mid", F.col("p").alias("r"), F.col("q").alias("c"), (-F.col("a")).alias("v")))
     )
-    summed = stay.unionByName(crossed).unionByName(lines).groupBy("mid", "r", "c").agg(residue(F.sum("v"), char).alias("v")).where("v <> 0")
-    bad = zero_pivots(ms, at)
+    summed = deal(stay.unionByName(crossed).unionByName(lines)).groupBy("mid", "r", "c").agg(residue(F.sum("v"), char).alias("v")).where("v <> 0")
+    bad = at.join(alpha, "mid", "left_anti").select("mid")
     return Matrices(ms.dims.join(bad, "mid", "left_anti"), summed.join(bad, "mid", "left_anti"))
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import graphs, recognise, structure, tu
-from ..model import Matrices, batch_of, per_matrix, work_tasks
-from ..storage import written
+from ..model import Matrices, batch_of, dealer, per_matrix, work_tasks
+from ..storage import counted, written
 
 SUB = "rows array<int>, cols array<int>"
 MASK_ROWS = 10
@@ -165,7 +165,9 @@ def complements(ms: Matrices, at: DataFrame) -> Matrices:
     modulo 2 of copies: of each entry of row i in all rows, of each of column j in all
     columns, and of the crossing's in all cells.  Only nonzeros are ever joined."""
     e = ms.entries.select("mid", "r", "c", (F.col("v").cast("int") % 2).alias("v")).where("v <> 0")
-    near = e.join(ms.dims, "mid").join(at, "mid", "left")
+    e, _, (size,) = counted(e, "complement-entries")
+    deal = dealer(e.sparkSession, size)
+    near = deal(e).join(deal(ms.dims).hint("merge"), "mid").join(deal(at).hint("merge"), "mid", "left")
     rows, cols = F.sequence(F.lit(0), F.col("m") - 1), F.sequence(F.lit(0), F.col("n") - 1)
     to_rows = F.when(F.col("r").eqNullSafe(F.col("i")), rows).otherwise(F.array("r"))
     to_cols = F.when(F.col("c").eqNullSafe(F.col("j")), cols).otherwise(F.array("c"))

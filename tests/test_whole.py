@@ -6,7 +6,7 @@ import pytest
 
 from matrixloom import model, storage
 from matrixloom.model import Matrices
-from matrixloom.operators import balance, camion, elimination, series
+from matrixloom.operators import balance, camion, elimination, pivots, recognition, series
 from tests.test_entries import frame, sparse
 
 
@@ -99,3 +99,11 @@ def test_elimination_takes_no_rounds_and_tells_what_they_tell(spark, monkeypatch
     assert len(tags) <= 4
     want = elimination._echelon(ms, True)
     assert rows(found.pivots) == rows(want.pivots) and rows(found.rows) == rows(want.rows)
+
+
+def test_pivots_and_complements_are_dealt_to_more_tasks_the_more_entries_there_are(spark, monkeypatch):
+    ms = frame(spark, {k: (2, 2, {(0, 0): 1, (0, 1): 1, (1, 1): 1}) for k in range(8)})
+    monkeypatch.setattr(model, "work_tasks", lambda spark: 1)
+    monkeypatch.setattr(model, "PASS_ROWS", 1)
+    for found in (pivots.pivot(ms, ms.dims.selectExpr("mid", "0 AS p", "0 AS q"), 2), recognition.complements(ms, ms.dims.selectExpr("mid", "0 AS i", "1 AS j"))):
+        assert found.entries.rdd.getNumPartitions() == 24
