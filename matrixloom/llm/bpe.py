@@ -202,8 +202,8 @@ def _opened(batches):
 
     press = zstandard.ZstdDecompressor()
     for batch in batches:
-        for part, kind, block in zip(*(c.to_pylist() for c in batch.columns)):
-            yield part, kind, block, press
+        for part, kind, block in zip(*batch.columns):
+            yield part.as_py(), kind.as_py(), block.as_py(), press
 
 
 def _cut(parts: int, bits: int, least: int, most: int):
@@ -215,7 +215,7 @@ def _cut(parts: int, bits: int, least: int, most: int):
         refs = Blocks(REFS, parts, lambda x: 24 + 18 * len(x[1]))
         at, volume = TaskContext.get().partitionId() * 7919, 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, text in ((k.as_py(), t.as_py()) for k, t in zip(*batch.columns)):
                 home, start, names = (at + volume // _HOME) % parts, 0, []
                 volume += len(text or b"") + 64
                 for end in cuts(text or b"", bits, least, most):

@@ -460,8 +460,9 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, whole, in one pass.  Rows travel as one
-    struct, so columns may have any names, dots included."""
+    """The rows of ``docs`` that score under 0.5, whole, in one pass, written to the shared
+    folder.  Rows travel as one struct, so columns may have any names, dots included, and
+    in small batches, as tasks hold them on both sides of Python and of the filter."""
     sent, (slope, middle) = model.broadcast(docs.sparkSession), model.curve
     at = docs.columns.index(text_col)
 
@@ -474,7 +475,8 @@ def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 yield part.filter(pa.array(1.0 / (1.0 + np.exp(np.clip(-slope * (evidence - middle), -60, 60))) < 0.5))
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.mapInArrow(run, rows.schema).select("row.*")
+    with common.conf(docs.sparkSession, common.SMALL_BATCHES):
+        return common.written(rows.mapInArrow(run, rows.schema).select("row.*"), "toxicity-kept")[0]
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

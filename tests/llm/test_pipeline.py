@@ -1,7 +1,11 @@
 import hashlib
 import re
+import time
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from matrixloom.llm import common
 
 DOCS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -71,3 +75,16 @@ def test_stages_keep_columns_of_any_name(spark, sf, tmp_path):
             for r in got:
                 assert all(r[n] == f"{n}{r.doc_id}" for n in names), name
         assert corpus_pipeline.STAGES[4][1](spark, given, sf).count() == 12
+
+
+def test_shuffle_files_go_with_the_job_that_wrote_them(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    found = lambda: {name for name in files.getAllFiles().mkString("\n").replace("/", "\n").split("\n") if name.startswith("shuffle_")}
+    before = found()
+    rows, _ = common.written(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count(), "tidy")
+    for _ in range(50):
+        left = found() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and rows.count() == 1000

@@ -1,9 +1,11 @@
 import math
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from matrixloom.llm import toxicity
 
@@ -168,3 +170,18 @@ def test_lookup():
     at, known = look.find(keys)
     assert known[::2].all() and not known[1::2].any() and (look.keys[at[::2]] == keys[::2]).all()
     assert not toxicity.Lookup(keys[:0]).find(keys)[1].any()
+
+
+def test_kept_rows_travel_in_small_batches(spark):
+    class Model:
+        sent, curve, name = None, (4.0, 1.0), "sizes"
+
+        def broadcast(self, spark):
+            return SimpleNamespace(value=self)
+
+        def evidence(self, texts, memory):
+            assert sum(map(len, texts)) < 16 << 20, "a batch of too many bytes"
+            return np.zeros(len(texts))
+
+    docs = spark.range(40).coalesce(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some "), 200_000).alias("text"))
+    assert toxicity.kept(docs, Model()).select("doc_id").count() == 40
