@@ -2,45 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import Matrices
-from ..storage import counted, written
+from ..model import WHOLE, Matrices, dealer
+from ..storage import by_shuffles, counted, delete, written
 
 
+def _dealer(spark: SparkSession, rows: int, *tables: DataFrame):
+    """Deals tables by matrix, to as many tasks as so many rows need; not if a matrix has more than ``WHOLE``
+    rows of one of ``tables``, when each join shuffles by its own keys."""
+    for t in tables:
+        if (t.groupBy("mid").count().agg(F.max("count")).first()[0] or 0) > WHOLE:
+            return lambda df: df
+    return dealer(spark, rows)
+
+
+@by_shuffles
 def ancestors(parents: DataFrame) -> DataFrame:
     """``mid, node, edge``: the edges (each named by its lower node) on every node's way to
     its root, for ``parents(mid, node, parent)``.
 
     By doubling: in each round every node's way gets the way of the node at its end put on,
     so the number of rounds is the logarithm of the depth; each is written, so that a lost
-    executor costs one round."""
-    inner = parents.where("parent IS NOT NULL")
-    ways = inner.select("mid", "node", F.col("node").alias("edge"))
-    below = inner.select("mid", F.col("node").alias("parent"))
-    jumps = inner.join(below, ["mid", "parent"], "left_semi").select("mid", "node", F.col("parent").alias("to"))
-    jumps, _ = written(jumps, "tree-jumps")
-    ways, _ = written(ways, "tree-ways")
+    executor costs one round.  Tasks get a bounded number of ways, by matrix."""
+    spark = parents.sparkSession
+    inner, inner_path, (n,) = counted(parents.where("parent IS NOT NULL").select("mid", "node", "parent"), "tree-inner")
+    deal = _dealer(spark, n, inner)
+    ways, ways_path = written(inner.select("mid", "node", F.col("node").alias("edge")), "tree-ways")
+    below = deal(inner.select("mid", F.col("node").alias("parent")))
+    jumps, jumps_path = written(deal(inner).join(below, ["mid", "parent"], "left_semi").select("mid", "node", F.col("parent").alias("to")), "tree-jumps")
+    delete(spark, inner_path)
     while not jumps.isEmpty():
-        on = ways.select("mid", F.col("node").alias("to"), "edge")
-        ways, _ = written(ways.unionByName(jumps.join(on, ["mid", "to"]).select("mid", "node", "edge")), "tree-ways")
-        further = jumps.select("mid", F.col("node").alias("to"), F.col("to").alias("next"))
-        jumps, _ = written(jumps.join(further, ["mid", "to"]).select("mid", "node", F.col("next").alias("to")), "tree-jumps")
+        deal = _dealer(spark, 2 * n, jumps)
+        on = deal(ways.select("mid", F.col("node").alias("to"), "edge"))
+        more, more_path, (n,) = counted(ways.unionByName(deal(jumps).join(on, ["mid", "to"]).select("mid", "node", "edge")), "tree-ways")
+        further = deal(jumps.select("mid", F.col("node").alias("to"), F.col("to").alias("next")))
+        next_, next_path = written(deal(jumps).join(further, ["mid", "to"]).select("mid", "node", F.col("next").alias("to")), "tree-jumps")
+        delete(spark, ways_path)
+        delete(spark, jumps_path)
+        ways, ways_path, jumps, jumps_path = more, more_path, next_, next_path
     return ways
 
 
+@by_shuffles
 def forest_matrix(parents: DataFrame, pairs: DataFrame, signed: bool = True) -> Matrices:
     """One row per forest edge (in the order of the lower nodes), one column per ``pairs(mid,
-    c, u, w)``: the edges on exactly one of the ways of u and w to the root, -1 on u's."""
-    up = ancestors(parents)
-    edges = parents.where("parent IS NOT NULL")
-    numbered = edges.select("mid", F.col("node").alias("edge"), (F.row_number().over(Window.partitionBy("mid").orderBy("node")) - 1).alias("r"))
-    ends = pairs.select("mid", "c", F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(-1).alias("s")), F.struct(F.col("w").alias("node"), F.lit(1).alias("s")))).alias("x"))
-    cells = ends.select("mid", "c", "x.node", "x.s").join(up, ["mid", "node"]).groupBy("mid", "c", "edge").agg(F.sum("s").alias("v")).where("v <> 0")
+    c, u, w)``: the edges on exactly one of the ways of u and w to the root, -1 on u's.
+
+    Ends, ways and numbers of edges meet in tasks of a bounded number of cells, by matrix."""
+    spark = parents.sparkSession
+    edges, _, (nodes,) = counted(parents.where("parent IS NOT NULL").select("mid", "node", "parent"), "tree-edges")
+    pairs, _, (n,) = counted(pairs.select("mid", "c", "u", "w"), "tree-pairs")
+    up = ancestors(edges)
+    # a pair meets two ways of the mean length
+    deal = _dealer(spark, 2 * n * -(-up.count() // max(1, nodes)), edges, pairs)
+    numbered = deal(edges).select("mid", F.col("node").alias("edge"), (F.row_number().over(Window.partitionBy("mid").orderBy("node")) - 1).alias("r"))
+    ends = deal(pairs).select("mid", "c", F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(-1).alias("s")), F.struct(F.col("w").alias("node"), F.lit(1).alias("s")))).alias("x"))
+    cells = ends.select("mid", "c", "x.node", "x.s").join(deal(up), ["mid", "node"]).groupBy("mid", "c", "edge").agg(F.sum("s").alias("v")).where("v <> 0")
     value = F.col("v") if signed else F.abs("v")
-    e = cells.join(numbered, ["mid", "edge"]).select("mid", "r", "c", value.cast("int").alias("v"))
-    dims = numbered.groupBy("mid").agg(F.count("*").cast("int").alias("m")).join(pairs.groupBy("mid").agg(F.count("*").cast("int").alias("n")), "mid")
+    e, _ = written(cells.join(numbered, ["mid", "edge"]).select("mid", "r", "c", value.cast("int").alias("v")), "tree-entries")
+    dims = edges.groupBy("mid").agg(F.count("*").cast("int").alias("m")).join(pairs.groupBy("mid").agg(F.count("*").cast("int").alias("n")), "mid")
     return Matrices(dims, e)
 
 

@@ -184,3 +184,13 @@ def test_matrices_of_graphs_without_a_group_for_each(spark):
     plan = found.entries._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan and "InArrow" not in plan
     assert to_dense(found) == {i: rows for i in range(50)}
+
+
+def test_forest_matrices_are_dealt_by_rows(spark, monkeypatch):
+    from matrixloom import model
+    from matrixloom.sources import generators
+
+    monkeypatch.setattr(model, "PASS_ROWS", 4000)
+    entries = generators.networks(spark, 200, 40, 60).entries
+    sizes = [r["count"] for r in entries.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) > 40_000 and max(sizes) < 8000
