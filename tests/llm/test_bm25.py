@@ -89,3 +89,22 @@ def test_groups_of_queries(spark):
     rows = [(i, " ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.randrange(1, 9)))) for i in range(120)]
     out = bm25.search(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True), k=3, shard_docs=16, block=5, group_queries=25, first=2)
     assert sorted(((r.query, r.rank, r.id, r.score) for r in out.collect()), key=str) == brute(rows, lambda q: True, 3)
+
+
+def test_terms_are_runs_of_the_contract_s_bytes():
+    every = bytes(range(256)) * 2 + b"One  two\x85three\xa0 9_x\xc3\x9f"
+    assert bm25.terms_of(every) == re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", every.lower())
+    assert bm25.terms_of(b"") == []
+
+
+def test_exact_scores_weigh_only_postings_of_the_query_s_terms(monkeypatch):
+    n, width = 300, 200
+    terms = np.tile(np.arange(width, dtype=np.uint64), n)
+    owner = np.repeat(np.arange(n), width)
+    index = bm25.Index(np.arange(n), np.full(n, width) + np.arange(n), terms, np.ones(n * width, dtype=np.int64), owner, 200.0)
+    asked = []
+    impact = bm25.Index._impact
+    monkeypatch.setattr(bm25.Index, "_impact", lambda self, postings, entry: asked.append(len(postings)) or impact(self, postings, entry))
+    best, scores = index.top(np.array([3, 5], dtype=np.uint64), np.array([1.0, 2.0]), 10)
+    assert best.tolist() == list(range(10)) and (np.diff(scores) < 0).all()
+    assert 0 < sum(asked) <= 2 * n
