@@ -28,6 +28,7 @@ choice of blocks to be filed (a 0.8 of shingles is 38 of 256 bits: blocks that a
 pairs are sure to share take 10,660 choices of 3 of 41): it has longer fingerprints of
 distinct shingles, files each class under a number of seeded choices of blocks that
 grows with the number of classes, and compares the shingle sets of what is near.
+Pairs that are near but can't be that similar are told by :func:`marks` before.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -95,6 +96,19 @@ def sketch(text: bytes, n: int = 5, longs: int = 4) -> tuple[int, list[int], byt
     return xxh64_intdigest(hashes.tobytes(), 42), bits, np.unique(hashes.astype("<u4")).tobytes()
 
 
+def marks(shingles: np.ndarray) -> tuple[list[int], list[int]]:
+    """Bit i (of four times as many bits as there are shingles, rounded up to 64 times a
+    power of two): whether the number of shingles that are i modulo the number of bits is
+    odd; and the same of half as many bits.  As unsigned longs.
+
+    What two sets have in common cancels out, so the bits in which marks differ are
+    at most as many as the elements that only one set has."""
+    longs = 1 << max(0, math.ceil(len(shingles) / 16) - 1).bit_length()
+    odd = np.bincount(shingles % np.uint32(64 * longs), minlength=64 * longs) & 1
+    whole = np.packbits(odd.astype(bool), bitorder="little").view("<u8")
+    return whole.tolist(), (whole[: longs // 2] ^ whole[longs // 2 :]).tolist() if longs > 1 else []
+
+
 def fingerprints(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, fp`` (the fingerprint's bits as a signed long) for each row."""
 
@@ -240,6 +254,26 @@ def first_bound(most: int, longs: int) -> int:
     return min(64, int(64 * limit + 3.7 * math.sqrt(64 * limit * (1 - limit))))
 
 
+def may_be_alike(one: str, two: str, similarity: float) -> Column:
+    """Whether sets may have that Jaccard similarity, by columns with their ``size`` and
+    :func:`marks`; true for all that have it.
+
+    Sets of sizes x and y have it if at most (x + y) (1 - similarity) / (1 + similarity)
+    elements are in one of them only.  Their marks then are of equal length, or one is twice
+    as long as the other."""
+    x, y = F.col(one), F.col(two)
+    most = (x["size"] + y["size"]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    fitted = lambda a, b: F.when(F.size(a["marks"]) > F.size(b["marks"]), a["half"]).otherwise(a["marks"])
+    differ = F.aggregate(F.zip_with(fitted(x, y), fitted(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, bits: n + bits)
+    return (F.abs(x["size"] - y["size"]) <= most) & (differ <= most)
+
+
+def possible(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``pairs(a, b, ...)`` whose sets may be alike, by ``marked(cls, mark)``."""
+    one, two = (marked.select(F.col("cls").alias(c), F.col("mark").alias(f"{c}_mark")) for c in ("a", "b"))
+    return pairs.join(one, "a").join(two, "b").where(may_be_alike("a_mark", "b_mark", similarity)).select(pairs.columns)
+
+
 def near_pairs(pairs: DataFrame, classes: DataFrame, fps: list[str], most: int) -> DataFrame:
     """Of the pairs ``a, b`` those within ``most`` bits, once each, with that number as ``dist``."""
     left, right = (classes.select(F.col("cls").alias(c), *[F.col(f).alias(f"{c}_{f}") for f in fps]) for c in ("a", "b"))
@@ -297,16 +331,18 @@ def settled(near: DataFrame, roots: DataFrame | None, alike) -> DataFrame | None
         picks *= 64
 
 
-def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int, roots: DataFrame | None = None, alike=None) -> DataFrame | None:
+def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int, roots: DataFrame | None = None, alike=None, marked: DataFrame | None = None, similarity: float = 0.8) -> DataFrame | None:
     """``node, root``: components of ``roots`` and of the classes that share a key, differ in
     at most ``most`` bits and are among the pairs that ``alike`` (if given) keeps of such ones.
+    ``marked(cls, mark)`` (if given) tells pairs that don't have the ``similarity`` before.
 
     In each round some heads of a key are compared with all its classes that aren't
     linked to them yet, and then leave it; whatever is near a head stays and is
     compared with the rest.  Heads come from the smallest components of the key and
     grow eightfold in number by round.  A key is done when links join all its
     classes, so one of many similar classes costs little more than their number; pairs
-    of classes that no links join are compared one by one.
+    of classes that no links join are compared one by one, by their marks where these
+    tell enough.
     """
     spark = classes.sparkSession
     bound = first_bound(most, len(fps))
@@ -330,7 +366,12 @@ def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int, r
         least = F.min(F.struct(*(["size"] if turn > 1 else []), "cls", "root", "f0")).alias("h")
         head = sized.groupBy("key", slot.alias("slot")).agg(least).select(F.col("key").alias("k"), F.col("h.cls").alias("b"), F.col("h.root").alias("b_root"), F.col("h.f0").alias("b_f0"))
         may = F.bit_count(F.col("f0").bitwiseXOR(F.col("b_f0"))) <= bound
-        met = current.join(head, (F.col("key") == F.col("k")) & (F.col("root") != F.col("b_root")) & may).select(F.col("cls").alias("a"), "b")
+        ones, others = current, head
+        if marked is not None:
+            ones = current.join(marked, "cls")
+            others = head.join(marked.select(F.col("cls").alias("b"), F.col("mark").alias("b_mark")), "b")
+            may = may & may_be_alike("mark", "b_mark", similarity)
+        met = ones.join(others, (F.col("key") == F.col("k")) & (F.col("root") != F.col("b_root")) & may).select(F.col("cls").alias("a"), "b")
         near = near_pairs(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), classes, fps, most)
         if asked is not None:
             near = near.join(asked, ["a", "b"], "left_anti")
@@ -343,7 +384,8 @@ def met_links(classes: DataFrame, keyed: DataFrame, fps: list[str], most: int, r
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``cls, shingles`` of the rows of ``texts(at, text)`` that ``wanted(cls, at)`` names.
+    """``cls, shingles, mark`` (see :func:`may_be_alike`) of the rows of ``texts(at, text)``
+    that ``wanted(cls, at)`` names.
 
     The scan tests rows against a Bloom filter of the wanted ones, so that other texts
     aren't shuffled."""
@@ -352,13 +394,16 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 sets = [sketch(t or b"", n, 1)[2] for t in batch.column(1)[i : i + 500].to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 500], pa.array(sets, pa.binary())], names=["cls", "shingles"])
+                found = [np.frombuffer(s, dtype="<u4") for s in sets]
+                whole, half = (pa.array([np.array(m, dtype=np.uint64).view(np.int64) for m in ms], pa.list_(pa.int64())) for ms in zip(*map(marks, found)))
+                mark = pa.StructArray.from_arrays([pa.array([len(f) for f in found], pa.int32()), whole, half], names=["size", "marks", "half"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 500], pa.array(sets, pa.binary()), mark], names=["cls", "shingles", "mark"])
 
     place = lambda at: F.xxhash64(f"{at}.file_path", f"{at}.row_index")
     rows = texts.select(place("at").alias("place"), "at", F.col("text").cast("binary").alias("text"))
     named = wanted.select("cls", F.col("at").alias("of"), place("at").alias("place_of"))
     same = (F.col("place") == F.col("place_of")) & (F.col("at.row_index") == F.col("of.row_index")) & (F.col("at.file_path") == F.col("of.file_path"))
-    return rows.join(named, same).select("cls", "text").mapInArrow(run, "cls long, shingles binary")
+    return rows.join(named, same).select("cls", "text").mapInArrow(run, "cls long, shingles binary, mark struct<size: int, marks: array<long>, half: array<long>>")
 
 
 def alike_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, int]:
@@ -388,7 +433,7 @@ def similar(texts: DataFrame, n: int = 5, similarity: float = 0.8, longs: int =
     Sets of Jaccard similarity j have a cosine of about 2j / (1 + j) or more, and so
     differ in the angle's share of their ``64 * longs`` bits on average; what differs in
     up to three standard deviations more is a candidate, and the sets of
-    candidates are compared.  Rows of one set are one class.  Each class is filed under seeded
+    candidates are compared, but for those whose marks tell that they are less similar.  Rows of one set are one class.  Each class is filed under seeded
     choices of blocks, of more bits the more classes there are, and under as many
     choices as let fingerprints of just that similarity meet with probability
     ``chance`` at any number of classes.  Under keys of up to ``hot`` classes all pairs are
@@ -429,9 +474,10 @@ def similar(texts: DataFrame, n: int = 5, similarity: float = 0.8, longs: int =
     wanted, _ = common.written(named.join(classes, "cls").select("cls", "at"), "similar-wanted")
     with common.conf(spark, common.BLOOM_CONF | common.SMALL_BATCHES):
         sets, sets_path = common.written(shingle_sets(slim, wanted, n), "similar-sets")
+    marked = sets.select("cls", "mark")
     alike = lambda some: alike_pairs(some, sets, similarity)
-    roots = settled(near, None, alike)
-    roots = met_links(classes, rest, fps, most, roots, alike)
+    roots = settled(possible(near, marked, similarity), None, alike)
+    roots = met_links(classes, rest, fps, most, roots, alike, marked, similarity)
     found, _ = common.written(rooted(rows.select("at", "cls"), roots, {"cls": "root"}).select("at", "root"), "similar-found")
     common.delete(spark, sets_path)
     return found

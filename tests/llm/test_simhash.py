@@ -190,6 +190,51 @@ def test_hot_keys_ask_about_few_pairs_and_lose_no_link(spark, monkeypatch):
     assert sum(asked) < 10 * len(texts)
 
 
+def test_marks_never_part_what_is_similar_and_part_most_else(spark):
+    rng, rows, same, parted = np.random.default_rng(3), [], [], []
+    for size in (0, 1, 3, 4, 5, 9, 15, 16, 17, 60, 120, 128, 129, 150, 500, 512, 520, 3000):
+        for part in (1.0, 0.9, 0.81, 0.8, 0.799, 0.7, 0.5):
+            for wide in (size, round(size / 0.8), round(size * 0.9)):
+                both = min(round(part * (size + wide) / (1 + part)), size, wide)
+                pool = np.unique(rng.integers(0, 1 << 32, 2 * (size + wide) + 9, dtype=np.uint64).astype("<u4"))
+                rng.shuffle(pool)
+                x, y = pool[:size], np.concatenate([pool[:both], pool[size : size + wide - both]])
+                rows.append([(len(v), *([m - (1 << 64) if m >> 63 else m for m in ms] for ms in simhash.marks(v))) for v in (x, y)])
+                union = size + wide - both
+                same.append(both >= 0.8 * union)
+                parted.append(size >= 60 and both < 0.72 * union)
+    mark = "struct<size: int, marks: array<long>, half: array<long>>"
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i long, x {mark}, y {mark}")
+    for a, b in (("x", "y"), ("y", "x")):
+        kept = {r.i for r in frame.where(simhash.may_be_alike(a, b, 0.8)).select("i").collect()}
+        assert sum(same) > 50 and kept >= {i for i, s in enumerate(same) if s}
+        assert sum(parted) > 50 and not kept & {i for i, s in enumerate(parted) if s}
+
+
+def test_near_but_unlike_texts_are_not_asked_about(spark, monkeypatch):
+    rng, asked = random.Random(17), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, texts = [word() for _ in range(150)], []
+    for i in range(200):
+        copy = list(base)
+        for k in range(2 if i % 4 == 0 else 5):
+            copy[30 * k + rng.randrange(25)] = word()
+        texts.append(" ".join(copy))
+    # the texts with two new words are within 0.8 of each other or not, chains link them
+    rows = [t.split() for t in texts]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(rows[i], rows[j]) >= 0.8]
+    root = list(range(len(rows)))
+    for i, j in pairs:
+        root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    real = simhash.alike_pairs
+    monkeypatch.setattr(simhash, "alike_pairs", lambda some, *a: asked.append(some.count()) or real(some, *a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (8, 1000):
+        asked.clear()
+        assert {r.doc_id for r in simhash.one_of_each(docs, hot=hot).collect()} == set(root)
+        assert 1 < len(set(root)) and sum(asked) < 5 * len(texts), (hot, sum(asked))
+
+
 def test_pairs_by_key_against_all_pairs(spark):
     rng = np.random.default_rng(1)
     n = 4000
