@@ -5,6 +5,7 @@ import random
 import pytest
 
 from matrixloom import model, storage
+from matrixloom.functions import entries
 from matrixloom.model import Matrices
 from matrixloom.operators import balance, camion, elimination, pivots, recognition, series
 from tests.test_entries import frame, sparse
@@ -87,6 +88,29 @@ def test_balancedness_takes_no_rounds_and_tells_what_they_tell(spark, monkeypatc
     assert rows(balance.balanced_test(ms)) == got
 
 
+def test_large_cores_with_few_paths_take_no_rounds(spark, monkeypatch):
+    tags = written(monkeypatch, balance)
+    cells = sparse(random.Random(7), 14, 14, 90, (-1, 1))
+    near = entries.near_of([(r, c, v) for (r, c), v in cells.items()])
+    entries.reduced(near, True)
+    assert sum(map(len, near.values())) > 2 * balance.CORE
+    ms = frame(spark, {1: (14, 14, cells), 2: (60, 60, ring(60, 1)), 3: (61, 61, ring(61, 1))})
+    got = rows(balance.balanced_test(ms))
+    assert len(tags) <= 4
+    by_rounds = []
+    monkeypatch.setattr(balance, "_balanced_test", lambda large: by_rounds.extend(r.mid for r in large.dims.collect()) or large.dims.selectExpr("mid", "true", "cast(null AS array<int>)", "cast(null AS array<int>)").toDF("mid", "is_balanced", "rows", "cols"))
+    monkeypatch.setattr(balance, "PATHS", 125)
+    assert balance.balanced_test(ms).count() == 3 and by_rounds == [1]  # it has more paths
+
+
+def test_rounds_look_at_lines_that_changed_only(monkeypatch):
+    looked = []
+    monkeypatch.setattr(entries, "sorted", lambda x, **k: looked.append(0) or sorted(x, **k), raising=False)
+    near = entries.near_of([(i, j, 1) for i, j in chain(60)] + [(100 + i, 100 + j, v) for (i, j), v in ring(40, 1).items()])
+    steps = entries.reduced(near, True)
+    assert len(near) == 80 and len({x[0] for x in steps}) > 50 and len(looked) < 600
+
+
 def test_elimination_takes_no_rounds_and_tells_what_they_tell(spark, monkeypatch):
     tags = written(monkeypatch, elimination)
     ms = frame(spark, some(5, (-3, -1, 1, 2, 10**9), 5))
