@@ -133,10 +133,7 @@ def series_parallel_core_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def series_parallel_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reductions of matrices of 1,280 lines, gone through one after the other: how many there
     are, and how many don't hold."""
-    ms = order_sign(spark, sf_dir)
-    steps, _ = series.reductions(ms)
-    steps, _ = storage.written(steps, "series-steps")
-    return series.replayed(ms, steps).join(steps.groupBy("mid").agg(F.count("*").alias("steps")), "mid")
+    return series.replays(order_sign(spark, sf_dir))
 
 
 # --- Camion's signs -------------------------------------------------------------------

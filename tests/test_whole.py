@@ -103,6 +103,24 @@ def test_large_cores_with_few_paths_take_no_rounds(spark, monkeypatch):
     assert balance.balanced_test(ms).count() == 3 and by_rounds == [1]  # it has more paths
 
 
+@pytest.mark.parametrize("ternary", [True, False])
+def test_replays_take_no_rounds_and_tell_what_they_tell(spark, monkeypatch, ternary):
+    tags = written(monkeypatch, series)
+    ms = frame(spark, {**some(6, (-1, 1) if ternary else (1,)), 50: (12, 12, chain(12)), 51: (5, 5, ring(5, 1))})
+    got = rows(series.replays(ms, ternary))
+    assert len(tags) <= 4
+    assert got == rows(series._replays(ms, ternary))
+
+
+def test_steps_that_do_not_hold_are_told():
+    near = lambda: entries.near_of([(0, 0, 1), (0, 1, 1), (1, 0, 1), (1, 1, -1), (2, 1, 1)])
+    assert entries.wrong(near(), [(0, -3, 2)], True) == 0
+    assert entries.wrong(near(), [(0, -3, 1)], True) == 1  # its entry stands elsewhere
+    assert entries.wrong(near(), [(0, -2, -1)], True) == 1  # no copy
+    assert entries.wrong(near(), [(0, 2, 0), (1, -2, -1), (2, -3, 0)], True) == 1  # a column with entries; copies by then
+    assert entries.wrong(entries.near_of([(0, 0, 1), (1, 0, -1)]), [(0, -2, -1)], False) == 1
+
+
 def test_rounds_look_at_lines_that_changed_only(monkeypatch):
     looked = []
     monkeypatch.setattr(entries, "sorted", lambda x, **k: looked.append(0) or sorted(x, **k), raising=False)
